@@ -31,7 +31,7 @@ BITS = 20
 PRIOR = 2.0
 DRIFT = -0.1
 #: Score over deviation and score from which a feature speaks; scores are held to this size.
-SIGNIFICANT, STRONG, MOST = 4.0, 1.5, 8.0
+SIGNIFICANT, STRONG, MOST = 3.0, 1.5, 8.0
 #: A feature counts once for all learning texts of a label with the same smallest hash of three words (near copies), in each of SPLITS parts.
 SPLITS = 4
 SAMPLE = 20_000
@@ -97,11 +97,10 @@ def word_scores(places: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n_clea
     share[places] = (clean + toxic) / (n_clean + n_toxic)
     y = np.zeros((2, 2**BITS))
     y[0, places], y[1, places] = clean, toxic
-    alpha = np.maximum(PRIOR * share, 0.01)
-    odds = [np.log((y[k] + alpha) / (n + PRIOR - y[k] - alpha + 0.01)) for k, n in ((0, n_clean), (1, n_toxic))]
+    alpha = np.maximum(PRIOR * share, 0.5)
+    odds = [np.log((y[k] + alpha) / (n + PRIOR - y[k] - alpha + 0.5)) for k, n in ((0, n_clean), (1, n_toxic))]
     score = odds[1] - odds[0]
-    # a feature unseen under one label has a variance that says nothing; it is taken as if half a document were there
-    deviation = np.sqrt(1 / (y[0] + np.maximum(alpha, 0.5)) + 1 / (y[1] + np.maximum(alpha, 0.5)))
+    deviation = np.sqrt(1 / (y[0] + alpha) + 1 / (y[1] + alpha))
     return np.clip(score, -MOST, MOST).astype(np.float32), (score / deviation).astype(np.float32)
 
 
