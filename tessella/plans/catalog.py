@@ -1,4 +1,368 @@
-"""Every query of the engine and its oracle."""
+"""Every query of the engine and its oracle in DuckDB's SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessella.functions import html as H
+from tessella.functions import text as T
+from tessella.operators import chunking as C
+from tessella.operators import retrieval as R
+from tessella.operators import store as S
+from tessella.sources.files import near_rows
+from tessella.streaming.ingest import event_windows
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+QUESTION = "the of and thation er"
+STOPWORDS = ["the", "of", "and"]
+DEFAULTS = ["What is this about?", "Who wrote it?", "When was it written?", "Where is more?"]
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+L2 = "list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))"
+DOT = "list_sum(list_transform(list_zip({0}.embedding, {1}.embedding), lambda z: z[1]::DOUBLE * z[2]))"
+COS = f"1 - {DOT.format('e', 'q')} / sqrt({DOT.format('e', 'e')} * {DOT.format('q', 'q')})"
+
+
+def _first_vector(t):
+    v = t("embeddings")
+    return v.where("vec_id = 0").first()["embedding"], v.select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query(f"SELECT id, round(d, 6) AS distance, row_number() OVER (ORDER BY d, id)::INT AS vector_rank FROM (SELECT e.vec_id AS id, {L2} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, id LIMIT 20)")
+def vector_topk(t):
+    q, v = _first_vector(t)
+    return R.top_k(v, q).select("id", F.round("distance", 6).alias("distance"), "vector_rank")
+
+
+@query(f"SELECT id, round(d, 6) AS distance, round(greatest(0, 1 - d), 6) AS similarity FROM (SELECT e.vec_id AS id, {COS} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, id LIMIT 20) WHERE greatest(0, 1 - d) >= 0.3")
+def vector_threshold(t):
+    q, v = _first_vector(t)
+    return R.top_k(v, q, metric="cosine", min_similarity=0.3).select("id", F.round("distance", 6).alias("distance"), F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"SELECT query_id, id, round(d, 6) AS distance, vector_rank FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {L2} AS d, row_number() OVER (PARTITION BY q.vec_id ORDER BY {L2}, e.vec_id)::INT AS vector_rank FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0) WHERE vector_rank <= 20")
+def vector_topk_batch(t):
+    v = t("embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    asked = v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return R.top_k_batch(asked, v).select("query_id", "id", F.round("distance", 6).alias("distance"), "vector_rank")
+
+
+def _chunks(t):
+    return t("conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_index"), "role", "text")
+
+
+@query("SELECT a.conv_id AS doc_id, a.turn AS chunk_index, b.turn AS neighbour, b.role AS role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN greatest(0, a.turn - 2) AND a.turn + 2")
+def neighbors_window(t):
+    c = _chunks(t)
+    return R.neighbours(c.select("doc_id", "chunk_index"), c).select("doc_id", "chunk_index", F.col("n_chunk_index").alias("neighbour"), F.col("n_role").alias("role"))
+
+
+HITS = "(SELECT conv_id, turn FROM conversations ORDER BY length(text) DESC, conv_id, turn LIMIT 20)"
+
+
+def _hits(c):
+    return c.orderBy(F.length("text").desc(), "doc_id", "chunk_index").limit(20).select("doc_id", "chunk_index")
+
+
+@query(f"SELECT conv_id AS doc_id, turn AS chunk_index, role FROM conversations c WHERE EXISTS (SELECT 1 FROM {HITS} h WHERE h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 2 AND h.turn + 2)")
+def expanded_search(t):
+    c = _chunks(t)
+    return R.expanded(_hits(c), c).select("doc_id", "chunk_index", "role")
+
+
+@query(f"SELECT conv_id AS doc_id, turn AS chunk_index, role FROM conversations c WHERE EXISTS (SELECT 1 FROM {HITS} h WHERE h.conv_id = c.conv_id AND c.turn BETWEEN h.turn - 1 AND h.turn + 1)")
+def contextual_search(t):
+    c = _chunks(t)
+    return R.expanded(_hits(c), c, 1).select("doc_id", "chunk_index", "role")
+
+
+def _bm25_sql(candidates: str, stop: str = "") -> str:
+    tokens = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> ''" + (f" AND x NOT IN ({stop})" if stop else "") + ")"
+    return f"""
+cand AS ({candidates}),
+toks AS (SELECT id, {tokens.format('content')} AS tk FROM cand),
+terms AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tk) AS term FROM toks) GROUP BY ALL),
+asked AS (SELECT term, count(*) AS times FROM (SELECT unnest({tokens.format(repr(QUESTION))}) AS term) GROUP BY term),
+sizes AS (SELECT id, len(tk) AS dl FROM toks WHERE len(tk) > 0),
+whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM sizes),
+raws AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT term, count(*) AS df FROM terms GROUP BY term), whole),
+idfs AS (SELECT term, times, CASE WHEN raw >= 0 THEN raw ELSE 0.25 * (SELECT avg(raw) FROM raws) END AS idf FROM raws JOIN asked USING (term)),
+scored AS (SELECT id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM terms JOIN idfs USING (term) JOIN sizes USING (id), whole GROUP BY id),
+bm AS (SELECT cand.*, coalesce(s, 0) AS bm25_score FROM cand LEFT JOIN scored USING (id))"""
+
+
+ALL_DOCS = "SELECT doc_id AS id, text AS content FROM documents"
+
+
+def _as_chunks(t):
+    return t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("file_name"))
+
+
+@query(f"WITH {_bm25_sql(ALL_DOCS)} SELECT id, round(bm25_score, 6) AS bm25_score FROM bm")
+def bm25_topk(t):
+    return R.bm25(_as_chunks(t), QUESTION).select("id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query(f"WITH {_bm25_sql(ALL_DOCS, ', '.join(map(repr, STOPWORDS)))} SELECT id, round(bm25_score, 6) AS bm25_score FROM bm")
+def bm25_stopwords(t):
+    return R.bm25(_as_chunks(t), QUESTION, STOPWORDS).select("id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+def _candidates(t):
+    q, v = _first_vector(t)
+    linked = v.join(_as_chunks(t), "id")
+    return R.top_k(linked, q, R.MOST_K).select("id", "content", "file_name", "vector_rank")
+
+
+CANDIDATES = f"SELECT *, row_number() OVER (ORDER BY d, id) AS vector_rank FROM (SELECT doc_id AS id, text AS content, source AS file_name, {L2} AS d FROM embeddings e JOIN documents ON doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, id LIMIT 50)"
+FUSED = f"""WITH {_bm25_sql(CANDIDATES)},
+ranked AS (SELECT *, row_number() OVER (ORDER BY bm25_score DESC, vector_rank) AS bm25_rank FROM bm),
+rrf AS (SELECT *, 1.0::DOUBLE / (60 + vector_rank) + 1.0::DOUBLE / (60 + bm25_rank) AS rrf_score FROM ranked),
+fused AS (SELECT *, row_number() OVER (ORDER BY rrf_score DESC, vector_rank) AS fused_rank FROM rrf)"""
+RERANKED = f"{FUSED}, reranked AS (SELECT *, 1.0 - (fused_rank - 1) * 0.01 AS ce_score, fused_rank AS rank FROM fused WHERE fused_rank <= 12)"
+
+
+@query(f"{FUSED} SELECT id, vector_rank::INT AS vector_rank, bm25_rank::INT AS bm25_rank, round(rrf_score, 9) AS rrf_score FROM fused")
+def rrf_fusion(t):
+    w = Window.partitionBy(F.lit(0)).orderBy(F.desc("bm25_score"), "vector_rank")
+    ranked = R.bm25(_candidates(t), QUESTION).withColumn("bm25_rank", F.row_number().over(w))
+    return R.fused(ranked, ["vector_rank", "bm25_rank"]).select("id", "vector_rank", "bm25_rank", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query(f"""{RERANKED}, firsts AS (SELECT *, row_number() OVER (PARTITION BY left(md5(content), 16) ORDER BY rank) AS n FROM reranked),
+capped AS (SELECT *, row_number() OVER (PARTITION BY file_name ORDER BY rank) AS f FROM firsts WHERE n = 1)
+SELECT id, file_name, round(ce_score, 6)::DOUBLE AS ce_score, rank::INT AS rank, row_number() OVER (ORDER BY rank)::INT AS final_rank FROM capped WHERE f <= 1""")
+def rerank_pipeline(t):
+    done = R.postprocess(R.rerank(_candidates(t), QUESTION), 1)
+    return done.select("id", "file_name", F.round("ce_score", 6).alias("ce_score"), "rank", "final_rank")
+
+
+@query(f"{RERANKED} SELECT file_name, count(*) AS n, round(avg(abs(vector_rank - rank)), 6) AS mean_change, max(vector_rank - rank)::INT AS most_up, min(vector_rank - rank)::INT AS most_down FROM reranked GROUP BY file_name")
+def rerank_analysis(t):
+    change = F.col("vector_rank") - F.col("rank")
+    return R.rerank(_candidates(t), QUESTION).groupBy("file_name").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(change)), 6).alias("mean_change"), F.max(change).alias("most_up"), F.min(change).alias("most_down"))
+
+
+@query("SELECT id FROM (SELECT doc_id AS id, row_number() OVER (PARTITION BY left(md5(text), 16) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def dedup_content_hash(t):
+    return R.keep_first_by_content(_as_chunks(t), ["id"]).select("id")
+
+
+@query("SELECT id, file_name FROM (SELECT doc_id AS id, source AS file_name, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS n FROM documents) WHERE n <= 3")
+def cap_per_source(t):
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "n_chars")
+    return R.cap_per_file(rows, [F.desc("n_chars"), "id"]).select("id", "file_name")
+
+
+WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
+
+
+@query(f"SELECT doc_id, greatest(1, len({WORDS}))::INT AS words, round(greatest(1.0, length(text) / 4.0), 6)::DOUBLE AS chars4 FROM documents")
+def token_counts(t):
+    return t("documents").select("doc_id", T.token_count(F.col("text")).alias("words"), F.round(T.token_count(F.col("text"), "chars4"), 6).alias("chars4"))
+
+
+@query(r"SELECT doc_id, len(s)::INT AS sentences, length(s[1])::INT AS first_length FROM (SELECT doc_id, string_split(regexp_replace(text, '([.?!…])\s+', concat('\1', chr(1)), 'g'), chr(1)) AS s FROM documents)")
+def sentence_split(t):
+    return t("documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("sentences"), F.length(F.col("s")[0]).alias("first_length"))
+
+
+#: Lines of the documents with bullets, marks and capitals put in by rule, in both dialects.
+LINES = "SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN '- ' || line WHEN line_no % 4 = 1 THEN repeat('#', 1 + line_no % 3) || ' ' || line WHEN line_no % 4 = 2 THEN repeat(' ', 4 * (line_no % 3)) || regexp_replace(line, '[.!?]', '', 'g') ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
+
+
+def _lines(t):
+    rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    n, line = F.col("line_no"), F.col("line")
+    made = F.when(n % 4 == 0, F.concat(F.lit("- "), line)).when(n % 4 == 1, F.concat(F.expr("repeat('#', 1 + line_no % 3)"), F.lit(" "), line)).when(n % 4 == 2, F.concat(F.expr("repeat(' ', 4 * (line_no % 3))"), F.regexp_replace(line, "[.!?]", ""))).otherwise(line)
+    return rows.select("doc_id", "line_no", made.alias("line"))
+
+
+@query(rf"WITH lines AS ({LINES}), s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM lines) SELECT doc_id, line_no::INT AS line_no, regexp_matches(line, '^\s*([-*•]|[0-9]+[.)])\s+') AS bullet, regexp_matches(line, '^\s*$') AS blank, length(regexp_extract(line, '^ *'))::INT AS indent, (regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '[\p{{Ll}}\p{{Lt}}]')) AS upper, CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '^\s*([0-9]+\.)+\s+\S') OR regexp_matches(t, '^\p{{Lu}}[^.!?]*$') THEN 1 ELSE 0 END AS level FROM s")
+def line_classify(t):
+    line = F.col("line")
+    return _lines(t).select("doc_id", "line_no", line.rlike(T.BULLET).alias("bullet"), line.rlike(r"^\s*$").alias("blank"), T.indent_width(line).alias("indent"), T.is_upper(T.strip(line)).alias("upper"), T.heading_level(line, "pdf").alias("level"))
+
+
+@query(f"WITH lines AS ({LINES}), heads AS (SELECT doc_id, line_no, length(regexp_extract(line, '^#+')) AS level, line FROM lines WHERE line LIKE '#%') SELECT a.doc_id, a.line_no::INT AS line_no, count(b.line_no)::INT AS depth FROM heads a LEFT JOIN heads b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND NOT EXISTS (SELECT 1 FROM heads c WHERE c.doc_id = b.doc_id AND c.line_no > b.line_no AND c.line_no < a.line_no AND c.level <= b.level) GROUP BY a.doc_id, a.line_no")
+def heading_breadcrumbs(t):
+    heads = _lines(t).where(F.col("line").startswith("#")).select("doc_id", F.struct(F.col("line_no").alias("block_index"), F.length(F.regexp_extract("line", "^#+", 0)).alias("level"), F.col("line").alias("text")).alias("h"))
+    by_doc = heads.groupBy("doc_id").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    return by_doc.select("doc_id", "hs", F.explode("hs").alias("h")).select("doc_id", F.col("h.block_index").alias("line_no"), F.size(C.breadcrumbs(F.col("hs"), F.col("h.block_index"))).alias("depth"))
+
+
+@query(f"WITH lines AS ({LINES}) SELECT doc_id, line_no::INT AS line_no, CASE WHEN regexp_matches(next, '^#') THEN 1 WHEN regexp_matches(next, '^- ') THEN 2 ELSE 0 END AS level FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lines)")
+def setext_lead(t):
+    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    return _lines(t).withColumn("next", nxt).select("doc_id", "line_no", F.when(F.col("next").rlike("^#"), 1).when(F.col("next").rlike("^- "), 2).otherwise(0).alias("level"))
+
+
+@query(r"""WITH RECURSIVE units AS (SELECT doc_id, i, greatest(1, len(list_filter(string_split_regex(s, '\s+'), lambda x: x <> ''))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+fold AS (SELECT doc_id, i, n AS total, 0 AS grp FROM units WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN f.total + u.n > 120 THEN u.n ELSE f.total + u.n END, CASE WHEN f.total + u.n > 120 THEN f.grp + 1 ELSE f.grp END FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
+SELECT f.doc_id, f.grp::INT AS chunk_index, count(*) AS units, sum(u.n)::BIGINT AS tokens FROM fold f JOIN units u USING (doc_id, i) GROUP BY ALL""")
+def greedy_pack(t):
+    held = t("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda s: T.token_count(s)).alias("n"))
+    held = held.select("doc_id", F.explode(F.arrays_zip("n", C.packed(F.col("n"), 120).alias("g"))).alias("u"))
+    return held.groupBy("doc_id", F.col("u.g").alias("chunk_index")).agg(F.count("*").alias("units"), F.sum("u.n").alias("tokens"))
+
+
+@query(r"""WITH RECURSIVE lines AS (SELECT doc_id, i, CASE WHEN i % 5 = 4 THEN '' ELSE repeat(' ', 4 * (i % 3)) || s END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+marked AS (SELECT *, length(regexp_extract(line, '^ *')) AS ind, regexp_matches(line, '^\s*$') AS blank FROM lines),
+fold AS (SELECT doc_id, i, CASE WHEN blank THEN NULL ELSE ind END AS ref, CASE WHEN blank THEN 0 ELSE 1 END AS blocks FROM marked WHERE i = 1 UNION ALL
+SELECT m.doc_id, m.i, CASE WHEN m.blank THEN NULL WHEN f.ref IS NULL OR abs(m.ind - f.ref) >= 4 THEN m.ind ELSE f.ref END, f.blocks + CASE WHEN m.blank THEN 0 WHEN f.ref IS NULL OR abs(m.ind - f.ref) >= 4 THEN 1 ELSE 0 END FROM fold f JOIN marked m ON m.doc_id = f.doc_id AND m.i = f.i + 1)
+SELECT doc_id, max(blocks)::INT AS blocks FROM fold GROUP BY doc_id""")
+def block_split(t):
+    made = F.transform(F.split("text", "\n"), lambda s, i: F.when((i + 1) % 5 == 4, F.lit("")).otherwise(F.concat(F.repeat(F.lit(" "), (4 * ((i + 1) % 3)).cast("int")), s)))
+    return t("documents").select("doc_id", F.size(C.blocks(F.array_join(made, "\n"))).alias("blocks"))
+
+
+@query()
+def chunk_documents(t):
+    return C.chunk_documents(t("documents")).select("doc_id", "chunk_index", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query()
+def chunk_stats(t):
+    return C.chunk_documents(t("documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("longest"))
+
+
+TOC_TEXT = "CASE WHEN doc_id % 7 = 0 THEN regexp_replace(text, '\n', ' ........ 12' || chr(10), 'g') ELSE text END"
+
+
+@query(r"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, chr(10), ' ........ 12' || chr(10)) ELSE text END AS text FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS f FROM docs),
+c AS (SELECT doc_id, f, len(f) AS n, len(list_filter(f, lambda x: regexp_matches(x, '(^|[^0-9])[0-9]{1,4}$') AND length(x) > 15)) AS ends, len(list_filter(f, lambda x: contains(x, '........'))) AS dots FROM l)
+SELECT doc_id, (n >= 5 AND (len(list_filter(f[1:15], lambda x: contains(lower(x), 'table of contents') OR contains(lower(x), 'mục lục'))) > 0 OR (ends / n > 0.2 AND dots / n > 0.1) OR ends / n > 0.4)) AS is_toc FROM c""")
+def toc_detect(t):
+    text = F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("\n"), F.lit(" ........ 12\n"))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", T.is_toc_page(text).alias("is_toc"))
+
+
+@query(r"SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '[^A-Za-z0-9]+', '_', 'g'), '^_+', ''), '_+$', ''), 150) AS folder FROM pages")
+def url_folder(t):
+    return t("pages").select("page_id", T.url_folder(F.col("url")).alias("folder"))
+
+
+@query(r"SELECT page_id, regexp_extract(regexp_replace(url, '^([a-z]+://[^/]*)/', '\1/docs/ns/kind/'), '/docs/([^?#]*)', 1) AS suffix FROM pages")
+def techdocs_suffix(t):
+    return t("pages").select("page_id", T.docs_suffix(F.regexp_replace("url", "^([a-z]+://[^/]*)/", "$1/docs/ns/kind/")).alias("suffix"))
+
+
+@query(r"WITH p AS (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(html, '(?is)<title[^>]*>.*?</title>', '') ELSE html END AS html FROM pages) SELECT page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), ''), '(untitled)') AS title FROM p")
+def page_title(t):
+    html = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("html", r"(?is)<title[^>]*>.*?</title>", "")).otherwise(F.col("html"))
+    return t("pages").select("page_id", H.title(html).alias("title"))
+
+
+@query("""SELECT page_id, len(u)::INT AS links, array_to_string(u, ' ') AS urls FROM (SELECT page_id, list_transform(list_filter(list_zip(x, range(1, len(x) + 1)), lambda z: list_position(x, z[1]) = z[2]), lambda z: z[1]) AS u FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS x FROM pages))""")
+def page_links(t):
+    return t("pages").select("page_id", H.links(F.col("html")).alias("u")).select("page_id", F.size("u").alias("links"), F.array_join("u", " ").alias("urls"))
+
+
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '<p>Log in</p>' ELSE html END AS html, url FROM pages) SELECT page_id, lower(url) LIKE '%.pdf' AS is_pdf, lower(html) LIKE '%<html%' AS is_html, (regexp_matches(lower(html), 'signin|sign in|log in|login|sso') OR lower(url) LIKE '%auth%') AS looks_like_login, lower(html) LIKE '%backstage%' AS is_backstage FROM p""")
+def page_flags(t):
+    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>Log in</p>"))).otherwise(F.col("html"))
+    return t("pages").select("page_id", H.flags(html, F.col("url")).alias("f")).select("page_id", "f.is_pdf", "f.is_html", "f.looks_like_login", "f.is_backstage")
+
+
+@query()
+def page_main_text(t):
+    return H.main_texts(t("pages")).select("page_id", "main_text", "is_article", F.size("image_urls").alias("images"))
+
+
+@query(r"WITH d AS (SELECT doc_id, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) AS text FROM documents) SELECT doc_id, md5(trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10)))) AS digest FROM d")
+def whitespace_clean(t):
+    text = F.replace("text", F.lit(". "), F.lit(".   \n\n\n"))
+    return t("documents").select("doc_id", F.md5(T.clean_whitespace(text).cast("binary")).alias("digest"))
+
+
+@query()
+def linebreak_fix(t):
+    return t("documents").select("doc_id", F.md5(T.fix_linebreaks(F.col("text")).cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' a[1] b^ (link) c', '\[[0-9]+\]', '', 'g'), '\^', '', 'g'), '\(link\)', '', 'g'), ' {2,}', ' ', 'g')) AS digest FROM documents")
+def citations_strip(t):
+    return t("documents").select("doc_id", F.md5(T.strip_citations(F.concat("text", F.lit(" a[1] b^ (link) c"))).cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' ![x](http://y/z.png) ![a][b] <img src=q>' || repeat(chr(10), 4) || 'end', '!\[[^\]]*\]\([^)]*\)', '', 'g'), '!\[[^\]]*\]\[[^\]]*\]', '', 'g'), '(?i)<img[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
+def md_clean(t):
+    return t("documents").select("doc_id", F.md5(T.clean_markdown(F.concat("text", F.lit(" ![x](http://y/z.png) ![a][b] <img src=q>\n\n\n\nend"))).cast("binary")).alias("digest"))
+
+
+@query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT source) AS files FROM documents")
+def store_stats(t):
+    return S.stats(t("documents"))
+
+
+@query("SELECT source, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
+def last_per_key(t):
+    return S.last_per_key(t("documents"), "source", "lang", "doc_id")
+
+
+@query("SELECT lang, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY lang")
+def group_files(t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+
+
+@query("SELECT doc_id, text FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
+def insert_new_only(t):
+    return S.insert_new_only(t("labels"), t("documents"), "doc_id").select("doc_id", "text")
+
+
+@query("SELECT doc_id FROM documents WHERE source <> 'src3'")
+def delete_by_key(t):
+    return t("documents").where(F.col("source") != "src3").select("doc_id")
+
+
+@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+def grouping_sets_summary(t):
+    return t("documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select("lang", "source", "n", "chars")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS line, b.l_linenumber AS near, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) <= 3")
+def band_join_rows(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return near_rows(rows.select("l_orderkey", "l_linenumber"), rows, "l_orderkey", "l_linenumber", 3).select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("n_l_linenumber").alias("near"), F.col("n_l_quantity").alias("quantity"))
+
+
+@query(r"WITH c AS (SELECT conv_id, turn, text || ' [''http://a/' || turn || ''', ''http://b/x'']' AS text FROM conversations) SELECT conv_id, turn, trim(left(text, length(text) - length(regexp_extract(text, '(?s)\[\s*[''\"]https?://[^\]]*\]\s*$')))) AS answer, array_to_string(regexp_extract_all(regexp_extract(text, '(?s)\[\s*[''\"]https?://[^\]]*\]\s*$'), 'https?://[^''\"\s,\]]+'), ' ') AS urls FROM c")
+def answer_split(t):
+    made = F.concat("text", F.lit(" ['http://a/"), F.col("turn").cast("string"), F.lit("', 'http://b/x']"))
+    return t("conversations").select("conv_id", "turn", T.answer_and_urls(made).alias("a")).select("conv_id", "turn", F.col("a.text").alias("answer"), F.array_join("a.urls", " ").alias("urls"))
+
+
+@query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'valid' WHEN 1 THEN 'irrelevant' WHEN 2 THEN 'suggestion' ELSE 'unknown' END AS route FROM conversations")
+def route(t):
+    made = F.concat(F.element_at(F.array(*map(F.lit, ("VALID: ", "IRRELEVANT: ", "SUGGESTION: ", "Error "))), (F.col("turn") % 4 + 1).cast("int")), F.col("text"))
+    return t("conversations").select("conv_id", "turn", T.route(made).alias("route"))
+
+
+@query()
+def questions_parse(t):
+    made = F.concat(F.lit("1. "), F.replace("text", F.lit(". "), F.lit("?\n- ")))
+    return t("conversations").select("conv_id", "turn", F.array_join(T.questions(made, DEFAULTS), "|").alias("questions"))
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_window_counts(t):
+    return event_windows(t("events")).withColumn("total", F.round("total", 4))
