@@ -117,5 +117,5 @@ def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     wanted = only(table(spark, sf_dir, "labels"), "doc_id", "quality").where("quality = 1").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.join(wanted, "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
+    marked = docs.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
     return score(docs, fit(marked))

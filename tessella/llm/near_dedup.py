@@ -176,7 +176,7 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = kept.select("node", F.explode("keys").alias("key"))
     stars = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
     candidates = cut(bands.join(stars, "key"))
-    texts = docs.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    texts = cut(docs.join(candidates.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
     tried = cut(candidates.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = cut(_verified(tried, texts))
 
