@@ -74,7 +74,7 @@ def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, carried: list[s
     dealt = dealt.join(close, "key", "left")
     last = F.struct("size", -F.col("q"), "doc_id", "tie") == F.col("close")
     extra = (F.col("run") | (~F.col("run") & F.coalesce(last, F.lit(False)) & (F.col("whole") < most))).cast("int")
-    return dealt.select(*carried, "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.when(F.col("whole") < most, extra).otherwise(0)).alias("copies"))
+    return dealt.select(*carried, "doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.col("whole") + F.when(F.col("whole") < most, extra).otherwise(0)).otherwise(0).alias("copies"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -88,11 +88,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
     counted = _taken(only(docs, "doc_id", "text", "source").withColumn("digest", F.xxhash64("doc_id", "text", "source")), weights, most, ["digest"])
     copies = counted.groupBy("digest").agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
     number = F.row_number().over(Window.partitionBy("digest").orderBy("digest"))
-    keyed = docs.withColumn("digest", F.xxhash64("doc_id", "text", "source")) if "digest" not in docs.columns else docs
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("doc_id", "text", "source").alias("digest"))
     once = keyed.join(copies.where("rows = 1 and all > 0").select("digest", F.col("all").cast("int").alias("copies")), "digest")
     more = keyed.join(copies.where("rows > 1 and all > 0"), "digest").withColumn("nth", number).withColumn("copies", (F.expr("all div rows") + F.when(F.col("nth") <= F.expr("all % rows"), 1).otherwise(0)).cast("int")).drop("all", "rows", "nth")
     out = once.unionByName(more).where("copies > 0")
-    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def op4_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

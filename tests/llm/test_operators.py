@@ -21,7 +21,7 @@ BASE = "the cat sat on a red mat and was then seen by the old dog who ran to the
 def docs(spark):
     words = BASE.split()
     near = " ".join([*words[:-1], "rain"])
-    texts = [BASE, near, BASE.upper(), None, "", "one", "one", "two words", " \t\n", "a.b@c.de 1.2.3.4 +1 (555) 123-4567 4111 1111 1111 1111 300.1.1.1", "x " * 3000, "no match here at all for this one text, quite other words than any before"]
+    texts = [BASE, near, BASE.upper(), None, "", "one", "one", "two words", " \t\n", "a.b@c.de 1.2.3.4 +1 (555) 123-4567, 4111 1111 1111 1111; 300.1.1.1", "x " * 3000, "no match here at all for this one text, quite other words than any before"]
     rows = [(i, t, "en", f"s{i % 3}" if i else None, len(t or ""), "d", 1) for i, t in enumerate(texts)]
     return spark.createDataFrame([*rows, rows[5], (None, BASE, None, "s1", 1, "d", 1)], SCHEMA)
 
@@ -152,9 +152,9 @@ def test_plan_respects_every_capacity():
 
 def test_pii(spark, docs, empty):
     row = pii.found(docs.where("doc_id = 9")).select(pii.listed(F.col("base")).alias("s")).first()["s"]
-    assert row == "email:0:8,ip:9:16,card:35:54,phone:17:34"
+    assert row == "email:0:8,ip:9:16,card:36:55,phone:17:34"
     clean = pii.redact(docs.where("doc_id in (3, 9)")).orderBy("doc_id").collect()
-    assert clean[0]["text"] is None and clean[1]["text"] == "<EMAIL> <IP> <PHONE> <CARD> 300.1.1.1"
+    assert clean[0]["text"] is None and clean[1]["text"] == "<EMAIL> <IP> <PHONE>, <CARD>; 300.1.1.1"
     assert clean[1]["n_chars"] == len(clean[1]["text"]) and clean[1]["digest"] == "d"
     assert pii.redact(empty).count() == 0
     named = spark.createDataFrame([(i, f"Dear Mr John Smith, word {i}") for i in range(20)], "doc_id int, text string")
