@@ -72,7 +72,9 @@ class _Text(HTMLParser):
             self.parts.append("- ")
         if tag in VOID:
             return
-        if tag in ("p", "li") and tag in self.stack[-2:]:
+        if tag in BLOCKS and self.stack[-1:] == ["p"]:
+            self._pop("p")
+        if tag == "li" and tag in self.stack[-2:]:
             self._pop(tag)
         self.stack.append(tag)
         if tag[0] == "h" and tag[1:].isdigit():

@@ -64,7 +64,7 @@ def test_blocks_and_breadcrumbs(spark):
     found = one(spark, C.blocks(F.col("s")), s=text)
     assert [(b["indent"], b["text"]) for b in found] == [(0, "# A\nbody"), (4, "    far\n    more"), (0, "back"), (0, "## B\nx")]
     chunks = C.chunk_documents(spark.createDataFrame([(1, text), (2, None), (3, "w " * 1200)], "doc_id long, text string"), most=6, least=2).collect()
-    assert any(list(r["breadcrumbs"]) == ["A"] for r in chunks if r["doc_id"] == 1)
+    assert any(list(r["breadcrumbs"]) == ["# A"] for r in chunks if r["doc_id"] == 1)
     assert sum(r["content"].count("w") for r in chunks if r["doc_id"] == 3) == 1200
 
 
