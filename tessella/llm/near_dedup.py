@@ -7,8 +7,8 @@ shares no bucket with probability (1 - 0.75^5)^51 = 1e-6.
 
 Candidates: in each bucket, all members meet the one with the smallest id (a star: as many edges as members). The links found join
 classes into components. Buckets that still hold several components get a second star, around another member. What is left in them
-is compared block by block on one byte of each of 255 bins; only pairs of different components whose agreement allows the threshold
-go on to the full sets, so nothing is capped: a large bucket becomes more tasks, never a longer list in one.
+is compared block by block: on one byte of each of 255 bins first, and where their agreement allows the threshold on the full sets at
+once, so that only links that join components leave a task. Nothing is capped: a large bucket becomes more tasks, never a longer list.
 
 A doc_id is a node: rows that share one are one node. Rows with a null doc_id take the component of an equal set that has one, else
 null, and are never kept. Null and empty texts link with nothing. Other columns pass through near_dedup() untouched.
@@ -30,6 +30,8 @@ BINS, ROWS, BANDS = 256, 5, 51
 NEAR, OF = 75, 100
 #: Members of a star that one task compares; members of a block in the exhaustive part.
 STAR_BLOCK, BLOCK = 1000, 1500
+#: Shingles that a block of the exhaustive part may hold, about.
+BLOCK_SHINGLES = 1_500_000
 #: Share of agreeing bins below which a pair is out: 0.75 less five standard deviations of its estimate (0.027 each).
 AGREE = 0.61
 _SEEDS = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
@@ -89,17 +91,17 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lo in range(0, len(pdf), 500):
             part = pdf.iloc[lo : lo + 500]
             rows = []
-            for doc_id, hashes in zip(part["doc_id"], shingle_sets(part["text"]), strict=True):
+            for doc_id, h, hashes in zip(part["doc_id"], part["h"], shingle_sets(part["text"]), strict=True):
                 if not len(hashes):
-                    rows.append((doc_id, 0, 0, 0, None, None))
+                    rows.append((doc_id, h, 0, 0, 0, None, None))
                     continue
                 sig = signature(hashes)
                 acc = bands.copy()
                 for i in range(ROWS):
                     acc = _mix(acc * _SEEDS[1] + sig[i : BANDS * ROWS : ROWS])
                 whole = np.array([hashes.sum(dtype=np.uint64), np.bitwise_xor.reduce(_mix(hashes ^ _SEEDS[2]))]).view(np.int64)
-                rows.append((doc_id, len(hashes), int(whole[0]), int(whole[1]), acc.view(np.int64), _mix(sig)[: BANDS * ROWS].astype(np.uint8).tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "keys", "sig"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, h, len(hashes), int(whole[0]), int(whole[1]), acc.view(np.int64), _mix(sig)[: BANDS * ROWS].astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "h", "n", "s1", "s2", "keys", "sig"]).astype({"doc_id": "Int64"})
 
 
 def _starred(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -124,20 +126,63 @@ def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
     return held.groupBy("centre", "block").applyInPandas(_starred, "a long, b long")
 
 
-def _agreeing(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of a bucket, or two: the pairs of different components whose signatures agree enough."""
-    pdf = pdf.drop_duplicates(["node", "own"])
-    one, two = pdf["i"].iloc[0], pdf["j"].iloc[0]
-    left, right = pdf[pdf["own"] == one], pdf[pdf["own"] == two]
-    s = np.frombuffer(b"".join(right["sig"]), np.uint8).reshape(len(right), -1)
-    ids, labels, n = (right[c].to_numpy() for c in ("node", "label", "n"))
-    out = []
-    for node, label, size, sig in zip(left["node"], left["label"], left["n"], left["sig"], strict=True):
-        maybe = np.flatnonzero((labels != label) & ((ids > node) if one == two else (ids != node)) & (OF * np.minimum(n, size) >= NEAR * np.maximum(n, size)))
-        if len(maybe):
-            same = (s[maybe] == np.frombuffer(sig, np.uint8)).mean(1)
-            out += [(min(node, x), max(node, x)) for x in ids[maybe[same >= AGREE]]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64").drop_duplicates()
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole buckets, or a block of a bucket against one (i, j): links between different components, confirmed on full sets, and only
+    as many as join the components. A pair that meets in several buckets is compared in the first band of both that is equal."""
+    pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
+    key, node, label, n, own = (pdf[c].to_numpy() for c in ("key", "node", "label", "n", "own"))
+    sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    bands, texts, sets, root, out = np.stack(pdf["keys"].to_numpy()), pdf["text"], {}, {}, []
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def held(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = next(shingle_sets(texts.iloc[row : row + 1]))
+        return sets[row]
+
+    bounds = [0, *(np.flatnonzero(np.diff(key)) + 1), len(pdf)]
+    for lo, hi in zip(bounds, bounds[1:], strict=False):
+        sets.clear()
+        one, two = pdf["i"].iloc[lo], pdf["j"].iloc[lo]
+        left, right = (lo + np.flatnonzero(own[lo:hi] == x) for x in (one, two))
+        for x in left:
+            maybe = right[(node[right] > node[x] if one == two else node[right] != node[x]) & (label[right] != label[x]) & (OF * np.minimum(n[right], n[x]) >= NEAR * np.maximum(n[right], n[x]))]
+            if len(maybe):
+                maybe = maybe[(sig[maybe] == sig[x]).mean(1) >= AGREE]
+            if len(maybe):
+                maybe = maybe[bands[x][(bands[maybe] == bands[x]).argmax(1)] == key[lo]]
+            mine = find(label[x])
+            maybe = [y for y in maybe if find(label[y]) != mine]
+            if not maybe:
+                continue
+            s, others = held(x), [held(y) for y in maybe]
+            sizes = np.array([len(o) for o in others])
+            flat = np.concatenate(others)
+            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+            both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for y in np.array(maybe)[OF * both >= NEAR * (len(s) + sizes - both)]:
+                if find(label[x]) != find(label[y]):
+                    root[find(label[x])] = find(label[y])
+                    out.append((node[x], node[y]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _rest_links(rest: DataFrame, kept: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links in buckets (key, node, label) that stars left in several components. Small buckets share a task; a large one is dealt
+    into blocks, by rows and by shingles, and each pair of blocks is a task."""
+    sized = cut(rest.join(kept.select("node", "h", "n", "keys"), "node").where(F.array_contains("keys", F.col("key"))).select("key", "node", "label", "h", "n"))
+    units = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    tasks = sized.agg(F.ceil(units).cast("int").alias("t")).first()["t"] or 1
+    blocks = sized.groupBy("key").agg(F.ceil(units).cast("int").alias("blocks"))
+    dealt = sized.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    dealt = dealt.join(kept.select("node", "h", "sig", "keys"), ["node", "h"]).join(texts.select(F.col("doc_id").alias("node"), "h", "text"), ["node", "h"])
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    shared = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(tasks))).otherwise(F.col("key"))
+    return paired.groupBy((F.col("blocks") == 1).alias("small"), shared.alias("task"), "i", "j").applyInPandas(_joined, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,15 +213,18 @@ def _labelled(candidates: DataFrame, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
-    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    signed = cut(docs.mapInPandas(_signed, "doc_id long, n long, s1 long, s2 long, keys array<long>, sig binary"))
-    sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("node"))
+    docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    signed = docs.mapInPandas(_signed, "doc_id long, h long, n long, s1 long, s2 long, keys array<long>, sig binary")
+    signed = cut(signed.withColumn("row", F.monotonically_increasing_id()))
+    sets = signed.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "row"))).alias("first"))
+    sets = sets.select("n", "s1", "s2", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"))
     nodes = sets.where("node is not null")
-    kept = signed.where("n > 0").join(nodes.select("n", "s1", "s2", "node"), ["n", "s1", "s2"]).where("doc_id = node")
+    kept = signed.where("n > 0").join(nodes.select("n", "s1", "s2", "node", "row"), ["n", "s1", "s2", "row"])
     bands = kept.select("node", F.explode("keys").alias("key"))
     stars = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
     candidates = cut(bands.join(stars, "key"))
-    texts = cut(docs.join(candidates.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"))
+    texts = docs.join(candidates.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    texts = cut(texts.groupBy("doc_id", "h").agg(F.first("text").alias("text")))
     tried = cut(candidates.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = cut(_verified(tried, texts))
 
@@ -186,14 +234,8 @@ def classes(docs: DataFrame) -> DataFrame:
     more = cut(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
     links = cut(links.unionByName(_verified(more, texts)))
 
-    rest = cut(_labelled(mixed, links))
-    blocks = rest.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rest.join(blocks, "key").withColumn("own", F.expr("cast(pmod(xxhash64(node), blocks) as int)")).join(kept.select("node", "sig", "n"), "node")
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    pairs = paired.groupBy("key", "i", "j").applyInPandas(_agreeing, "a long, b long").distinct()
-    done = tried.unionByName(more)
-    pairs = pairs.join(done, ["a", "b"], "left_anti").join(done.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(cut(pairs), texts))
+    rest = cut(_labelled(mixed, links).distinct())
+    links = links.unionByName(_rest_links(rest, kept, texts))
 
     named = sets.join(components(links), "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
     found = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"])

@@ -58,6 +58,49 @@ def test_near_dedup_is_brute_force(spark, docs, empty):
     assert near_dedup.classes(empty).count() == 0
 
 
+def test_buckets_that_stars_leave(spark, monkeypatch):
+    """Copies around the threshold, most not near their star's centre: in one task, and dealt into blocks of few rows."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(150):
+        words = [f"w{i}" for i in range(120)]
+        for at in rng.integers(0, 120, rng.integers(1, 6)):
+            words[at] = f"x{rng.integers(3)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[100]), (200, texts[0].upper())], "doc_id long, text string")
+    sets = {}
+    for r in docs.collect():
+        sets.setdefault(r["doc_id"], []).append(shingles(r["text"]))
+    root = {d: d for d in sets}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    for a, b in combinations(sorted(sets), 2):
+        if any(100 * len(x & y) >= 75 * len(x | y) for x in sets[a] for y in sets[b]):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    want = {d: find(d) for d in sets}
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()} == want
+    monkeypatch.setattr(near_dedup, "BLOCK", 20)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.classes(docs).collect()} == want
+    everything = docs.select("doc_id", "text").groupBy("doc_id").agg(F.first("text").alias("text")).withColumn("h", F.xxhash64("text"))
+    signed = everything.mapInPandas(near_dedup._signed, "doc_id long, h long, n long, s1 long, s2 long, keys array<long>, sig binary").withColumn("node", F.col("doc_id"))
+    rest = signed.select("node", F.explode("keys").alias("key"), F.col("node").alias("label"))
+    links = {(r["a"], r["b"]) for r in near_dedup._rest_links(rest, signed, everything).collect()}
+    one = {r["doc_id"]: shingles(r["text"]) for r in everything.collect()}
+    near = {frozenset((a, b)) for a, b in combinations(one, 2) if 100 * len(one[a] & one[b]) >= 75 * len(one[a] | one[b])}
+    assert {frozenset(x) for x in links} <= near
+    for pairs in (near, links):
+        root.update({d: d for d in one})
+        for a, b in map(sorted, pairs):
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+        ends = {d: find(d) for d in one}
+        want = ends if pairs is near else want
+    assert ends == want
+
+
 def test_signature_estimates_likeness():
     rng = np.random.default_rng(1)
     both, a, b = (np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * 2) for n in (300, 50, 50))
