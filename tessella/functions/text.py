@@ -55,6 +55,11 @@ def fix_linebreaks(text: Column, closing: bool = True) -> Column:
     return F.regexp_replace(F.regexp_replace(flowed, "[ \t]{2,}", " "), rf" +([,.;:!?{')' if closing else ''}])", "$1")
 
 
+def normalize_ws(text: Column) -> Column:
+    """fix_linebreaks without closing brackets; then at most one blank line, no white space at the ends."""
+    return strip(F.regexp_replace(fix_linebreaks(F.regexp_replace(text, "\r\n?", "\n"), closing=False), r"\n{3,}", "\n\n"))
+
+
 def strip_citations(text: Column) -> Column:
     for pattern in (r"\[[0-9]+\]", r"\^", r"\(link\)"):
         text = F.regexp_replace(text, pattern, "")
@@ -124,6 +129,42 @@ def docs_suffix(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), "/docs/(.*)", 1)
 
 
+def techdocs_url(url: Column) -> Column:
+    """The static page behind a documentation URL with at least three segments after docs; else null."""
+    found = F.regexp_extract(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), r"^(?:/+(?!docs/)[^/]+)*/+docs/+([^/]+/+[^/]+/+[^/]+)", 1)
+    host = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    return F.when(found != "", F.concat(host, F.lit("/api/techdocs/static/docs/"), F.regexp_replace(found, "/+", "/"), F.lit("/index.html")))
+
+
+def cookie_names(header: Column) -> Column:
+    """The distinct names that a Set-Cookie header gives, first seen first."""
+    each = F.transform(F.split(F.coalesce(header, F.lit("")), ","), lambda p: F.regexp_extract(p, r"^\s*([^=;\s]+)=", 1))
+    return F.array_distinct(F.filter(each, lambda n: n != ""))
+
+
+#: Endings of image files by their content type.
+IMAGE_ENDINGS = {
+    "image/jpeg": ".jpg", "image/jpg": ".jpg", "image/png": ".png", "image/webp": ".webp", "image/gif": ".gif",
+    "image/svg+xml": ".svg", "image/bmp": ".bmp", "image/tiff": ".tiff", "image/x-icon": ".ico", "image/vnd.microsoft.icon": ".ico",
+}
+
+
+def image_ending(content_type: Column) -> Column:
+    kinds = F.create_map(*[F.lit(x) for pair in IMAGE_ENDINGS.items() for x in pair])
+    return F.coalesce(F.element_at(kinds, F.trim(F.substring_index(F.lower(content_type), ";", 1))), F.lit(""))
+
+
+def file_base(name: Column) -> Column:
+    """A name of ASCII letters, digits, '_' and '-'; image where nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9_-]+", "_"), "^_+|_+$", "")
+    return F.when(F.coalesce(bare, F.lit("")) == "", "image").otherwise(bare)
+
+
+def row_text(values: Column) -> Column:
+    """A table row's cells joined by bars; null and blank cells are left out."""
+    return F.array_join(F.filter(values, lambda v: v.isNotNull() & (F.trim(v) != "")), " | ")
+
+
 def preview(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("..."))).otherwise(text)
 

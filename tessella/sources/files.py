@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import clean_markdown
@@ -108,3 +108,39 @@ def near_rows(left: DataFrame, right: DataFrame, group: str, position: str, dist
     """Rows of both tables in the same group at most distance apart; columns of right with the prefix n_."""
     other = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns])
     return left.join(other, (F.col(group) == F.col(f"n_{group}")) & (F.abs(F.col(position) - F.col(f"n_{position}")) <= distance))
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_type, n, files) of a folder: names by type, files without a reader as unsupported. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    kind = F.coalesce(file_type(F.col("path")), F.lit("unsupported"))
+    return found.groupBy(kind.alias("file_type")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1))).alias("files"))
+
+
+def in_range(spans: DataFrame, points: DataFrame, group: str, first: str, last: str, position: str) -> DataFrame:
+    """Every span with each point of its group from first to last; columns of points with the prefix p_."""
+    other = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
+    return spans.join(other, (F.col(group) == F.col(f"p_{group}")) & F.col(f"p_{position}").between(F.col(first), F.col(last)))
+
+
+def surroundings(rows: DataFrame, group: str, position: str, text: str, distance: int = 2, own: bool = False) -> DataFrame:
+    """rows with context: the texts of at most distance rows before and after, with or without the row's own, blank ones left out."""
+    order = Window.partitionBy(group).orderBy(position)
+    before = F.collect_list(text).over(order.rowsBetween(-distance, 0 if own else -1))
+    after = F.collect_list(text).over(order.rowsBetween(1, distance))
+    return rows.withColumn("context", F.array_join(F.filter(F.concat(before, after), lambda t: F.trim(t) != ""), "\n\n"))
+
+
+def dealt_images(images: DataFrame, group: str, position: str, paragraphs: Column) -> DataFrame:
+    """images (ordered by position in a group) with paragraph: images in equal runs over the group's paragraphs, what is left to the last."""
+    every = Window.partitionBy(group)
+    each = F.greatest(F.lit(1), F.floor(F.count("*").over(every) / F.size(paragraphs)))
+    nth = F.row_number().over(every.orderBy(position)) - 1
+    at = F.least(F.floor(nth / each), F.size(paragraphs) - 1).cast("int")
+    return images.withColumn("paragraph", F.get(paragraphs, at))
+
+
+def unique_names(rows: DataFrame, base: str, ending: str, order: str) -> DataFrame:
+    """rows with name: base and ending, from the second of a name on with its number between them."""
+    nth = F.row_number().over(Window.partitionBy(base, ending).orderBy(order))
+    return rows.withColumn("name", F.concat(F.col(base), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.col(ending)))

@@ -123,3 +123,53 @@ def test_bm25_value(spark):
     got = {r["id"]: r["bm25_score"] for r in bm25(spark.createDataFrame([(1, "a b"), (2, "c"), (3, "c d"), (4, "")], "id long, content string"), "a a").collect()}
     idf = math.log(3 - 1 + 0.5) - math.log(1 + 0.5)
     assert got[2] == got[4] == 0 and got[1] == pytest.approx(2 * idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * 2 / (5 / 3))))
+
+
+def test_engine(spark, tmp_path):
+    from tessella.engine import NO_DOCUMENTS, Engine
+
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    (docs / "a.md").write_text("# Rivers\n\nThe river runs to the sea.\n\n# Hills\n\nThe hill is green.")
+    (docs / "b.txt").write_text("A kettle boils water.")
+    (docs / "c.bin").write_bytes(b"x")
+    (docs / "d.docx").write_bytes(b"broken")
+
+    def model(prompt, contents, question):
+        return {"validate": "VALID: kettle?" if "kettle" in question else "IRRELEVANT: no", "answer": "It boils. ['http://h/i.png']", "summary": "short", "suggest": "1. What boils?"}[prompt]
+
+    engine = Engine(spark, f"file://{tmp_path}/store", model=model)
+    assert engine.query("kettle")["response"] == NO_DOCUMENTS and engine.chunks().count() == 0 and engine.suggestions()[1:] == engine.suggestions()[1:4]
+    listed = {r["file_type"]: r["files"] for r in engine.list_files(f"file://{docs}").collect()}
+    assert listed == {"md": ["a.md"], "txt": ["b.txt"], "docx": ["d.docx"], "unsupported": ["c.bin"]}
+    state = {r["file_name"]: r for r in engine.process(f"file://{docs}", 1, 6).collect()}
+    assert state["a.md"]["success"] and state["a.md"]["chunks_stored"] >= 2 and not state["d.docx"]["success"] and state["d.docx"]["error"]
+    before = engine.chunks().count()
+    engine.process(f"file://{docs}", 1, 6)
+    assert engine.chunks().count() == before
+    hit = engine.hits("the kettle boils water", 1).first()
+    assert hit["file_name"] == "b.txt" and engine.hits("  ").count() == 0
+    assert "# Rivers" in [r["section_title"] for r in engine.file_chunks("a.md").collect()]
+    assert engine.rerank("river sea").count() >= 1
+    assert engine.query("kettle") == {"success": True, "response": "It boils.", "images": ["http://h/i.png"], "chunks_found": before}
+    assert engine.query("other") == {"success": False, "error": "no", "images": [], "chunks_found": 0}
+    assert engine.suggestions()[0] == "What boils?" and len(engine.suggestions()) == 4
+    assert Engine(spark, f"file://{tmp_path}/store").suggestions()[0].startswith("What are")
+    assert engine.delete_file("b.txt") == 1 and engine.stats().first()["files"] == 1
+    assert engine.clear() == before - 1 and engine.chunks().count() == 0
+
+
+@given(st.lists(st.integers(1, 40), max_size=60))
+def test_sheets_stay_whole(sizes):
+    groups = C.pack_sheets(sizes, 10, 30)
+    assert [i for g in groups for i in g] == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in g) >= 10 for g in groups[:-1])
+
+
+def test_web_functions(spark):
+    assert one(spark, T.techdocs_url(F.col("s")), s="https://h/x/docs/a/b/c/d?q") == "https://h/api/techdocs/static/docs/a/b/c/index.html"
+    assert one(spark, T.techdocs_url(F.col("s")), s="https://h/docs/a/b") is None
+    assert one(spark, T.cookie_names(F.col("s")), s="a=1; Path=/, b=2, a=3, junk") == ["a", "b"]
+    assert one(spark, T.image_ending(F.col("s")), s="Image/PNG; q=1") == ".png" and one(spark, T.image_ending(F.col("s")), s="text/html") == ""
+    assert one(spark, T.file_base(F.col("s")), s="é!") == "image" and one(spark, T.file_base(F.col("s")), s="a b.c") == "a_b_c"
+    assert one(spark, T.normalize_ws(F.col("s")), s=" a\nb )\r\n\n\n\nc ") == "a b )\n\nc"
