@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import chunking, retrieval
-from tessella.operators.store import ChunkStore
+from tessella.operators.store import ChunkStore, summaries
 from tessella.sources import files
 
 DIMENSIONS, SUMMARY_CHUNKS = 64, 100
@@ -104,8 +104,7 @@ class Engine:
 
     def summaries(self) -> DataFrame:
         """(file_name, summary): each file's first chunks, through the model where there is one."""
-        first = F.slice(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))), 1, SUMMARY_CHUNKS)
-        texts = self.chunks().where(F.col("chunk_index") < SUMMARY_CHUNKS).groupBy("file_name").agg(F.array_join(F.transform(first, lambda c: c["content"]), "\n\n").alias("contents"))
+        texts = summaries(self.chunks(), SUMMARY_CHUNKS)
         if self.model is None:
             return texts.select("file_name", T.preview(F.col("contents"), 500).alias("summary"))
         model = self.model

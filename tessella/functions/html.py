@@ -32,8 +32,8 @@ def links(html: Column, attribute: str = "href") -> Column:
 
 
 def widest(srcset: Column) -> Column:
-    """The candidate of a srcset with the largest width."""
-    each = F.transform(F.split(srcset, r"\s*,\s+"), lambda c: F.struct(F.coalesce(F.regexp_extract(c, r"\s([0-9]+)w\s*$", 1).try_cast("int"), F.lit(0)).alias("w"), F.regexp_extract(c, r"^\s*(\S+)", 1).alias("url")))
+    """The candidate of a srcset with the largest width, the last of equal ones."""
+    each = F.transform(F.split(srcset, r"\s*,\s+"), lambda c, i: F.struct(F.coalesce(F.regexp_extract(c, r"\s([0-9]+)w\s*$", 1).try_cast("int"), F.lit(0)).alias("w"), i.alias("i"), F.regexp_extract(c, r"^\s*(\S+)", 1).alias("url")))
     return F.array_max(each)["url"]
 
 

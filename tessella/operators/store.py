@@ -19,6 +19,15 @@ def last_per_key(rows: DataFrame, key: str, value: str, order: str) -> DataFrame
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def summaries(rows: DataFrame, first: int = 100) -> DataFrame:
+    """(file_name, chunks, contents) of rows (file_name, chunk_index, content): contents joins the first chunks of a file."""
+    nth = F.row_number().over(Window.partitionBy("file_name").orderBy("chunk_index"))
+    kept = rows.select("file_name", "chunk_index", "content").withColumn("_n", nth).where(F.col("_n") <= first)
+    texts = kept.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("held"))
+    counts = rows.groupBy("file_name").agg(F.count("*").alias("chunks"))
+    return counts.join(texts, "file_name").select("file_name", "chunks", F.array_join(F.transform("held", lambda c: c["content"]), "\n\n").alias("contents"))
+
+
 class ChunkStore:
     """Versions of a table under one path: each change writes a new version, and a pointer table names the current one."""
 

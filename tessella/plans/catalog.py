@@ -12,6 +12,7 @@ from tessella.functions import text as T
 from tessella.operators import chunking as C
 from tessella.operators import retrieval as R
 from tessella.operators import store as S
+from tessella.sources import files as readers
 from tessella.sources.files import near_rows
 from tessella.streaming.ingest import event_windows
 
@@ -294,7 +295,12 @@ def whitespace_clean(t):
     return t("documents").select("doc_id", F.md5(T.clean_whitespace(text).cast("binary")).alias("digest"))
 
 
-@query()
+#: A line break that stands alone: the pattern takes its neighbours along, so it goes over the text twice.
+JOINED = r"regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g')"
+FLOWED = rf"regexp_replace(regexp_replace({JOINED}, '(^|[^\n])\n([^\n]|$)', '\1 \2', 'g'), '(^|[^\n])\n([^\n]|$)', '\1 \2', 'g')"
+
+
+@query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace({FLOWED}, '[ \t]{{2,}}', ' ', 'g'), ' +([,.;:!?)])', '\1', 'g')) AS digest FROM documents")
 def linebreak_fix(t):
     return t("documents").select("doc_id", F.md5(T.fix_linebreaks(F.col("text")).cast("binary")).alias("digest"))
 
@@ -357,7 +363,10 @@ def route(t):
     return t("conversations").select("conv_id", "turn", T.route(made).alias("route"))
 
 
-@query()
+@query(rf"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split('1. ' || replace(text, '. ', '?' || chr(10) || '- '), chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, '\?|^[0-9]+[.)]|^[-*•]')) AS x FROM conversations),
+b AS (SELECT conv_id, turn, list_filter(list_transform(x, lambda y: trim(regexp_replace(regexp_replace(y, '^[0-9]+[.)]\s*', ''), '[-*•]', '', 'g'))), lambda y: y <> '') AS x FROM l),
+d AS (SELECT conv_id, turn, list_transform(list_filter(list_zip(x, range(1, len(x) + 1)), lambda z: list_position(x, z[1]) = z[2]), lambda z: z[1])[1:4] AS x FROM b)
+SELECT conv_id, turn, array_to_string(list_concat(x, [{', '.join(map(repr, DEFAULTS))}][len(x) + 1:4]), '|') AS questions FROM d""")
 def questions_parse(t):
     made = F.concat(F.lit("1. "), F.replace("text", F.lit(". "), F.lit("?\n- ")))
     return t("conversations").select("conv_id", "turn", F.array_join(T.questions(made, DEFAULTS), "|").alias("questions"))
@@ -366,3 +375,89 @@ def questions_parse(t):
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_window_counts(t):
     return event_windows(t("events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN NULL ELSE regexp_extract(url, '^([a-z]+://[^/]*)', 1) || '/api/techdocs/static/docs/ns/kind/n' || page_id || '/index.html' END AS static_url FROM pages")
+def techdocs_static(t):
+    tail = F.when(F.col("page_id") % 3 == 0, "/docs/ns/kind").otherwise(F.concat(F.lit("/en/docs/ns/kind/n"), F.col("page_id").cast("string"), F.lit("/deep?q=docs")))
+    return t("pages").select("page_id", T.techdocs_url(F.concat(F.regexp_extract("url", "^([a-z]+://[^/]*)", 1), tail)).alias("static_url"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 500 > 250 THEN 'http://h/b.png' ELSE 'http://h/c.png' END AS best FROM pages")
+def srcset_widest(t):
+    candidates = F.concat(F.lit("http://h/a.png 100w, http://h/b.png "), (F.col("page_id") % 500).cast("string"), F.lit("w, http://h/c.png 250w, http://h/d.png"))
+    return t("pages").select("page_id", H.widest(candidates).alias("best"))
+
+
+@query("SELECT user_id, event_type, 'sid,' || event_type || (CASE WHEN user_id % 2 = 0 THEN ',u' || user_id ELSE '' END) AS names FROM events GROUP BY ALL")
+def cookie_names(t):
+    held = t("events").select("user_id", "event_type").distinct()
+    header = F.concat(F.lit("sid=1; Path=/, "), F.col("event_type"), F.lit("=2; Secure, sid=3"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit(", u"), F.col("user_id").cast("string"), F.lit("=4"))).otherwise(", plain"))
+    return held.select("user_id", "event_type", F.array_join(T.cookie_names(header), ",").alias("names"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 4 = 1 THEN turn::VARCHAR ELSE turn || '-' || (turn + turn % 4) END AS page_range,
+CASE WHEN role = 'user' THEN 'Unknown' ELSE role END AS file_name, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
+CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || left(text, 20) ELSE left(text, 20) END AS payload FROM conversations""")
+def hit_projection(t):
+    turn = F.col("turn")
+    first, last = F.when(turn % 4 != 0, turn), F.when(turn % 4 == 1, turn).otherwise(turn + turn % 4)
+    crumbs = F.when(turn % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    name = F.coalesce(F.when(F.col("role") != "user", F.col("role")), F.lit("Unknown"))
+    return t("conversations").select("conv_id", "turn", T.page_range(first, last).alias("page_range"), name.alias("file_name"), T.preview(F.col("text"), 200).alias("preview"), T.with_context(F.left("text", F.lit(20)), crumbs).alias("payload"))
+
+
+@query("SELECT a.conv_id, a.turn, b.turn AS image, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + a.turn % 3")
+def range_join_pages(t):
+    c = t("conversations")
+    spans = c.select("conv_id", "turn", (F.col("turn") + F.col("turn") % 3).alias("last"))
+    return readers.in_range(spans, c.select("conv_id", "turn", "role"), "conv_id", "turn", "last", "turn").select("conv_id", "turn", F.col("p_turn").alias("image"), F.col("p_role").alias("role"))
+
+
+def _context_sql(own: str) -> str:
+    return f"SELECT conv_id, turn, md5(array_to_string(list_filter(coalesce(list(left(text, 40)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING{own}), []), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS digest FROM conversations"
+
+
+def _context(t, own: bool):
+    rows = t("conversations").select("conv_id", "turn", F.left("text", F.lit(40)).alias("text"))
+    return readers.surroundings(rows, "conv_id", "turn", "text", own=own).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(_context_sql(" EXCLUDE CURRENT ROW"))
+def image_context_paragraphs(t):
+    return _context(t, False)
+
+
+@query(_context_sql(""))
+def image_context_rows(t):
+    return _context(t, True)
+
+
+@query("SELECT conv_id, turn, [0, 3, 7][least((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // greatest(1, count(*) OVER (PARTITION BY conv_id) // 3), 2)::INT + 1]::INT AS paragraph FROM conversations")
+def image_distribution(t):
+    held = t("conversations").select("conv_id", "turn")
+    return readers.dealt_images(held, "conv_id", "turn", F.array(F.lit(0), F.lit(3), F.lit(7))).select("conv_id", "turn", "paragraph")
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([c_name, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE c_nationkey::VARCHAR END], lambda x: x IS NOT NULL AND trim(x) <> ''), ' | ') AS line FROM customer")
+def row_text(t):
+    key = F.col("c_custkey")
+    return t("customer").select("c_custkey", T.row_text(F.array("c_name", F.when(key % 2 == 0, F.col("c_mktsegment")), F.when(key % 3 == 0, " ").otherwise(F.col("c_nationkey").cast("string")))).alias("line"))
+
+
+@query("SELECT l_returnflag AS sheet, count(DISTINCT l_orderkey) AS n_rows, count(DISTINCT l_linenumber) AS n_columns, count(*) = 0 AS is_empty FROM lineitem GROUP BY l_returnflag")
+def sheet_info(t):
+    cells = t("lineitem").select(F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("col_idx"))
+    return readers.sheet_info(cells)
+
+
+@query("SELECT page_id, base || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.png' AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+', ''), '_+$', '') AS base FROM pages))")
+def unique_image_names(t):
+    held = t("pages").select("page_id", T.file_base(F.regexp_extract("url", "^[a-z]+://([^/]*)", 1)).alias("base"), T.image_ending(F.lit("image/png")).alias("ending"))
+    return readers.unique_names(held, "base", "ending", "page_id").select("page_id", "name")
+
+
+@query("SELECT source AS file_name, count(*) AS chunks, left(string_agg(left(text, 30), chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE n <= 100), 500) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source")
+def document_summary(t):
+    rows = t("documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(30)).alias("content"))
+    return S.summaries(rows).select("file_name", "chunks", F.left("contents", F.lit(500)).alias("summary"))

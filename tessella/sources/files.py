@@ -144,3 +144,8 @@ def unique_names(rows: DataFrame, base: str, ending: str, order: str) -> DataFra
     """rows with name: base and ending, from the second of a name on with its number between them."""
     nth = F.row_number().over(Window.partitionBy(base, ending).orderBy(order))
     return rows.withColumn("name", F.concat(F.col(base), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.col(ending)))
+
+
+def sheet_info(cells: DataFrame) -> DataFrame:
+    """cells (sheet, row_idx, col_idx): the rows and columns of each sheet that hold something."""
+    return cells.groupBy("sheet").agg(F.countDistinct("row_idx").alias("n_rows"), F.countDistinct("col_idx").alias("n_columns"), (F.count("*") == 0).alias("is_empty"))
