@@ -40,7 +40,7 @@ class Engine:
         return held.select(
             F.concat_ws("_", "file_name", "chunk_index").alias("id"), "doc_id", "file_name", "file_type", "chunk_index", "content", "token_count", "breadcrumbs",
             F.try_element_at("breadcrumbs", F.lit(-1)).alias("section_title"), F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " > ")).alias("heading_path"),
-            "indent_levels", self.embed(F.col("content")).alias("embedding"),
+            "indent_levels", "page_from", "page_to", T.page_range(F.col("page_from"), F.col("page_to")).alias("page_range"), self.embed(F.col("content")).alias("embedding"),
         )
 
     def process(self, folder: str, least: int = chunking.MIN_TOKENS, most: int = chunking.MAX_TOKENS) -> DataFrame:

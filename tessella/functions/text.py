@@ -178,6 +178,11 @@ def roman_value(text: Column) -> Column:
     return F.when(F.exists(digits, lambda d: d < 0), 0).otherwise(total)
 
 
+def page_mark(number: Column) -> Column:
+    """A line of its own that says which page follows; chunks take their pages from it and leave it out."""
+    return F.concat(F.lit("\x1e"), number.cast("string"), F.lit("\x1e\n\n"))
+
+
 def page_range(first: Column, last: Column) -> Column:
     return F.when(first.isNull() | last.isNull(), None).when(first == last, first.cast("string")).otherwise(F.concat_ws("-", first, last))
 

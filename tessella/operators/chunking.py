@@ -13,8 +13,9 @@ from tessella.functions.text import heading_level, indent_width, lines, strip
 
 MIN_TOKENS, MAX_TOKENS, INDENT_STEP = 300, 500, 4
 _SENTENCES = re.compile(r"(?<=[.?!…])\s+")
+_PAGE = re.compile("\x1e([0-9]+)\x1e")
 _BULLET = re.compile(r"^\s*(?:[-*•]|[0-9]+[.)])\s+")
-CHUNK = "chunk_index int, content string, token_count int, breadcrumbs array<string>, block_indices array<int>, indent_levels array<int>"
+CHUNK = "chunk_index int, content string, token_count int, breadcrumbs array<string>, block_indices array<int>, indent_levels array<int>, page_from int, page_to int"
 
 
 def blocks(text: Column, step: int = INDENT_STEP) -> Column:
@@ -117,11 +118,12 @@ def pack_sheets(sizes: list[int], least: int = MIN_TOKENS, most: int = MAX_TOKEN
 
 def chunk_documents(docs: DataFrame, rules: str = "txt", least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
     """docs (doc_id, text) as chunks with breadcrumbs; documents stream through, each on its own. A column file_type, where docs has
-    one, decides by row: md and docx take the Markdown rules for headings, xlsx packs whole sheets."""
+    one, decides by row: md and docx take the Markdown rules for headings, pdf its own, xlsx packs whole sheets. Page marks become
+    page_from and page_to."""
     kind = F.coalesce("file_type", F.lit("")) if "file_type" in docs.columns else F.lit("md" if rules == "md" else "")
     held = docs.select("doc_id", kind.alias("kind"), blocks(F.coalesce("text", F.lit(""))).alias("blocks"))
     if "file_type" in docs.columns:
-        held = held.withColumn("headings", F.when(F.col("kind").isin("md", "docx"), headings(F.col("blocks"), "md")).when(F.col("kind") != "xlsx", headings(F.col("blocks"), rules)).otherwise(F.slice(headings(F.col("blocks"), "txt"), 1, 0)))
+        held = held.withColumn("headings", F.when(F.col("kind").isin("md", "docx"), headings(F.col("blocks"), "md")).when(F.col("kind") == "pdf", headings(F.col("blocks"), "pdf")).when(F.col("kind") != "xlsx", headings(F.col("blocks"), rules)).otherwise(F.slice(headings(F.col("blocks"), "txt"), 1, 0)))
     else:
         held = held.withColumn("headings", headings(F.col("blocks"), rules))
     held = held.select("doc_id", "kind", F.transform("blocks", lambda b: F.struct(b["block_index"].alias("i"), b["indent"].alias("indent"), b["text"].alias("text"), breadcrumbs(F.col("headings"), b["block_index"]).alias("above"))).alias("blocks"))
@@ -132,12 +134,17 @@ def chunk_documents(docs: DataFrame, rules: str = "txt", least: int = MIN_TOKENS
             rows = []
             for doc_id, sort, found in zip(pdf["doc_id"], pdf["kind"], pdf["blocks"], strict=True):
                 sheets = sort == "xlsx"
-                units = [(b, p) for b in found for p in ([b["text"]] if sheets or len(b["text"].split()) <= most else split_block(b["text"], least, most))]
+                page, texts = None, []
+                for b in found:
+                    mark = _PAGE.fullmatch(b["text"].strip(" "))
+                    page = int(mark.group(1)) if mark else page
+                    texts += [] if mark else [b | {"page": page}]
+                units = [(b, p) for b in texts for p in ([b["text"]] if sheets or len(b["text"].split()) <= most else split_block(b["text"], least, most))]
                 for k, group in enumerate((pack_sheets if sheets else pack)([max(1, len(p.split())) for _, p in units], least, most)):
                     first, text = units[group[0]][0], "\n\n".join(units[i][1] for i in group)
                     above = list(first["above"])
                     content = f"[Context: {' > '.join(above)}]\n\n{text}" if above else text
-                    rows.append((doc_id, k, content, max(1, len(content.split())), above, sorted({units[i][0]["i"] for i in group}), sorted({units[i][0]["indent"] for i in group})))
-            yield pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in CHUNK.split(", "))])
+                    rows.append((doc_id, k, content, max(1, len(content.split())), above, sorted({units[i][0]["i"] for i in group}), sorted({units[i][0]["indent"] for i in group}), first["page"], units[group[-1]][0]["page"]))
+            yield pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in CHUNK.split(", "))]).astype({"page_from": "Int32", "page_to": "Int32"})
 
     return held.mapInPandas(run, schema)

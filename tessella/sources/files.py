@@ -1,7 +1,8 @@
-"""Readers of a folder's documents: text, Markdown, DOCX and XLSX; one row a file, a bad file gives a row with its error."""
+"""Readers of a folder's documents: text, Markdown, PDF, DOCX and XLSX; one row a file, a bad file gives a row with its error."""
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -12,12 +13,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import clean_markdown
+from tessella.functions.text import clean_markdown, is_toc_page, page_mark
+from tessella.sources.pdf import page_images, page_texts
 
 #: Namespaces of the office formats.
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
+#: Characters below which a page counts as blank.
+LEAST_PAGE = 3
+
 
 def file_type(path: Column) -> Column:
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
@@ -75,9 +80,9 @@ def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        texts, errors = [], []
+        texts, errors, pages = [], [], []
         for kind, content in zip(pdf["file_type"], pdf["content"], strict=True):
-            text = error = None
+            text = error = found = None
             try:
                 if kind == "docx":
                     text = "\n".join(f"{'#' * level} {t}" if level else "    " * indent + t for _, t, _, level, indent in docx_paragraphs(content))
@@ -87,21 +92,77 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         sheets.setdefault(sheet, [f"=== SHEET: {sheet} ==="]).append(f"Row {n + 1}: " + " | ".join(v for v in values if v.strip()))
                     text = "\n\n".join("\n".join(rows) for rows in sheets.values())
                 else:
-                    error = "no parser for pdf here"
+                    found = page_texts(content)
             except Exception as problem:  # one bad file must not end the load
                 error = f"{type(problem).__name__}: {problem}"
             texts.append(text)
             errors.append(error)
-        yield pdf.drop(columns="content").assign(text=texts, error=errors)
+            pages.append(found)
+        yield pdf.drop(columns="content").assign(text=texts, error=errors, pages=pages)
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file_name, doc_id, file_type, text, error) of a folder's files."""
+    """(path, file_name, doc_id, file_type, text, error) of a folder's files. Pages of a PDF begin with their marks; blank and contents
+    pages are left out."""
     found = scan(spark, folder)
     plain = decoded(F.col("content"))
     text = found.where("file_type in ('txt', 'md')").select("path", "file_name", "doc_id", "file_type", F.when(F.col("file_type") == "md", clean_markdown(plain)).otherwise(plain).alias("text"), F.lit(None).cast("string").alias("error"))
-    office = found.where("file_type not in ('txt', 'md')").mapInPandas(_texts, "path string, file_name string, doc_id string, file_type string, text string, error string")
-    return text.unionByName(office)
+    office = found.where("file_type not in ('txt', 'md')").mapInPandas(_texts, "path string, file_name string, doc_id string, file_type string, text string, error string, pages array<string>")
+    joined = F.array_join(F.filter(F.transform("pages", lambda p, i: F.when((F.length(p) >= LEAST_PAGE) & ~is_toc_page(p), F.concat(page_mark(i + 1), p))), lambda p: p.isNotNull()), "\n\n")
+    return text.unionByName(office.withColumn("text", F.coalesce("text", joined)).drop("pages"))
+
+
+def picture(data: bytes) -> tuple[str, int, int]:
+    """(format, width, height) by an image's first bytes; 0 where they do not say."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return "PNG", int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    if data[:6] in (b"GIF87a", b"GIF89a"):
+        return "GIF", int.from_bytes(data[6:8], "little"), int.from_bytes(data[8:10], "little")
+    if data[:2] == b"BM":
+        return "BMP", int.from_bytes(data[18:22], "little"), int.from_bytes(data[22:26], "little")
+    if data[:2] == b"\xff\xd8":
+        at = 2
+        while at + 9 < len(data) and data[at] == 0xFF:
+            if 0xC0 <= data[at + 1] <= 0xCF and data[at + 1] not in (0xC4, 0xC8, 0xCC):
+                return "JPEG", int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+            at += 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+        return "JPEG", 0, 0
+    return "UNKNOWN", 0, 0
+
+
+def office_images(content: bytes) -> list[tuple[int | None, str, str, int, int, bytes]]:
+    """(null, name, format, width, height, data) of the pictures in a DOCX or XLSX file, by name."""
+    book = zipfile.ZipFile(io.BytesIO(content))
+    held = sorted(n for n in book.namelist() if re.match(r"(?:word|xl)/media/[^/]+$", n))
+    return [(None, n.rsplit("/", 1)[1], *picture(data), data) for n, data in ((n, book.read(n)) for n in held)]
+
+
+IMAGE = "file_name string, doc_id string, file_type string, page_number int, image_index int, filename string, format string, width int, height int, size_bytes long, digest string, content binary, error string"
+
+
+def images(spark: SparkSession, folder: str) -> DataFrame:
+    """The pictures of a folder's PDF, DOCX and XLSX files, a row each with their data; a bad file gives a row with its error. Written
+    as a table they are the store's pictures."""
+    names = [c.split()[0] for c in IMAGE.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file_name, doc_id, kind, content in zip(pdf["file_name"], pdf["doc_id"], pdf["file_type"], pdf["content"], strict=True):
+                rows = []
+                try:
+                    for i, (page, name, form, width, height, data) in enumerate(page_images(content) if kind == "pdf" else office_images(content)):
+                        rows.append((file_name, doc_id, kind, page, i, name, form, width, height, len(data), hashlib.md5(data).hexdigest(), data, None))
+                except Exception as problem:  # one bad file must not end the load
+                    rows = [(file_name, doc_id, kind, *(None,) * 9, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("page_number", "image_index", "width", "height", "size_bytes"), "Int64"))
+
+    return scan(spark, folder).where("file_type in ('pdf', 'docx', 'xlsx')").drop("path").mapInPandas(run, IMAGE)
+
+
+def image_summary(found: DataFrame) -> DataFrame:
+    """Counts, bytes and pictures above 1 MiB by file, page and format and as a whole, in one pass."""
+    counts = [F.count("*").alias("images"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("size_bytes") > 2**20).alias("large")]
+    return found.where("error is null").groupingSets([["file_name", "page_number"], ["format"], []], "file_name", "page_number", "format").agg(*counts)
 
 
 def near_rows(left: DataFrame, right: DataFrame, group: str, position: str, distance: int) -> DataFrame:

@@ -4,6 +4,7 @@ import io
 import math
 import os
 import zipfile
+import zlib
 
 import duckdb
 import pytest
@@ -17,6 +18,7 @@ from tessella.operators import chunking as C
 from tessella.operators.store import ChunkStore
 from tessella.plans import catalog
 from tessella.sources import files
+from tessella.sources.pdf import page_texts
 
 SF = "/root/testdata/sf0.001"
 
@@ -173,3 +175,78 @@ def test_web_functions(spark):
     assert one(spark, T.image_ending(F.col("s")), s="Image/PNG; q=1") == ".png" and one(spark, T.image_ending(F.col("s")), s="text/html") == ""
     assert one(spark, T.file_base(F.col("s")), s="é!") == "image" and one(spark, T.file_base(F.col("s")), s="a b.c") == "a_b_c"
     assert one(spark, T.normalize_ws(F.col("s")), s=" a\nb )\r\n\n\n\nc ") == "a b )\n\nc"
+
+
+def a_pdf(pages, packed=False):
+    """A PDF of the given content streams; packed: Flate streams, the page tree in an object stream."""
+    kids = " ".join(f"{10 + 2 * i} 0 R" for i in range(len(pages)))
+    cmap = b"1 beginbfchar <0001> <0041> endbfchar 1 beginbfrange <0002> <0004> <0062> endbfrange"
+    plain = {1: b"<</Type/Catalog/Pages 2 0 R>>", 2: f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}/Resources<</Font<</F1 3 0 R/F2 4 0 R>>>>>>".encode(), 3: b"<</Type/Font/Subtype/Type1/Encoding<</Differences[1/fi/uni20AC]>>>>", 4: b"<</Type/Font/Subtype/Type0/ToUnicode 5 0 R>>"}
+    streams = {5: cmap}
+    for i, content in enumerate(pages):
+        plain[10 + 2 * i] = f"<</Type/Page/Parent 2 0 R/Contents {11 + 2 * i} 0 R>>".encode()
+        streams[11 + 2 * i] = content
+    if packed:
+        body, heads = b"", []
+        for n, v in plain.items():
+            heads.append(f"{n} {len(body)}")
+            body += v + b" "
+        first = " ".join(heads).encode() + b" "
+        streams[50], plain = first + body, {}
+    out = b"%PDF-1.5\n"
+    for n, v in plain.items():
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, v)
+    for n, v in streams.items():
+        extra = b"/Type/ObjStm/N %d/First %d" % (len(heads), len(first)) if n == 50 else b""
+        data = zlib.compress(v) if packed else v
+        out += b"%d 0 obj\n<</Length %d%s%s>>\nstream\n%s\nendstream\nendobj\n" % (n, len(data), b"/Filter/FlateDecode" if packed else b"", extra, data)
+    return out + b"%%EOF"
+
+
+PDF_PAGES = [
+    b"BT /F1 12 Tf 72 700 Td (First \\(one\\)) Tj 0 -14 Td [(Sec) -20 (ond) -400 (line)] TJ ET q 1 0 0 1 0 50 cm BT /F1 12 Tf 72 700 Td (On top \\341) Tj ET Q",
+    b"",
+    b"BT /F2 10 Tf 14 TL 1 0 0 1 72 500 Tm <00010002000300040005> Tj T* /F1 10 Tf (\\001x \\002) Tj ET",
+]
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_pages(packed):
+    assert page_texts(a_pdf(PDF_PAGES, packed)) == ["On top á\nFirst (one)\nSecond line", "", "Abcd\nfix €"]
+
+
+def test_pdf_files(spark, tmp_path):
+    contents = b"BT /F1 12 Tf 72 700 Td (Table of Contents) Tj " + b" ".join(b"0 -14 Td (Part %d) Tj" % i for i in range(8)) + b" ET"
+    for name, data in {"a.pdf": a_pdf([contents, *PDF_PAGES], True), "b.pdf": b"no", "c.pdf": a_pdf(PDF_PAGES).replace(b"%%EOF", b"trailer<</Encrypt 9 0 R>>"), "d.pdf": b"%PDF-1.4"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["file_name"]: r for r in files.read(spark, f"file://{tmp_path}").collect()}
+    assert got["a.pdf"]["text"] == "\x1e2\x1e\n\nOn top á\nFirst (one)\nSecond line\n\n\x1e4\x1e\n\nAbcd\nfix €"
+    assert "not a PDF" in got["b.pdf"]["error"] and "encrypted" in got["c.pdf"]["error"] and got["d.pdf"]["text"] == ""
+    rows = C.chunk_documents(files.read(spark, f"file://{tmp_path}").where("file_name = 'a.pdf'").select("doc_id", "text", "file_type"), most=20).collect()
+    assert [(r["page_from"], r["page_to"]) for r in rows] == [(2, 4)] and "\x1e" not in rows[0]["content"] and "Abcd" in rows[0]["content"]
+
+
+@given(st.lists(st.sampled_from([b"1 0 obj", b"<<", b">>", b"[", b"]", b"(", b")", b"<0a", b">", b"/Type/Catalog", b"/Pages 1 0 R", b"/Kids[1 0 R 1 0 R]", b"/Type/Page/Contents 2 0 R", b"stream\n", b"endstream", b"endobj", b"%x\n", b"BT Tj TJ Tf", b"2 0 obj", b"\\"]), max_size=40))
+def test_broken_pdf_ends(parts):
+    try:
+        assert isinstance(page_texts(b"%PDF " + b" ".join(parts)), list)
+    except (ValueError, zlib.error, TypeError, AttributeError, KeyError):
+        pass
+
+
+def test_images(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (7).to_bytes(4, "big") + (5).to_bytes(4, "big") + b"rest"
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x03\x00\x04rest"
+    docx = io.BytesIO()
+    with zipfile.ZipFile(docx, "w") as z:
+        z.writestr("word/media/b.jpeg", jpeg)
+        z.writestr("word/media/a.png", png)
+    pdf = b"%PDF-1.4 1 0 obj <</Type/Catalog/Pages 2 0 R>> endobj 2 0 obj <</Kids[3 0 R]>> endobj 3 0 obj <</Type/Page/Resources<</XObject<</I 4 0 R>>>>>> endobj 4 0 obj <</Subtype/Image/Width 9/Height 8/Filter/DCTDecode/Length 3>>\nstream\nxyz\nendstream endobj"
+    for name, data in {"a.docx": docx.getvalue(), "b.pdf": pdf, "c.xlsx": b"broken", "d.txt": b"x"}.items():
+        (tmp_path / name).write_bytes(data)
+    found = files.images(spark, f"file://{tmp_path}")
+    got = sorted((r["file_name"], r["page_number"], r["filename"], r["format"], r["width"], r["height"], r["size_bytes"]) for r in found.where("error is null").collect())
+    assert got == [("a.docx", None, "a.png", "PNG", 7, 5, len(png)), ("a.docx", None, "b.jpeg", "JPEG", 4, 3, len(jpeg)), ("b.pdf", 1, "I", "JPEG", 9, 8, 3)]
+    assert [r["file_name"] for r in found.where("error is not null").collect()] == ["c.xlsx"]
+    whole = files.image_summary(found).where("file_name is null and format is null").first()
+    assert (whole["images"], whole["bytes"], whole["large"]) == (3, len(png) + len(jpeg) + 3, 0)
