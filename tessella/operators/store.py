@@ -1,14 +1,20 @@
-"""A chunk store on Parquet: append what is new, delete by file, truncate, statistics."""
+"""A chunk store on Parquet: append what is new, delete by file, truncate, compact, statistics."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def insert_new_only(store: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """What an insert appends: rows of new whose key the store has not; existing rows stay as they are."""
-    return new.join(store.select(key), key, "left_anti")
+    """What an insert appends: rows of new whose key the store has not; existing rows stay as they are. The store is searched for the
+    new keys first, so that few new rows never shuffle a large store. A null key is in no store."""
+    held = store.select(key).join(new.select(key), key, "left_semi").distinct()
+    return new.join(held, key, "left_anti")
 
 
 def stats(rows: DataFrame, text: str = "text") -> DataFrame:
@@ -29,43 +35,97 @@ def summaries(rows: DataFrame, first: int = 100) -> DataFrame:
 
 
 class ChunkStore:
-    """Versions of a table under one path: each change writes a new version, and a pointer table names the current one."""
+    """A table under one path that grows by parts: an insert writes the new rows alone, a delete writes no rows at all. A numbered list
+    says which parts are current and which files are gone from which parts; compact() rewrites them as one part.
+
+    Lists are made once and never changed, so a reader sees one state and the second of two writers at once fails."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _version(self) -> int:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return -1
-        done = [s.getPath().getName() for s in fs.listStatus(root) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(n[1:]) for n in done if n.startswith("v")), default=-1)
+        self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jvm_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _state(self) -> dict:
+        """version, parts (numbers), gone (file name and the last part it is gone from), schema."""
+        lists = self._jvm_path(f"{self.path}/lists")
+        found = [s.getPath().getName() for s in self._fs.listStatus(lists)] if self._fs.exists(lists) else []
+        version = max((int(n.removesuffix(".json")) for n in found if n.endswith(".json")), default=-1)
+        if version < 0:
+            return {"version": -1, "parts": [], "gone": [], "schema": None}
+        stream = self._fs.open(self._jvm_path(f"{self.path}/lists/{version}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"version": version}
+        finally:
+            stream.close()
+
+    def _publish(self, state: dict) -> None:
+        """The list is written beside the others and gets its number by a rename, which fails where the number is taken."""
+        draft, final = (self._jvm_path(f"{self.path}/lists/{n}") for n in (f"_{uuid.uuid4().hex}", f"{state['version'] + 1}.json"))
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps({k: state[k] for k in ("parts", "gone", "schema")}).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            self._fs.delete(draft, False)
+            raise RuntimeError(f"{self.path}: another change came first; repeat this one")
+
+    def _rows(self, state: dict) -> DataFrame | None:
+        if state["schema"] is None:
+            return None
+        schema = StructType.fromJson(state["schema"])
+        if not state["parts"]:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(StructType(schema.fields).add("_part", "long")).parquet(*[f"{self.path}/parts/{p}" for p in state["parts"]])
+        for name, last in state["gone"]:
+            rows = rows.where(~(F.col("file_name").eqNullSafe(F.lit(name)) & (F.col("_part") <= last)))
+        return rows.drop("_part")
 
     def read(self) -> DataFrame | None:
-        v = self._version()
-        return self.spark.read.parquet(f"{self.path}/v{v}") if v >= 0 else None
+        return self._rows(self._state())
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.parquet(f"{self.path}/v{self._version() + 1}")
+    def _add(self, state: dict, rows: DataFrame, keep: bool) -> None:
+        part = uuid.uuid4().int % 10**6 + 10**6 * (state["version"] + 1)  # ascending by version, unique among failed attempts
+        rows.withColumn("_part", F.lit(part).cast("long")).write.parquet(f"{self.path}/parts/{part}")
+        fields = {f["name"]: f for f in (state["schema"] or {"fields": []})["fields"]}
+        fields |= {f["name"]: f for f in rows.schema.jsonValue()["fields"] if f["name"] not in fields}
+        schema = {"type": "struct", "fields": [f | {"nullable": True} for f in fields.values()]}
+        self._publish(state | {"parts": [*(state["parts"] if keep else []), part], "gone": state["gone"] if keep else [], "schema": schema})
 
     def insert(self, new: DataFrame, key: str = "id") -> None:
-        now, w = self.read(), Window.partitionBy(key).orderBy(key)
-        first = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-        self._write(first if now is None else now.unionByName(insert_new_only(now, first, key), allowMissingColumns=True))
+        """Appends the rows of new whose key the store has not, each key once. new is computed once."""
+        state, staged = self._state(), f"{self.path}/staged/{uuid.uuid4().hex}"
+        new.write.parquet(staged)
+        first, now = self.spark.read.schema(new.schema).parquet(staged).dropDuplicates([key]), self._rows(state)
+        self._add(state, first if now is None else insert_new_only(now, first, key), True)
+        self._fs.delete(self._jvm_path(staged), True)
 
     def delete_file(self, file_name: str) -> int:
-        now = self.read()
-        if now is None:
-            return 0
-        n = now.where(F.col("file_name") == file_name).count()
-        self._write(now.where(~F.col("file_name").eqNullSafe(file_name)))
+        state = self._state()
+        now = self._rows(state)
+        n = 0 if now is None else now.where(F.col("file_name") == file_name).count()
+        if n:
+            self._publish(state | {"gone": [*(g for g in state["gone"] if g[0] != file_name), [file_name, max(state["parts"])]]})
         return n
 
     def clear(self) -> None:
-        now = self.read()
-        if now is not None:
-            self._write(now.limit(0))
+        state = self._state()
+        if state["schema"] is not None:
+            self._publish(state | {"parts": [], "gone": []})
+
+    def drop(self) -> None:
+        self._fs.delete(self._jvm_path(self.path), True)
+
+    def compact(self) -> None:
+        """The current rows as one part, without traces of deleted files; older parts stay for readers until vacuum()."""
+        state = self._state()
+        if state["parts"]:
+            self._add(state, self._rows(state), False)
+
+    def vacuum(self) -> None:
+        """Deletes the parts that the current list does not name."""
+        parts, current = self._jvm_path(f"{self.path}/parts"), {str(p) for p in self._state()["parts"]}
+        for s in self._fs.listStatus(parts) if self._fs.exists(parts) else []:
+            if s.getPath().getName() not in current:
+                self._fs.delete(s.getPath(), True)
 
     def file_chunks(self, file_name: str) -> DataFrame | None:
         now = self.read()

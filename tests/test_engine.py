@@ -90,8 +90,23 @@ def test_store(spark, tmp_path):
     store.insert(rows.withColumn("chunk_index", F.lit(9)))
     assert store.read().count() == 3 and store.read().where("chunk_index = 9").count() == 0
     assert store.delete_file("a") == 2 and [r["id"] for r in store.file_chunks("b").collect()] == ["b0"]
+    store.insert(rows.withColumn("more", F.lit("m")))
+    assert sorted((r["id"], r["more"]) for r in store.read().collect()) == [("a0", "m"), ("a1", "m"), ("b0", None)]
+    assert store.delete_file("none") == 0
+    before = store.read()
+    store.compact()
+    assert sorted(r["id"] for r in before.collect()) == ["a0", "a1", "b0"]
+    store.vacuum()
+    assert sorted(r["id"] for r in store.read().collect()) == ["a0", "a1", "b0"] and len(list((tmp_path / "store" / "parts").iterdir())) == 1
+    state = store._state()
     store.clear()
     assert store.read().count() == 0
+    with pytest.raises(RuntimeError):
+        store._publish(state)
+    store.insert(rows)
+    assert store.read().count() == 3
+    store.drop()
+    assert store.read() is None
 
 
 def test_readers(spark, tmp_path):
@@ -250,3 +265,15 @@ def test_images(spark, tmp_path):
     assert [r["file_name"] for r in found.where("error is not null").collect()] == ["c.xlsx"]
     whole = files.image_summary(found).where("file_name is null and format is null").first()
     assert (whole["images"], whole["bytes"], whole["large"]) == (3, len(png) + len(jpeg) + 3, 0)
+
+
+def test_stream_ingest(spark, tmp_path):
+    from tessella.streaming import ingest
+
+    store, source = ChunkStore(spark, f"file://{tmp_path}/store"), tmp_path / "in"
+    schema = "id string, file_name string, chunk_index int"
+    for n, rows in enumerate(([("a0", "a", 0), ("a0", "a", 1)], [("a0", "a", 2), ("b0", "b", 0)])):
+        spark.createDataFrame(rows, schema).write.json(f"file://{source}/{n}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(f"file://{source}")
+        ingest.ingest(stream, store, f"file://{tmp_path}/marks").awaitTermination()
+    assert sorted(r["id"] for r in store.read().collect()) == ["a0", "b0"]
