@@ -25,7 +25,7 @@ def token_count(text: Column, mode: str = "words") -> Column:
 
 def bm25_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case words without punctuation; stopwords are left out one by one, so repeats keep their number."""
-    found = words(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w++"), F.lit(0))
     return F.filter(found, lambda t: ~t.isin(stopwords)) if stopwords else found
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
@@ -65,19 +66,27 @@ def expanded(hits: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
 
 
 def bm25(candidates: DataFrame, query: str, stopwords: list[str] | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """candidates (id, content) with bm25_score; statistics over the candidates that have tokens. Others score 0."""
-    held = candidates.select("id", bm25_tokens(F.col("content"), stopwords).alias("tokens"))
-    terms = held.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    asked = candidates.sparkSession.createDataFrame([(query,)], "q string").select(F.explode(bm25_tokens(F.col("q"), stopwords)).alias("term")).groupBy("term").agg(F.count("*").alias("times"))
-    sizes = held.where(F.size("tokens") > 0).select("id", F.size("tokens").alias("dl"))
-    whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole.select("n")))  # one row
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(asked, "term").join(F.broadcast(mean)).select("term", "times", F.when(F.col("raw") >= 0, F.col("raw")).otherwise(epsilon * F.col("mean")).alias("idf"))
-    parts = terms.join(idf, "term").join(sizes, "id").join(F.broadcast(whole.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return candidates.join(parts.groupBy("id").agg(F.sum(part).alias("s")), "id", "left").withColumn("bm25_score", F.coalesce("s", F.lit(0.0))).drop("s")
+    """candidates (id, content) with bm25_score; statistics over the candidates that have tokens. Others score 0.
+
+    Only document frequencies are shuffled, combined before; the statistics are one row, and scoring reads each text where it lies."""
+    one = candidates.sparkSession.range(1).select(bm25_tokens(F.lit(query), stopwords).alias("t")).first()  # the query's own words
+    asked = Counter(one["t"])
+    held = candidates.withColumn("_tokens", bm25_tokens(F.coalesce("content", F.lit("")), stopwords))
+    whole = held.where(F.size("_tokens") > 0).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avgdl"))
+    df = held.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    each = [F.max(F.when(F.col("term") == t, raw)).alias(f"_raw{i}") for i, t in enumerate(asked)]
+    stats = df.join(F.broadcast(whole)).agg(F.avg(raw).alias("_mean"), F.max("_avgdl").alias("_avgdl"), *each)
+
+    def score(tokens: Column) -> Column:
+        total, norm = F.lit(0.0), k1 * (1 - b + b * F.size(tokens) / F.col("_avgdl"))
+        for i, (t, times) in enumerate(asked.items()):
+            idf = F.when(F.col(f"_raw{i}") >= 0, F.col(f"_raw{i}")).otherwise(epsilon * F.col("_mean"))
+            tf = F.size(tokens) - F.size(F.array_remove(tokens, t))
+            total = total + F.when(F.col(f"_raw{i}").isNotNull() & (tf > 0), times * idf * tf * (k1 + 1) / (tf + norm)).otherwise(0.0)
+        return total
+
+    return held.join(F.broadcast(stats)).withColumn("bm25_score", score(F.col("_tokens"))).select(*candidates.columns, "bm25_score")
 
 
 def fused(ranked: DataFrame, columns: list[str], k: int = RRF_K, partition: list[str] | None = None) -> DataFrame:
