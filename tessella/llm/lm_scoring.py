@@ -1,17 +1,20 @@
 """Cross-entropy difference: how much more a document reads like the target corpus than like the whole.
 
-Two interpolated bigram models share one vocabulary of 2^WORD_BITS hashed words and 2^PAIR_BITS hashed word pairs. The background is
-counted over all documents, the target over those that a label marks as wanted; both are smoothed alike: a pair's probability backs off
-to the word's with weight MU, a word's to the uniform one with weight NU. A document's score is its mean loss per token under the target
-model less that under the background model: low means like the target.
-
-Every partition of the corpus sends its own counts, cut into blocks, and blocks are added in two rounds, so what is gathered grows with
-the corpus while every task holds one block. Null and empty texts have no tokens and null losses. Rows that repeat count and score as
-often. Without a wanted row all scores are 0. Other columns are ignored.
+Two interpolated bigram models count every distinct word and word pair of the corpus. The background is counted over all documents, the
+target over those that a label marks as wanted; both are smoothed alike: a pair's probability backs off to the word's with weight MU, a
+word's to the uniform one, 2^-WORD_BITS, with weight NU. A document's score is its mean loss per token under the target model less that
+under the background model: low means like the target.
+
+Words and pairs are told apart by 64 bits of a hash; no table of fixed size is kept. Rows are read in batches of about BATCH tokens. A
+batch sends each of its distinct words and pairs once, with its counts, to the bucket of the hash; the bucket adds what all batches sent
+and answers each with the sums; the batch scores its documents with the answers. A frequent pair is thus one entry a batch, and a bucket's
+share stays the same size, as the number of buckets grows with the text. Null and empty texts have no tokens and null losses. Rows that
+repeat count and score as often. Without a wanted row all scores are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -21,101 +24,186 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import only, table
+from tessella.llm.shared import cut, only, table
 
-WORD_BITS, PAIR_BITS = 17, 20
+WORD_BITS = 17
 MU, NU = 50.0, 1000.0
-BLOCK_BITS = 14
-REMEMBERED = 400_000
-_SIZE = 2**WORD_BITS + 2**PAIR_BITS
+#: Tokens of a batch, about; characters of text for each bucket, and the least buckets, as powers of two.
+BATCH = 2_500_000
+BUCKET_CHARS, LEAST_BUCKETS = 2**25, 2**9
+_INFO, _TOTAL = -1, -2
+_HELD = "batch long, bucket int, asked boolean, keys binary, background binary, target binary, n_background long, n_target long"
+_SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, ce_diff double"
+
+
+def _hash(mark: bytes, word: str = "") -> int:
+    return int.from_bytes(hashlib.blake2b(mark + word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
 class _Ids(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = i = zlib.crc32(word.strip(".,;:!?\"'()").encode("utf-8", "surrogatepass")) & (2**WORD_BITS - 1)
+    """The numbers of a batch's words as they stand in texts; hashes has a row for each word without its punctuation. 0 starts a text."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: dict[str, int] = {}
+        self.hashes = [_hash(b"start")]
+
+    def __missing__(self, raw: str) -> int:
+        word = raw.strip(".,;:!?\"'()")
+        if word not in self.words:
+            self.words[word] = len(self.hashes)
+            self.hashes.append(_hash(b"w", word))
+        self[raw] = i = self.words[word]
         return i
 
 
-def _places(text: str | None, ids: _Ids) -> tuple[np.ndarray, np.ndarray]:
-    """The words of a text, with the start mark 0 before them, and its pairs."""
-    words = (text or "").lower().split()
-    w = np.zeros(len(words) + 1, np.int64)
-    w[1:] = np.fromiter(map(ids.__getitem__, words), np.int64, len(words))
-    pairs = ((w[:-1] * 0x9E3779B1 + w[1:] * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - PAIR_BITS)
-    return w, pairs
-
-
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The partition's counts as blocks of 2^BLOCK_BITS places, background first."""
-    seen, ids = np.zeros((2, _SIZE), np.int32), _Ids()
-    for pdf in batches:
-        for wanted in (False, True):
-            some = [_places(t, ids) for t in pdf["text"][pdf["wanted"] == wanted]]
-            if some:
-                n = np.bincount(np.concatenate([w for w, _ in some]), minlength=2**WORD_BITS)
-                p = np.bincount(np.concatenate([p for _, p in some]), minlength=2**PAIR_BITS)
-                both = np.concatenate([n, p]).astype(np.int32)
-                seen[0] += both
-                if wanted:
-                    seen[1] += both
-    part, step = TaskContext.get().partitionId(), 2**BLOCK_BITS
-    flat = seen.ravel()
-    yield pd.DataFrame({"block": np.arange(len(flat) // step), "half": part % 64, "counts": [zlib.compress(flat[i : i + step].astype("<i8").tobytes(), 1) for i in range(0, len(flat), step)]})
-
-
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(2**BLOCK_BITS, np.int64)
-    for counts in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(counts), "<i8")
-    return pd.DataFrame({"block": pdf["block"].iloc[:1], "half": pdf["half"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def fit(docs: DataFrame) -> np.ndarray:
-    """Counts (background or target, place) from rows (text, wanted)."""
-    kind = "block int, half int, counts binary"
-    held = docs.mapInPandas(_counted, kind).groupBy("block", "half").applyInPandas(_added, kind)
-    rows = held.groupBy("block").applyInPandas(_added, kind).collect()  # 2 * (2^WORD_BITS + 2^PAIR_BITS) counts, whatever the corpus
-    out = np.zeros((2 * _SIZE) >> BLOCK_BITS, object)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-    if not rows:
-        return np.zeros((2, _SIZE), np.float32)
-    return np.concatenate(list(out)).reshape(2, _SIZE).astype(np.float32)
-
-
-def score(docs: DataFrame, counts: np.ndarray) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_tokens, loss_target, loss_background, ce_diff."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    target = bool(counts[1].any())
-
+def _squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers as compressed planes of bytes."""
+    return zlib.compress(np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _whole(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Ascending keys as steps, which squeeze well."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.int64)
+
+
+def _climbed(steps: np.ndarray) -> np.ndarray:
+    return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
+
+
+def _keys(w: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's ascending keys, the place of each word among them, the place and the (words) of each distinct pair, and each token's pair.
+    w: the words of all texts, each with the start mark 0 before them; lengths: the words of each, with the mark."""
+    follows = np.ones(len(w), bool)
+    follows[np.cumsum(lengths) - lengths] = False
+    at = np.flatnonzero(follows)
+    codes, pair = np.unique(w[at - 1] * np.int64(len(hashes)) + w[at], return_inverse=True)
+    u, v = np.divmod(codes, len(hashes))
+    h = hashes[u] * np.uint64(0x9E3779B97F4A7C15) + (hashes[v] ^ (hashes[v] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+    keys, place = np.unique(np.concatenate([hashes, h ^ (h >> np.uint64(31))]), return_inverse=True)
+    return keys, place[: len(hashes)], place[len(hashes) :], np.stack([u, v]), pair
+
+
+def _sent(batch: int, ids: _Ids, rows: list[tuple], bits: int) -> pd.DataFrame:
+    """What a batch of (words, doc_id, learned, wanted, asked) sends: its counts by bucket, its totals, and, where asked, itself."""
+    lengths = np.array([len(r[0]) for r in rows])
+    w = np.concatenate([r[0] for r in rows])
+    hashes = np.array(ids.hashes, np.uint64)
+    keys, words, pairs, _, pair = _keys(w, lengths, hashes)
+    follows = np.ones(len(w), bool)
+    follows[np.cumsum(lengths) - lengths] = False
+    flags = np.array([r[2:] for r in rows], bool)
+    asked, counts, totals = bool(flags[:, 2].any()), [], []
+    for chosen in (flags[:, 0], flags[:, 0] & flags[:, 1]):
+        own = np.repeat(chosen, lengths)
+        n = np.zeros(len(keys), np.int64)
+        np.add.at(n, words, np.bincount(w[own], minlength=len(hashes)))
+        np.add.at(n, pairs, np.bincount(pair[own[follows]], minlength=len(pairs)))
+        counts.append(n)
+        totals.append(int(own.sum()))
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
+    sent = [(batch, int(bucket[a]), asked, _squeezed(_steps(keys[a:b])), _squeezed(counts[0][a:b]), _squeezed(counts[1][a:b]), 0, 0) for a, b in zip(edges, edges[1:], strict=False)]
+    sent.append((batch, _TOTAL, asked, None, None, None, *totals))
+    if asked:
+        known = np.array([r[1] is not None and r[1] == r[1] for r in rows])
+        names = np.array([int(r[1]) if k else 0 for r, k in zip(rows, known, strict=True)], np.int64)
+        sent.append((batch, _INFO, True, hashes.astype("<u8").tobytes(), _squeezed(w), _squeezed(np.concatenate([lengths, names, known, flags[:, 2]])), 0, 0))
+    return pd.DataFrame(sent, columns=[c.split()[0] for c in _HELD.split(", ")])
+
+
+def _batched(bits: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _Ids()
-        words, pairs = shared.value[:, : 2**WORD_BITS], shared.value[:, 2**WORD_BITS :]
-        totals = words.sum(1, dtype=np.float64)
-
-        def losses(w: np.ndarray, p: np.ndarray) -> tuple[float, float]:
-            out = []
-            for k in (1, 0):
-                plain = (words[k][w[1:]] + NU / 2**WORD_BITS) / (totals[k] + NU)
-                out.append(float(-np.log((pairs[k][p] + MU * plain) / (words[k][w[:-1]] + MU)).mean()))
-            return out[0], out[1]
-
+        batch, ids, held, size = TaskContext.get().partitionId() << 32, _Ids(), [], 0
         for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                w, p = _places(text, ids)
-                t, b = losses(w, p) if len(p) else (None, None)
-                rows.append((len(p), t if target else b, b, None if t is None else (t - b if target else 0.0)))
-            yield pd.DataFrame(rows, columns=["n_tokens", "loss_target", "loss_background", "ce_diff"]).astype({"loss_target": float, "loss_background": float, "ce_diff": float}).assign(doc_id=pdf["doc_id"].astype("Int64").to_numpy())[["doc_id", "n_tokens", "loss_target", "loss_background", "ce_diff"]]
-
-    held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return held.mapInPandas(run, "doc_id long, n_tokens long, loss_target double, loss_background double, ce_diff double")
+            for text, *about in zip(pdf["text"], pdf["doc_id"].astype(object), pdf["learned"], pdf["wanted"], pdf["asked"], strict=True):
+                words = (text or "").lower().split()
+                w = np.zeros(len(words) + 1, np.int32)
+                w[1:] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+                held.append((w, *about))
+                size += len(w)
+                if size >= BATCH:
+                    yield _sent(batch, ids, held, bits)
+                    batch, ids, held, size = batch + 1, _Ids(), [], 0
+        if held:
+            yield _sent(batch, ids, held, bits)
+
+    return run
+
+
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One bucket: the sums over all batches of each key that an asking batch sent, in the order of its keys."""
+    sent = [_climbed(_whole(k)) for k in pdf["keys"]]
+    keys, place = np.unique(np.concatenate(sent), return_inverse=True)
+    ends = np.cumsum([len(k) for k in sent])[:-1]
+    out = {"batch": pdf["batch"], "bucket": pdf["bucket"]}
+    for name in ("background", "target"):
+        total = np.bincount(place, np.concatenate([_whole(n) for n in pdf[name]]), len(keys)).astype(np.int64)
+        out[name] = [_squeezed(x) for x in np.split(total[place], ends)]
+    return pd.DataFrame(out)[pdf["asked"].to_numpy(bool)]
+
+
+def _scored(totals: tuple[int, int]):
+    def run(key, sums: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
+        sums, (hashes, w, about) = sums.sort_values("bucket"), info[["keys", "background", "target"]].iloc[0]
+        hashes, w = np.frombuffer(hashes, "<u8"), _whole(w).astype(np.int32)
+        lengths, names, known, asked = _whole(about).reshape(4, -1)
+        known, asked = known.astype(bool), asked.astype(bool)
+        _, words, pairs, (u, v), pair = _keys(w, lengths, hashes)
+        losses = {}
+        for name, total in zip(("background", "target"), totals, strict=True):
+            count = np.concatenate([_whole(n) for n in sums[name]]).astype(np.float64)
+            single = count[words]
+            plain = (single[v] + NU / 2**WORD_BITS) / (total + NU)
+            token = -np.log((count[pairs] + MU * plain) / (single[u] + MU))[pair]
+            summed = np.concatenate([[0.0], np.cumsum(token)])
+            ends = np.cumsum(lengths - 1)
+            losses[name] = np.where(lengths > 1, (summed[ends] - summed[ends - lengths + 1]) / np.maximum(1, lengths - 1), np.nan)
+        background = losses["background"]
+        target = losses["target"] if totals[1] else background
+        ids = pd.array(names, "Int64")
+        ids[~known] = pd.NA
+        out = {"doc_id": ids, "n_tokens": lengths - 1} | {c: pd.array(x, "Float64") for c, x in (("loss_target", target), ("loss_background", background), ("ce_diff", target - background))}
+        made = pd.DataFrame(out)
+        made.loc[lengths == 1, ["loss_target", "loss_background", "ce_diff"]] = pd.NA
+        return made[asked]
+
+    return run
+
+
+def _losses(rows: DataFrame, chars: int) -> DataFrame:
+    """rows (doc_id, text, learned, wanted, asked): the scores of those asked about, by the counts of those learned."""
+    bits = max(LEAST_BUCKETS, chars // BUCKET_CHARS).bit_length() - 1
+    held = cut(rows.mapInPandas(_batched(bits), _HELD))
+    totals = held.where(F.col("bucket") == _TOTAL).agg(F.sum("n_background"), F.sum("n_target")).first()
+    sums = held.where("bucket >= 0").select("batch", "bucket", "asked", "keys", "background", "target").groupBy("bucket").applyInPandas(_answered, "batch long, bucket int, background binary, target binary")
+    info = held.where(F.col("bucket") == _INFO).select("batch", "keys", "background", "target")
+    return sums.groupBy("batch").cogroup(info.groupBy("batch")).applyInPandas(_scored((totals[0] or 0, totals[1] or 0)), _SCORES)
+
+
+def _chars(rows: DataFrame) -> int:
+    return rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def fit(docs: DataFrame) -> DataFrame:
+    """The learning rows (text, wanted); score() counts them, as counts are only asked for by key."""
+    return docs.select("text", "wanted")
+
+
+def score(docs: DataFrame, learned: DataFrame) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_tokens, loss_target, loss_background, ce_diff."""
+    held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(False).alias("learned"), F.lit(False).alias("wanted"), F.lit(True).alias("asked"))
+    known = learned.select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.lit(True).alias("learned"), F.coalesce("wanted", F.lit(False)).alias("wanted"), F.lit(False).alias("asked"))
+    return _losses(held.unionByName(known), _chars(held) + _chars(known))
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
     wanted = only(table(spark, sf_dir, "labels"), "doc_id", "quality").where("quality = 1").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.join(wanted.hint("merge"), "doc_id", "left").select("text", F.coalesce("wanted", F.lit(False)).alias("wanted"))
-    return score(docs, fit(marked))
+    marked = docs.join(wanted.hint("merge"), "doc_id", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(True).alias("learned"), F.coalesce("wanted", F.lit(False)).alias("wanted"), F.lit(True).alias("asked"))
+    return _losses(marked, _chars(docs))
