@@ -1,14 +1,15 @@
 """Toxic passages: maximum-scoring segments over token log-odds with Dirichlet priors, calibrated by extreme values.
 
 Each word has features: itself and its first six, five and four letters. Learning documents of either label that hold a feature are
-counted, over all learning rows, in 2^BITS hashed places; near copies, told by their smallest hash of three words, count once. A feature's score is the difference of the log-odds of both labels under a
+counted, over all learning rows, in 2^BITS hashed places; equal texts of a label count once, all others each. A feature's score is the difference of the log-odds of both labels under a
 Dirichlet prior of PRIOR documents spread as the whole is; its deviation follows from the counts. A word takes the score of the feature
 with the largest score over deviation where that is significant and strong, else the small negative DRIFT, so that plain text runs downhill.
 
 A linear scan finds every maximal scoring segment of a text. The best segment of n clean words grows like ln(n) / lambda (lambda: where
 the mean of exp(lambda * score) over clean words is 1), so lambda * S - ln(n) is comparable between lengths; a passage counts as
-significant where it exceeds the extreme-value quantile. A logistic curve of the best segment's normalised score and of the sums of
-significant and of all segments, fitted on at most SAMPLE learning rows that the counts did not use, turns them into a score from 0 to 1.
+significant where it exceeds the extreme-value quantile; lambda comes from the words of all clean learning rows. A logistic curve of the
+best segment's normalised score and of the sums of significant and of all segments turns them into a score from 0 to 1. It is fitted on at
+most SAMPLE rows of a quarter of the learning texts, as they score by the counts of the other three; all other scores use all counts.
 
 Null and empty texts get the score of no evidence. Without learning rows of both labels every score is 0. Labels of a doc_id that
 disagree each count; ties need no order. Rows that repeat are scored as often. Other columns are ignored.
@@ -32,13 +33,12 @@ PRIOR = 2.0
 DRIFT = -0.1
 #: Score over deviation and score from which a feature speaks; scores are held to this size.
 SIGNIFICANT, STRONG, MOST = 3.0, 1.5, 8.0
-#: A feature counts once for all learning texts of a label with the same smallest hash of three words (near copies), in each of SPLITS parts.
-SPLITS = 4
 SAMPLE = 20_000
 REMEMBERED = 400_000
 #: Chance that a clean text has a significant passage.
 ALPHA = 0.01
 _MASK = 2**BITS - 1
+_KINDS = ("clean", "toxic", "curve_clean", "curve_toxic")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡…-*_#"
 
 
@@ -64,31 +64,23 @@ class _Remembered(dict):
         return value
 
 
-def _sketch(text: Column) -> Column:
-    """The smallest hash of three words in a row."""
-    return F.transform(F.array(F.split(F.coalesce(text, F.lit("")), r"\s+")), lambda w: F.array_min(F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))))[0]
-
-
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partitions come sorted by (toxic, sketch, part)."""
-    seen, docs, places = np.zeros((2, 2**BITS), np.int32), [0, 0], _Remembered(features)
-    held: set[int] = set()
-    group = None
+    """Documents by feature, apart for the curve's quarter and the rest, and by label; place -1 counts all documents."""
+    seen, docs, places = np.zeros((4, 2**BITS), np.int32), np.zeros(4, np.int64), _Remembered(features)
+    for pdf in batches:
+        for text, toxic, curve in zip(pdf["text"], pdf["toxic"], pdf["curve"], strict=True):
+            kind = 2 * int(curve) + int(toxic)
+            held = set().union(*map(places.__getitem__, set((text or "").lower().split())))
+            docs[kind] += 1
+            seen[kind, np.fromiter(held, np.int64, len(held))] += 1
+    any_ = np.flatnonzero(seen.any(0))
+    yield pd.DataFrame({"place": np.append(any_, -1)} | {c: np.append(seen[i, any_], docs[i]) for i, c in enumerate(_KINDS)})
 
-    def close() -> None:
-        if group is not None:
-            docs[group[0]] += 1
-            seen[group[0], np.fromiter(held, np.int64, len(held))] += 1
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts as blocks of bytes, as the driver has no room for a row each."""
     for pdf in batches:
-        for text, *now in zip(pdf["text"], pdf["toxic"], pdf["sketch"], pdf["part"], strict=True):
-            if now != group:
-                close()
-                group, held = now, set()
-            held.update(*map(places.__getitem__, set((text or "").lower().split())))
-    close()
-    any_ = np.flatnonzero(seen.any(0))
-    yield pd.DataFrame({"place": np.append(any_, -1), "clean": np.append(seen[0, any_], docs[0]), "toxic": np.append(seen[1, any_], docs[1])})
+        yield pd.DataFrame({c: [pdf[c].to_numpy().astype("<i4").tobytes()] for c in pdf.columns})
 
 
 def word_scores(places: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,50 +169,58 @@ def _inputs(best: np.ndarray, total: np.ndarray, every: np.ndarray) -> np.ndarra
     return np.column_stack([np.clip(best, -15, 25), np.log1p(total), np.log1p(every)])
 
 
-def _grouped(labelled: DataFrame) -> DataFrame:
-    held = labelled.select("text", "toxic", _sketch(F.col("text")).alias("sketch"), F.pmod(F.xxhash64("doc_id"), F.lit(SPLITS)).cast("int").alias("part"))
-    return held.repartition("toxic", "sketch", "part").sortWithinPartitions("toxic", "sketch", "part")
+def _curved() -> Column:
+    """Whether a text is of the quarter that the curve is fitted on; equal texts are on one side."""
+    return F.pmod(F.xxhash64("text"), F.lit(4)) == 0
 
 
 def fit(labelled: DataFrame) -> dict | None:
-    """The model from rows (doc_id, text, toxic). A quarter of the rows, by hash, is left for the curve."""
+    """The model from rows (doc_id, text, toxic)."""
     spark = labelled.sparkSession
-    fold = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-    counts = _grouped(labelled.where(fold != 0)).mapInPandas(_counted, "place int, clean long, toxic long").groupBy("place").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toPandas()
-    whole = counts[counts["place"] == -1]
-    counts = counts[counts["place"] >= 0]
-    if not len(whole) or not whole["clean"].iloc[0] or not whole["toxic"].iloc[0]:
+    each = labelled.select("text", "toxic").distinct().withColumn("curve", _curved())
+    counts = each.mapInPandas(_counted, "place int, " + ", ".join(f"{c} long" for c in _KINDS)).groupBy("place").agg(*[F.sum(c).cast("int").alias(c) for c in _KINDS])
+    blocks = counts.mapInPandas(_blocks, ", ".join(f"{c} binary" for c in ("place", *_KINDS))).collect()  # at most 2^BITS places
+    held = pd.DataFrame({c: np.frombuffer(b"".join(r[c] for r in blocks), "<i4") for c in ("place", *_KINDS)})
+    del blocks
+    whole, held = held[held["place"] == -1], held[held["place"] >= 0]
+    if not len(whole):
         return None
-    score, sure = word_scores(counts["place"].to_numpy(), counts["clean"].to_numpy(), counts["toxic"].to_numpy(), int(whole["clean"].iloc[0]), int(whole["toxic"].iloc[0]))
-    shared = spark.sparkContext.broadcast({"score": score, "sure": sure})
-
-    def evident(rate: float | None):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = _scorer(shared.value)
+    rest = {c: int(whole[c].iloc[0]) for c in _KINDS}
+    n_clean, n_toxic = rest["clean"] + rest["curve_clean"], rest["toxic"] + rest["curve_toxic"]
+    if not n_clean or not n_toxic:
+        return None
+    places = held["place"].to_numpy()
+    score, sure = word_scores(places, (held["clean"] + held["curve_clean"]).to_numpy(), (held["toxic"] + held["curve_toxic"]).to_numpy(), n_clean, n_toxic)
+    apart = word_scores(places, held["clean"].to_numpy(), held["toxic"].to_numpy(), rest["clean"], rest["toxic"]) if rest["clean"] and rest["toxic"] else None
+    del held
+    shared = spark.sparkContext.broadcast([{"score": a, "sure": b} for a, b in [(score, sure), *([apart] if apart else [])]])
+
+    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, seen = _scorer(shared.value[0]), {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                for s in map(scorer.__getitem__, (text or "").lower().split()):
+                    s = round(s, 1)
+                    seen[s] = seen.get(s, 0) + 1
+        yield pd.DataFrame({"s": list(seen), "n": list(seen.values())}).astype({"s": float, "n": "int64"})
+
+    clean = labelled.where("toxic = 0").select("text").mapInPandas(shares, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    rate = _rate({r["s"]: r["n"] for r in clean} or {DRIFT: 1})
+    weights = np.array([-3.0, 0.3, 0.3, 0.3])
+    if apart:
+
+        def evident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            scorer = _scorer(shared.value[1])
             for pdf in batches:
-                if rate is None:
-                    seen: dict[float, int] = {}
-                    for text in pdf["text"][pdf["toxic"] == 0]:
-                        for s in map(scorer.__getitem__, (text or "").lower().split()):
-                            s = round(s, 1)
-                            seen[s] = seen.get(s, 0) + 1
-                    yield pd.DataFrame({"a": list(seen), "b": [float(n) for n in seen.values()], "c": 0.0, "toxic": 0}).astype({"a": float, "b": float})
-                else:
-                    rows = [evidence(t, scorer, rate)[:3] for t in pdf["text"]]
-                    yield pd.DataFrame(rows, columns=["a", "b", "c"]).assign(toxic=pdf["toxic"].to_numpy()).astype({"a": float, "b": float, "c": float})
-
-        return run
-
-    rows = labelled.where(fold == 0).select("doc_id", "text", "toxic")
-    n = rows.count()
-    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n)))).select("text", "toxic")
-    shares = rows.mapInPandas(evident(None), "a double, b double, c double, toxic int").groupBy("a").agg(F.sum("b").alias("b")).collect()
-    rate = _rate({r["a"]: r["b"] for r in shares} or {DRIFT: 1})
-    seen = rows.mapInPandas(evident(rate), "a double, b double, c double, toxic int").toPandas()
-    if seen["toxic"].nunique() < 2:
-        weights = np.array([-3.0, 0.3, 0.3, 0.3])
-    else:
-        weights = _curve(_inputs(seen["a"].to_numpy(), seen["b"].to_numpy(), seen["c"].to_numpy()), seen["toxic"].to_numpy().astype(float))
+                rows = [evidence(t, scorer, rate)[:3] for t in pdf["text"]]
+                yield pd.DataFrame(rows, columns=["a", "b", "c"]).assign(toxic=pdf["toxic"].to_numpy()).astype({"a": float, "b": float, "c": float})
+
+        rows = labelled.where(_curved()).select("doc_id", "text", "toxic")
+        n = rows.count()
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n)))).select("text", "toxic")
+        seen = rows.mapInPandas(evident, "a double, b double, c double, toxic int").toPandas()
+        if seen["toxic"].nunique() == 2:
+            weights = _curve(_inputs(seen["a"].to_numpy(), seen["b"].to_numpy(), seen["c"].to_numpy()), seen["toxic"].to_numpy().astype(float))
     return {"score": score, "sure": sure, "rate": rate, "weights": weights}
 
 
