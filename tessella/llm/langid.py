@@ -9,7 +9,7 @@ seen among the fitting rows with about as many n-grams; texts of up to SHORT n-g
 
 Null texts and texts without a letter are "und" with score 0 and count as rejected. Equal cosines go to the language first in code point
 order. Without any learning row every text is "und". Rows that repeat are predicted as often; other columns are ignored by classify()
-and pass through keep_languages() untouched.
+and pass through keep_languages() untouched, which judges each row by its own text, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tessella.llm.shared import crc32_text, only, table
 
@@ -115,6 +117,21 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
     return {"idf": idf, "names": names, "centres": np.vstack(all_centres).astype(np.float32), "owner": np.array(owner), "floors": np.array(floors, np.float32)}
 
 
+def _judged(texts, m: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(language, cosine, rejected) of each text."""
+    weighted = m["weighted"] if "weighted" in m else m.setdefault("weighted", (m["centres"] * m["idf"]).T.copy())
+    names, scores, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
+    for k, text in enumerate(texts):
+        if has_letter(text):
+            v, n = _counts(text)
+            cosines = (v @ weighted) / max(1e-12, float(np.linalg.norm(v * m["idf"])))
+            best = int(cosines.argmax())
+            own = m["owner"][best]
+            names[k], scores[k] = m["names"][own], min(1.0, max(0.0, float(cosines[best])))
+            out[k] = scores[k] < m["floors"][own][np.searchsorted(LENGTHS, n)]
+    return names, scores, out
+
+
 def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, lang_pred, score (cosine) and rejected."""
     held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -123,18 +140,8 @@ def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * CENTROIDS rows of DIMENSIONS floats
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        weighted = (m["centres"] * m["idf"]).T.copy()
         for pdf in batches:
-            names, scores, out = ["und"] * len(pdf), np.zeros(len(pdf)), np.ones(len(pdf), bool)
-            for k, text in enumerate(pdf["text"]):
-                if has_letter(text):
-                    v, n = _counts(text)
-                    cosines = (v @ weighted) / max(1e-12, float(np.linalg.norm(v * m["idf"])))
-                    best = int(cosines.argmax())
-                    own = m["owner"][best]
-                    names[k], scores[k] = m["names"][own], min(1.0, max(0.0, float(cosines[best])))
-                    out[k] = scores[k] < m["floors"][own][np.searchsorted(LENGTHS, n)]
+            names, scores, out = _judged(pdf["text"], shared.value)
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": names, "score": scores, "rejected": out})
 
     return held.mapInPandas(predict, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -147,8 +154,17 @@ def learning(docs: DataFrame) -> DataFrame:
 
 def keep_languages(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected."""
-    verdicts = classify(docs, fit(learning(docs))).where("not rejected").select("doc_id").distinct()
-    return docs.join(verdicts, "doc_id", "left_semi")
+    model = fit(learning(docs))
+    if model is None or "text" not in docs.columns:
+        return docs.where(F.lit(False))
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_judged(batch.column(at).to_pylist(), shared.value)[2]))
+
+    plain = StructType([StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(docs.schema)])  # names may hold dots
+    return docs.toDF(*plain.names).mapInArrow(keep, plain).toDF(*docs.columns)
 
 
 def op10_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:

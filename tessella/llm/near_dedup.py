@@ -10,8 +10,8 @@ classes into components. Buckets that still hold several components get a second
 is compared block by block: on one byte of each of 255 bins first, and where their agreement allows the threshold on the full sets at
 once, so that only links that join components leave a task. Nothing is capped: a large bucket becomes more tasks, never a longer list.
 
-A doc_id is a node: rows that share one are one node. Rows with a null doc_id take the component of an equal set that has one, else
-null, and are never kept. Null and empty texts link with nothing. Other columns pass through near_dedup() untouched.
+To classes() a doc_id is a node: rows that share one are one node, and rows with a null doc_id take the component of an equal set that
+has one, else null. To near_dedup() each row is a node. Null and empty texts link with nothing. Other columns pass through it untouched.
 """
 
 from __future__ import annotations
@@ -244,12 +244,16 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which doc_id is the smallest of its component, each doc_id once; all columns as they were."""
-    kept = classes(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi")
-    again = one.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    repeated = one.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.join(again, "doc_id", "left_anti").unionByName(repeated)
+    """One row of docs for each component of near texts, that of the smallest doc_id, nulls last; all columns as they were. Each row is
+    a node here: rows without a doc_id and unlike texts of one doc_id stay. Of empty texts, one for each doc_id and all without one."""
+    row = next(c for c in (f"row{i}" for i in range(len(docs.columns) + 1)) if c not in {x.lower() for x in docs.columns})
+    held = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    names = only(held, row, "doc_id").select(F.col(row).alias("row"), F.col("doc_id").cast("bigint").alias("id"))
+    found = classes(only(held, row, "text").select(F.col(row).alias("doc_id"), "text")).withColumnRenamed("doc_id", "row").join(names, "row")
+    bare = F.col("n_shingles") == 0
+    group = [F.when(~bare, F.col("component_id")).alias("near"), F.when(bare, F.col("id")).alias("empty"), F.when(bare & F.col("id").isNull(), F.col("row")).alias("lone")]
+    kept = found.groupBy(*group).agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias(row)).select(row)
+    return held.join(kept, row, "left_semi").drop(row).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
