@@ -101,6 +101,12 @@ def heading_level(line: Column, rules: str = "txt") -> Column:
     return level.when(plain, 1).otherwise(0)
 
 
+def setext_level(line: Column, following: Column) -> Column:
+    """The level of a line that the following one underlines: 1 by '=', 2 by '-'; else 0."""
+    full = line.rlike(r"\S")
+    return F.when(full & following.rlike(r"^\s*=+\s*$"), 1).when(full & following.rlike(r"^\s*-+\s*$"), 2).otherwise(0)
+
+
 def indent_width(line: Column, tab: int = 4) -> Column:
     return F.length(F.replace(F.regexp_extract(line, r"^[\t ]*", 0), F.lit("\t"), F.lit(" " * tab)))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import heading_level, indent_width, lines, strip
+from tessella.functions.text import heading_level, indent_width, lines, setext_level, strip
 
 MIN_TOKENS, MAX_TOKENS, INDENT_STEP = 300, 500, 4
 _SENTENCES = re.compile(r"(?<=[.?!…])\s+")
@@ -41,10 +41,15 @@ def blocks(text: Column, step: int = INDENT_STEP) -> Column:
 
 
 def headings(blocks_: Column, rules: str = "txt") -> Column:
-    """The first heading of each block that has one: (block_index, level, text)."""
+    """The first heading of each block that has one: (block_index, level, text). In md an underlined line is one, whatever it is else."""
+    def level(held: Column, x: Column, i: Column) -> Column:
+        plain = heading_level(x, rules)
+        under = setext_level(x, F.get(held, i + 1))
+        return F.when(under > 0, under).otherwise(plain) if rules == "md" else plain
+
     def first(b: Column) -> Column:
-        found = F.filter(F.transform(lines(b["text"]), lambda x: F.struct(b["block_index"].alias("block_index"), heading_level(x, rules).alias("level"), strip(x).alias("text"))), lambda h: h["level"] > 0)
-        return F.slice(found, 1, 1)
+        every = F.transform(F.array(lines(b["text"])), lambda held: F.transform(held, lambda x, i: F.struct(b["block_index"].alias("block_index"), level(held, x, i).alias("level"), strip(x).alias("text"))))[0]
+        return F.slice(F.filter(every, lambda h: h["level"] > 0), 1, 1)
 
     return F.flatten(F.transform(blocks_, first))
 

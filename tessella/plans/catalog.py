@@ -461,3 +461,10 @@ def unique_image_names(t):
 def document_summary(t):
     rows = t("documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(30)).alias("content"))
     return S.summaries(rows).select("file_name", "chunks", F.left("contents", F.lit(500)).alias("summary"))
+
+
+@query(rf"WITH lines AS ({LINES}), made AS (SELECT doc_id, line_no, CASE line_no % 6 WHEN 2 THEN repeat('=', 1 + line_no % 4) || repeat(' ', line_no % 3) WHEN 4 THEN repeat('-', 1 + line_no % 5) WHEN 5 THEN '' ELSE line END AS line FROM lines) SELECT doc_id, line_no::INT AS line_no, CASE WHEN NOT regexp_matches(line, '\S') THEN 0 WHEN regexp_matches(next, '^=+\s*$') THEN 1 WHEN regexp_matches(next, '^-+\s*$') THEN 2 ELSE 0 END AS level FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM made)")
+def setext_underlines(t):
+    n, nxt = F.col("line_no"), F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
+    made = F.when(n % 6 == 2, F.expr("concat(repeat('=', 1 + line_no % 4), repeat(' ', line_no % 3))")).when(n % 6 == 4, F.expr("repeat('-', 1 + line_no % 5)")).when(n % 6 == 5, "").otherwise(F.col("line"))
+    return _lines(t).withColumn("line", made).withColumn("next", nxt).select("doc_id", "line_no", T.setext_level(F.col("line"), F.col("next")).alias("level"))
