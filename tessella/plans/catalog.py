@@ -468,3 +468,34 @@ def setext_underlines(t):
     n, nxt = F.col("line_no"), F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
     made = F.when(n % 6 == 2, F.expr("concat(repeat('=', 1 + line_no % 4), repeat(' ', line_no % 3))")).when(n % 6 == 4, F.expr("repeat('-', 1 + line_no % 5)")).when(n % 6 == 5, "").otherwise(F.col("line"))
     return _lines(t).withColumn("line", made).withColumn("next", nxt).select("doc_id", "line_no", T.setext_level(F.col("line"), F.col("next")).alias("level"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
+md5(CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || text ELSE text END) AS payload FROM conversations""")
+def hit_projection_whole(t):
+    crumbs = F.when(F.col("turn") % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
+    return t("conversations").select("conv_id", "turn", T.preview(F.col("text"), 200).alias("preview"), F.md5(T.with_context(F.col("text"), crumbs).cast("binary")).alias("payload"))
+
+
+def _whole_context_sql(own: str) -> str:
+    return f"SELECT conv_id, turn, md5(array_to_string(list_filter(coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING{own}), []), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS digest FROM conversations"
+
+
+def _whole_context(t, own: bool):
+    return readers.surroundings(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", own=own).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
+
+
+@query(_whole_context_sql(" EXCLUDE CURRENT ROW"))
+def image_context_paragraphs_whole(t):
+    return _whole_context(t, False)
+
+
+@query(_whole_context_sql(""))
+def image_context_rows_whole(t):
+    return _whole_context(t, True)
+
+
+@query("SELECT source AS file_name, count(*) AS chunks, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE n <= 100)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source")
+def document_summary_whole(t):
+    rows = t("documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
+    return S.summaries(rows).select("file_name", "chunks", F.md5(F.col("contents").cast("binary")).alias("digest"))
