@@ -6,7 +6,8 @@ weighs the error along the vector ETA times the error across it. A query builds
 scans the codes; the RERANK best of every block are measured exactly, in double precision.
 
 The index is fitted on at most SAMPLE vectors (those with the smallest hash of vec_id) and holds every vector. Vectors lie in lists by
-their nearest coarse centre; a query visits so many lists that, on the sample, RECALL of the true neighbours lie in them. Lists are
+their nearest coarse centre; a query visits so many lists that, on the sample, RECALL of the true neighbours lie in them, and further
+ones until those visited hold RERANK candidates besides the rows of its own id, or all lists. Lists are
 dealt into blocks of at most about BLOCK vectors and QUERY_BLOCK queries, so that a list with a third of all rows becomes many tasks.
 
 Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part. Equal distances go to
@@ -113,17 +114,33 @@ def fit(vectors: DataFrame, k: int) -> dict:
     return {"centres": centres, "visits": visits, "books": _trained(x, eta), "eta": eta, "rows": n}
 
 
-def _lists(model, visits: int):
+def _near_lists(x: np.ndarray, m: dict) -> np.ndarray:
+    return np.argsort((m["centres"] ** 2).sum(1) - 2 * x @ m["centres"].T, 1, kind="stable").astype(np.int32)
+
+
+def _indexed(model):
     def run(batches):
         m = model.value
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy())
-                far = (m["centres"] ** 2).sum(1) - 2 * x @ m["centres"].T
-                near = np.argsort(far, 1, kind="stable")[:, :visits]
-                codes = encode(x, m["books"], m["eta"]) if visits == 1 else None
-                out = {"id": pdf["id"], "v": pdf["v"], "lists": list(near.astype(np.int32))}
-                yield pd.DataFrame(out | ({"codes": [c.tobytes() for c in codes]} if visits == 1 else {}))
+                codes = encode(x, m["books"], m["eta"])
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes], "list": _near_lists(x, m)[:, 0]})
+
+    return run
+
+
+def _asking(model, sizes: dict[int, int], k: int):
+    """The lists that each query visits; own: rows of its own id, which are no candidates."""
+    def run(batches):
+        m = model.value
+        rows = np.array([sizes.get(i, 0) for i in range(len(m["centres"]))])
+        for pdf in batches:
+            if len(pdf):
+                near = _near_lists(np.stack(pdf["v"].to_numpy()), m)
+                short = np.cumsum(rows[near], 1) < pdf["own"].to_numpy()[:, None] + max(k, RERANK)
+                visits = np.maximum(m["visits"], short.sum(1) + 1)
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "lists": [x[:n] for x, n in zip(near, visits, strict=True)]})
 
     return run
 
@@ -172,9 +189,11 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     model = fit(vectors, k)
     shared = spark.sparkContext.broadcast(model)  # at most MOST_LISTS centres and the codebooks
-    index = cut(vectors.mapInPandas(_lists(shared, 1), "id long, v array<double>, lists array<int>, codes binary").withColumn("list", F.col("lists")[0]).drop("lists"))
-    visiting = "id long, v array<double>, lists array<int>"
-    asked = cut(queries.mapInPandas(_lists(shared, model["visits"] + (model["visits"] == 1)), visiting).select("id", "v", F.explode(F.slice("lists", 1, model["visits"])).alias("list")))
+    index = cut(vectors.mapInPandas(_indexed(shared), "id long, v array<double>, codes binary, list int"))
+    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most MOST_LISTS rows
+    own = index.groupBy("id").agg(F.count("*").alias("own"))
+    counted = queries.select("id", "v").join(own, "id", "left").select("id", "v", F.coalesce("own", F.lit(0)).alias("own"))
+    asked = cut(counted.mapInPandas(_asking(shared, sizes, k), "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list")))
     blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
     sizes = blocks.join(parts, "list")
