@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: What counts as a word in the size and shingle contracts: runs of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: The most rows of a table of keys that goes to every executor whole; parts that a frequent key is dealt into beyond it.
+BROADCAST_ROWS, SALTS = 1_000_000, 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,10 +25,12 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared checkpoint folder; a folder of this machine only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in the shared checkpoint folder. Where none is set, a folder of this machine serves in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/tessella-checkpoints"
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessella-checkpoints"
     return f"{base.rstrip('/')}/tessella/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
@@ -46,6 +51,16 @@ def drop(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def beside(rows: DataFrame, keyed: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """rows joined with a cut that has each key once and few bytes a key: by broadcast where it has at most BROADCAST_ROWS rows, else
+    with SALTS copies of each key, so that the rows of a frequent key meet it in as many tasks."""
+    if keyed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), on, how)
+    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, [on, "salt"], how).drop("salt")
+
+
 def crc32_text(column: Column) -> Column:
     """crc32 of a value's text, unsigned; of the empty text where it is null."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
