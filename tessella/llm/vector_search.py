@@ -1,33 +1,39 @@
 """Nearest neighbours: score-aware anisotropic quantisation, four-bit table scans, exact reranking.
 
-Euclidean search is maximum inner product search with the vectors' norms known: |q - x|^2 = |q|^2 + |x|^2 - 2 q.x. Only q.x is
-approximated: each pair of dimensions has a codebook of 16 entries (four bits), and both codes and codebooks minimise a loss that
-weighs the error along the vector ETA times the error across it. A query builds a table of its products with all codebook entries and
-scans the codes; the RERANK best of every block are measured exactly, in double precision.
-
-The index is fitted on at most SAMPLE vectors (those with the smallest hash of vec_id) and holds every vector. Vectors lie in lists by
-their nearest coarse centre; a query visits so many lists that, on the sample, RECALL of the true neighbours lie in them, and further
-ones until those visited hold RERANK candidates besides the rows of its own id, or all lists. Lists are
-dealt into blocks of at most about BLOCK vectors and QUERY_BLOCK queries, so that a list with a third of all rows becomes many tasks.
-
-Vectors that are null, zero, hold null or non-finite components, or have another length than most, take no part. Equal distances go to
-the smaller vec_id; rows that share a vec_id are each a candidate. An empty table gives no rows. Other columns are ignored.
+Vectors lie in lists by their nearest coarse centre c. With x = c + r, Euclidean search is maximum inner product search on the residuals,
+their norms known: |q - x|^2 = |q - c|^2 + |r|^2 - 2 |r| (q - c).(r / |r|). Only the last product is approximated: each pair of dimensions
+has a codebook of 16 entries (four bits) for unit residuals, so tight and wide lists are coded alike, and both codes and codebooks
+minimise a loss that weighs the error along the residual ETA times the error across it. A query builds a table of its products with all
+codebook entries and scans the codes; the RERANK best of every block are measured exactly, in double precision.
+
+The index is fitted on at most SAMPLE vectors (those with the smallest hash of vec_id) and holds every vector. There is a list for each
+LIST_ROWS vectors, at most one for 8 of the sample (1,024), whose members grow with the table beyond that. A query visits the lists of
+its GUIDES nearest vectors of the sample; so many nearest lists that, on the sample, RECALL of the true neighbours lie in them; and
+further ones until those hold RERANK candidates, or all lists. Lists are dealt into blocks of at most about BLOCK vectors and QUERY_BLOCK
+queries, so that a list with a third of all rows becomes many tasks.
+
+Every row is known by a number of its own: a query's candidates are all rows but that one, so rows that share a vec_id are candidates to
+each other, and a query that occurs twice is answered twice. Vectors that are null, zero, hold null or non-finite components or have no
+vec_id take no part. Vectors of different lengths have no distance: each length is searched by itself, one after the other. Equal
+distances go to the smaller vec_id. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import cut, only, table
 
 SAMPLE = 8192
-LIST_ROWS, MOST_LISTS = 1500, 2048
+LIST_ROWS = 400
 RECALL = 0.985
 BLOCK, QUERY_BLOCK = 4096, 2048
-RERANK = 120
+RERANK, GUIDES = 120, 40
 #: Weight of the error along the vector, from a threshold of 0.2 on the cosine: (d - 1) T^2 / (1 - T^2), for 64 dimensions.
 THRESHOLD = 0.2
 
@@ -36,13 +42,19 @@ def valid(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """(id, v): the rows that take part, v as an array of doubles."""
     v = F.col(vector_column).cast("array<double>")
     held = vectors.select(F.col(id_column).cast("bigint").alias("id"), v.alias("v")).where("id is not null and v is not null and size(v) > 0")
-    fine = held.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    most = fine.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return fine.where(F.size("v") == (most["n"] if most else 0))
+    return held.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
-    c = x[:: max(1, len(x) // k)][:k].copy()
+    """Centres, each started at a row drawn in proportion to its distance from those before."""
+    rng, c, far = np.random.default_rng(8), [x[0]], np.full(len(x), np.inf)
+    while len(c) < k:
+        far = np.minimum(far, ((x - c[-1]) ** 2).sum(1))
+        total = np.cumsum(np.sqrt(far))
+        if not total[-1] > 0:
+            break
+        c.append(x[min(len(x) - 1, int(np.searchsorted(total, rng.random() * total[-1], "right")))])
+    c = np.array(c)
     for _ in range(rounds):
         near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
         total = np.zeros_like(c)
@@ -93,29 +105,38 @@ def _trained(x: np.ndarray, eta: float, rounds: int = 6) -> np.ndarray:
     return books
 
 
+def _residuals(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The norms and the directions of x - centres; the direction of nothing is nothing."""
+    r = x - centres
+    norm = np.sqrt((r**2).sum(1))
+    return norm, r / np.where(norm > 0, norm, 1.0)[:, None]
+
+
+def _near_lists(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.argsort((centres**2).sum(1) - 2 * x @ centres.T, 1, kind="stable").astype(np.int32)
+
+
 def fit(vectors: DataFrame, k: int) -> dict:
     """The index's parameters from a bounded sample: coarse centres, how many lists to visit, codebooks."""
     n = vectors.count()
     near = vectors.withColumn("order", F.xxhash64("id")).where(F.pmod("order", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * SAMPLE / max(1, n))) + 1)
-    x = np.array([r["v"] for r in near.orderBy("order", "id").limit(SAMPLE).select("v").collect()], np.float64)
-    lists = int(min(MOST_LISTS, max(1, n // LIST_ROWS), max(1, len(x) // 8)))
+    x = np.array([r["v"] for r in near.orderBy("order", "id", "row").limit(SAMPLE).select("v").collect()], np.float64)
+    lists = max(1, min(n // LIST_ROWS, len(x) // 8))
     centres = _kmeans(x, lists)
     eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
     queries = x[:: max(1, len(x) // 256)][:256]
-    visits = lists
-    if lists > 1:
+    owner = _near_lists(x, centres)[:, 0]
+    visits = len(centres)
+    if visits > 1:
         far = (x**2).sum(1) - 2 * queries @ x.T
         true = np.argsort(far, 1)[:, 1 : k + 1]
-        owner = ((centres**2).sum(1) - 2 * x @ centres.T).argmin(1)
-        order = np.argsort((centres**2).sum(1) - 2 * queries @ centres.T, 1)
-        place = np.argsort(order, 1)
+        place = np.argsort(_near_lists(queries, centres), 1)
         seen = np.take_along_axis(place, owner[true], 1)
-        visits = next(v for v in range(1, lists + 1) if (seen < v).mean() >= RECALL)
-    return {"centres": centres, "visits": visits, "books": _trained(x, eta), "eta": eta, "rows": n}
+        visits = next(v for v in range(1, visits + 1) if (seen < v).mean() >= RECALL)
+    return {"centres": centres, "visits": visits, "books": _trained(_residuals(x, centres[owner])[1], eta), "eta": eta, "sample": x, "owner": owner}
 
 
-def _near_lists(x: np.ndarray, m: dict) -> np.ndarray:
-    return np.argsort((m["centres"] ** 2).sum(1) - 2 * x @ m["centres"].T, 1, kind="stable").astype(np.int32)
+_INDEX = "row long, id long, v array<double>, asked boolean, list int, norm double, codes binary"
 
 
 def _indexed(model):
@@ -124,48 +145,56 @@ def _indexed(model):
         for pdf in batches:
             if len(pdf):
                 x = np.stack(pdf["v"].to_numpy())
-                codes = encode(x, m["books"], m["eta"])
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "codes": [c.tobytes() for c in codes], "list": _near_lists(x, m)[:, 0]})
+                lists = _near_lists(x, m["centres"])[:, 0]
+                norm, direction = _residuals(x, m["centres"][lists])
+                codes = encode(direction, m["books"], m["eta"])
+                yield pdf[["row", "id", "v", "asked"]].assign(list=lists, norm=norm, codes=[c.tobytes() for c in codes])
 
     return run
 
 
 def _asking(model, sizes: dict[int, int], k: int):
-    """The lists that each query visits; own: rows of its own id, which are no candidates."""
+    """The lists that each query visits: those of its guides, the nearest, and on until they hold enough rows besides its own."""
+
     def run(batches):
         m = model.value
-        rows = np.array([sizes.get(i, 0) for i in range(len(m["centres"]))])
+        rows, sample = np.array([sizes.get(i, 0) for i in range(len(m["centres"]))]), m["sample"]
+        norms, guides = (sample**2).sum(1), min(GUIDES, len(sample))
         for pdf in batches:
-            if len(pdf):
-                near = _near_lists(np.stack(pdf["v"].to_numpy()), m)
-                short = np.cumsum(rows[near], 1) < pdf["own"].to_numpy()[:, None] + max(k, RERANK)
+            for lo in range(0, len(pdf), 512):
+                part = pdf.iloc[lo : lo + 512]
+                x = np.stack(part["v"].to_numpy())
+                near = _near_lists(x, m["centres"])
+                short = np.cumsum(rows[near], 1) < 1 + max(k, RERANK)
                 visits = np.maximum(m["visits"], short.sum(1) + 1)
-                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "lists": [x[:n] for x, n in zip(near, visits, strict=True)]})
+                guided = m["owner"][np.argpartition(norms - 2 * x @ sample.T, guides - 1, 1)[:, :guides]]
+                yield part[["row", "id", "v"]].assign(lists=[np.union1d(a[:n], g).astype(np.int32) for a, n, g in zip(near, visits, guided, strict=True)])
 
     return run
 
 
 def _scanned(model, k: int):
     def run(key, index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
+        empty = pd.DataFrame({"query": np.empty(0, np.int64), "query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
         if not len(index) or not len(queries):
             return empty
-        index = index.sort_values("id", kind="stable")
-        ids, x = index["id"].to_numpy(), np.stack(index["v"].to_numpy())
+        index = index.sort_values(["id", "row"], kind="stable")
+        ids, rows, x, norm = index["id"].to_numpy(), index["row"].to_numpy(), np.stack(index["v"].to_numpy()), index["norm"].to_numpy()
         codes = np.frombuffer(b"".join(index["codes"]), np.uint8).reshape(len(index), -1)
         if codes.shape[1] % 2:
             codes = np.pad(codes, ((0, 0), (0, 1)))
         pairs = (codes[:, ::2].astype(np.intp) << 4) | codes[:, 1::2]
         flat = (pairs + 256 * np.arange(pairs.shape[1])).T.copy()
-        norms, books, out = (x**2).sum(1), model.value["books"], []
-        for query, q in zip(queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()), strict=True):
-            small = (books * _split(q[None])[0][:, None, :]).sum(-1)
+        books, centre, out = model.value["books"], model.value["centres"][int(index["list"].iloc[0])], []
+        for own, query, q in zip(queries["row"].to_numpy(), queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()), strict=True):
+            small = (books * _split((q - centre)[None])[0][:, None, :]).sum(-1)
             small = np.pad(small, ((0, small.shape[0] % 2), (0, 0)))
             tables = (small[::2, :, None] + small[1::2, None, :]).ravel()
-            near = norms.copy()
+            product = np.zeros(len(index))
             for places in flat:
-                near -= 2 * tables[places]
-            near[ids == query] = np.inf
+                product += tables[places]
+            near = norm * (norm - 2 * product)
+            near[rows == own] = np.inf
             if len(near) > RERANK:
                 edge = np.partition(near, RERANK - 1)[RERANK - 1]
                 best = np.flatnonzero(near <= edge)  # all that tie with the last one too, in the order of vec_id
@@ -175,36 +204,40 @@ def _scanned(model, k: int):
             best = best[np.isfinite(near[best])]
             exact = np.sqrt(((x[best] - q) ** 2).sum(1))
             first = np.lexsort((ids[best], exact))[:k]
-            out.append((np.full(len(first), query), ids[best][first], exact[first]))
+            out.append((np.full(len(first), own), np.full(len(first), query), ids[best][first], exact[first]))
         return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(empty.columns)})
 
     return run
 
 
-def search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
-    """The k nearest of vectors (id, v) for each of queries (id, v), but for rows of the query's own id: query_id, rank, vec_id, score."""
-    spark = vectors.sparkSession
-    vectors = cut(vectors)
-    if not vectors.take(1):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    model = fit(vectors, k)
-    shared = spark.sparkContext.broadcast(model)  # at most MOST_LISTS centres and the codebooks
-    index = cut(vectors.mapInPandas(_indexed(shared), "id long, v array<double>, codes binary, list int"))
-    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # at most MOST_LISTS rows
-    own = index.groupBy("id").agg(F.count("*").alias("own"))
-    counted = queries.select("id", "v").join(own, "id", "left").select("id", "v", F.coalesce("own", F.lit(0)).alias("own"))
-    asked = cut(counted.mapInPandas(_asking(shared, sizes, k), "id long, v array<double>, lists array<int>").select("id", "v", F.explode("lists").alias("list")))
-    blocks = index.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    parts = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
-    sizes = blocks.join(parts, "list")
-    left = index.join(sizes, "list").select("list", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "v", "codes")
-    right = asked.join(sizes, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.expr("cast(pmod(xxhash64(id), parts) as int)").alias("part"), "id", "v")
+def _searched(held: DataFrame, k: int) -> DataFrame:
+    """search() among vectors (row, id, v, asked) of one length."""
+    spark = held.sparkSession
+    model = fit(held, k)
+    shared = spark.sparkContext.broadcast(model)  # at most SAMPLE / 8 centres and the codebooks
+    index = cut(held.mapInPandas(_indexed(shared), _INDEX))
+    sizes = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}  # one row a list
+    asked = cut(index.where("asked").mapInPandas(_asking(shared, sizes, k), "row long, id long, v array<double>, lists array<int>").select("row", "id", "v", F.explode("lists").alias("list")))
+    asking = {r["list"]: r["count"] for r in asked.groupBy("list").count().collect()}  # one row a list
+    dealt = [(i, -(-sizes[i] // BLOCK), -(-n // QUERY_BLOCK)) for i, n in sorted(asking.items()) if sizes.get(i)]
+    parts = F.broadcast(spark.createDataFrame(dealt, "list int, blocks int, parts int"))
+    left = index.join(parts, "list").select("list", F.expr("cast(pmod(xxhash64(row), blocks) as int)").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "row", "id", "v", "norm", "codes")
+    right = asked.join(parts, "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.expr("cast(pmod(xxhash64(row), parts) as int)").alias("part"), "row", "id", "v")
     keys = ["list", "block", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scanned(shared, k), "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_scanned(shared, k), "query long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def search(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame:
+    """For each of vectors (id, v) where asked holds, the k nearest of all other rows: query_id, rank, vec_id, score."""
+    spark = vectors.sparkSession
+    held = cut(vectors.select("id", "v", F.coalesce(asked, F.lit(False)).alias("asked"), F.monotonically_increasing_id().alias("row")))
+    lengths = [r["d"] for r in held.where("asked").groupBy(F.size("v").alias("d")).count().orderBy("d").collect()]
+    found = [_searched(held.where(F.size("v") == d), k) for d in lengths]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")) if len(found) != 1 else found[0]
+
+
 def op8_anisotropic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = valid(only(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vec_id", "embedding")
-    return search(vectors.where("id % 100 = 0"), vectors)
+    return search(vectors, F.col("id") % 100 == 0)
