@@ -3,8 +3,8 @@
 A text's vector counts the byte pairs and triples of its letters (lower case, UTF-8; runs of anything else
 in ASCII are one space) in DIMENSIONS hashed places, as log(1 + count) times the inverse
 document frequency, normalised. Document frequencies cover all learning rows. Each language has CENTROIDS clusters, fitted by spherical
-k-means on at most SAMPLE of its learning rows (those with the smallest hash of doc_id). The nearest centroid by cosine names the
-language. A text is rejected where its cosine falls below the language's floor for a text of its length: FLOOR times the lowest cosines
+k-means on at most SAMPLE of its learning rows (those with the smallest hash of doc_id and text), and on at most TOTAL rows in all, shared
+evenly where there are more languages than that allows, one row each at least. The nearest centroid by cosine names the language. A text is rejected where its cosine falls below the language's floor for a text of its length: FLOOR times the lowest cosines
 seen among the fitting rows with about as many n-grams; texts of up to SHORT n-grams go below BARE only.
 
 Null texts and texts without a letter are "und" with score 0 and count as rejected. Equal cosines go to the language first in code point
@@ -23,19 +23,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessella.llm.shared import crc32_text, only, table
+from tessella.llm.shared import crc32_text, cut, only, table
 
 DIMENSIONS = 8192
 CENTROIDS = 3
-#: The most rows of a language on which its centroids are fitted, and the most languages.
-SAMPLE, LANGUAGES = 400, 1000
+#: The most rows of a language on which its centroids are fitted, and of all languages; parts in which the rows of a language are ranked.
+SAMPLE, TOTAL, PARTS = 400, 40_000, 32
 FLOOR = 0.4
 SHORT, BARE = 160, 0.02
 #: Upper ends of the classes of length (n-grams) for rejection.
 LENGTHS = (40, 160, 640, 2560, 10_240)
 #: Bytes as they count: ASCII other than letters is a space, and runs of those are one.
 _LETTERS = np.array([b if b > 127 or chr(b).isalpha() else 32 for b in range(256)], np.uint32)
-_LOG = np.log1p(np.arange(4096)).astype(np.float32)
 
 
 def _counts(text: str) -> tuple[np.ndarray, int]:
@@ -46,7 +45,7 @@ def _counts(text: str) -> tuple[np.ndarray, int]:
     places = (two * np.uint32(2654435761)) >> np.uint32(19)
     three = ((two[:-1] * np.uint32(263) + b[2:]) * np.uint32(2246822519)) >> np.uint32(19)
     n = np.bincount(places, minlength=DIMENSIONS) + np.bincount(three, minlength=DIMENSIONS)
-    return _LOG[np.minimum(n, 4095)], len(places) + len(three)
+    return np.log1p(n).astype(np.float32), len(places) + len(three)
 
 
 def has_letter(text: str | None) -> bool:
@@ -85,6 +84,20 @@ def _clustered(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
+def _chosen(labelled: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of the rows to fit on: first the smallest hashes in PARTS parts of each language, then the smallest of those."""
+    known = labelled.select("lang", F.xxhash64("doc_id", "text").alias("order")).distinct()
+    languages = known.agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(sample, TOTAL // max(1, languages)))
+    in_part = F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(PARTS))).orderBy("order"))
+    near = known.withColumn("nth", in_part).where(F.col("nth") <= most)
+    chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("nth") <= most)
+    chosen = cut(chosen.select("lang", F.col("order").alias("chosen")))  # at most TOTAL rows, or one a language
+    held = labelled.withColumn("order", F.xxhash64("doc_id", "text"))
+    rows = held.join(F.broadcast(chosen), (held["lang"] == chosen["lang"]) & (F.col("order") == F.col("chosen")), "left_semi")
+    return rows.select("lang", "text", "order").dropDuplicates(["lang", "order"]).orderBy("lang", "order").select("lang", "text")
+
+
 def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> dict | None:
     """The model from rows (doc_id, text, lang): idf, centroids with their languages, floors by language and length."""
     labelled = labelled.where("lang is not null and text is not null")
@@ -95,9 +108,7 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
         return None
     idf = np.zeros(DIMENSIONS, np.float32)
     idf[list(df)] = np.log((1 + total) / (1 + np.array(list(df.values())))) + 0.1
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    chosen = labelled.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("nth", first).where(F.col("nth") <= sample).select("doc_id", "lang").distinct().limit(sample * LANGUAGES)
-    rows = labelled.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text").mapInPandas(_sampled, "lang string, at array<int>, v array<float>, n long").collect()
+    rows = _chosen(labelled, sample).mapInPandas(_sampled, "lang string, at array<int>, v array<float>, n long").collect()
     names, all_centres, owner, floors = sorted({r["lang"] for r in rows}), [], [], []
     for i, name in enumerate(names):
         own = [r for r in rows if r["lang"] == name]
@@ -137,7 +148,7 @@ def classify(docs: DataFrame, model: dict | None) -> DataFrame:
     held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     if model is None:
         return held.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES * CENTROIDS rows of DIMENSIONS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CENTROIDS rows of DIMENSIONS floats a language
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
