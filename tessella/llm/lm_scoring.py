@@ -1,15 +1,18 @@
 """Cross-entropy difference: how much more a document reads like the target corpus than like the whole.
 
-Two interpolated bigram models count every distinct word and word pair of the corpus. The background is counted over all documents, the
-target over those that a label marks as wanted; both are smoothed alike: a pair's probability backs off to the word's with weight MU, a
-word's to the uniform one, 2^-WORD_BITS, with weight NU. A document's score is its mean loss per token under the target model less that
-under the background model: low means like the target.
+Two interpolated bigram models share one vocabulary and count every distinct word and word pair: the target over the documents that a
+label marks as wanted, the background over all. They are matched: background counts are scaled to the target's number of tokens, so both
+carry the same weight against the smoothing, which is alike; a pair's probability backs off to the word's with weight MU, a word's to
+the uniform one, 1 / VOCABULARY, with weight NU. A document is scored by what the others say: its own counts are subtracted from each
+model that it was counted in. Its score is its mean loss per token under the target model less that under the background model: low
+means like the target.
 
 Words and pairs are told apart by 64 bits of a hash; no table of fixed size is kept. Rows are read in batches of about BATCH tokens. A
 batch sends each of its distinct words and pairs once, with its counts, to the bucket of the hash; the bucket adds what all batches sent
-and answers each with the sums; the batch scores its documents with the answers. A frequent pair is thus one entry a batch, and a bucket's
-share stays the same size, as the number of buckets grows with the text. Null and empty texts have no tokens and null losses. Rows that
-repeat count and score as often. Without a wanted row all scores are 0. Other columns are ignored.
+and answers each with what the others counted; the batch scores its documents with the answers. A frequent pair is thus one entry a
+batch, and a bucket's share stays the same size, as the number of buckets grows with the text. Null and empty texts have no tokens and
+null losses. Rows that repeat count and score as often, each by the others. Without a wanted row all scores are 0. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import cut, only, table
+from tessella.llm.shared import beside, cut, only, table
 
-WORD_BITS = 17
+VOCABULARY = 2**17
 MU, NU = 50.0, 1000.0
 #: Tokens of a batch, about; characters of text for each bucket, and the least buckets, as powers of two.
-BATCH = 2_500_000
+BATCH = 2_000_000
 BUCKET_CHARS, LEAST_BUCKETS = 2**25, 2**9
 _INFO, _TOTAL = -1, -2
 _HELD = "batch long, bucket int, asked boolean, keys binary, background binary, target binary, n_background long, n_target long"
@@ -89,23 +92,28 @@ def _keys(w: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     return keys, place[: len(hashes)], place[len(hashes) :], np.stack([u, v]), pair
 
 
+def _counted(w: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, n_keys: int, words: np.ndarray, pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """How often each key occurs in the chosen texts of a batch."""
+    own = np.repeat(chosen, lengths)
+    follows = np.ones(len(w), bool)
+    follows[np.cumsum(lengths) - lengths] = False
+    n = np.zeros(n_keys, np.int64)
+    np.add.at(n, words, np.bincount(w[own], minlength=len(words)))
+    np.add.at(n, pairs, np.bincount(pair[own[follows]], minlength=len(pairs)))
+    return n
+
+
 def _sent(batch: int, ids: _Ids, rows: list[tuple], bits: int) -> pd.DataFrame:
     """What a batch of (words, doc_id, learned, wanted, asked) sends: its counts by bucket, its totals, and, where asked, itself."""
     lengths = np.array([len(r[0]) for r in rows])
     w = np.concatenate([r[0] for r in rows])
     hashes = np.array(ids.hashes, np.uint64)
     keys, words, pairs, _, pair = _keys(w, lengths, hashes)
-    follows = np.ones(len(w), bool)
-    follows[np.cumsum(lengths) - lengths] = False
     flags = np.array([r[2:] for r in rows], bool)
-    asked, counts, totals = bool(flags[:, 2].any()), [], []
-    for chosen in (flags[:, 0], flags[:, 0] & flags[:, 1]):
-        own = np.repeat(chosen, lengths)
-        n = np.zeros(len(keys), np.int64)
-        np.add.at(n, words, np.bincount(w[own], minlength=len(hashes)))
-        np.add.at(n, pairs, np.bincount(pair[own[follows]], minlength=len(pairs)))
-        counts.append(n)
-        totals.append(int(own.sum()))
+    flags[:, 1] &= flags[:, 0]
+    asked = bool(flags[:, 2].any())
+    counts = [_counted(w, lengths, chosen, len(keys), words, pairs, pair) for chosen in flags[:, :2].T]
+    totals = [int(lengths[chosen].sum()) for chosen in flags[:, :2].T]
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
     sent = [(batch, int(bucket[a]), asked, _squeezed(_steps(keys[a:b])), _squeezed(counts[0][a:b]), _squeezed(counts[1][a:b]), 0, 0) for a, b in zip(edges, edges[1:], strict=False)]
@@ -113,7 +121,7 @@ def _sent(batch: int, ids: _Ids, rows: list[tuple], bits: int) -> pd.DataFrame:
     if asked:
         known = np.array([r[1] is not None and r[1] == r[1] for r in rows])
         names = np.array([int(r[1]) if k else 0 for r, k in zip(rows, known, strict=True)], np.int64)
-        sent.append((batch, _INFO, True, hashes.astype("<u8").tobytes(), _squeezed(w), _squeezed(np.concatenate([lengths, names, known, flags[:, 2]])), 0, 0))
+        sent.append((batch, _INFO, True, hashes.astype("<u8").tobytes(), _squeezed(w), _squeezed(np.concatenate([lengths, names, known, *flags.T])), 0, 0))
     return pd.DataFrame(sent, columns=[c.split()[0] for c in _HELD.split(", ")])
 
 
@@ -137,32 +145,47 @@ def _batched(bits: int):
 
 
 def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the sums over all batches of each key that an asking batch sent, in the order of its keys."""
+    """One bucket: for each key that an asking batch sent, in the order of its keys, what all other batches counted."""
     sent = [_climbed(_whole(k)) for k in pdf["keys"]]
     keys, place = np.unique(np.concatenate(sent), return_inverse=True)
     ends = np.cumsum([len(k) for k in sent])[:-1]
     out = {"batch": pdf["batch"], "bucket": pdf["bucket"]}
     for name in ("background", "target"):
-        total = np.bincount(place, np.concatenate([_whole(n) for n in pdf[name]]), len(keys)).astype(np.int64)
-        out[name] = [_squeezed(x) for x in np.split(total[place], ends)]
+        each = np.concatenate([_whole(n) for n in pdf[name]])
+        total = np.bincount(place, each, len(keys)).astype(np.int64)
+        out[name] = [_squeezed(x) for x in np.split(total[place] - each, ends)]
     return pd.DataFrame(out)[pdf["asked"].to_numpy(bool)]
 
 
+def _within(text: np.ndarray, what: np.ndarray, many: int) -> np.ndarray:
+    """For each position how often its text holds what stands there."""
+    _, place, n = np.unique(text * np.int64(many) + what, return_inverse=True, return_counts=True)
+    return n[place]
+
+
 def _scored(totals: tuple[int, int]):
+    scale = totals[1] / totals[0] if totals[1] else 1.0
+
     def run(key, sums: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
         sums, (hashes, w, about) = sums.sort_values("bucket"), info[["keys", "background", "target"]].iloc[0]
         hashes, w = np.frombuffer(hashes, "<u8"), _whole(w).astype(np.int32)
-        lengths, names, known, asked = _whole(about).reshape(4, -1)
+        lengths, names, known, learned, wanted, asked = _whole(about).reshape(6, -1)
         known, asked = known.astype(bool), asked.astype(bool)
-        _, words, pairs, (u, v), pair = _keys(w, lengths, hashes)
-        losses = {}
-        for name, total in zip(("background", "target"), totals, strict=True):
-            count = np.concatenate([_whole(n) for n in sums[name]]).astype(np.float64)
-            single = count[words]
-            plain = (single[v] + NU / 2**WORD_BITS) / (total + NU)
-            token = -np.log((count[pairs] + MU * plain) / (single[u] + MU))[pair]
+        keys, words, pairs, (u, v), pair = _keys(w, lengths, hashes)
+        text = np.repeat(np.arange(len(lengths)), lengths)
+        follows = np.ones(len(w), bool)
+        follows[np.cumsum(lengths) - lengths] = False
+        at = np.flatnonzero(follows)
+        own_word, own_pair, text = _within(text, w, len(hashes)), _within(text[at], pair, len(pairs)), text[at]
+        ends, losses = np.cumsum(lengths - 1), {}
+        for name, total, counted, by in zip(("background", "target"), totals, (learned, wanted), (scale, 1.0), strict=True):
+            count = np.concatenate([_whole(n) for n in sums[name]]) + _counted(w, lengths, counted.astype(bool), len(keys), words, pairs, pair)
+            mine = counted[text]
+            first = by * (count[words[u]][pair] - mine * own_word[at - 1])
+            second = by * (count[words[v]][pair] - mine * own_word[at])
+            plain = (second + NU / VOCABULARY) / (by * (total - mine * lengths[text]) + NU)
+            token = -np.log((by * (count[pairs][pair] - mine * own_pair) + MU * plain) / (first + MU))
             summed = np.concatenate([[0.0], np.cumsum(token)])
-            ends = np.cumsum(lengths - 1)
             losses[name] = np.where(lengths > 1, (summed[ends] - summed[ends - lengths + 1]) / np.maximum(1, lengths - 1), np.nan)
         background = losses["background"]
         target = losses["target"] if totals[1] else background
@@ -203,7 +226,7 @@ def score(docs: DataFrame, learned: DataFrame) -> DataFrame:
 
 
 def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text")
-    wanted = only(table(spark, sf_dir, "labels"), "doc_id", "quality").where("quality = 1").select("doc_id").distinct().withColumn("wanted", F.lit(True))
-    marked = docs.join(wanted.hint("merge"), "doc_id", "left").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(True).alias("learned"), F.coalesce("wanted", F.lit(False)).alias("wanted"), F.lit(True).alias("asked"))
-    return _losses(marked, _chars(docs))
+    docs = only(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    wanted = only(table(spark, sf_dir, "labels"), "doc_id", "quality").where("quality = 1").select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    marked = beside(docs, cut(wanted.withColumn("wanted", F.lit(True))), "doc_id", salts=1)
+    return _losses(marked.select("doc_id", "text", F.lit(True).alias("learned"), F.coalesce("wanted", F.lit(False)).alias("wanted"), F.lit(True).alias("asked")), _chars(docs))

@@ -51,13 +51,15 @@ def drop(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def beside(rows: DataFrame, keyed: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """rows joined with a cut that has each key once and few bytes a key: by broadcast where it has at most BROADCAST_ROWS rows, else
-    with SALTS copies of each key, so that the rows of a frequent key meet it in as many tasks."""
+def beside(rows: DataFrame, keyed: DataFrame, on: str, how: str = "left", salts: int = SALTS) -> DataFrame:
+    """rows joined with a cut that has few bytes a key: by broadcast where it has at most BROADCAST_ROWS rows, else with so many salted
+    copies of it, so that the rows of a frequent key meet it in as many tasks (salts = 1: none, for keys that are rarely repeated)."""
     if keyed.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keyed), on, how)
-    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    if salts == 1:
+        return rows.join(keyed, on, how)
+    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return dealt.join(salted, [on, "salt"], how).drop("salt")
 
 
