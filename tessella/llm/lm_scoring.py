@@ -7,12 +7,12 @@ the uniform one, 1 / VOCABULARY, with weight NU. A document is scored by what th
 model that it was counted in. Its score is its mean loss per token under the target model less that under the background model: low
 means like the target.
 
-Words and pairs are told apart by 64 bits of a hash; no table of fixed size is kept. Rows are read in batches of about BATCH tokens. A
-batch sends each of its distinct words and pairs once, with its counts, to the bucket of the hash; the bucket adds what all batches sent
-and answers each with what the others counted; the batch scores its documents with the answers. A frequent pair is thus one entry a
-batch, and a bucket's share stays the same size, as the number of buckets grows with the text. Null and empty texts have no tokens and
-null losses. Rows that repeat count and score as often, each by the others. Without a wanted row all scores are 0. Other columns are
-ignored.
+Words and pairs are told apart by 64 bits of a hash; no table of fixed size is kept. Rows are read and written once as batches of about
+BATCH tokens, words as numbers of the batch. A batch sends each of its distinct words and pairs once, with its counts, to the bucket of
+the hash; the bucket adds what all batches sent and answers each with what the others counted; the batch scores its documents with the
+answers, some at a time. A frequent pair is thus one entry a batch, and a bucket's share stays the same size, as the number of buckets
+grows with the text. Null and empty texts have no tokens and null losses. Rows that repeat count and score as often, each by the others.
+Without a wanted row all scores are 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +32,12 @@ from tessella.llm.shared import beside, cut, only, table
 VOCABULARY = 2**17
 MU, NU = 50.0, 1000.0
 #: Tokens of a batch, about; characters of text for each bucket, and the least buckets, as powers of two.
-BATCH = 2_000_000
+BATCH = 1_500_000
 BUCKET_CHARS, LEAST_BUCKETS = 2**25, 2**9
-_INFO, _TOTAL = -1, -2
-_HELD = "batch long, bucket int, asked boolean, keys binary, background binary, target binary, n_background long, n_target long"
+#: Tokens that a batch scores at a time, about.
+SLICE = 200_000
+_HELD = "batch long, asked boolean, hashes binary, w binary, about binary, n_background long, n_target long"
+_SENT = "batch long, bucket int, asked boolean, keys binary, background binary, target binary"
 _SCORES = "doc_id long, n_tokens long, loss_target double, loss_background double, ce_diff double"
 
 
@@ -78,9 +80,9 @@ def _climbed(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64), dtype=np.uint64)
 
 
-def _keys(w: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A batch's ascending keys, the place of each word among them, the place and the (words) of each distinct pair, and each token's pair.
-    w: the words of all texts, each with the start mark 0 before them; lengths: the words of each, with the mark."""
+def _keys(w: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch's ascending keys, the place of each word among them, the place and the (words) of each distinct pair, the tokens' places in
+    w and each token's pair. w: the words of all texts, each with the start mark 0 before them; lengths: the words of each, with the mark."""
     follows = np.ones(len(w), bool)
     follows[np.cumsum(lengths) - lengths] = False
     at = np.flatnonzero(follows)
@@ -89,43 +91,53 @@ def _keys(w: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.nd
     h = hashes[u] * np.uint64(0x9E3779B97F4A7C15) + (hashes[v] ^ (hashes[v] >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
     keys, place = np.unique(np.concatenate([hashes, h ^ (h >> np.uint64(31))]), return_inverse=True)
-    return keys, place[: len(hashes)], place[len(hashes) :], np.stack([u, v]), pair
+    return keys, place[: len(hashes)], place[len(hashes) :], np.stack([u, v]), at, pair.astype(np.int32)
 
 
-def _counted(w: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, n_keys: int, words: np.ndarray, pairs: np.ndarray, pair: np.ndarray) -> np.ndarray:
+def _counted(w: np.ndarray, lengths: np.ndarray, chosen: np.ndarray, n_keys: int, words: np.ndarray, pairs: np.ndarray, at: np.ndarray, pair: np.ndarray) -> np.ndarray:
     """How often each key occurs in the chosen texts of a batch."""
     own = np.repeat(chosen, lengths)
-    follows = np.ones(len(w), bool)
-    follows[np.cumsum(lengths) - lengths] = False
     n = np.zeros(n_keys, np.int64)
     np.add.at(n, words, np.bincount(w[own], minlength=len(words)))
-    np.add.at(n, pairs, np.bincount(pair[own[follows]], minlength=len(pairs)))
+    np.add.at(n, pairs, np.bincount(pair[own[at]], minlength=len(pairs)))
     return n
 
 
-def _sent(batch: int, ids: _Ids, rows: list[tuple], bits: int) -> pd.DataFrame:
-    """What a batch of (words, doc_id, learned, wanted, asked) sends: its counts by bucket, its totals, and, where asked, itself."""
+def _held(batch: int, ids: _Ids, rows: list[tuple]) -> pd.DataFrame:
+    """A batch of (words, doc_id, learned, wanted, asked) as one row."""
     lengths = np.array([len(r[0]) for r in rows])
-    w = np.concatenate([r[0] for r in rows])
-    hashes = np.array(ids.hashes, np.uint64)
-    keys, words, pairs, _, pair = _keys(w, lengths, hashes)
     flags = np.array([r[2:] for r in rows], bool)
     flags[:, 1] &= flags[:, 0]
-    asked = bool(flags[:, 2].any())
-    counts = [_counted(w, lengths, chosen, len(keys), words, pairs, pair) for chosen in flags[:, :2].T]
-    totals = [int(lengths[chosen].sum()) for chosen in flags[:, :2].T]
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
-    sent = [(batch, int(bucket[a]), asked, _squeezed(_steps(keys[a:b])), _squeezed(counts[0][a:b]), _squeezed(counts[1][a:b]), 0, 0) for a, b in zip(edges, edges[1:], strict=False)]
-    sent.append((batch, _TOTAL, asked, None, None, None, *totals))
-    if asked:
-        known = np.array([r[1] is not None and r[1] == r[1] for r in rows])
-        names = np.array([int(r[1]) if k else 0 for r, k in zip(rows, known, strict=True)], np.int64)
-        sent.append((batch, _INFO, True, hashes.astype("<u8").tobytes(), _squeezed(w), _squeezed(np.concatenate([lengths, names, known, *flags.T])), 0, 0))
-    return pd.DataFrame(sent, columns=[c.split()[0] for c in _HELD.split(", ")])
-
-
-def _batched(bits: int):
+    known = np.array([r[1] is not None and r[1] == r[1] for r in rows])
+    names = np.array([int(r[1]) if k else 0 for r, k in zip(rows, known, strict=True)], np.int64)
+    about = _squeezed(np.concatenate([lengths, names, known, *flags.T]))
+    row = (batch, bool(flags[:, 2].any()), np.array(ids.hashes, "<u8").tobytes(), _squeezed(np.concatenate([r[0] for r in rows])), about, *(int(lengths[f].sum()) for f in flags[:, :2].T))
+    return pd.DataFrame([row], columns=[c.split()[0] for c in _HELD.split(", ")])
+
+
+def _opened(hashes: bytes, w: bytes, about: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of a batch's words, its texts, and of each text its length, doc_id, whether that is known, learned, wanted, asked."""
+    return np.frombuffer(hashes, "<u8"), _whole(w).astype(np.int32), _whole(about).reshape(6, -1)
+
+
+def _sending(bits: int):
+    """What each batch sends: its counts by bucket."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for batch, asked, *held in zip(pdf["batch"], pdf["asked"], pdf["hashes"], pdf["w"], pdf["about"], strict=True):
+                hashes, w, about = _opened(*held)
+                keys, words, pairs, _, at, pair = _keys(w, about[0], hashes)
+                counts = [_counted(w, about[0], chosen.astype(bool), len(keys), words, pairs, at, pair) for chosen in about[3:5]]
+                bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+                edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1), len(keys)]
+                sent = [(batch, int(bucket[a]), asked, _squeezed(_steps(keys[a:b])), *(_squeezed(c[a:b]) for c in counts)) for a, b in zip(edges, edges[1:], strict=False) if a < b]
+                yield pd.DataFrame(sent, columns=[c.split()[0] for c in _SENT.split(", ")])
+
+    return run
+
+
+def _batched(most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         batch, ids, held, size = TaskContext.get().partitionId() << 32, _Ids(), [], 0
         for pdf in batches:
@@ -135,11 +147,11 @@ def _batched(bits: int):
                 w[1:] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
                 held.append((w, *about))
                 size += len(w)
-                if size >= BATCH:
-                    yield _sent(batch, ids, held, bits)
+                if size >= most:
+                    yield _held(batch, ids, held)
                     batch, ids, held, size = batch + 1, _Ids(), [], 0
         if held:
-            yield _sent(batch, ids, held, bits)
+            yield _held(batch, ids, held)
 
     return run
 
@@ -167,34 +179,42 @@ def _scored(totals: tuple[int, int]):
     scale = totals[1] / totals[0] if totals[1] else 1.0
 
     def run(key, sums: pd.DataFrame, info: pd.DataFrame) -> pd.DataFrame:
-        sums, (hashes, w, about) = sums.sort_values("bucket"), info[["keys", "background", "target"]].iloc[0]
-        hashes, w = np.frombuffer(hashes, "<u8"), _whole(w).astype(np.int32)
-        lengths, names, known, learned, wanted, asked = _whole(about).reshape(6, -1)
-        known, asked = known.astype(bool), asked.astype(bool)
-        keys, words, pairs, (u, v), pair = _keys(w, lengths, hashes)
-        text = np.repeat(np.arange(len(lengths)), lengths)
-        follows = np.ones(len(w), bool)
-        follows[np.cumsum(lengths) - lengths] = False
-        at = np.flatnonzero(follows)
-        own_word, own_pair, text = _within(text, w, len(hashes)), _within(text[at], pair, len(pairs)), text[at]
-        ends, losses = np.cumsum(lengths - 1), {}
-        for name, total, counted, by in zip(("background", "target"), totals, (learned, wanted), (scale, 1.0), strict=True):
-            count = np.concatenate([_whole(n) for n in sums[name]]) + _counted(w, lengths, counted.astype(bool), len(keys), words, pairs, pair)
-            mine = counted[text]
-            first = by * (count[words[u]][pair] - mine * own_word[at - 1])
-            second = by * (count[words[v]][pair] - mine * own_word[at])
-            plain = (second + NU / VOCABULARY) / (by * (total - mine * lengths[text]) + NU)
-            token = -np.log((by * (count[pairs][pair] - mine * own_pair) + MU * plain) / (first + MU))
-            summed = np.concatenate([[0.0], np.cumsum(token)])
-            losses[name] = np.where(lengths > 1, (summed[ends] - summed[ends - lengths + 1]) / np.maximum(1, lengths - 1), np.nan)
+        sums = sums.sort_values("bucket")
+        hashes, w, about = _opened(*info[["hashes", "w", "about"]].iloc[0])
+        lengths, names, known, learned, wanted, asked = about
+        keys, words, pairs, (u, v), at, pair = _keys(w, lengths, hashes)
+        counts = {}
+        for name, chosen in (("background", learned), ("target", wanted)):
+            count = np.concatenate([_whole(n) for n in sums[name]]) + _counted(w, lengths, chosen.astype(bool), len(keys), words, pairs, at, pair)
+            counts[name] = count[words], count[pairs]
+        del keys, words, pairs, sums
+        ends, starts = np.cumsum(lengths), np.cumsum(lengths) - lengths
+        losses = {name: np.full(len(lengths), np.nan) for name in counts}
+        lo = 0
+        while lo < len(lengths):
+            hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + SLICE, "right")))
+            texts, own = np.repeat(np.arange(hi - lo), lengths[lo:hi]), w[starts[lo] : ends[hi - 1]]
+            a, b = np.searchsorted(at, [starts[lo], ends[hi - 1]])
+            here, chosen = at[a:b] - starts[lo], pair[a:b]
+            text, first_word, second_word = texts[here], u[chosen], v[chosen]
+            own_word, own_pair = _within(texts, own, len(hashes)), _within(text, chosen, len(u))
+            n = lengths[lo:hi]
+            for name, total, counted, by in zip(("background", "target"), totals, (learned, wanted), (scale, 1.0), strict=True):
+                single, double = counts[name]
+                mine = counted[lo:hi][text]
+                first = by * (single[first_word] - mine * own_word[here - 1])
+                plain = (by * (single[second_word] - mine * own_word[here]) + NU / VOCABULARY) / (by * (total - mine * n[text]) + NU)
+                token = -np.log((by * (double[chosen] - mine * own_pair) + MU * plain) / (first + MU))
+                losses[name][lo:hi] = np.where(n > 1, np.bincount(text, token, hi - lo) / np.maximum(1, n - 1), np.nan)
+            lo = hi
         background = losses["background"]
         target = losses["target"] if totals[1] else background
         ids = pd.array(names, "Int64")
-        ids[~known] = pd.NA
+        ids[~known.astype(bool)] = pd.NA
         out = {"doc_id": ids, "n_tokens": lengths - 1} | {c: pd.array(x, "Float64") for c, x in (("loss_target", target), ("loss_background", background), ("ce_diff", target - background))}
         made = pd.DataFrame(out)
         made.loc[lengths == 1, ["loss_target", "loss_background", "ce_diff"]] = pd.NA
-        return made[asked]
+        return made[asked.astype(bool)]
 
     return run
 
@@ -202,10 +222,10 @@ def _scored(totals: tuple[int, int]):
 def _losses(rows: DataFrame, chars: int) -> DataFrame:
     """rows (doc_id, text, learned, wanted, asked): the scores of those asked about, by the counts of those learned."""
     bits = max(LEAST_BUCKETS, chars // BUCKET_CHARS).bit_length() - 1
-    held = cut(rows.mapInPandas(_batched(bits), _HELD))
-    totals = held.where(F.col("bucket") == _TOTAL).agg(F.sum("n_background"), F.sum("n_target")).first()
-    sums = held.where("bucket >= 0").select("batch", "bucket", "asked", "keys", "background", "target").groupBy("bucket").applyInPandas(_answered, "batch long, bucket int, background binary, target binary")
-    info = held.where(F.col("bucket") == _INFO).select("batch", "keys", "background", "target")
+    held = cut(rows.mapInPandas(_batched(BATCH), _HELD))
+    totals = held.agg(F.sum("n_background"), F.sum("n_target")).first()
+    sums = held.select("batch", "asked", "hashes", "w", "about").mapInPandas(_sending(bits), _SENT).groupBy("bucket").applyInPandas(_answered, "batch long, bucket int, background binary, target binary")
+    info = held.where("asked").select("batch", "hashes", "w", "about")
     return sums.groupBy("batch").cogroup(info.groupBy("batch")).applyInPandas(_scored((totals[0] or 0, totals[1] or 0)), _SCORES)
 
 
