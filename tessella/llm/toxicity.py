@@ -1,15 +1,18 @@
 """Toxic passages: maximum-scoring segments over token log-odds with Dirichlet priors, calibrated by extreme values.
 
-Each word has features: itself and its first six, five and four letters. Learning documents of either label that hold a feature are
-counted, over all learning rows, in 2^BITS hashed places; equal texts of a label count once, all others each. A feature's score is the difference of the log-odds of both labels under a
-Dirichlet prior of PRIOR documents spread as the whole is; its deviation follows from the counts. A word takes the score of the feature
-with the largest score over deviation where that is significant and strong, else the small negative DRIFT, so that plain text runs downhill.
-
-A linear scan finds every maximal scoring segment of a text. The best segment of n clean words grows like ln(n) / lambda (lambda: where
-the mean of exp(lambda * score) over clean words is 1), so lambda * S - ln(n) is comparable between lengths; a passage counts as
-significant where it exceeds the extreme-value quantile; lambda comes from the words of all clean learning rows. A logistic curve of the
-best segment's normalised score and of the sums of significant and of all segments turns them into a score from 0 to 1. It is fitted on at
-most SAMPLE rows of a quarter of the learning texts, as they score by the counts of the other three; all other scores use all counts.
+Each word has features: itself and its first six, five and four letters, told apart by 64 bits of a hash. Learning documents of either
+label that hold a feature are counted, over all learning rows; equal texts of a label count once, all others each. A feature's score is
+the difference of its log-odds in both labels under an informative Dirichlet prior: PRIOR documents in which features occur as often as in
+all learning documents. Its deviation follows from the counts. A word takes the score of the feature with the largest score over
+deviation, where that is significant and strong, else the small negative DRIFT, so that plain text runs downhill.
+
+A linear scan finds every maximal scoring segment of a text. In clean texts the best segment S of n words exceeds x with a chance of
+1 - exp(-K n exp(-lambda x)). lambda is the root of mean(exp(lambda score)) = 1 over all clean words, K is estimated from the best
+segments of all clean learning texts. A passage is significant where that chance is below ALPHA. A text's passages are combined: the sum
+of the r best normalised scores lambda S - ln(K n) has a chance of its own, and the smallest over r, each doubled r times, is the text's.
+A logistic curve turns that chance and the text's length, both in logarithms, into a score from 0 to 1: words of a text are not
+independent, so long texts have more such passages than the formula allows for. It is fitted on at most SAMPLE rows of a quarter of the
+learning texts, as they score by the counts of the other three, and drawn to the weights USUAL; all other scores use all counts.
 
 Null and empty texts get the score of no evidence. Without learning rows of both labels every score is 0. Labels of a doc_id that
 disagree each count; ties need no order. Rows that repeat are scored as often. Other columns are ignored.
@@ -17,8 +20,8 @@ disagree each count; ties need no order. Rows that repeat are scored as often. O
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,30 +29,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import crc32_text, cut, only, table
+from tessella.llm.shared import beside, crc32_text, cut, only, table
 
-BITS = 20
-PRIOR = 2.0
-DRIFT = -0.1
+#: Documents of the prior.
+PRIOR = 50.0
+DRIFT = -0.3
 #: Score over deviation and score from which a feature speaks; scores are held to this size.
-SIGNIFICANT, STRONG, MOST = 3.0, 1.5, 8.0
+SIGNIFICANT, STRONG, MOST = 3.5, 1.5, 8.0
 SAMPLE = 20_000
-REMEMBERED = 400_000
+#: Words that a worker remembers, and features that it counts before it passes its counts on.
+REMEMBERED, COUNTED = 400_000, 2**19
 #: Chance that a clean text has a significant passage.
 ALPHA = 0.01
-_MASK = 2**BITS - 1
+#: The logistic curve's weights where the learning rows say nothing else.
+USUAL = (-2.0, 2.4, -0.6)
 _KINDS = ("clean", "toxic", "curve_clean", "curve_toxic")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡…-*_#"
 
 
 def features(word: str) -> tuple[int, ...]:
-    """The hashed places of a word's features, from the most to the least specific; none for a word without letters."""
+    """The hashes of a word's features, from the most to the least specific; none for a word without letters."""
     word = word.strip(_EDGES)
     if not word or not any(map(str.isalpha, word)):
         return ()
-    places = [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) & _MASK]
-    places += [zlib.crc32(b"%d" % k + word[:k].encode("utf-8", "surrogatepass")) & _MASK for k in (6, 5, 4) if len(word) > k]
-    return tuple(places)
+    kinds = [b"w" + word.encode("utf-8", "surrogatepass")] + [b"%d" % k + word[:k].encode("utf-8", "surrogatepass") for k in (6, 5, 4) if len(word) > k]
+    return tuple(int.from_bytes(hashlib.blake2b(k, digest_size=8).digest(), "little", signed=True) for k in kinds)
 
 
 class _Remembered(dict):
@@ -64,46 +68,61 @@ class _Remembered(dict):
         return value
 
 
+class _Places(dict):
+    """feature -> its place in a worker's counts; words -> the places of a word's features."""
+
+    def __init__(self):
+        super().__init__()
+        self.words = _Remembered(lambda word: tuple(map(self.__getitem__, features(word))))
+
+    def __missing__(self, feature: int) -> int:
+        self[feature] = place = len(self)
+        return place
+
+
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents by feature, apart for the curve's quarter and the rest, and by label; place -1 counts all documents."""
-    seen, docs, places = np.zeros((4, 2**BITS), np.int32), np.zeros(4, np.int64), _Remembered(features)
+    """Documents by feature, apart for the curve's quarter and the rest, and by label; a null feature counts all documents."""
+
+    def sent(places: _Places, seen: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
+        keys = pd.array([*places, None], "Int64")
+        return pd.DataFrame({"feature": keys} | {c: np.append(seen[i, : len(places)], docs[i]) for i, c in enumerate(_KINDS)})
+
+    places, seen, docs = _Places(), np.zeros((4, COUNTED), np.int64), np.zeros(4, np.int64)
     for pdf in batches:
         for text, toxic, curve in zip(pdf["text"], pdf["toxic"], pdf["curve"], strict=True):
             kind = 2 * int(curve) + int(toxic)
-            held = set().union(*map(places.__getitem__, set((text or "").lower().split())))
+            held = set().union(*map(places.words.__getitem__, set((text or "").lower().split())))
+            if len(places) > seen.shape[1]:
+                seen = np.pad(seen, ((0, 0), (0, len(places))))
             docs[kind] += 1
             seen[kind, np.fromiter(held, np.int64, len(held))] += 1
-    any_ = np.flatnonzero(seen.any(0))
-    yield pd.DataFrame({"place": np.append(any_, -1)} | {c: np.append(seen[i, any_], docs[i]) for i, c in enumerate(_KINDS)})
-
+            if len(places) >= COUNTED:
+                yield sent(places, seen, docs)
+                places, seen, docs = _Places(), np.zeros((4, COUNTED), np.int64), np.zeros(4, np.int64)
+    yield sent(places, seen, docs)
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts as blocks of bytes, as the driver has no room for a row each."""
-    for pdf in batches:
-        yield pd.DataFrame({c: [pdf[c].to_numpy().astype("<i4").tobytes()] for c in pdf.columns})
 
+def _odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> tuple[Column, Column]:
+    """A feature's score and its score over deviation, by log-odds with an informative Dirichlet prior."""
+    alpha = PRIOR * (clean + toxic) / (n_clean + n_toxic)
+    log_odds = [F.log((y + alpha) / (n + PRIOR - y - alpha)) for y, n in ((clean, n_clean), (toxic, n_toxic))]
+    score = log_odds[1] - log_odds[0]
+    return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), score)), score / F.sqrt(1 / (clean + alpha) + 1 / (toxic + alpha))
 
-def word_scores(places: np.ndarray, clean: np.ndarray, toxic: np.ndarray, n_clean: int, n_toxic: int) -> tuple[np.ndarray, np.ndarray]:
-    """(score, score over deviation) of every place, by log-odds with an informative Dirichlet prior."""
-    share = np.full(2**BITS, 0.5 / (n_clean + n_toxic))
-    share[places] = (clean + toxic) / (n_clean + n_toxic)
-    y = np.zeros((2, 2**BITS))
-    y[0, places], y[1, places] = clean, toxic
-    alpha = np.maximum(PRIOR * share, 0.5)
-    odds = [np.log((y[k] + alpha) / (n + PRIOR - y[k] - alpha + 0.5)) for k, n in ((0, n_clean), (1, n_toxic))]
-    score = odds[1] - odds[0]
-    deviation = np.sqrt(1 / (y[0] + alpha) + 1 / (y[1] + alpha))
-    return np.clip(score, -MOST, MOST).astype(np.float32), (score / deviation).astype(np.float32)
 
+def speaking(counts: DataFrame, clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> dict[int, tuple[float, float]]:
+    """feature -> (score, score over deviation) of the features whose score is significant, for or against. Features of every document say
+    nothing and are left out; of a vocabulary, few are significant."""
+    held = counts.where((clean + toxic > 0) & (clean + toxic < n_clean + n_toxic))
+    score, sure = _odds(clean, toxic, n_clean, n_toxic)
+    found = held.select("feature", score.alias("score"), sure.alias("sure")).where(F.abs("sure") >= SIGNIFICANT).collect()
+    return {r["feature"]: (r["score"], r["sure"]) for r in found}
 
-def _scorer(model: dict) -> _Remembered:
-    score, sure = model["score"], model["sure"]
 
+def _scorer(known: dict[int, tuple[float, float]]) -> _Remembered:
     def make(word: str) -> float:
-        best = max(features(word), key=lambda p: abs(sure[p]), default=None)
-        if best is None or sure[best] < SIGNIFICANT or score[best] < STRONG:
-            return DRIFT
-        return float(score[best])
+        score, sure = max((known[f] for f in features(word) if f in known), key=lambda x: abs(x[1]), default=(0.0, 0.0))
+        return score if sure >= SIGNIFICANT and score >= STRONG else DRIFT
 
     return _Remembered(make)
 
@@ -130,16 +149,31 @@ def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - l, s, e) for s, e, l, r, _ in found]
 
 
-def evidence(text: str | None, scorer: _Remembered, rate: float) -> tuple[float, float, float, list[tuple[float, int, int]]]:
-    """(normalised score of the best segment, sum over significant ones, sum over all, the significant segments by word numbers)."""
+def word_scores(text: str | None, scorer: _Remembered) -> np.ndarray:
+    """The scores of a text's words; where a word that speaks repeats, DRIFT."""
     words = (text or "").lower().split()
-    if not words:
-        return -math.log(2), 0.0, 0.0, []
     scores = np.fromiter(map(scorer.__getitem__, words), np.float32, len(words))
-    found, size = segments(scores), math.log(len(words) + 1)
-    floor = size - math.log(-math.log(1 - ALPHA))
-    good = [s for s in found if rate * s[0] > floor]
-    return rate * max((s[0] for s in found), default=0.0) - size, sum(rate * s[0] - floor for s in good), rate * sum(s[0] for s in found), good
+    said: set[str] = set()
+    for i in np.flatnonzero(scores > 0).tolist():
+        if words[i] in said:
+            scores[i] = DRIFT
+        said.add(words[i])
+    return scores
+
+
+def evidence(text: str | None, scorer: _Remembered, rate: float, k: float) -> tuple[float, int, list[tuple[float, int, int]]]:
+    """(minus the logarithm of the chance that a clean text has such passages, words, the significant passages by word numbers)."""
+    scores = word_scores(text, scorer)
+    n, found = len(scores), segments(scores)
+    if not found:
+        return 0.0, n, []
+    floor = math.log(k * n)
+    good = [s for s in found if rate * s[0] - floor > -math.log(-math.log1p(-ALPHA))]
+    total, least = 0.0, 0.0
+    for r, normal in enumerate(sorted((rate * s[0] - floor for s in found if rate * s[0] > floor), reverse=True), 1):
+        total += normal
+        least = min(least, (r - 1) * math.log(total) - total - math.lgamma(r + 1) - math.lgamma(r) + r * math.log(2))
+    return -least, n, good
 
 
 def _rate(share: dict[float, int]) -> float:
@@ -155,18 +189,28 @@ def _rate(share: dict[float, int]) -> float:
     return float(np.clip(low, 0.05, 5.0))
 
 
+def extreme_values(words: dict[float, int], best: dict[float, tuple[int, int]]) -> tuple[float, float]:
+    """(lambda, K) from the scores of clean words (score: how many) and the best segments of clean texts (score: texts, their words). A
+    word of the highest score is taken to be seen once more than it was, so that what no clean text held stays possible."""
+    top = max([MOST / 2, *words])
+    rate = _rate({**words, top: words.get(top, 0) + 1})
+    texts = sum(n for n, _ in best.values())
+    weight = sum(size * math.exp(-rate * s) for s, (_, size) in best.items())
+    return rate, min(1.0, max(1e-6, texts / weight)) if weight else 1.0
+
+
 def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic weights by Newton's method with a small ridge."""
-    x, w = np.column_stack([np.ones(len(x)), x]), np.zeros(x.shape[1] + 1)
+    """Logistic weights by Newton's method, drawn to USUAL with the weight of one row, so that a few rows without evidence leave them."""
+    x, w = np.column_stack([np.ones(len(x)), x]), np.array(USUAL)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
-        w += np.linalg.solve(h, x.T @ (y - p) - 1e-2 * w)
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w))
+        w += np.linalg.solve(h, x.T @ (y - p) - (w - USUAL))
     return w
 
 
-def _inputs(best: np.ndarray, total: np.ndarray, every: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.clip(best, -15, 25), np.log1p(total), np.log1p(every)])
+def _inputs(against: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.log1p(np.clip(against, 0, 1e4)), np.log1p(words)])
 
 
 def _curved() -> Column:
@@ -174,54 +218,61 @@ def _curved() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(4)) == 0
 
 
+def _clean_scores(shared):
+    """Of clean texts: kind 0, a word's score and how many words have it; kind 1, a best segment's score, how many texts, their words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = _scorer(shared.value[0])
+        words: dict[float, int] = {}
+        best: dict[float, list[int]] = {}
+        for pdf in batches:
+            for text in pdf["text"]:
+                scores = word_scores(text, scorer)
+                for value, n in zip(*np.unique(np.round(scores, 1), return_counts=True), strict=True):
+                    words[round(float(value), 1)] = words.get(round(float(value), 1), 0) + int(n)
+                if len(scores):
+                    top = best.setdefault(round(max((s for s, _, _ in segments(scores)), default=0.0), 1), [0, 0])
+                    top[0] += 1
+                    top[1] += len(scores)
+        rows = [(0, s, n, 0) for s, n in words.items()] + [(1, s, *n) for s, n in best.items()]
+        yield pd.DataFrame(rows, columns=["kind", "s", "n", "size"]).astype({"kind": int, "s": float, "n": "int64", "size": "int64"})
+
+    return run
+
+
 def fit(labelled: DataFrame) -> dict | None:
     """The model from rows (doc_id, text, toxic)."""
     spark = labelled.sparkSession
     each = labelled.select("text", "toxic").distinct().withColumn("curve", _curved())
-    counts = each.mapInPandas(_counted, "place int, " + ", ".join(f"{c} long" for c in _KINDS)).groupBy("place").agg(*[F.sum(c).cast("int").alias(c) for c in _KINDS])
-    blocks = counts.mapInPandas(_blocks, ", ".join(f"{c} binary" for c in ("place", *_KINDS))).collect()  # at most 2^BITS places
-    held = pd.DataFrame({c: np.frombuffer(b"".join(r[c] for r in blocks), "<i4") for c in ("place", *_KINDS)})
-    del blocks
-    whole, held = held[held["place"] == -1], held[held["place"] >= 0]
-    if not len(whole):
-        return None
-    rest = {c: int(whole[c].iloc[0]) for c in _KINDS}
+    counts = cut(each.mapInPandas(_counted, "feature long, " + ", ".join(f"{c} long" for c in _KINDS)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in _KINDS]))
+    whole = counts.where("feature is null").first()
+    rest = {c: whole[c] if whole else 0 for c in _KINDS}
     n_clean, n_toxic = rest["clean"] + rest["curve_clean"], rest["toxic"] + rest["curve_toxic"]
     if not n_clean or not n_toxic:
         return None
-    places = held["place"].to_numpy()
-    score, sure = word_scores(places, (held["clean"] + held["curve_clean"]).to_numpy(), (held["toxic"] + held["curve_toxic"]).to_numpy(), n_clean, n_toxic)
-    apart = word_scores(places, held["clean"].to_numpy(), held["toxic"].to_numpy(), rest["clean"], rest["toxic"]) if rest["clean"] and rest["toxic"] else None
-    del held
-    shared = spark.sparkContext.broadcast([{"score": a, "sure": b} for a, b in [(score, sure), *([apart] if apart else [])]])
-
-    def shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, seen = _scorer(shared.value[0]), {}
-        for pdf in batches:
-            for text in pdf["text"]:
-                for s in map(scorer.__getitem__, (text or "").lower().split()):
-                    s = round(s, 1)
-                    seen[s] = seen.get(s, 0) + 1
-        yield pd.DataFrame({"s": list(seen), "n": list(seen.values())}).astype({"s": float, "n": "int64"})
-
-    clean = labelled.where("toxic = 0").select("text").mapInPandas(shares, "s double, n long").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    rate = _rate({r["s"]: r["n"] for r in clean} or {DRIFT: 1})
-    weights = np.array([-3.0, 0.3, 0.3, 0.3])
-    if apart:
+    counts = counts.where("feature is not null")
+    known = speaking(counts, F.col("clean") + F.col("curve_clean"), F.col("toxic") + F.col("curve_toxic"), n_clean, n_toxic)
+    apart = speaking(counts, F.col("clean"), F.col("toxic"), rest["clean"], rest["toxic"]) if rest["clean"] and rest["toxic"] else None
+    shared = spark.sparkContext.broadcast([known, apart])  # the significant features
+    clean = labelled.where("toxic = 0").select("text").mapInPandas(_clean_scores(shared), "kind int, s double, n long, size long")
+    clean = clean.groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()  # scores have one decimal
+    rate, k = extreme_values({r["s"]: r["n"] for r in clean if r["kind"] == 0} or {DRIFT: 1}, {r["s"]: (r["n"], r["size"]) for r in clean if r["kind"] == 1})
+    weights = np.array(USUAL)
+    if apart is not None:
 
         def evident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             scorer = _scorer(shared.value[1])
             for pdf in batches:
-                rows = [evidence(t, scorer, rate)[:3] for t in pdf["text"]]
-                yield pd.DataFrame(rows, columns=["a", "b", "c"]).assign(toxic=pdf["toxic"].to_numpy()).astype({"a": float, "b": float, "c": float})
+                rows = [evidence(t, scorer, rate, k)[:2] for t in pdf["text"]]
+                yield pd.DataFrame(rows, columns=["a", "n"]).assign(toxic=pdf["toxic"].to_numpy()).astype({"a": float, "n": "int64"})
 
         rows = labelled.where(_curved()).select("doc_id", "text", "toxic")
         n = rows.count()
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n)))).select("text", "toxic")
-        seen = rows.mapInPandas(evident, "a double, b double, c double, toxic int").toPandas()
+        seen = rows.mapInPandas(evident, "a double, n long, toxic int").toPandas()
         if seen["toxic"].nunique() == 2:
-            weights = _curve(_inputs(seen["a"].to_numpy(), seen["b"].to_numpy(), seen["c"].to_numpy()), seen["toxic"].to_numpy().astype(float))
-    return {"score": score, "sure": sure, "rate": rate, "weights": weights}
+            weights = _curve(_inputs(seen["a"].to_numpy(), seen["n"].to_numpy()), seen["toxic"].to_numpy().astype(float))
+    return {"known": known, "rate": rate, "k": k, "weights": weights}
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -230,13 +281,14 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
     kind = "array<struct<start:int,end:int,score:double>>"
     if model is None:
         return held.select("doc_id", F.lit(0.0).alias("score"), F.array().cast(kind).alias("passages"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # two tables of 2^BITS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant features and five numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, m = _scorer(shared.value), shared.value
+        m = shared.value
+        scorer = _scorer(m["known"])
         for pdf in batches:
-            seen = [evidence(t, scorer, m["rate"]) for t in pdf["text"]]
-            x = _inputs(*(np.array([s[k] for s in seen], float) for k in range(3)))
+            seen = [evidence(t, scorer, m["rate"], m["k"]) for t in pdf["text"]]
+            x = _inputs(*(np.array([s[i] for s in seen], float) for i in range(2)))
             p = 1 / (1 + np.exp(-np.clip(m["weights"][0] + x @ m["weights"][1:], -30, 30)))
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": p, "passages": [[{"start": a, "end": b, "score": s} for s, a, b in found] for *_, found in seen]})
 
@@ -247,7 +299,6 @@ def op3_max_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = crc32_text(F.col("doc_id")) % 3 == 1
     known = only(labels, "doc_id", "toxic").where(~held_out & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    # sorted and merged at every size: the learning rows are written once and read by each pass over them
-    labelled = cut(only(docs, "doc_id", "text").where(~held_out).join(known.hint("merge"), "doc_id"))
+    labelled = cut(beside(only(docs, "doc_id", "text").where(~held_out), cut(known), "doc_id", "inner", salts=1))
     found = score(docs, fit(labelled))
     return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "passages")
