@@ -2,13 +2,17 @@
 
 Nodes are split at the weighted median of their widest metadata dimension until there are as many leaves as asked for (or until leaves
 reach the target bytes). A dimension is an integer code: source and lang by their first bytes, size, doc_id; its spread is its range in
-the node over its range in the table. A median is found by counting bytes in BINS equal steps of the code's range and again within the
-step where half is reached, for all nodes of a level in one aggregation, of which only the sums reach the driver (BINS rows a node).
-Rows that share the code at which the split falls, be it a third of the table, are ordered by a hash of their doc_id and text and split
-by the same search on that hash.
+the node over its range in the table. A median is found by summing bytes in BINS equal steps of the code's range and again within the
+step where half is reached, for all nodes of a level in one aggregation; the running sums stay with Spark, and one row a node reaches the
+driver, which keeps the tree. Rows that share the code at which the split falls, be it a third of the table, are ordered by a hash and
+split by the same search on that hash.
 
-Null texts have size 1, null metadata the code 0. Rows that repeat in full share a hash; their order comes from spark's row numbers in
-a slot and all of them lie in one leaf. An empty table gives no rows. Other columns are ignored.
+Equal texts stay together where their bytes are at most TOGETHER of a leaf's: such a group is one unit, with the least metadata of its
+rows and one hash of its text, so it is never cut. Rows of larger groups go each by its own metadata and a hash of doc_id and text, as
+else leaves could not be near equal. The table of larger groups has at most leaves / TOGETHER rows and is broadcast.
+
+Null texts have size 1 and are equal texts, null metadata has the code 0. Rows that repeat in full share a hash and lie in one leaf; their
+order in a slot comes from Spark's row numbers. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,8 +23,11 @@ from pyspark.sql import functions as F
 from tessella.llm.shared import cut, only, table
 
 BINS = 4096
+TIES = 2**48
+#: Share of a leaf's bytes up to which a group of equal texts stays together.
+TOGETHER = 1 / 100
 ROWS_A_SLOT_BUCKET = 10_000
-DIMENSIONS = ("source", "lang", "size", "doc_id")
+DIMENSIONS = ("source", "lang", "size", "doc")
 
 
 def _code(text: Column) -> Column:
@@ -28,64 +35,79 @@ def _code(text: Column) -> Column:
     return F.conv(F.rpad(F.hex(F.substring(F.coalesce(text.cast("string"), F.lit("")).cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
 
 
+def units(docs: DataFrame, leaves: int, target_bytes: int | None = None) -> tuple[DataFrame, int, int]:
+    """(rows, bytes in all, leaves): per row doc_id, size, text_crc32, the codes by which it is split, and tie."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    held = cut(
+        only(docs, "doc_id", "text", "source", "lang").select(
+            F.col("doc_id").cast("bigint").alias("doc_id"),
+            (F.octet_length(text) + 1).cast("bigint").alias("size"),
+            F.crc32(text.cast("binary")).alias("text_crc32"),
+            F.xxhash64(text).alias("same"),
+            F.struct(_code(F.col("source")).alias("source"), _code(F.col("lang")).alias("lang"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("doc"), F.xxhash64("doc_id", text).alias("tie")).alias("own"),
+        )
+    )
+    total = held.agg(F.sum("size")).first()[0] or 0
+    if target_bytes:
+        leaves = 1
+        while total > leaves * target_bytes:
+            leaves *= 2
+    copies = held.groupBy("same").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.struct(*[F.min(f"own.{c}").alias(c) for c in ("source", "lang", "doc")], F.xxhash64(F.first("same")).alias("tie")).alias("unit"))
+    copies = cut(copies.where("n > 1"))
+    fits = F.col("bytes") <= total / leaves * TOGETHER
+    large = F.broadcast(copies.where(~fits).select("same"))  # at most leaves / TOGETHER rows
+    alone = held.join(large, "same", "left_semi").withColumn("unit", F.col("own"))
+    rest = held.join(large, "same", "left_anti").join(copies.where(fits).select("same", "unit"), "same", "left").withColumn("unit", F.coalesce("unit", "own"))
+    rows = alone.unionByName(rest).select("doc_id", "size", "text_crc32", "unit.source", "unit.lang", "unit.doc", F.col("unit.tie").bitwiseAND(F.lit(TIES - 1)).alias("tie"))
+    return cut(rows), total, leaves
+
+
+def _beside(rows: DataFrame, known: dict[int, tuple], fields: str) -> DataFrame:
+    """rows with the fields of their node; a row a node."""
+    nodes = rows.sparkSession.createDataFrame([(k, *v) for k, v in sorted(known.items())], f"node int, {fields}")
+    return rows.join(F.broadcast(nodes), "node")
+
+
 def _searched(rows: DataFrame, value: Column, ranges: dict[int, tuple[int, int]], below: dict[int, int], goals: dict[int, float]) -> dict[int, tuple[int, int, int]]:
     """For each node the value at which the goal is reached, the bytes below it and the bytes at it."""
-    live, weight = {k for k in ranges if ranges[k][1] - ranges[k][0] > 1}, dict.fromkeys(ranges, 0)
+    weight = dict.fromkeys(ranges, 0)
+    live = {k for k in ranges if ranges[k][1] - ranges[k][0] > 1}
     while live:
         steps = {k: max(1, -(-(ranges[k][1] - ranges[k][0]) // BINS)) for k in live}
-        low, high, step = ({k: f(k) for k in live} for f in (lambda k: ranges[k][0], lambda k: ranges[k][1], lambda k: steps[k]))
-        pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for k in sorted(d) for x in (k, d[k])]), F.col("node"))
-        inside = rows.where(F.col("node").isin(sorted(live))).withColumn("v", value).where((F.col("v") >= pick(low)) & (F.col("v") < pick(high)))
-        bins = inside.groupBy("node", F.floor((F.col("v") - pick(low)) / pick(step)).alias("bin")).agg(F.sum("size").alias("n")).collect()
-        for k in sorted(live):
-            so_far, at = below[k], ranges[k][0]
-            for bin_, n in sorted((r["bin"], r["n"]) for r in bins if r["node"] == k):
-                at = ranges[k][0] + bin_ * steps[k]
-                weight[k] = n
-                if so_far + n >= goals[k]:
-                    break
-                so_far += n
-            ranges[k], below[k] = (at, min(at + steps[k], ranges[k][1])), so_far
-            if ranges[k][1] - at <= 1:
-                live.discard(k)
+        inside = _beside(rows.withColumn("v", value), {k: (*ranges[k], steps[k], float(goals[k]), below[k]) for k in live}, "low long, high long, step long, goal double, below long").where("v >= low and v < high")
+        bins = inside.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("n"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+        upto = F.col("below") + F.sum("n").over(Window.partitionBy("node").orderBy("bin"))
+        here = F.struct("bin", "n", "upto")
+        found = bins.withColumn("upto", upto).groupBy("node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("goal"), here)), F.max(here)).alias("b")).select("node", "b.*").collect()  # one row a node
+        for r in found:
+            k = r["node"]
+            at = ranges[k][0] + r["bin"] * steps[k]
+            ranges[k], below[k], weight[k] = (at, min(at + steps[k], ranges[k][1])), r["upto"] - r["n"], r["n"]
+        live = {k for k in live if ranges[k][1] - ranges[k][0] > 1 and k in {r["node"] for r in found}}
     return {k: (ranges[k][0], below[k], weight[k]) for k in ranges}
 
 
 def tree(docs: DataFrame, leaves: int = 16, target_bytes: int | None = None) -> DataFrame:
-    """Per row: doc_id, size, text_crc32, node (0 to leaves - 1). With target_bytes, as many leaves (a power of two) as it takes."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    held = only(docs, "doc_id", "text", "source", "lang").select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        (F.octet_length(text) + 1).cast("bigint").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        _code(F.col("source")).alias("source"),
-        _code(F.col("lang")).alias("lang"),
-        F.expr("xxhash64(doc_id, text) & 281474976710655").alias("tie"),
-    )
-    rows = cut(held).withColumn("node", F.lit(0))
-    dims = {"source": F.col("source"), "lang": F.col("lang"), "size": F.col("size"), "doc_id": F.coalesce("doc_id", F.lit(0))}
-    spread = [f(c).alias(f"{d}_{n}") for d, c in dims.items() for n, f in (("lo", F.min), ("hi", F.max))]
-    table_range = rows.agg(F.sum("size").alias("n"), *spread).first()
-    if table_range["n"] is None:
+    """units() with node (0 to leaves - 1). With target_bytes, as many leaves (a power of two) as it takes."""
+    rows, total, leaves = units(docs, leaves, target_bytes)
+    rows = rows.withColumn("node", F.lit(0))
+    spread = [f(d).alias(f"{d}_{n}") for d in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
+    whole = rows.agg(*spread).first()
+    if not total:
         return rows
-    if target_bytes:
-        leaves = 1
-        while table_range["n"] > leaves * target_bytes:
-            leaves *= 2
     depth = (leaves - 1).bit_length()
     for _ in range(depth):
-        nodes = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("n"), *spread).collect()}
-        widest = {k: max(DIMENSIONS, key=lambda d: (r[f"{d}_hi"] - r[f"{d}_lo"]) / max(1, table_range[f"{d}_hi"] - table_range[f"{d}_lo"])) for k, r in nodes.items()}
-        chosen = F.coalesce(*[F.when(F.col("node").isin([k for k in widest if widest[k] == d]), c) for d, c in dims.items() if d in widest.values()])
+        nodes = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("n"), *spread).collect()}  # one row a node
+        widest = {k: max(DIMENSIONS, key=lambda d: (r[f"{d}_hi"] - r[f"{d}_lo"]) / max(1, whole[f"{d}_hi"] - whole[f"{d}_lo"])) for k, r in nodes.items()}
+        coded = _beside(rows, {k: (d,) for k, d in widest.items()}, "dimension string").withColumn("code", F.coalesce(*[F.when(F.col("dimension") == d, F.col(d)) for d in DIMENSIONS])).drop("dimension")
         goals = {k: r["n"] / 2 for k, r in nodes.items()}
-        at = _searched(rows, chosen, {k: (r[f"{widest[k]}_lo"], r[f"{widest[k]}_hi"] + 1) for k, r in nodes.items()}, dict.fromkeys(nodes, 0), goals)
-        pick = lambda d: F.element_at(F.create_map(*[F.lit(x) for k in sorted(d) for x in (k, d[k])]), F.col("node"))
-        code = pick({k: v for k, (v, _, _) in at.items()})
-        tied = rows.withColumn("code", chosen).where(F.col("code") == code)
-        ties = _searched(tied, F.col("tie"), dict.fromkeys(nodes, (0, 2**48)), {k: b for k, (_, b, _) in at.items()}, goals)
-        first = pick({k: v - (goals[k] - b < b + n - goals[k]) for k, (v, b, n) in ties.items()})  # the row that crosses the half goes where it leaves the less uneven halves
-        right = F.when(chosen != code, chosen > code).otherwise(F.col("tie") > first)
-        rows = rows.withColumn("node", F.col("node") * 2 + right.cast("int"))
+        at = _searched(coded, F.col("code"), {k: (r[f"{widest[k]}_lo"], r[f"{widest[k]}_hi"] + 1) for k, r in nodes.items()}, dict.fromkeys(nodes, 0), goals)
+        tied = _beside(coded, {k: (v,) for k, (v, _, _) in at.items()}, "split long")
+        ties = _searched(tied.where("code = split").drop("split"), F.col("tie"), dict.fromkeys(nodes, (0, TIES)), {k: b for k, (_, b, _) in at.items()}, goals)
+        # the unit that crosses the half goes where it leaves the less uneven halves
+        first = {k: (at[k][0], v - (goals[k] - b < b + n - goals[k])) for k, (v, b, n) in ties.items()}
+        right = F.when(F.col("code") != F.col("split"), F.col("code") > F.col("split")).otherwise(F.col("tie") > F.col("last"))
+        rows = _beside(coded, first, "split long, last long").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("code", "split", "last")
         rows = rows if depth < 3 else cut(rows)
     return rows
 
