@@ -1,13 +1,15 @@
 """SpotSigs document fingerprints, with DataFrame functions only.
 
-A signature is an anchor (a common word) right before content, with the chain of the two content words that
-follow it, up to SKIP common words between them left out. A document's fingerprint is the set of its signatures. Two fingerprints can reach
-Jaccard t only if the smaller has at least t times the elements of the larger, so sets are dealt into
+A signature is an anchor (a common word) with the chain of the next two content words after it; common words between them, at most
+SKIP at a time, are passed over. Where no common word stood among the last STRETCH words, a word is its own anchor, so that every part
+of a text reaches its fingerprint, listings without common words included. A document's fingerprint is the set of its signatures. Two
+fingerprints can reach Jaccard t only if the smaller has at least t times the elements of the larger, so sets are dealt into
 partitions by length, and a pair is looked at only where its lengths and its shared rare signatures allow it.
 
-Null texts count as empty. A text without any anchor takes every word as its own anchor; a text with fewer
-words than a chain takes them all as one signature; a text without words has the empty fingerprint. Two
-empty fingerprints have likeness 1. Rows that repeat are kept as they come. Other columns are ignored.
+Null texts count as empty. A text without a signature takes all its words as one; a text without words has the empty fingerprint. Two
+empty fingerprints have likeness 1. Rows that repeat are kept as they come; rows that share a doc_id follow each other by a hash of their
+texts and the texts. A successor's text is found in ranges of doc_id of about ROWS_A_BUCKET rows, at most MOST_BUCKETS; beyond 80 million
+rows the ranges grow with the table, each sorted by a task of its own, which can spill. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,37 +29,47 @@ ANCHORS = (
     "al como con del el era ha las lo los más no para pero por su una y"
 ).split()
 CHAIN = 2
-#: Anchors that may stand between the two content words of a chain.
-SKIP = 2
+#: Anchors that may stand before each content word of a chain; words without an anchor after which a word is its own.
+SKIP, STRETCH = 4, 8
 #: Rows that lie together when a document meets its successor.
 ROWS_A_BUCKET = 2000
 MOST_BUCKETS = 40_000
 
 
-def signatures(text: Column, anchors: list[str] = ANCHORS, skip: int = SKIP) -> Column:
+def signatures(text: Column, anchors: list[str] = ANCHORS, skip: int = SKIP, stretch: int = STRETCH) -> Column:
     """The sorted distinct signatures of a text, each as a 32-bit hash of its anchor and chain."""
 
     def hashed(*words: Column) -> Column:
         return F.shiftrightunsigned(F.xxhash64(*words), 32)
 
-    def spots(words: Column) -> Column:
-        def spot(word: Column, i: Column) -> Column:
-            def content(j: int) -> Column:
-                other = F.get(words, i + j)
-                return F.when(~other.isin(anchors), other)
+    def spots(held: Column) -> Column:
+        words, common = held["words"], held["common"]
+
+        def ahead(i: Column) -> Column:
+            """How many words after i the next content word stands; 0 where none is within reach."""
+            return F.array_position(F.slice(common, i + 2, F.lit(skip + 1)), False).cast("int")
 
-            first, second = content(1), F.coalesce(*[content(j) for j in range(2, 3 + skip)])
-            return F.when(word.isin(anchors), F.when(first.isNotNull(), F.when(second.isNotNull(), hashed(word, first, second))))
+        def chain(word: Column, i: Column) -> Column:
+            def second(one: Column) -> Column:
+                two = ahead(i + one)
+                return F.when((one > 0) & (two > 0), hashed(word, F.get(words, i + one), F.get(words, i + one + two)))
+
+            return F.transform(F.array(ahead(i)), second)[0]
+
+        def spot(word: Column, i: Column) -> Column:
+            first = F.greatest(F.lit(0), i - (stretch - 1))
+            bare = ~F.array_contains(F.slice(common, first + 1, i - first + 1), True)
+            return F.when(F.get(common, i) | bare, chain(word, i))
 
         return F.array_compact(F.transform(words, spot))
 
-    def plain(words: Column) -> Column:
-        short = F.when(F.size(words) > 0, F.array(hashed(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-        return F.when(F.size(words) <= CHAIN, short).otherwise(F.array_compact(F.transform(words, lambda w, i: F.when(i + CHAIN < F.size(words), hashed(w, *[F.get(words, i + j) for j in range(1, CHAIN + 1)])))))
+    def whole(words: Column) -> Column:
+        return F.when(F.size(words) > 0, F.array(hashed(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
 
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))
-    pair = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), spots(w).alias("spots")))
-    return F.transform(pair, lambda p: F.sort_array(F.array_distinct(F.when(F.size(p["spots"]) > 0, p["spots"]).otherwise(plain(p["words"])))))[0]
+    marked = F.transform(F.array(words), lambda w: F.struct(w.alias("words"), F.transform(w, lambda x: x.isin(anchors)).alias("common")))
+    pair = F.transform(marked, lambda m: F.struct(m["words"].alias("words"), spots(m).alias("spots")))
+    return F.transform(pair, lambda p: F.sort_array(F.array_distinct(F.when(F.size(p["spots"]) > 0, p["spots"]).otherwise(whole(p["words"])))))[0]
 
 
 def shown(signatures: Column) -> Column:
@@ -77,8 +89,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
         return F.lit(0)
     step = max(1, math.isqrt(len(bounds)))
     blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    inner = F.array(*[F.array(*map(F.lit, b)) for b in blocks])
+    heads = F.lit([b[0] for b in blocks])
+    inner = F.array(*[F.lit(b) for b in blocks])
     block = F.greatest(F.size(F.filter(heads, lambda b: b <= key)), F.lit(1))
     return F.greatest(F.lit(0), (block - 1) * step + F.size(F.filter(F.element_at(inner, block), lambda b: b <= key)) - 1)
 
@@ -125,14 +137,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
-def length_edges(threshold: float, longest: int) -> list[int]:
-    """Ascending set lengths at which partitions begin: a set can only be like sets of its own partition or a neighbour's."""
-    edges = [1]
-    while edges[-1] <= longest:
-        edges.append(max(edges[-1] + 1, math.ceil(edges[-1] / threshold)))
-    return edges
-
-
 def similar_pairs(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Pairs of different fingerprints with Jaccard of threshold or more, as (doc_a, doc_b, likeness); doc_a and doc_b stand for
     all rows with the same fingerprint, each by its smallest doc_id (see classes()).
