@@ -6,9 +6,13 @@ A document's set holds its distinct shingles of five words (fewer words: the who
 shares no bucket with probability (1 - 0.75^5)^51 = 1e-6.
 
 Candidates: in each bucket, all members meet the one with the smallest id (a star: as many edges as members). The links found join
-classes into components. Buckets that still hold several components get a second star, around another member. What is left in them
-is compared block by block: on one byte of each of 255 bins first, and where their agreement allows the threshold on the full sets at
-once, so that only links that join components leave a task. Nothing is capped: a large bucket becomes more tasks, never a longer list.
+classes into components. Buckets that still hold several components get a second star, around another member, and large ones up to
+STARS, each around another. What is left in them is compared block by block: on one byte of each of 255 bins first, where an agreement
+of AGREE, eight standard deviations of its estimate below the threshold, lets a pair pass, and then on the full sets at once, so that
+only links that join components leave a task. Nothing is capped: a large bucket becomes more tasks, never a longer list.
+
+classes(exact=True) adds an exact pass for what buckets can miss: texts of different components that share one of the rarest shingles of
+both (a prefix filter, which no pair above the threshold escapes) meet on full sets. It costs an exchange of all shingles.
 
 To classes() a doc_id is a node: rows that share one are one node, and rows with a null doc_id take the component of an equal set that
 has one, else null. To near_dedup() each row is a node. Null and empty texts link with nothing. Other columns pass through it untouched.
@@ -23,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import cut, drop, only, table
+from tessella.llm.shared import beside, cut, drop, only, table
 
 SHINGLE = 5
 BINS, ROWS, BANDS = 256, 5, 51
@@ -32,8 +36,10 @@ NEAR, OF = 75, 100
 STAR_BLOCK, BLOCK = 1000, 1500
 #: Shingles that a block of the exhaustive part may hold, about.
 BLOCK_SHINGLES = 1_500_000
-#: Share of agreeing bins below which a pair is out: 0.75 less five standard deviations of its estimate (0.027 each).
-AGREE = 0.61
+#: Share of agreeing bins below which a pair is out: 0.75 less eight standard deviations of its estimate (0.027 each).
+AGREE = 0.53
+#: Stars that a bucket of more than BLOCK members gets before its blocks meet.
+STARS = 6
 _SEEDS = np.random.Generator(np.random.PCG64(20)).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _PROBES = np.random.Generator(np.random.PCG64(21)).integers(0, BINS, (BINS, 4096), dtype=np.int64)
 
@@ -211,7 +217,27 @@ def _labelled(candidates: DataFrame, links: DataFrame) -> DataFrame:
     return named.join(several.select("key"), "key")
 
 
-def classes(docs: DataFrame) -> DataFrame:
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each shingle of each text with the size of its set."""
+    for pdf in batches:
+        for node, hashes in zip(pdf["node"], shingle_sets(pdf["text"]), strict=True):
+            yield pd.DataFrame({"node": node, "n": len(hashes), "shingle": hashes.view(np.int64)})
+
+
+def prefix_links(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """All links (a, b) between texts (doc_id, text) of different components (node, label). The shingles of a set in the order of rarity,
+    then hash: two sets at the threshold share one of the first n - ceil(0.75 n) + 1 of both."""
+    each = texts.select(F.col("doc_id").alias("node"), "text").mapInPandas(_exploded, "node long, n long, shingle long")
+    df = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = each.join(df, "shingle", "left").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle"))).alias("s"))
+    first = F.expr(f"cast(n - ceil(n * {NEAR} / {OF}) + 1 as int)")
+    rare = ordered.select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("s")).where("s.df > 1").select("node", "n", "s.shingle").join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    other = rare.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
+    met = rare.join(other, "shingle").where(f"node < node_b and label <> label_b and {OF} * least(n, n_b) >= {NEAR} * greatest(n, n_b)")
+    return _verified(cut(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()), texts)
+
+
+def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     docs = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     signed = docs.mapInPandas(_signed, "doc_id long, h long, n long, s1 long, s2 long, keys array<long>, sig binary")
@@ -223,19 +249,26 @@ def classes(docs: DataFrame) -> DataFrame:
     bands = kept.select("node", F.explode("keys").alias("key"))
     stars = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
     candidates = cut(bands.join(stars, "key"))
-    texts = docs.join(candidates.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    named = candidates.select(F.col("node").alias("doc_id")).distinct() if not exact else kept.select(F.col("node").alias("doc_id"))
+    texts = beside(docs, cut(named), "doc_id", "left_semi", salts=1)
     texts = cut(texts.groupBy("doc_id", "h").agg(F.first("text").alias("text")))
     tried = cut(candidates.where("node <> a").select("a", F.col("node").alias("b")).distinct())
     links = cut(_verified(tried, texts))
 
-    mixed = cut(_labelled(candidates, links))
-    second = mixed.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64("node", "key")).alias("c"))
-    more = mixed.join(second, "key").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
-    more = cut(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_verified(more, texts)))
+    mixed, larger = cut(_labelled(candidates, links)), F.lit(True)
+    for star in range(1, STARS):
+        sizes = mixed.groupBy("key").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(star))).alias("c")).where(larger)
+        more = mixed.join(sizes, "key").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        more = cut(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+        links, tried = cut(links.unionByName(_verified(more, texts))), tried.unionByName(more)
+        mixed, larger = cut(_labelled(mixed.drop("label"), links)), F.col("size") > BLOCK
+        if not mixed.groupBy("key").count().where(F.col("count") > BLOCK).take(1):
+            break
 
-    rest = cut(_labelled(mixed, links).distinct())
-    links = links.unionByName(_rest_links(rest, kept, texts))
+    links = links.unionByName(_rest_links(mixed.distinct(), kept, texts))
+    if exact:
+        links = cut(links)
+        links = links.unionByName(prefix_links(texts, components(links)))
 
     named = sets.join(components(links), "node", "left").select("n", "s1", "s2", F.coalesce("label", "node").alias("component_id"))
     found = signed.where("n > 0").select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"])
