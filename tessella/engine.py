@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import chunking, retrieval
-from tessella.operators.store import ChunkStore, summaries
+from tessella.operators.store import ChunkStore, summaries, workspace
 from tessella.sources import files
 
-DIMENSIONS, SUMMARY_CHUNKS = 64, 100
+DIMENSIONS, SUMMARY_CHUNKS, SUMMARY_FILES = 64, 100, 100
+IMAGE_MARK = r"(?m)^\[IMAGE: .* - [0-9]+x[0-9]+\]$|^\[Image-only paragraph\]$"
 NO_DOCUMENTS = "No relevant documents found for your query."
 DEFAULTS = ("What are the main topics of the documents?", "Which terms are explained?", "Which steps are described?", "What else is covered?")
 
@@ -35,21 +37,27 @@ class Engine:
         return files.listed(self.spark, folder)
 
     def _records(self, docs: DataFrame, least: int, most: int) -> DataFrame:
-        made = chunking.chunk_documents(docs.where("error is null").select(F.col("path").alias("doc_id"), "text", "file_type"), "txt", least, most).withColumnRenamed("doc_id", "path")
-        held = made.join(docs.select("path", "file_name", "doc_id", "file_type"), "path")
-        return held.select(
+        made = chunking.chunk_documents(docs.where("error is null"), "txt", least, most, ("doc_id", "file_name", "file_type"))
+        return made.select(
             F.concat_ws("_", "file_name", "chunk_index").alias("id"), "doc_id", "file_name", "file_type", "chunk_index", "content", "token_count", "breadcrumbs",
             F.try_element_at("breadcrumbs", F.lit(-1)).alias("section_title"), F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " > ")).alias("heading_path"),
             "indent_levels", "page_from", "page_to", T.page_range(F.col("page_from"), F.col("page_to")).alias("page_range"), self.embed(F.col("content")).alias("embedding"),
         )
 
     def process(self, folder: str, least: int = chunking.MIN_TOKENS, most: int = chunking.MAX_TOKENS) -> DataFrame:
-        """Read, chunk and store a folder or a file; chunks whose id the store has stay as they are. The state of each file."""
-        docs = files.read(self.spark, folder)
+        """Read, chunk and store a folder or a file; chunks whose id the store has stay as they are. The state of each file. Files are
+        read and parsed once; their texts wait in the workspace."""
+        path = workspace(self.spark)
+        files.read(self.spark, folder, with_images=True).write.parquet(path)
+        docs = self.spark.read.parquet(path)
         self.store.insert(self._records(docs, least, most))
         kept = self.chunks().groupBy("file_name").agg(F.count("*").alias("chunks_stored"), F.sum("token_count").alias("total_tokens"))
-        found = docs.select("file_name", "file_type", "error").join(kept, "file_name", "left")
-        return found.select("file_name", "file_type", F.col("error").isNull().alias("success"), F.coalesce("chunks_stored", F.lit(0)).alias("chunks_stored"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"), "error")
+        pictures = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IMAGE_MARK), F.lit(0)))
+        found = docs.select("file_name", "file_type", "error", pictures.alias("image_count")).join(kept, "file_name", "left")
+        stored, tokens = F.coalesce("chunks_stored", F.lit(0)), F.coalesce("total_tokens", F.lit(0))
+        done = F.col("error").isNull() & (stored > 0)
+        message = F.when(F.col("error").isNotNull(), F.concat(F.lit("not read: "), "error")).when(stored == 0, "no text found").otherwise(F.concat(F.lit("stored chunks: "), stored.cast("string")))
+        return found.select("file_name", "file_type", done.alias("success"), message.alias("message"), stored.alias("chunks_stored"), tokens.alias("total_tokens"), (F.col("image_count") > 0).alias("has_images"), "image_count", "error")
 
     def chunks(self) -> DataFrame:
         """All stored chunks; an empty table of the same columns before the first insert."""
@@ -73,15 +81,16 @@ class Engine:
     def stats(self) -> DataFrame:
         return self.chunks().agg(F.count("*").alias("chunks"), F.countDistinct("file_name").alias("files"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
 
-    def search(self, question: str, k: int = retrieval.TOP_K, window: int = 2, min_similarity: float = 0.0) -> DataFrame:
-        """Chunks around the k nearest, in the order of documents; none for a blank question."""
+    def search(self, question: str, k: int = retrieval.TOP_K, window: int = 2, min_similarity: float = 0.0, where: dict | None = None) -> DataFrame:
+        """Chunks around the k nearest of those that where (see retrieval.matches) allows, in the order of documents; none for a blank
+        question."""
         rows = self.chunks()
-        hits = self.hits(question, k, min_similarity)
+        hits = self.hits(question, k, min_similarity, where)
         return retrieval.expanded(hits.select("doc_id", "chunk_index"), rows, window).orderBy("doc_id", "chunk_index")
 
-    def hits(self, question: str, k: int = retrieval.TOP_K, min_similarity: float = 0.0) -> DataFrame:
-        """The k nearest chunks with distance, similarity and vector_rank."""
-        rows = self.chunks()
+    def hits(self, question: str, k: int = retrieval.TOP_K, min_similarity: float = 0.0, where: dict | None = None) -> DataFrame:
+        """The k nearest chunks of those that where allows, with distance, similarity and vector_rank."""
+        rows = self.chunks().where(retrieval.matches(where or {}))
         asked = self.spark.createDataFrame([(question,)], "q string").select(self.embed(F.col("q")).alias("v")).first()["v"]  # one row
         return retrieval.top_k(rows if question.strip() else rows.limit(0), asked, k, min_similarity=min_similarity)
 
@@ -103,15 +112,34 @@ class Engine:
         return {"success": False, "error": verdict.partition(":")[2].strip() or verdict, "images": [], "chunks_found": 0 if one["route"] == "irrelevant" else len(found)}
 
     def summaries(self) -> DataFrame:
-        """(file_name, summary): each file's first chunks, through the model where there is one."""
+        """(file_name, summary): each file's first chunks, through the model where there is one, in batches of rows."""
         texts = summaries(self.chunks(), SUMMARY_CHUNKS)
         if self.model is None:
             return texts.select("file_name", T.preview(F.col("contents"), 500).alias("summary"))
         model = self.model
-        return texts.select("file_name", F.udf(lambda contents: model("summary", contents, ""), "string")("contents").alias("summary"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({"file_name": pdf["file_name"], "summary": [model("summary", c, "") for c in pdf["contents"]]})
+
+        return texts.select("file_name", "contents").mapInPandas(run, "file_name string, summary string")
 
     def suggestions(self, most: int = 4) -> list[str]:
-        """Questions that the stored files suggest, filled up from defaults."""
-        held = self.summaries().orderBy("file_name").limit(SUMMARY_CHUNKS).collect()
-        reply = self.model("suggest", "\n\n".join(f"{r['file_name']}: {r['summary']}" for r in held), "") if self.model and held else ""
+        """Questions that the stored files suggest, filled up from defaults. The summaries reach the model SUMMARY_FILES files at a time, in
+        the order of names, each time with the questions found so far; one batch is on the driver at once."""
+        reply, batch = "", []
+
+        def asked(rows: list[str]) -> str:
+            return self.model("suggest", "\n\n".join([*([reply] if reply else []), *rows]), "")
+
+        for r in self.summaries().orderBy("file_name").toLocalIterator() if self.model else ():
+            batch.append(f"{r['file_name']}: {r['summary']}")
+            if len(batch) == SUMMARY_FILES:
+                reply, batch = asked(batch), []
+        reply = asked(batch) if batch else reply
         return self.spark.createDataFrame([(reply,)], "r string").select(T.questions(F.col("r"), list(DEFAULTS), most).alias("q")).first()["q"]
+
+    def export_json(self, path: str, file_name: str | None = None) -> None:
+        """The stored chunks, all or a file's, as JSON lines, embeddings left out."""
+        rows = self.chunks() if file_name is None else self.file_chunks(file_name)
+        rows.drop("embedding").write.json(path)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -10,11 +11,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Void elements, elements whose text is no content, block elements.
+from tessella.functions import text as T
+
+#: Void elements; what is no content, by element, class, id and role; marks of citations; media; titles after which a section
+#: lists references; classes of main containers.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NOISE = frozenset("script style noscript nav header footer aside form iframe svg button template".split())
-BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 li ul ol pre table tr blockquote br".split())
-REFERENCES = ("references", "bibliography", "notes", "footnotes")
+NOISE = frozenset("header footer nav aside form iframe noscript script style svg canvas button input".split())
+NOISE_CLASSES = frozenset("advertisement ads ad promo breadcrumb breadcrumbs cookie newsletter toc mw-jump-link mw-editsection".split())
+NOISE_IDS = frozenset(["toc"])
+CITATION_CLASSES = frozenset("reference footnote cite_ref citation".split())
+MEDIA = frozenset("table figure figcaption code pre video audio".split())
+REFERENCES = re.compile(r"(?i)^(references?|sources?|notes?|bibliography|external links?|footnotes?)$")
+MAIN_CLASS = re.compile("post-content|article-body|content|entry-content|main-content")
+#: Fixed values of documentation sites: their noise beside elements, and the blocks whose text counts.
+DOCS_NOISE = frozenset("header footer nav script style noscript form iframe".split())
+DOCS_NOISE_CLASSES = frozenset("md-header md-footer md-sidebar md-nav toc breadcrumb breadcrumbs md-content__button edit-this-page".split())
+DOCS_NOISE_IDS = frozenset(["toc", "toggle-sidebar"])
+DOCS_BLOCKS = frozenset("h1 h2 h3 p ul ol pre code".split())
+#: Elements that end an open paragraph.
+BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol pre table blockquote".split())
 LEAST_MAIN = 200
 
 
@@ -51,74 +66,176 @@ def flags(html: Column, url: Column) -> Column:
     )
 
 
-class _Text(HTMLParser):
-    """Text of the blocks outside noise elements; unclosed elements end with their parents. After a heading that names references,
-    what follows in the same parent is left out."""
+class Node:
+    """An element: its tag, attributes, and children, which are elements and texts."""
+
+    __slots__ = ("attributes", "children", "tag")
+
+    def __init__(self, tag: str, attributes: dict[str, str]):
+        self.tag, self.attributes, self.children = tag, attributes, []
+
+    @property
+    def classes(self) -> set[str]:
+        return set(self.attributes.get("class", "").split())
+
+    def walk(self) -> Iterator[Node]:
+        """The element and all below it, in the order of the page."""
+        open_ = [self]
+        while open_:
+            node = open_.pop()
+            yield node
+            open_ += [c for c in reversed(node.children) if isinstance(c, Node)]
+
+    def texts(self) -> Iterator[str]:
+        """The stripped texts below, blank ones left out."""
+        open_: list[Node | str] = [self]
+        while open_:
+            node = open_.pop()
+            if isinstance(node, str):
+                if bare := node.strip():
+                    yield bare
+            else:
+                open_ += reversed(node.children)
+
+    def without(self, drop: Callable[[Node], bool]) -> Node:
+        """The element, what drop says taken out of it."""
+        for node in self.walk():
+            node.children = [c for c in node.children if isinstance(c, str) or not drop(c)]
+        return self
+
+    def find(self, test: Callable[[Node], bool]) -> Node | None:
+        return next((n for n in self.walk() if test(n)), None)
+
+
+class _Tree(HTMLParser):
+    """Unclosed paragraphs and list items end with the next of their kind, other unclosed elements with their parents."""
 
-    def __init__(self, base: str):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.base, self.stack, self.parts, self.images, self.cut = base, [], [], [], None
-        self.heading: list[str] | None = None
+        self.root = Node("", {})
+        self.stack = [self.root]
 
     def handle_starttag(self, tag, attrs):
-        found = dict(attrs)
-        if tag == "img":
-            source = found.get("data-src") or found.get("src")
-            if source and not self._hidden():
-                self.images.append(urljoin(self.base, source))
-        if tag in BLOCKS:
-            self.parts.append("\n")
-        if tag == "li" and not self._hidden():
-            self.parts.append("- ")
-        if tag in VOID:
-            return
-        if tag in BLOCKS and self.stack[-1:] == ["p"]:
-            self._pop("p")
-        if tag == "li" and tag in self.stack[-2:]:
-            self._pop(tag)
-        self.stack.append(tag)
-        if tag[0] == "h" and tag[1:].isdigit():
-            self.heading = []
-
-    def _pop(self, tag):
-        while self.stack and self.stack.pop() != tag:
-            pass
-        if self.cut is not None and len(self.stack) < self.cut:
-            self.cut = None
+        if tag in BLOCKS and self.stack[-1].tag == "p":
+            self.stack.pop()
+        if tag == "li" and self.stack[-1].tag == "li":
+            self.stack.pop()
+        node = Node(tag, {k: v or "" for k, v in attrs})
+        self.stack[-1].children.append(node)
+        if tag not in VOID:
+            self.stack.append(node)
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.stack.pop()
 
     def handle_endtag(self, tag):
-        if tag[0] == "h" and self.heading is not None:
-            if "".join(self.heading).strip().lower() in REFERENCES:
-                self.cut = len(self.stack) - 1
-                self.parts.append("\0")
-            self.heading = None
-        if tag in self.stack:
-            self._pop(tag)
-        if tag in BLOCKS:
-            self.parts.append("\n")
-
-    def _hidden(self):
-        return self.cut is not None or any(t in NOISE or t == "title" for t in self.stack)
+        at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i].tag == tag), 0)
+        if at:
+            del self.stack[at:]
 
     def handle_data(self, data):
-        if self.heading is not None:
-            self.heading.append(data)
-        if not self._hidden():
-            self.parts.append(data)
+        held = self.stack[-1].children
+        if held and isinstance(held[-1], str):
+            held[-1] += data
+        else:
+            held.append(data)
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
-    """pages (page_id, url, html) with main_text, image_urls and whether the text is long enough to be an article."""
+def tree(html: str | None) -> Node:
+    parser = _Tree()
+    parser.feed(html or "")
+    parser.close()
+    return parser.root
+
+
+def is_noise(node: Node) -> bool:
+    roles = (node.attributes.get("role"), node.attributes.get("aria-role"))
+    return node.tag in NOISE or "navigation" in roles or bool(node.classes & NOISE_CLASSES) or node.attributes.get("id") in NOISE_IDS
+
+
+def is_citation(node: Node) -> bool:
+    return bool(node.classes & CITATION_CLASSES) or (node.tag == "a" and (node.attributes.get("role") == "doc-noteref" or "footnote" in node.attributes.get("rel", "").split()))
+
+
+def container(root: Node) -> Node:
+    """The main content: by id, by element, by class, else the body."""
+    tests = (lambda n: n.attributes.get("id") == "mw-content-text", lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.tag == "div" and any(map(MAIN_CLASS.search, n.classes)), lambda n: n.tag == "body")
+    return next((found for test in tests if (found := root.find(test))), root)
+
+
+def _without_references(root: Node) -> Node:
+    """A heading that names references goes with all that follows it in its parent."""
+    for node in root.walk():
+        for i, child in enumerate(node.children):
+            if isinstance(child, Node) and re.fullmatch("h[1-6]", child.tag) and REFERENCES.match(" ".join(child.texts())):
+                del node.children[i:]
+                break
+    return root
+
+
+def picture_url(node: Node, base: str, lazy: tuple[str, ...] = ("data-src", "data-original", "data-lazy-src")) -> str | None:
+    """The best address of an image: the widest of its set (the last of equal ones), a lazy source, its source."""
+    each = [c.split() for c in (node.attributes.get("srcset") or node.attributes.get("data-srcset") or "").split(",") if c.strip()]
+    widths = [int(c[1][:-1]) if len(c) > 1 and c[1][-1] == "w" and c[1][:-1].isdigit() else 0 for c in each]
+    if each:
+        return urljoin(base, each[max(range(len(each)), key=lambda i: (widths[i], i))][0])
+    source = next((v for k in (*lazy, "src") if (v := node.attributes.get(k))), None)
+    return urljoin(base, source) if source else None
+
+
+def pictures(root: Node, base: str) -> list[str]:
+    found = (picture_url(n, base) for n in root.walk() if n.tag == "img")
+    return list(dict.fromkeys(u for u in found if u))
+
+
+def main_content(html: str | None, url: str) -> tuple[str, list[str]]:
+    """The texts of the main container, a line each, without noise, citations, references and media; its pictures, media included."""
+    held = container(tree(html).without(is_noise))
+    images = pictures(held, url)
+    kept = _without_references(held.without(is_citation)).without(lambda n: n.tag in MEDIA)
+    return "\n".join(kept.texts()), images
+
+
+def docs_content(html: str | None, url: str) -> tuple[str, list[str]]:
+    """The blocks of a documentation page's article, and its pictures. A block within a block (an item's list, code in pre) comes twice."""
+    root = tree(html)
+    base = root.find(lambda n: n.tag == "base" and "href" in n.attributes)
+    outer = root.find(lambda n: n.tag == "div" and "md-content" in n.classes) or root
+    article = outer.find(lambda n: n.tag == "article" and {"md-content__inner", "md-typeset"} <= n.classes) or outer
+    article.without(lambda n: n.tag in DOCS_NOISE or bool(n.classes & DOCS_NOISE_CLASSES) or n.attributes.get("id") in DOCS_NOISE_IDS)
+    parts = []
+    for node in article.walk():
+        if node.tag in ("ul", "ol"):
+            parts.append("\n".join("- " + " ".join(c.texts()) for c in node.children if isinstance(c, Node) and c.tag == "li"))
+        elif node.tag in DOCS_BLOCKS:
+            body = ("\n" if node.tag in ("pre", "code") else " ").join(node.texts())
+            parts.append(body if node.tag == "p" else f"\n{body}\n")
+    return "\n".join(p for p in parts if p), pictures(article, base.attributes["href"] if base else url)
+
+
+def _read(pages: DataFrame, reader: Callable[[str | None, str], tuple[str, list[str]]]) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True):
-                parser = _Text(url or "")
-                parser.feed(html or "")
-                parser.close()
-                lines = [" ".join(x.split()) for x in "".join(parser.parts).replace("\0", "").split("\n")]
-                text = "\n".join(x for x in lines if x and x != "-")
-                rows.append((page, text, list(dict.fromkeys(parser.images)), len(text) >= LEAST_MAIN))
-            yield pd.DataFrame(rows, columns=["page_id", "main_text", "image_urls", "is_article"])
-
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, main_text string, image_urls array<string>, is_article boolean")
+            rows = [(page, *reader(html, url or "")) for page, url, html in zip(pdf["page_id"], pdf["url"], pdf["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["page_id", "main_text", "image_urls"])
+
+    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, main_text string, image_urls array<string>")
+
+
+def main_texts(pages: DataFrame) -> DataFrame:
+    """pages (page_id, url, html) with main_text, image_urls and whether the text is long enough to be an article."""
+    found = _read(pages, main_content).withColumn("main_text", T.strip_citations(T.clean_whitespace(F.col("main_text"))))
+    return found.withColumn("is_article", F.length("main_text") >= LEAST_MAIN)
+
+
+def docs_texts(pages: DataFrame) -> DataFrame:
+    """main_texts() by the layout of documentation sites."""
+    return _read(pages, docs_content).withColumn("main_text", T.normalize_ws(F.col("main_text")))
+
+
+def report(pages: DataFrame) -> DataFrame:
+    """What there is to know of each of pages (page_id, url, html): title, flags, main text and its pictures."""
+    known = pages.select("page_id", "url", title(F.col("html")).alias("title"), flags(F.col("html"), F.col("url")).alias("flags"), T.techdocs_url(F.col("url")).alias("static_url"))
+    return known.join(main_texts(pages), "page_id").select("page_id", "url", "title", "flags.*", "static_url", "main_text", "is_article", "image_urls")

@@ -2,13 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_tokenizers: dict = {}
+
 #: Marks that end a sentence, patterns of bullets and headings.
 SENTENCE_END = r"(?<=[.?!…])\s+"
 BULLET = r"^\s*(?:[-*•]|[0-9]+[.)])\s+"
-NUMBERED = r"^\s*([0-9]+\.)+\s+\S"
+NUMBERED = r"^\s*(?:[0-9]+\.)+\s+\S"
+#: What the heading classifiers accept, apart by form: an item's number or letter before a capital, a line that starts with a
+#: capital and has no end mark, a chapter or section with its number.
+ENUMERATED_TITLE = r"^\s*(?:[0-9]+(?:\.[0-9]+)*[.)]?|[A-Z]+[.)])\s+[A-Z][^.]*$"
+PLAIN_TITLE = r"^\s*[A-Z][^.!?]*[^.!?\s]$"
+CHAPTER_TITLE = r"(?i)^\s*(?:chapter|section)\s+(?:[0-9]+|[ivxlcdm]+)(?:(?:[.:-]\s*|\s+)[^.!?]+[^.!?\s])?$"
+MARKED_TITLE = r"^(#{1,6})\s+\S"
+FENCED_TITLE = r"^[=\-#*]{3,}\s*.+\s*[=\-#*]{3,}$"
+ROMAN_TITLE = r"^([IVXLCDM]+)[.\s]+."
+ROMAN = r"^(?=.)M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
+COUNTED_TITLE = r"^([0-9]+(?:\.[0-9]+)*)[.)\s]+."
 TOC_TITLES = ("table of contents", "mục lục")
 
 
@@ -23,6 +38,20 @@ def token_count(text: Column, mode: str = "words") -> Column:
     return F.greatest(F.lit(1), F.size(words(text)))
 
 
+def bpe_count(path: str) -> Callable[[Column], Column]:
+    """A counter of a byte-pair tokenizer's tokens, at least 1; path: the tokenizer's file, which every executor can read."""
+
+    @F.pandas_udf("int")
+    def count(texts: pd.Series) -> pd.Series:
+        if path not in _tokenizers:
+            from tokenizers import Tokenizer
+
+            _tokenizers[path] = Tokenizer.from_file(path)
+        return pd.Series([max(1, len(e.ids)) for e in _tokenizers[path].encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+
+    return count
+
+
 def bm25_tokens(text: Column, stopwords: list[str] | None = None) -> Column:
     """Lower-case words without punctuation; stopwords are left out one by one, so repeats keep their number."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w++"), F.lit(0))
@@ -61,9 +90,10 @@ def normalize_ws(text: Column) -> Column:
 
 
 def strip_citations(text: Column) -> Column:
-    for pattern in (r"\[[0-9]+\]", r"\^", r"\(link\)"):
-        text = F.regexp_replace(text, pattern, "")
-    return F.regexp_replace(text, " {2,}", " ")
+    """Numbers in brackets go with the white space before them; '^' and '(link)' become a space; white space of two or more is one space."""
+    for pattern, by in ((r"(?U)\s*\[\d+\]", ""), (r"(?U)\s*\^\s*", " "), (r"(?Ui)\s*\(link\)\s*", " "), (r"(?U)\s{2,}", " ")):
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
 def clean_markdown(text: Column) -> Column:
@@ -81,24 +111,31 @@ def is_title(text: Column) -> Column:
     return text.rlike(r"[\p{Lu}\p{Lt}]") & ~text.rlike(r"(?<=[\p{Lu}\p{Ll}\p{Lt}])[\p{Lu}\p{Lt}]|(?<![\p{Lu}\p{Ll}\p{Lt}])\p{Ll}")
 
 
+def is_heading_like(line: Column) -> Column:
+    """Whether a line has the form of a heading at all: enumerated, capitalised without an end mark, or a numbered chapter."""
+    return line.rlike(ENUMERATED_TITLE) | line.rlike(PLAIN_TITLE) | line.rlike(CHAPTER_TITLE)
+
+
 def heading_level(line: Column, rules: str = "txt") -> Column:
-    """0 for no heading. txt: fenced titles 1, '#' marks by number, numbered 1, capitals or title case 2, other capitalised lines
-    without an end mark 1. md: '#' marks, Roman numerals 1, numbering by depth, capitals 2. pdf: numbered and capitalised lines."""
+    """0 for no heading, else its level; the first rule that holds decides.
+
+    pdf, from three characters on: dotted numbers 1, capitalised lines without an end mark 1, chapters and sections 2 (3 from 50
+    characters on). txt: as pdf, then short capitals or title case 2, fenced titles 1, '#' marks by their number. md, from two characters
+    on: '#' marks by their number, Roman numerals 1, numbers by their dots from 2 to 6, short capitals 2, then capitalised lines and
+    chapters as pdf."""
     t = strip(line)
-    marks = F.length(F.regexp_extract(t, r"^(#{1,6})\s+\S", 1))
-    numbered = t.rlike(NUMBERED)
-    plain = t.rlike(r"^\p{Lu}[^.!?]*$")
-    level = F.when(t == "", 0)
+    marks = F.length(F.regexp_extract(t, MARKED_TITLE, 1))
+    short = (F.length(t) < 80) & ~F.endswith(t, F.lit("."))
+    chapter = F.when(F.length(t) < 50, 2).otherwise(3)
     if rules == "md":
-        depth = F.least(F.lit(6), F.size(F.regexp_extract_all(F.regexp_extract(t, r"^((?:[0-9]+\.)+)", 1), F.lit(r"\."), F.lit(0))) + 1)
-        roman = t.rlike(r"^(?=[MDCLXVI])M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})\.?\s+\S")
-        return level.when(marks > 0, marks).when(roman, 1).when(numbered, depth).when(is_upper(t), 2).when(plain, 1).otherwise(0)
-    if rules == "txt":
-        level = level.when(t.rlike(r"^=+\s+\S.*\s+=+$"), 1).when(marks > 0, marks)
-    level = level.when(numbered, 1)
+        roman, counted = F.regexp_extract(t, ROMAN_TITLE, 1), F.regexp_extract(t, COUNTED_TITLE, 1)
+        depth = F.least(F.lit(6), F.length(counted) - F.length(F.replace(counted, F.lit("."))) + 2)
+        level = F.when(F.length(t) < 2, 0).when(marks > 0, marks).when(roman.rlike(ROMAN), 1).when(counted != "", depth).when(is_upper(t) & short, 2)
+        return level.when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter).otherwise(0)
+    level = F.when(F.length(t) < 3, 0).when(t.rlike(NUMBERED), 1).when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter)
     if rules == "txt":
-        level = level.when((F.length(t) < 80) & (is_upper(t) | is_title(t)), 2)
-    return level.when(plain, 1).otherwise(0)
+        level = level.when(short & ~F.endswith(t, F.lit(",")) & (is_upper(t) | is_title(t)), 2).when(t.rlike(FENCED_TITLE), 1).when(marks > 0, marks)
+    return level.otherwise(0)
 
 
 def setext_level(line: Column, following: Column) -> Column:
@@ -112,13 +149,13 @@ def indent_width(line: Column, tab: int = 4) -> Column:
 
 
 def is_toc_page(text: Column) -> Column:
-    """A contents page: titled so near its start, or many lines that end in page numbers."""
-    full = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: x != "")
+    """A contents page: titled so near its start, or many of its lines end in page numbers, fewer where others have dot leaders."""
+    full = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")
 
     def judged(full: Column) -> Column:
         n = F.size(full)
-        ends = F.size(F.filter(full, lambda x: x.rlike(r"(?:^|\D)[0-9]{1,4}$") & (F.length(x) > 15)))
-        dots = F.size(F.filter(full, lambda x: x.rlike(r"\.{8}")))
+        ends = F.size(F.filter(full, lambda x: (F.length(x) > 15) & x.rlike(r"\s[0-9]{1,4}$")))
+        dots = F.size(F.filter(full, lambda x: F.length(x) - F.length(F.replace(x, F.lit("."))) >= 8))
         titled = F.exists(F.slice(full, 1, 15), lambda x: F.lower(x).rlike("|".join(TOC_TITLES)))
         return (n >= 5) & (titled | ((ends / n > 0.2) & (dots / n > 0.1)) | (ends / n > 0.4))
 

@@ -1,4 +1,7 @@
-"""Lines to blocks, headings and breadcrumbs, greedy packing into chunks. A document is a row, so nothing here shuffles."""
+"""Lines to blocks, headings and breadcrumbs, greedy packing into chunks. A document is a row, so nothing here shuffles.
+
+blocks(), headings() and breadcrumbs() are expressions, for use in queries; chunk_documents() goes over each document once, in Arrow
+batches, with the same rules: folds over growing arrays would copy them for every line."""
 
 from __future__ import annotations
 
@@ -9,12 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import text as T
 from tessella.functions.text import heading_level, indent_width, lines, setext_level, strip
 
-MIN_TOKENS, MAX_TOKENS, INDENT_STEP = 300, 500, 4
-_SENTENCES = re.compile(r"(?<=[.?!…])\s+")
+MIN_TOKENS, MAX_TOKENS, INDENT_STEP, TAB = 300, 500, 4, 4
+_LINE = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
 _PAGE = re.compile("\x1e([0-9]+)\x1e")
-_BULLET = re.compile(r"^\s*(?:[-*•]|[0-9]+[.)])\s+")
+_SENTENCES, _BULLET, _NUMBERED, _PLAIN, _CHAPTER, _MARKED, _FENCED, _ROMAN_TITLE, _ROMAN, _COUNTED = (
+    re.compile(p) for p in (T.SENTENCE_END, T.BULLET, T.NUMBERED, T.PLAIN_TITLE, T.CHAPTER_TITLE, T.MARKED_TITLE, T.FENCED_TITLE, T.ROMAN_TITLE, T.ROMAN, T.COUNTED_TITLE)
+)
 CHUNK = "chunk_index int, content string, token_count int, breadcrumbs array<string>, block_indices array<int>, indent_levels array<int>, page_from int, page_to int"
 
 
@@ -62,49 +68,120 @@ def breadcrumbs(headings_: Column, block_index: Column) -> Column:
     return F.transform(stack, lambda x: x["text"])
 
 
+def line_level(line: str, rules: str = "txt") -> int:
+    """heading_level() of one line."""
+    t = line.strip()
+    marks, short = _MARKED.match(t), len(t) < 80 and not t.endswith(".")
+    if rules == "md":
+        if len(t) < 2 or marks:
+            return len(marks.group(1)) if marks and len(t) >= 2 else 0
+        roman, counted = _ROMAN_TITLE.match(t), _COUNTED.match(t)
+        if roman and _ROMAN.match(roman.group(1)):
+            return 1
+        if counted:
+            return min(6, counted.group(1).count(".") + 2)
+        if short and t.isupper():
+            return 2
+    elif len(t) < 3:
+        return 0
+    elif _NUMBERED.match(t):
+        return 1
+    if _PLAIN.match(t):
+        return 1
+    if _CHAPTER.match(t):
+        return 2 if len(t) < 50 else 3
+    if rules == "txt":
+        if short and not t.endswith(",") and (t.isupper() or t.istitle()):
+            return 2
+        if _FENCED.match(t):
+            return 1
+        return len(marks.group(1)) if marks else 0
+    return 0
+
+
+def _first_heading(text: str, rules: str) -> tuple[int, str] | None:
+    held = text.split("\n")
+    for line, after in zip(held, [*held[1:], ""], strict=True):
+        under = after.strip()
+        if rules == "md" and line.strip() and under and under in ("=" * len(under), "-" * len(under)):
+            return (1 if under[0] == "=" else 2, line.strip())
+        if level := line_level(line, rules):
+            return level, line.strip()
+    return None
+
+
+def _blocks(text: str) -> list[tuple[int, str]]:
+    """blocks() of one text: (indent, text) each."""
+    out: list[tuple[int, list[str]]] = []
+    fresh = True
+    for line in _LINE.split(text):
+        if not line or line.isspace():
+            fresh = True
+            continue
+        lead = line[: len(line) - len(line.lstrip("\t "))]
+        indent = len(lead.replace("\t", " " * TAB))
+        if fresh or abs(indent - out[-1][0]) >= INDENT_STEP:
+            out.append((indent, [line]))
+        else:
+            out[-1][1].append(line)
+        fresh = False
+    return [(indent, "\n".join(held)) for indent, held in out]
+
+
+def tokens(text: str) -> int:
+    return max(1, len(text.split()))
+
+
 def split_block(text: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> list[str]:
-    """Pieces of an oversized block: bullets stay whole, other lines go by sentence. A part above most stands alone, never lost."""
-    parts = [p for line in text.splitlines() if line.strip() for p in ([line] if _BULLET.match(line) else _SENTENCES.split(line)) if p.strip()]
+    """Pieces of an oversized block: bullets stay whole, other lines go by sentence; parts join while they stay within most. A part above
+    most goes with what stands before it where that is below least, else alone; nothing is lost. A last piece that fits the one before
+    joins it."""
+    parts = [p for line in _LINE.split(text) if line.strip() for p in ([line.rstrip()] if _BULLET.match(line) else map(str.strip, _SENTENCES.split(line))) if p]
     out: list[list[str]] = []
-    size = most + 1
+    sizes: list[int] = []
+    joins = False
     for part in parts:
-        n = max(1, len(part.split()))
-        if not out or size + n > most:
-            out.append([part])
-            size = n
-        else:
+        n = tokens(part)
+        if joins and (sizes[-1] + n <= most or (n > most and sizes[-1] < least)):
             out[-1].append(part)
-            size += n
-    pieces = [" ".join(p) for p in out]
-    if len(pieces) > 1 and len(pieces[-1].split()) < least and len(pieces[-1].split()) + len(pieces[-2].split()) <= most:
-        pieces[-2:] = [f"{pieces[-2]} {pieces[-1]}"]
-    return pieces
+            sizes[-1] += n
+        else:
+            out.append([part])
+            sizes.append(n)
+        joins = n <= most
+    if len(out) > 1 and joins and sizes[-2] + sizes[-1] <= most:
+        out[-2] += out.pop()
+    return ["\n".join(p) for p in out]
 
 
-def pack(sizes: list[int], least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> list[list[int]]:
-    """Groups of neighbours: a unit joins while the sum stays within most; nothing is dropped or reordered."""
+def pack(sizes: list[int], least: int = MIN_TOKENS, most: int = MAX_TOKENS, pieces: list[bool] | None = None) -> list[list[int]]:
+    """Groups of neighbours: a unit joins while the sum stays within most. A unit of least or more that began a group because it did not
+    fit ends it at once; pieces of a split block end a group as soon as it has least. Nothing is dropped or reordered."""
     groups: list[list[int]] = []
-    total = most + 1
+    total, joins = 0, False
     for i, n in enumerate(sizes):
-        if total + n > most:
-            groups.append([i])
-            total = n
-        else:
+        fits, piece = total + n <= most, bool(pieces and pieces[i])
+        if joins and fits:
             groups[-1].append(i)
             total += n
+            joins = not (piece and total >= least)
+        else:
+            groups.append([i])
+            joins = n < least or (fits and not joins and not piece)
+            total = n
+        total = total if joins else 0
     return groups
 
 
-def packed(units: Column, most: int) -> Column:
-    """pack() as an expression: for an array of sizes, the number of each unit's group."""
-    start = F.struct(F.lit(-1).alias("group"), F.lit(most + 1).cast("bigint").alias("total"), F.array().cast("array<int>").alias("out"))
+def grouped(rows: DataFrame, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
+    """rows (doc_id, sizes) as doc_id, chunk_index, units, tokens: how pack() groups each document's units."""
 
-    def fold(acc: Column, n: Column) -> Column:
-        new = acc["total"] + n > most
-        group = F.when(new, acc["group"] + 1).otherwise(acc["group"])
-        return F.struct(group.alias("group"), F.when(new, n.cast("bigint")).otherwise(acc["total"] + n).alias("total"), F.concat(acc["out"], F.array(group)).alias("out"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [(d, k, len(g), sum(int(s[i]) for i in g)) for d, s in zip(pdf["doc_id"], pdf["sizes"], strict=True) for k, g in enumerate(pack(list(s), least, most))]
+            yield pd.DataFrame(held, columns=["doc_id", "chunk_index", "units", "tokens"])
 
-    return F.aggregate(units, start, fold, lambda a: a["out"])
+    return rows.select("doc_id", "sizes").mapInPandas(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, chunk_index int, units long, tokens long")
 
 
 def pack_sheets(sizes: list[int], least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> list[list[int]]:
@@ -121,35 +198,43 @@ def pack_sheets(sizes: list[int], least: int = MIN_TOKENS, most: int = MAX_TOKEN
     return groups
 
 
-def chunk_documents(docs: DataFrame, rules: str = "txt", least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> DataFrame:
-    """docs (doc_id, text) as chunks with breadcrumbs; documents stream through, each on its own. A column file_type, where docs has
-    one, decides by row: md and docx take the Markdown rules for headings, pdf its own, xlsx packs whole sheets. Page marks become
-    page_from and page_to."""
-    kind = F.coalesce("file_type", F.lit("")) if "file_type" in docs.columns else F.lit("md" if rules == "md" else "")
-    held = docs.select("doc_id", kind.alias("kind"), blocks(F.coalesce("text", F.lit(""))).alias("blocks"))
-    if "file_type" in docs.columns:
-        held = held.withColumn("headings", F.when(F.col("kind").isin("md", "docx"), headings(F.col("blocks"), "md")).when(F.col("kind") == "pdf", headings(F.col("blocks"), "pdf")).when(F.col("kind") != "xlsx", headings(F.col("blocks"), rules)).otherwise(F.slice(headings(F.col("blocks"), "txt"), 1, 0)))
-    else:
-        held = held.withColumn("headings", headings(F.col("blocks"), rules))
-    held = held.select("doc_id", "kind", F.transform("blocks", lambda b: F.struct(b["block_index"].alias("i"), b["indent"].alias("indent"), b["text"].alias("text"), breadcrumbs(F.col("headings"), b["block_index"]).alias("above"))).alias("blocks"))
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {CHUNK}"
+def chunks_of(text: str, rules: str = "txt", sheets: bool = False, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> Iterator[tuple]:
+    """The chunks of one text, in the order of CHUNK's fields. The headings before a chunk's first block are its breadcrumbs: each new one
+    ends those of its level or deeper."""
+    page, units, stack = None, [], []  # units: (block, indent, page, headings above, text, whether a piece)
+    found = _blocks(text)
+    for i, (indent, block) in enumerate(found):
+        if mark := _PAGE.fullmatch(block.strip(" ")):
+            page = int(mark.group(1))
+            continue
+        above = [t for _, t in stack]
+        split = not sheets and tokens(block) > most
+        units += [(i, indent, page, above, p, split) for p in (split_block(block, least, most) if split else [block])]
+        if not sheets and len(found) > 1 and (head := _first_heading(block, rules)):
+            stack = [h for h in stack if h[0] < head[0]] + [head]
+    sizes = [tokens(u[4]) for u in units]
+    groups = pack_sheets(sizes, least, most) if sheets else pack(sizes, least, most, [u[5] for u in units])
+    for k, group in enumerate(groups):
+        held = [units[i] for i in group]
+        above, body = held[0][3], "\n".join(u[4] for u in held).strip("\n")
+        content = f"[Context: {' > '.join(above)}]\n\n{body}" if above else body
+        yield k, content, tokens(content), above, sorted({u[0] for u in held}), sorted({u[1] for u in held}), held[0][2], held[-1][2]
+
+
+def chunk_documents(docs: DataFrame, rules: str = "txt", least: int = MIN_TOKENS, most: int = MAX_TOKENS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """docs (text and the columns of keep) as chunks with breadcrumbs and those columns; documents stream through, each on its own. A
+    column file_type, where docs has one, decides by row: md and docx take the Markdown rules for headings, pdf its own, xlsx packs whole
+    sheets. Page marks become page_from and page_to."""
+    kind = F.coalesce("file_type", F.lit("")) if "file_type" in docs.columns else F.lit("")
+    schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), CHUNK])
+    names = [*keep, *(c.split()[0] for c in CHUNK.split(", "))]
+    by_kind = {"md": "md", "docx": "md", "pdf": "pdf"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc_id, sort, found in zip(pdf["doc_id"], pdf["kind"], pdf["blocks"], strict=True):
-                sheets = sort == "xlsx"
-                page, texts = None, []
-                for b in found:
-                    mark = _PAGE.fullmatch(b["text"].strip(" "))
-                    page = int(mark.group(1)) if mark else page
-                    texts += [] if mark else [b | {"page": page}]
-                units = [(b, p) for b in texts for p in ([b["text"]] if sheets or len(b["text"].split()) <= most else split_block(b["text"], least, most))]
-                for k, group in enumerate((pack_sheets if sheets else pack)([max(1, len(p.split())) for _, p in units], least, most)):
-                    first, text = units[group[0]][0], "\n\n".join(units[i][1] for i in group)
-                    above = list(first["above"])
-                    content = f"[Context: {' > '.join(above)}]\n\n{text}" if above else text
-                    rows.append((doc_id, k, content, max(1, len(content.split())), above, sorted({units[i][0]["i"] for i in group}), sorted({units[i][0]["indent"] for i in group}), first["page"], units[group[-1]][0]["page"]))
-            yield pd.DataFrame(rows, columns=["doc_id", *(c.split()[0] for c in CHUNK.split(", "))]).astype({"page_from": "Int32", "page_to": "Int32"})
+            kept = zip(*(pdf[f"_{i}"] for i in range(len(keep))), strict=True)
+            rows = [(*k, *c) for k, sort, text in zip(kept, pdf["_kind"], pdf["_text"], strict=True) for c in chunks_of(text or "", by_kind.get(sort, rules), sort == "xlsx", least, most)]
+            yield pd.DataFrame(rows, columns=names).astype({"page_from": "Int32", "page_to": "Int32"})
 
+    held = docs.select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], kind.alias("_kind"), F.col("text").alias("_text"))
     return held.mapInPandas(run, schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,12 +42,19 @@ def top_k_batch(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, block: i
     def near(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(asked):
             return pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, np.int64), "distance": np.empty(0)})
-        x, ids, out = np.stack(rows["embedding"].to_numpy()).astype(float), rows["id"].to_numpy(), []
-        for query, q in zip(asked["query_id"], asked["asked"], strict=True):
-            d = ((x - q.astype(float)) ** 2).sum(1)
-            best = np.lexsort((ids, d))[:k]
-            out.append(pd.DataFrame({"query_id": query, "id": ids[best], "distance": d[best]}))
-        return pd.concat(out)
+        x, ids, names = np.stack(rows["embedding"].to_numpy()).astype(float), rows["id"].to_numpy(), asked["query_id"].to_numpy()
+        q, norms, out = np.stack(asked["asked"].to_numpy()).astype(float), (x**2).sum(1), []
+        for lo in range(0, len(q), 128):
+            part = q[lo : lo + 128]
+            size = (part**2).sum(1)[:, None]
+            close = norms + size - 2 * part @ x.T  # up to rounding, for which the slack below allows
+            edge = np.partition(close, min(k, len(x)) - 1, 1)[:, min(k, len(x)) - 1, None]
+            for i, maybe in enumerate(close <= edge + 1e-9 * (norms.max() + size)):
+                at = np.flatnonzero(maybe)
+                d = ((x[at] - part[i]) ** 2).sum(1)
+                best = np.lexsort((ids[at], d))[:k]
+                out.append((np.full(len(best), names[lo + i]), ids[at][best], d[best]))
+        return pd.DataFrame({n: np.concatenate([o[i] for o in out]) for i, n in enumerate(("query_id", "id", "distance"))})
 
     found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInPandas(near, "query_id long, id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
@@ -89,6 +97,35 @@ def bm25(candidates: DataFrame, query: str, stopwords: list[str] | None = None,
     return held.join(F.broadcast(stats)).withColumn("bm25_score", score(F.col("_tokens"))).select(*candidates.columns, "bm25_score")
 
 
+def fuse_lists(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
+    """(id, rrf_score) of rank lists (id, rank), each with other ids: an id that a list lacks gets nothing from it."""
+    each = [one.select("id", (1.0 / (k + F.col("rank"))).alias("share")) for one in lists]
+    return reduce(DataFrame.unionByName, each).groupBy("id").agg(F.sum("share").alias("rrf_score"))
+
+
+_TESTS: dict[str, Callable[[Column, object], Column]] = {
+    "$eq": lambda c, v: c == F.lit(v), "$ne": lambda c, v: c != F.lit(v), "$gt": lambda c, v: c > F.lit(v), "$gte": lambda c, v: c >= F.lit(v),
+    "$lt": lambda c, v: c < F.lit(v), "$lte": lambda c, v: c <= F.lit(v), "$in": lambda c, v: c.isin(list(v)), "$nin": lambda c, v: ~c.isin(list(v)),
+}
+
+
+def matches(where: dict) -> Column:
+    """A metadata predicate as a Column, which the scan can push down: {field: value}, {field: {"$gte": a, "$lte": b}}, {"$and": [...]},
+    {"$or": [...]}; several entries must all hold, none always does. A null field matches nothing."""
+    each = []
+    for name, want in where.items():
+        if name in ("$and", "$or"):
+            each.append(reduce((lambda a, b: a & b) if name == "$and" else (lambda a, b: a | b), map(matches, want)))
+        elif name.startswith("$"):
+            raise ValueError(f"unknown operator {name}")
+        else:
+            for test, value in (want if isinstance(want, dict) else {"$eq": want}).items():
+                if test not in _TESTS:
+                    raise ValueError(f"unknown operator {test}")
+                each.append(_TESTS[test](F.col(name), value))
+    return reduce(lambda a, b: a & b, each, F.lit(True))
+
+
 def fused(ranked: DataFrame, columns: list[str], k: int = RRF_K, partition: list[str] | None = None) -> DataFrame:
     """rrf_score: the sum of 1 / (k + rank) over the rank columns; a null rank gives nothing."""
     return ranked.withColumn("rrf_score", sum((F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in columns[1:]), F.coalesce(1.0 / (k + F.col(columns[0])), F.lit(0.0))))

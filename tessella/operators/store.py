@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -34,11 +36,25 @@ def summaries(rows: DataFrame, first: int = 100) -> DataFrame:
     return counts.join(texts, "file_name").select("file_name", "chunks", F.array_join(F.transform("held", lambda c: c["content"]), "\n\n").alias("contents"))
 
 
+def workspace(spark: SparkSession) -> str:
+    """A new path in the shared checkpoint folder. Where none is set, a folder of this machine serves in local mode alone."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.gettempdir()}/tessella-checkpoints"
+    return f"{base.rstrip('/')}/tessella/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 class ChunkStore:
     """A table under one path that grows by parts: an insert writes the new rows alone, a delete writes no rows at all. A numbered list
     says which parts are current and which files are gone from which parts; compact() rewrites them as one part.
 
-    Lists are made once and never changed, so a reader sees one state and the second of two writers at once fails."""
+    Lists are made once and never changed, so a reader sees one state. Of two writers at once the second fails where the file system's
+    rename does not replace (HDFS, local disks); on object stores without such a rename, let one writer at a time change a store."""
+
+    #: Deleted files up to which a read names each in a filter; beyond it they are a table that the rows are joined with.
+    MOST_NAMED = 64
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -75,9 +91,12 @@ class ChunkStore:
         if not state["parts"]:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(StructType(schema.fields).add("_part", "long")).parquet(*[f"{self.path}/parts/{p}" for p in state["parts"]])
-        for name, last in state["gone"]:
-            rows = rows.where(~(F.col("file_name").eqNullSafe(F.lit(name)) & (F.col("_part") <= last)))
-        return rows.drop("_part")
+        if len(state["gone"]) <= self.MOST_NAMED:
+            for name, last in state["gone"]:
+                rows = rows.where(~(F.col("file_name").eqNullSafe(F.lit(name)) & (F.col("_part") <= last)))
+            return rows.drop("_part")
+        gone = self.spark.createDataFrame([tuple(g) for g in state["gone"]], "_gone string, _last long")
+        return rows.join(gone, F.col("file_name").eqNullSafe(F.col("_gone")) & (F.col("_part") <= F.col("_last")), "left_anti").drop("_part")
 
     def read(self) -> DataFrame | None:
         return self._rows(self._state())
@@ -91,10 +110,13 @@ class ChunkStore:
         self._publish(state | {"parts": [*(state["parts"] if keep else []), part], "gone": state["gone"] if keep else [], "schema": schema})
 
     def insert(self, new: DataFrame, key: str = "id") -> None:
-        """Appends the rows of new whose key the store has not, each key once. new is computed once."""
+        """Appends the rows of new whose key the store has not, each key once: of rows that share it, the one with the smallest hash of
+        all its columns. new is computed once."""
         state, staged = self._state(), f"{self.path}/staged/{uuid.uuid4().hex}"
         new.write.parquet(staged)
-        first, now = self.spark.read.schema(new.schema).parquet(staged).dropDuplicates([key]), self._rows(state)
+        rows, now = self.spark.read.schema(new.schema).parquet(staged), self._rows(state)
+        order = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])))
+        first = rows.withColumn("_nth", order).where("_nth = 1").drop("_nth")
         self._add(state, first if now is None else insert_new_only(now, first, key), True)
         self._fs.delete(self._jvm_path(staged), True)
 

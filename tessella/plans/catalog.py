@@ -129,8 +129,9 @@ def bm25_stopwords(t):
 
 def _candidates(t):
     q, v = _first_vector(t)
-    linked = v.join(_as_chunks(t), "id")
-    return R.top_k(linked, q, R.MOST_K).select("id", "content", "file_name", "vector_rank")
+    chunks = _as_chunks(t)
+    near = R.top_k(v.join(chunks.select("id"), "id", "left_semi"), q, R.MOST_K).select("id", "vector_rank")
+    return chunks.join(F.broadcast(near), "id").select("id", "content", "file_name", "vector_rank")  # at most MOST_K rows
 
 
 CANDIDATES = f"SELECT *, row_number() OVER (ORDER BY d, id) AS vector_rank FROM (SELECT doc_id AS id, text AS content, source AS file_name, {L2} AS d FROM embeddings e JOIN documents ON doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, id LIMIT 50)"
@@ -186,21 +187,39 @@ def sentence_split(t):
     return t("documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("sentences"), F.length(F.col("s")[0]).alias("first_length"))
 
 
-#: Lines of the documents with bullets, marks and capitals put in by rule, in both dialects.
-LINES = "SELECT doc_id, line_no, CASE WHEN line_no % 4 = 0 THEN '- ' || line WHEN line_no % 4 = 1 THEN repeat('#', 1 + line_no % 3) || ' ' || line WHEN line_no % 4 = 2 THEN repeat(' ', 4 * (line_no % 3)) || regexp_replace(line, '[.!?]', '', 'g') ELSE line END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"
+#: Forms of lines, put before the documents' own lines by their number, in both dialects; some lines lose their end marks.
+FORMS = ("- ", "# ", "    ", "1.2 ", "1.2. ", "Section 2.1 - ", "chapter iv: ", "IV. ", "2) ", "=== ", "### ", "")
+BARE = (2, 3, 5, 6, 8, 9)
+LINES = f"""SELECT doc_id, line_no, CASE WHEN line_no % 13 = 12 THEN translate(line, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')
+ELSE [{', '.join(map(repr, FORMS))}][(line_no % 13 % 12 + 1)::INT] || CASE WHEN line_no % 13 IN {BARE} THEN regexp_replace(line, '[.!?]', '', 'g') ELSE line END || CASE WHEN line_no % 13 = 9 THEN ' ===' ELSE '' END END AS line
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)"""
 
 
 def _lines(t):
     rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    n, line = F.col("line_no"), F.col("line")
-    made = F.when(n % 4 == 0, F.concat(F.lit("- "), line)).when(n % 4 == 1, F.concat(F.expr("repeat('#', 1 + line_no % 3)"), F.lit(" "), line)).when(n % 4 == 2, F.concat(F.expr("repeat(' ', 4 * (line_no % 3))"), F.regexp_replace(line, "[.!?]", ""))).otherwise(line)
-    return rows.select("doc_id", "line_no", made.alias("line"))
+    n, line = F.col("line_no") % 13, F.col("line")
+    held = F.when(n.isin(*BARE), F.regexp_replace(line, "[.!?]", "")).otherwise(line)
+    made = F.concat(F.element_at(F.array(*map(F.lit, FORMS)), (n % 12 + 1).cast("int")), held, F.when(n == 9, " ===").otherwise(""))
+    return rows.select("doc_id", "line_no", F.when(n == 12, F.translate(line, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).otherwise(made).alias("line"))
 
 
-@query(rf"WITH lines AS ({LINES}), s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM lines) SELECT doc_id, line_no::INT AS line_no, regexp_matches(line, '^\s*([-*•]|[0-9]+[.)])\s+') AS bullet, regexp_matches(line, '^\s*$') AS blank, length(regexp_extract(line, '^ *'))::INT AS indent, (regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '[\p{{Ll}}\p{{Lt}}]')) AS upper, CASE WHEN t = '' THEN 0 WHEN regexp_matches(t, '^\s*([0-9]+\.)+\s+\S') OR regexp_matches(t, '^\p{{Lu}}[^.!?]*$') THEN 1 ELSE 0 END AS level FROM s")
+TITLED = r"(regexp_matches(t, '[\p{Lu}\p{Lt}]') AND NOT regexp_matches(t, '[\p{Lu}\p{Ll}\p{Lt}][\p{Lu}\p{Lt}]|(^|[^\p{Lu}\p{Ll}\p{Lt}])\p{Ll}'))"
+LEVELS = rf"""WITH lines AS ({LINES}), s AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t FROM lines),
+seen AS (SELECT *, regexp_matches(t, '\p{{Lu}}') AND NOT regexp_matches(t, '[\p{{Ll}}\p{{Lt}}]') AS up, {TITLED} AS titled, length(t) < 80 AND t NOT LIKE '%.' AS short,
+  length(regexp_extract(t, '{T.MARKED_TITLE}', 1)) AS marks, regexp_extract(t, '{T.ROMAN_TITLE}', 1) AS roman, regexp_extract(t, '{T.COUNTED_TITLE}', 1) AS counted,
+  CASE WHEN regexp_matches(t, '{T.PLAIN_TITLE}') THEN 1 WHEN regexp_matches(t, '{T.CHAPTER_TITLE}') AND length(t) < 50 THEN 2 WHEN regexp_matches(t, '{T.CHAPTER_TITLE}') THEN 3 ELSE 0 END AS by_form FROM s),
+pdf AS (SELECT *, CASE WHEN length(t) < 3 THEN 0 WHEN regexp_matches(t, '{T.NUMBERED}') THEN 1 ELSE by_form END AS pdf_level FROM seen)"""
+
+
+@query(rf"""{LEVELS} SELECT doc_id, line_no::INT AS line_no, regexp_matches(line, '^\s*([-*•]|[0-9]+[.)])\s+') AS bullet, regexp_matches(line, '^\s*$') AS blank, length(regexp_extract(line, '^ *'))::INT AS indent, up AS upper,
+regexp_matches(line, '{T.ENUMERATED_TITLE}') OR regexp_matches(line, '{T.PLAIN_TITLE}') OR regexp_matches(line, '{T.CHAPTER_TITLE}') AS formed, pdf_level,
+CASE WHEN length(t) < 3 OR pdf_level > 0 THEN pdf_level WHEN short AND t NOT LIKE '%,' AND (up OR titled) THEN 2 WHEN regexp_matches(t, '{T.FENCED_TITLE}') THEN 1 ELSE marks END::INT AS txt_level,
+CASE WHEN length(t) < 2 THEN 0 WHEN marks > 0 THEN marks WHEN roman <> '' AND regexp_matches(roman, '^M{{0,4}}(CM|CD|D?C{{0,3}})(XC|XL|L?X{{0,3}})(IX|IV|V?I{{0,3}})$') THEN 1
+  WHEN counted <> '' THEN least(6, len(string_split(counted, '.')) + 1) WHEN up AND short THEN 2 ELSE by_form END::INT AS md_level FROM pdf""")
 def line_classify(t):
     line = F.col("line")
-    return _lines(t).select("doc_id", "line_no", line.rlike(T.BULLET).alias("bullet"), line.rlike(r"^\s*$").alias("blank"), T.indent_width(line).alias("indent"), T.is_upper(T.strip(line)).alias("upper"), T.heading_level(line, "pdf").alias("level"))
+    levels = [T.heading_level(line, rules).alias(f"{rules}_level") for rules in ("pdf", "txt", "md")]
+    return _lines(t).select("doc_id", "line_no", line.rlike(T.BULLET).alias("bullet"), line.rlike(r"^\s*$").alias("blank"), T.indent_width(line).alias("indent"), T.is_upper(T.strip(line)).alias("upper"), T.is_heading_like(line).alias("formed"), *levels)
 
 
 @query(f"WITH lines AS ({LINES}), heads AS (SELECT doc_id, line_no, length(regexp_extract(line, '^#+')) AS level, line FROM lines WHERE line LIKE '#%') SELECT a.doc_id, a.line_no::INT AS line_no, count(b.line_no)::INT AS depth FROM heads a LEFT JOIN heads b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND NOT EXISTS (SELECT 1 FROM heads c WHERE c.doc_id = b.doc_id AND c.line_no > b.line_no AND c.line_no < a.line_no AND c.level <= b.level) GROUP BY a.doc_id, a.line_no")
@@ -210,19 +229,26 @@ def heading_breadcrumbs(t):
     return by_doc.select("doc_id", "hs", F.explode("hs").alias("h")).select("doc_id", F.col("h.block_index").alias("line_no"), F.size(C.breadcrumbs(F.col("hs"), F.col("h.block_index"))).alias("depth"))
 
 
-@query(f"WITH lines AS ({LINES}) SELECT doc_id, line_no::INT AS line_no, CASE WHEN regexp_matches(next, '^#') THEN 1 WHEN regexp_matches(next, '^- ') THEN 2 ELSE 0 END AS level FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM lines)")
+#: Every third line of a document followed by an underline of its own, then a blank line: the block's first heading is the underlined line.
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents),
+b AS (SELECT doc_id, i, regexp_replace(line, '^\s+|\s+$', '', 'g') AS t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block FROM l WHERE regexp_matches(line, '\S'))
+SELECT doc_id, block::INT AS block_index, CASE WHEN i % 2 = 0 THEN 1 ELSE 2 END AS level, md5(t) AS digest FROM b WHERE i % 3 = 0""")
 def setext_lead(t):
-    nxt = F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    return _lines(t).withColumn("next", nxt).select("doc_id", "line_no", F.when(F.col("next").rlike("^#"), 1).when(F.col("next").rlike("^- "), 2).otherwise(0).alias("level"))
+    def marked(line, i):
+        under = F.when(i % 3 == 0, F.concat(F.lit("\n"), F.repeat(F.when(i % 2 == 0, "=").otherwise("-"), (F.lit(1) + i % 5).cast("int")))).otherwise("")
+        return F.when(line.rlike(r"\S"), F.concat(F.when(i % 3 == 0, line).otherwise(F.concat(F.lit("- "), line, F.lit("."))), under)).otherwise(line)
+
+    text = F.array_join(F.transform(F.split("text", "\n"), marked), "\n\n")
+    held = t("documents").select("doc_id", F.explode(C.headings(C.blocks(text), "md")).alias("h"))
+    return held.select("doc_id", "h.block_index", "h.level", F.md5(F.col("h.text").cast("binary")).alias("digest"))
 
 
 @query(r"""WITH RECURSIVE units AS (SELECT doc_id, i, greatest(1, len(list_filter(string_split_regex(s, '\s+'), lambda x: x <> ''))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
-fold AS (SELECT doc_id, i, n AS total, 0 AS grp FROM units WHERE i = 1 UNION ALL SELECT u.doc_id, u.i, CASE WHEN f.total + u.n > 120 THEN u.n ELSE f.total + u.n END, CASE WHEN f.total + u.n > 120 THEN f.grp + 1 ELSE f.grp END FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
+fold AS (SELECT doc_id, i, n AS total, n > 120 AS shut, 0 AS grp FROM units WHERE i = 1
+UNION ALL SELECT u.doc_id, u.i, CASE WHEN f.shut OR f.total + u.n > 120 THEN u.n ELSE f.total + u.n END, CASE WHEN f.shut THEN u.n > 120 ELSE f.total + u.n > 120 AND u.n >= 60 END, f.grp + CASE WHEN f.shut OR f.total + u.n > 120 THEN 1 ELSE 0 END FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
 SELECT f.doc_id, f.grp::INT AS chunk_index, count(*) AS units, sum(u.n)::BIGINT AS tokens FROM fold f JOIN units u USING (doc_id, i) GROUP BY ALL""")
 def greedy_pack(t):
-    held = t("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda s: T.token_count(s)).alias("n"))
-    held = held.select("doc_id", F.explode(F.arrays_zip("n", C.packed(F.col("n"), 120).alias("g"))).alias("u"))
-    return held.groupBy("doc_id", F.col("u.g").alias("chunk_index")).agg(F.count("*").alias("units"), F.sum("u.n").alias("tokens"))
+    return C.grouped(t("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda s: T.token_count(s)).alias("sizes")), 60, 120)
 
 
 @query(r"""WITH RECURSIVE lines AS (SELECT doc_id, i, CASE WHEN i % 5 = 4 THEN '' ELSE repeat(' ', 4 * (i % 3)) || s END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
@@ -235,26 +261,44 @@ def block_split(t):
     return t("documents").select("doc_id", F.size(C.blocks(F.array_join(made, "\n"))).alias("blocks"))
 
 
-@query()
+#: The documents have no blank or indented lines, so each is one block: whole up to 500 words, else its sentences are folded into pieces
+#: and the pieces into chunks. grp counts the pieces (or chunks) that began; shut says that the last one takes no more.
+CHUNKS = r"""WITH RECURSIVE count_of AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n FROM documents WHERE regexp_matches(text, '\S')),
+sentence AS (SELECT doc_id, li, unnest(string_split(regexp_replace(line, '([.?!…])\s+', concat('\1', chr(1)), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(line, '([.?!…])\s+', concat('\1', chr(1)), 'g'), chr(1)), 1) AS si
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS li FROM count_of WHERE n > 500)),
+part AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY li, si) AS i, trim(s) AS s, len(list_filter(string_split_regex(s, '\s+'), lambda x: x <> '')) AS n FROM sentence WHERE trim(s) <> ''),
+piece_fold AS (SELECT doc_id, i, n AS total, n > 500 AS shut, 0 AS grp FROM part WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN NOT f.shut AND (f.total + p.n <= 500 OR (p.n > 500 AND f.total < 300)) THEN f.total + p.n ELSE p.n END, p.n > 500, f.grp + CASE WHEN NOT f.shut AND (f.total + p.n <= 500 OR (p.n > 500 AND f.total < 300)) THEN 0 ELSE 1 END
+  FROM piece_fold f JOIN part p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+piece AS (SELECT doc_id, grp + 1 AS i, string_agg(s, chr(10) ORDER BY i) AS s, sum(n) AS n FROM piece_fold JOIN part USING (doc_id, i) GROUP BY doc_id, grp),
+chunk_fold AS (SELECT doc_id, i, n AS total, n >= 300 AS shut, 0 AS grp FROM piece WHERE i = 1
+  UNION ALL SELECT p.doc_id, p.i, CASE WHEN NOT f.shut AND f.total + p.n <= 500 THEN f.total + p.n ELSE p.n END, CASE WHEN NOT f.shut AND f.total + p.n <= 500 THEN f.total + p.n ELSE p.n END >= 300, f.grp + CASE WHEN NOT f.shut AND f.total + p.n <= 500 THEN 0 ELSE 1 END
+  FROM chunk_fold f JOIN piece p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+chunks AS (SELECT doc_id, grp AS chunk_index, sum(n) AS token_count, string_agg(s, chr(10) ORDER BY i) AS content FROM chunk_fold JOIN piece USING (doc_id, i) GROUP BY doc_id, grp
+  UNION ALL SELECT doc_id, 0, n, text FROM count_of WHERE n <= 500)"""
+
+
+@query(f"{CHUNKS} SELECT doc_id, chunk_index::INT AS chunk_index, token_count::INT AS token_count, md5(content) AS digest FROM chunks")
 def chunk_documents(t):
     return C.chunk_documents(t("documents")).select("doc_id", "chunk_index", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
-@query()
+@query(f"{CHUNKS} SELECT doc_id, count(*) AS chunks, sum(token_count)::BIGINT AS tokens, max(token_count)::INT AS longest FROM chunks GROUP BY doc_id")
 def chunk_stats(t):
     return C.chunk_documents(t("documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("longest"))
 
 
-TOC_TEXT = "CASE WHEN doc_id % 7 = 0 THEN regexp_replace(text, '\n', ' ........ 12' || chr(10), 'g') ELSE text END"
+#: Ends of lines by doc_id: leaders with and without spaces before a page number, names that end in digits, and none.
+TOC_ENDS = (" ........ 12", " . . . . . . . . 7", " chapter 205", "part123")
 
 
-@query(r"""WITH docs AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(text, chr(10), ' ........ 12' || chr(10)) ELSE text END AS text FROM documents),
-l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS f FROM docs),
-c AS (SELECT doc_id, f, len(f) AS n, len(list_filter(f, lambda x: regexp_matches(x, '(^|[^0-9])[0-9]{1,4}$') AND length(x) > 15)) AS ends, len(list_filter(f, lambda x: contains(x, '........'))) AS dots FROM l)
+@query(rf"""WITH docs AS (SELECT doc_id, replace(text, chr(10), coalesce([{', '.join(map(repr, TOC_ENDS))}][(doc_id % 7 + 1)::INT], '') || chr(10)) AS text FROM documents),
+l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS f FROM docs),
+c AS (SELECT doc_id, f, len(f) AS n, len(list_filter(f, lambda x: regexp_matches(x, '\s[0-9]{{1,4}}$') AND length(x) > 15)) AS ends, len(list_filter(f, lambda x: len(string_split(x, '.')) > 8)) AS dots FROM l)
 SELECT doc_id, (n >= 5 AND (len(list_filter(f[1:15], lambda x: contains(lower(x), 'table of contents') OR contains(lower(x), 'mục lục'))) > 0 OR (ends / n > 0.2 AND dots / n > 0.1) OR ends / n > 0.4)) AS is_toc FROM c""")
 def toc_detect(t):
-    text = F.when(F.col("doc_id") % 7 == 0, F.replace("text", F.lit("\n"), F.lit(" ........ 12\n"))).otherwise(F.col("text"))
-    return t("documents").select("doc_id", T.is_toc_page(text).alias("is_toc"))
+    end = F.coalesce(F.get(F.array(*map(F.lit, TOC_ENDS)), (F.col("doc_id") % 7).cast("int")), F.lit(""))
+    return t("documents").select("doc_id", T.is_toc_page(F.replace("text", F.lit("\n"), F.concat(end, F.lit("\n")))).alias("is_toc"))
 
 
 @query(r"SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '[^A-Za-z0-9]+', '_', 'g'), '^_+', ''), '_+$', ''), 150) AS folder FROM pages")
@@ -284,9 +328,19 @@ def page_flags(t):
     return t("pages").select("page_id", H.flags(html, F.col("url")).alias("f")).select("page_id", "f.is_pdf", "f.is_html", "f.looks_like_login", "f.is_backstage")
 
 
-@query()
+CITED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s*\[[0-9]+\]', '', 'g'), '\s*\^\s*', ' ', 'g'), '(?i)\s*\(link\)\s*', ' ', 'g'), '\s{{2,}}', ' ', 'g')"
+#: The pages with a section of references, a citation, two pictures and a table put into their articles by rule.
+PAGE_MORE = ("<sup class=\"reference\">[3]</sup>", "<img srcset=\"/a.png 1w, /b.png 2w\" src=\"/c.png\"><img data-original=\"d.png\">", "<table><tr><td>cell</td></tr></table>", "<h2>Notes</h2><p>gone</p>")
+
+
+@query(rf"""WITH held AS (SELECT page_id, url, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+parts AS (SELECT page_id, url, list_filter(list_transform(string_split(regexp_replace(a, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM held),
+clean AS (SELECT page_id, url, trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(array_to_string(p, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10))) AS t FROM parts),
+done AS (SELECT page_id, url, {CITED.format('t')} AS t FROM clean)
+SELECT page_id, md5(t) AS digest, length(t) >= 200 AS is_article, regexp_extract(url, '^[a-z]+://[^/]*') || '/b.png ' || regexp_extract(url, '^([a-z]+://.*/)[^/]*$', 1) || 'd.png' AS images FROM done""")
 def page_main_text(t):
-    return H.main_texts(t("pages")).select("page_id", "main_text", "is_article", F.size("image_urls").alias("images"))
+    html = F.regexp_replace("html", "</article>", "".join(PAGE_MORE) + "</article>")
+    return H.main_texts(t("pages").withColumn("html", html)).select("page_id", F.md5(F.col("main_text").cast("binary")).alias("digest"), "is_article", F.array_join("image_urls", " ").alias("images"))
 
 
 @query(r"WITH d AS (SELECT doc_id, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) AS text FROM documents) SELECT doc_id, md5(trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10)))) AS digest FROM d")
@@ -305,9 +359,9 @@ def linebreak_fix(t):
     return t("documents").select("doc_id", F.md5(T.fix_linebreaks(F.col("text")).cast("binary")).alias("digest"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' a[1] b^ (link) c', '\[[0-9]+\]', '', 'g'), '\^', '', 'g'), '\(link\)', '', 'g'), ' {2,}', ' ', 'g')) AS digest FROM documents")
+@query(f"SELECT doc_id, md5({CITED.format("text || ' a[1] b^ (Link) c' || chr(10) || ' [22]'")}) AS digest FROM documents")
 def citations_strip(t):
-    return t("documents").select("doc_id", F.md5(T.strip_citations(F.concat("text", F.lit(" a[1] b^ (link) c"))).cast("binary")).alias("digest"))
+    return t("documents").select("doc_id", F.md5(T.strip_citations(F.concat("text", F.lit(" a[1] b^ (Link) c\n [22]"))).cast("binary")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' ![x](http://y/z.png) ![a][b] <img src=q>' || repeat(chr(10), 4) || 'end', '!\[[^\]]*\]\([^)]*\)', '', 'g'), '!\[[^\]]*\]\[[^\]]*\]', '', 'g'), '(?i)<img[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
@@ -335,9 +389,53 @@ def insert_new_only(t):
     return S.insert_new_only(t("labels"), t("documents"), "doc_id").select("doc_id", "text")
 
 
-@query("SELECT doc_id FROM documents WHERE source <> 'src3'")
+def _store(rows):
+    """A store of its own in the workspace that holds rows (id, file_name, ...)."""
+    spark = rows.sparkSession
+    store = S.ChunkStore(spark, S.workspace(spark))
+    store.insert(rows)
+    return store
+
+
+@query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src3'")
 def delete_by_key(t):
-    return t("documents").where(F.col("source") != "src3").select("doc_id")
+    store = _store(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text"))
+    store.delete_file("src3")
+    return store.read().select(F.col("id").alias("doc_id"))
+
+
+@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE source IN ('src1', 'src2') AND n_chars >= 500 AND n_chars <= 2000 AND lang = 'en' AND doc_id <> 7")
+def metadata_filter(t):
+    where = {"$and": [{"source": {"$in": ["src1", "src2"]}}, {"n_chars": {"$gte": 500, "$lte": 2000}}, {"lang": "en"}, {"doc_id": {"$ne": 7}}]}
+    return t("documents").where(R.matches(where)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: Two rank lists of which neither holds all of the other: by length and by number.
+RANKS = "a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents WHERE doc_id % 4 <> 0)"
+
+
+@query(f"WITH {RANKS} SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 9) AS rrf_score FROM a FULL JOIN b ON a.id = b.id")
+def rrf_outer(t):
+    rows, w = t("documents"), Window.partitionBy(F.lit(0))
+    a = rows.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    b = rows.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.row_number().over(w.orderBy("doc_id")).alias("rank"))
+    return R.fuse_lists([a, b]).select("id", F.round("rrf_score", 9).alias("rrf_score"))
+
+
+@query("SELECT a.conv_id, a.turn, count(b.turn) AS pictures, coalesce(array_to_string(list(b.turn ORDER BY b.turn), ','), '') AS held FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn % 2 = 0 AND b.turn IN (a.turn, a.turn + 2) GROUP BY ALL")
+def chunk_pictures(t):
+    rows = t("conversations")
+    chunks = rows.select("conv_id", "turn", F.array(F.col("turn"), F.col("turn") + 2).alias("block_indices"))
+    made = readers.pictures_of_chunks(chunks, rows.where("turn % 2 = 0").select("conv_id", F.col("turn").alias("paragraph"), F.col("turn").alias("picture")), "conv_id", "turn", "block_indices", "paragraph", "picture")
+    return made.select("conv_id", "turn", F.size("pictures").cast("bigint").alias("pictures"), F.array_join("pictures", ",").alias("held"))
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS picture, count(b.l_linenumber) AS blocks, coalesce(sum(b.l_quantity), 0) AS quantity FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber <> a.l_linenumber AND b.l_quantity <= a.l_quantity + 10 + 5 AND b.l_quantity + 10 >= a.l_quantity - 5 GROUP BY a.l_orderkey, a.l_linenumber")
+def picture_margin(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("top"), (F.col("l_quantity") + 10).alias("bottom"))
+    near = readers.within_margin(rows, rows, "l_orderkey", 5.0)
+    kept = F.col("n_l_linenumber") != F.col("l_linenumber")
+    return near.groupBy("l_orderkey", F.col("l_linenumber").alias("picture")).agg(F.count(F.when(kept, 1)).alias("blocks"), F.coalesce(F.sum(F.when(kept, F.col("n_top"))), F.lit(0.0)).alias("quantity"))
 
 
 @query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
@@ -398,13 +496,13 @@ def cookie_names(t):
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 4 = 1 THEN turn::VARCHAR ELSE turn || '-' || (turn + turn % 4) END AS page_range,
 CASE WHEN role = 'user' THEN 'Unknown' ELSE role END AS file_name, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
-CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || left(text, 20) ELSE left(text, 20) END AS payload FROM conversations""")
+md5(CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || text ELSE text END) AS payload FROM conversations""")
 def hit_projection(t):
     turn = F.col("turn")
     first, last = F.when(turn % 4 != 0, turn), F.when(turn % 4 == 1, turn).otherwise(turn + turn % 4)
     crumbs = F.when(turn % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
     name = F.coalesce(F.when(F.col("role") != "user", F.col("role")), F.lit("Unknown"))
-    return t("conversations").select("conv_id", "turn", T.page_range(first, last).alias("page_range"), name.alias("file_name"), T.preview(F.col("text"), 200).alias("preview"), T.with_context(F.left("text", F.lit(20)), crumbs).alias("payload"))
+    return t("conversations").select("conv_id", "turn", T.page_range(first, last).alias("page_range"), name.alias("file_name"), T.preview(F.col("text"), 200).alias("preview"), F.md5(T.with_context(F.col("text"), crumbs).cast("binary")).alias("payload"))
 
 
 @query("SELECT a.conv_id, a.turn, b.turn AS image, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + a.turn % 3")
@@ -415,11 +513,11 @@ def range_join_pages(t):
 
 
 def _context_sql(own: str) -> str:
-    return f"SELECT conv_id, turn, md5(array_to_string(list_filter(coalesce(list(left(text, 40)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING{own}), []), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS digest FROM conversations"
+    return f"SELECT conv_id, turn, md5(array_to_string(list_filter(coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING{own}), []), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS digest FROM conversations"
 
 
 def _context(t, own: bool):
-    rows = t("conversations").select("conv_id", "turn", F.left("text", F.lit(40)).alias("text"))
+    rows = t("conversations").select("conv_id", "turn", "text")
     return readers.surroundings(rows, "conv_id", "turn", "text", own=own).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
 
 
@@ -445,10 +543,13 @@ def row_text(t):
     return t("customer").select("c_custkey", T.row_text(F.array("c_name", F.when(key % 2 == 0, F.col("c_mktsegment")), F.when(key % 3 == 0, " ").otherwise(F.col("c_nationkey").cast("string")))).alias("line"))
 
 
-@query("SELECT l_returnflag AS sheet, count(DISTINCT l_orderkey) AS n_rows, count(DISTINCT l_linenumber) AS n_columns, count(*) = 0 AS is_empty FROM lineitem GROUP BY l_returnflag")
+#: A workbook by market segment: a row a customer, of whose cells some are blank, a column without any, and a sheet without rows.
+@query("SELECT c_mktsegment AS sheet, count(*) AS n_rows, max(CASE WHEN c_custkey % 5 = 0 THEN 3 ELSE 2 END) AS n_columns, false AS is_empty FROM customer GROUP BY c_mktsegment UNION ALL SELECT 'blank', 0, 0, true")
 def sheet_info(t):
-    cells = t("lineitem").select(F.col("l_returnflag").alias("sheet"), F.col("l_orderkey").alias("row_idx"), F.col("l_linenumber").alias("col_idx"))
-    return readers.sheet_info(cells)
+    row = F.array(F.col("c_name"), F.lit(" "), F.col("c_acctbal").cast("string"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_name")))
+    cells = t("customer").select(F.col("c_mktsegment").alias("sheet"), F.col("c_custkey").alias("row_idx"), F.posexplode(row).alias("col_idx", "value"))
+    blank = cells.sparkSession.createDataFrame([("blank", None, None, None)], "sheet string, row_idx long, col_idx int, value string")
+    return readers.sheet_info(cells.unionByName(blank))
 
 
 @query("SELECT page_id, base || CASE WHEN n > 1 THEN '_' || n ELSE '' END || '.png' AS name FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY page_id) AS n FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^/]*)', 1), '[^A-Za-z0-9_-]+', '_', 'g'), '^_+', ''), '_+$', '') AS base FROM pages))")
@@ -457,45 +558,7 @@ def unique_image_names(t):
     return readers.unique_names(held, "base", "ending", "page_id").select("page_id", "name")
 
 
-@query("SELECT source AS file_name, count(*) AS chunks, left(string_agg(left(text, 30), chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE n <= 100), 500) AS summary FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source")
-def document_summary(t):
-    rows = t("documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_index"), F.left("text", F.lit(30)).alias("content"))
-    return S.summaries(rows).select("file_name", "chunks", F.left("contents", F.lit(500)).alias("summary"))
-
-
-@query(rf"WITH lines AS ({LINES}), made AS (SELECT doc_id, line_no, CASE line_no % 6 WHEN 2 THEN repeat('=', 1 + line_no % 4) || repeat(' ', line_no % 3) WHEN 4 THEN repeat('-', 1 + line_no % 5) WHEN 5 THEN '' ELSE line END AS line FROM lines) SELECT doc_id, line_no::INT AS line_no, CASE WHEN NOT regexp_matches(line, '\S') THEN 0 WHEN regexp_matches(next, '^=+\s*$') THEN 1 WHEN regexp_matches(next, '^-+\s*$') THEN 2 ELSE 0 END AS level FROM (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY line_no) AS next FROM made)")
-def setext_underlines(t):
-    n, nxt = F.col("line_no"), F.lead("line").over(Window.partitionBy("doc_id").orderBy("line_no"))
-    made = F.when(n % 6 == 2, F.expr("concat(repeat('=', 1 + line_no % 4), repeat(' ', line_no % 3))")).when(n % 6 == 4, F.expr("repeat('-', 1 + line_no % 5)")).when(n % 6 == 5, "").otherwise(F.col("line"))
-    return _lines(t).withColumn("line", made).withColumn("next", nxt).select("doc_id", "line_no", T.setext_level(F.col("line"), F.col("next")).alias("level"))
-
-
-@query("""SELECT conv_id, turn, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
-md5(CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || text ELSE text END) AS payload FROM conversations""")
-def hit_projection_whole(t):
-    crumbs = F.when(F.col("turn") % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
-    return t("conversations").select("conv_id", "turn", T.preview(F.col("text"), 200).alias("preview"), F.md5(T.with_context(F.col("text"), crumbs).cast("binary")).alias("payload"))
-
-
-def _whole_context_sql(own: str) -> str:
-    return f"SELECT conv_id, turn, md5(array_to_string(list_filter(coalesce(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING{own}), []), lambda x: trim(x) <> ''), chr(10) || chr(10))) AS digest FROM conversations"
-
-
-def _whole_context(t, own: bool):
-    return readers.surroundings(t("conversations").select("conv_id", "turn", "text"), "conv_id", "turn", "text", own=own).select("conv_id", "turn", F.md5(F.col("context").cast("binary")).alias("digest"))
-
-
-@query(_whole_context_sql(" EXCLUDE CURRENT ROW"))
-def image_context_paragraphs_whole(t):
-    return _whole_context(t, False)
-
-
-@query(_whole_context_sql(""))
-def image_context_rows_whole(t):
-    return _whole_context(t, True)
-
-
 @query("SELECT source AS file_name, count(*) AS chunks, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (WHERE n <= 100)) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) GROUP BY source")
-def document_summary_whole(t):
+def document_summary(t):
     rows = t("documents").select(F.col("source").alias("file_name"), F.col("doc_id").alias("chunk_index"), F.col("text").alias("content"))
     return S.summaries(rows).select("file_name", "chunks", F.md5(F.col("contents").cast("binary")).alias("digest"))

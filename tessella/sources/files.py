@@ -20,13 +20,17 @@ from tessella.sources.pdf import page_images, page_texts
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+#: Fixed value: what stands for a paragraph of pictures alone.
+IMAGE_ONLY = "[Image-only paragraph]"
+
 #: Characters below which a page counts as blank.
 LEAST_PAGE = 3
 
 
 def file_type(path: Column) -> Column:
     ending = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-    return F.when(ending.isin("pdf", "txt", "md", "docx"), ending).when(ending.isin("xlsx", "xls"), "xlsx")
+    return F.when(ending.isin("pdf", "txt", "md", "docx", "xlsx"), ending)
 
 
 def decoded(content: Column) -> Column:
@@ -40,12 +44,29 @@ def scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), file_type(F.col("path")).alias("file_type"), "content").where("file_type is not null")
 
 
-def docx_paragraphs(content: bytes) -> list[tuple[int, str, str, int, int]]:
-    """(index, text, style, heading level or 0, indent in 18-point levels) of the body's paragraphs with text."""
-    root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml"))
+def _own_text(p: ElementTree.Element) -> str:
+    """A paragraph's text, without that of text boxes drawn in it."""
+    out, open_ = [], [p]
+    while open_:
+        node = open_.pop()
+        if node.tag == f"{W}t":
+            out.append(node.text or "")
+        elif node.tag in (f"{W}tab", f"{W}br"):
+            out.append("\t" if node.tag == f"{W}tab" else "\n")
+        elif node.tag not in (f"{W}txbxContent", f"{W}pPr"):
+            open_ += reversed(node)
+    return "".join(out).strip()
+
+
+def docx_paragraphs(content: bytes, with_images: bool = False) -> list[tuple[int, str, str, int, int]]:
+    """(index, text, style, heading level or 0, indent in 18-point levels) of the body's own paragraphs with text; tables and text boxes are
+    no paragraphs. with_images: a paragraph of pictures alone stands with a placeholder."""
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
     out = []
-    for p in root.iter(f"{W}p"):
-        text = "".join(t.text or "" for t in p.iter(f"{W}t")).strip()
+    for p in body.findall(f"{W}p") if body is not None else []:
+        text = _own_text(p)
+        if not text and with_images and any(n.tag.endswith(("}blip", "}imagedata")) for n in p.iter()):
+            text = IMAGE_ONLY
         if not text:
             continue
         style, indent = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}ind")
@@ -56,43 +77,82 @@ def docx_paragraphs(content: bytes) -> list[tuple[int, str, str, int, int]]:
     return out
 
 
-def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
-    """(sheet, row number after empty rows went, values) of every sheet."""
+def _column(reference: str | None, after: int) -> int:
+    """The number of a cell's column, from 0, by its reference; the one after the cell before where it has none."""
+    letters = re.match("[A-Z]+", reference or "")
+    if not letters:
+        return after
+    n = 0
+    for c in letters.group():
+        n = 26 * n + ord(c) - 64
+    return n - 1
+
+
+def xlsx_cells(content: bytes) -> list[tuple[str, int | None, int | None, str | None]]:
+    """(sheet, row, column, value) of every cell that holds something, by the workbook's order of sheets; a sheet without any gives one
+    row of nulls. A sheet's file is the one that the workbook's relationships name."""
     book = zipfile.ZipFile(io.BytesIO(content))
     shared = []
     if "xl/sharedStrings.xml" in book.namelist():
         shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-    names = [s.get("name") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{S}sheet")]
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in book.namelist():
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     out = []
-    for k, name in enumerate(names, 1):
-        number = 0
-        for row in ElementTree.fromstring(book.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{S}row"):
-            values = []
+    for k, sheet in enumerate(ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{S}sheet"), 1):
+        target = targets.get(sheet.get(f"{R}id")) or f"worksheets/sheet{k}.xml"
+        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+        found = []
+        for i, row in enumerate(ElementTree.fromstring(book.read(path)).iter(f"{S}row") if path in book.namelist() else ()):
+            at = -1
             for c in row.iter(f"{S}c"):
+                at = _column(c.get("r"), at + 1)
                 v, kind = c.find(f"{S}v"), c.get("t")
                 text = "".join(t.text or "" for t in c.iter(f"{S}t")) if kind == "inlineStr" else (v.text or "" if v is not None else "")
-                values.append(shared[int(text)] if kind == "s" and text else text)
-            if any(x.strip() for x in values):
-                out.append((name, number, values))
-                number += 1
+                text = shared[int(text)] if kind == "s" and text else text
+                if text.strip():
+                    found.append((sheet.get("name"), int(row.get("r") or i + 1) - 1, at, text))
+        out += found or [(sheet.get("name"), None, None, None)]
+    return out
+
+
+def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
+    """(sheet, row number after empty rows went, values) of every sheet."""
+    out: list[tuple[str, int, list[str]]] = []
+    last = None
+    for sheet, row, _, value in xlsx_cells(content):
+        if row is None:
+            continue
+        if last != (sheet, row):
+            out.append((sheet, out[-1][1] + 1 if out and out[-1][0] == sheet else 0, []))
+        out[-1][2].append(value)
+        last = (sheet, row)
     return out
 
 
-def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _marked(pages: list[str], content: bytes) -> list[str]:
+    """Pages with a line for each of their pictures."""
+    lines: dict[int, list[str]] = {}
+    for number, name, _, width, height, _ in page_images(content):
+        lines.setdefault(number, []).append(f"[IMAGE: {name} - {width}x{height}]")
+    return ["\n".join([p, *lines.get(i, [])]) if lines.get(i) else p for i, p in enumerate(pages, 1)]
+
+
+def _texts(batches: Iterator[pd.DataFrame], with_images: bool) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         texts, errors, pages = [], [], []
         for kind, content in zip(pdf["file_type"], pdf["content"], strict=True):
             text = error = found = None
             try:
                 if kind == "docx":
-                    text = "\n".join(f"{'#' * level} {t}" if level else "    " * indent + t for _, t, _, level, indent in docx_paragraphs(content))
+                    text = "\n".join(f"{'#' * min(level, 6)} {t}" if level else " " * indent + t for _, t, _, level, indent in docx_paragraphs(content, with_images))
                 elif kind == "xlsx":
                     sheets: dict[str, list[str]] = {}
                     for sheet, n, values in xlsx_rows(content):
                         sheets.setdefault(sheet, [f"=== SHEET: {sheet} ==="]).append(f"Row {n + 1}: " + " | ".join(v for v in values if v.strip()))
                     text = "\n\n".join("\n".join(rows) for rows in sheets.values())
                 else:
-                    found = page_texts(content)
+                    found = _marked(page_texts(content), content) if with_images else page_texts(content)
             except Exception as problem:  # one bad file must not end the load
                 error = f"{type(problem).__name__}: {problem}"
             texts.append(text)
@@ -101,13 +161,13 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.drop(columns="content").assign(text=texts, error=errors, pages=pages)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, with_images: bool = False) -> DataFrame:
     """(path, file_name, doc_id, file_type, text, error) of a folder's files. Pages of a PDF begin with their marks; blank and contents
-    pages are left out."""
+    pages are left out. A paragraph's indent is one space a level. with_images: pictures leave a line in the text where they stand."""
     found = scan(spark, folder)
     plain = decoded(F.col("content"))
     text = found.where("file_type in ('txt', 'md')").select("path", "file_name", "doc_id", "file_type", F.when(F.col("file_type") == "md", clean_markdown(plain)).otherwise(plain).alias("text"), F.lit(None).cast("string").alias("error"))
-    office = found.where("file_type not in ('txt', 'md')").mapInPandas(_texts, "path string, file_name string, doc_id string, file_type string, text string, error string, pages array<string>")
+    office = found.where("file_type not in ('txt', 'md')").mapInPandas(lambda batches: _texts(batches, with_images), "path string, file_name string, doc_id string, file_type string, text string, error string, pages array<string>")
     joined = F.array_join(F.filter(F.transform("pages", lambda p, i: F.when((F.length(p) >= LEAST_PAGE) & ~is_toc_page(p), F.concat(page_mark(i + 1), p))), lambda p: p.isNotNull()), "\n\n")
     return text.unionByName(office.withColumn("text", F.coalesce("text", joined)).drop("pages"))
 
@@ -207,6 +267,41 @@ def unique_names(rows: DataFrame, base: str, ending: str, order: str) -> DataFra
     return rows.withColumn("name", F.concat(F.col(base), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.col(ending)))
 
 
+def cells(spark: SparkSession, folder: str) -> DataFrame:
+    """(file_name, sheet, row_idx, col_idx, value) of a folder's workbooks; a sheet without cells has a row of nulls, a bad file its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["file_name"], pdf["content"], strict=True):
+                try:
+                    rows = [(name, *c, None) for c in xlsx_cells(content)]
+                except Exception as problem:  # one bad file must not end the load
+                    rows = [(name, None, None, None, None, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=["file_name", "sheet", "row_idx", "col_idx", "value", "error"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
+
+    held = scan(spark, folder).where("file_type = 'xlsx'").select("file_name", "content")
+    return held.mapInPandas(run, "file_name string, sheet string, row_idx long, col_idx int, value string, error string")
+
+
 def sheet_info(cells: DataFrame) -> DataFrame:
-    """cells (sheet, row_idx, col_idx): the rows and columns of each sheet that hold something."""
-    return cells.groupBy("sheet").agg(F.countDistinct("row_idx").alias("n_rows"), F.countDistinct("col_idx").alias("n_columns"), (F.count("*") == 0).alias("is_empty"))
+    """cells (sheet, row_idx, col_idx, value): the rows and columns of each sheet that hold something, and whether there are none."""
+    row, column = (F.when(F.trim("value") != "", F.col(c)) for c in ("row_idx", "col_idx"))
+    return cells.groupBy("sheet").agg(F.countDistinct(row).alias("n_rows"), F.countDistinct(column).alias("n_columns"), (F.count(row) == 0).alias("is_empty"))
+
+
+def pictures_of_chunks(chunks: DataFrame, pictures: DataFrame, group: str, key: str, places: str, place: str, picture: str) -> DataFrame:
+    """chunks with pictures: those of the paragraphs that a chunk covers (the array places), in the order of place and picture."""
+    held = pictures.select(F.col(group).alias("_group"), F.col(place).alias("_place"), F.col(picture).alias("_picture"))
+    each = chunks.select(group, key, F.explode(F.array_distinct(places)).alias("_at"))
+    found = each.join(held, (F.col(group) == F.col("_group")) & (F.col("_at") == F.col("_place")))
+    listed_ = found.groupBy(group, key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_picture"))), lambda x: x["_picture"]).alias("pictures"))
+    none = F.array().cast(listed_.schema["pictures"].dataType)
+    return chunks.join(listed_, [group, key], "left").withColumn("pictures", F.coalesce("pictures", none))
+
+
+def within_margin(pictures: DataFrame, blocks: DataFrame, group: str, margin: float = 50.0) -> DataFrame:
+    """Every picture (top, bottom) with each block of its page that lies at most margin above or below it; the columns of blocks with the
+    prefix n_, null where there is none."""
+    other = blocks.select(*[F.col(c).alias(f"n_{c}") for c in blocks.columns])
+    near = (F.col(group) == F.col(f"n_{group}")) & (F.col("n_top") <= F.col("bottom") + margin) & (F.col("n_bottom") >= F.col("top") - margin)
+    return pictures.join(other, near, "left")

@@ -8,7 +8,7 @@ import zlib
 
 import duckdb
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -47,9 +47,56 @@ def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("line", "rules", "level"), [("## Title", "txt", 2), ("=== A ===", "txt", 1), ("1. Start", "pdf", 1), ("1.2.3. Deep", "md", 4), ("IV. Part", "md", 1), ("plain words here", "txt", 0), ("LOUD", "txt", 2), ("", "txt", 0), ("It ends.", "pdf", 0)])
-def test_heading_levels(spark, line, rules, level):
-    assert one(spark, T.heading_level(F.col("s"), rules), s=line) == level
+#: (line, has the form of a heading, level by pdf, txt and md rules).
+HEADINGS = [
+    ("1 Introduction", True, 0, 2, 2), ("1.2 Overview", True, 0, 2, 3), ("10.3.7 Deep Dive", True, 0, 2, 4), ("2) Methods", True, 0, 2, 2), ("A) Appendix", True, 1, 1, 1), ("B. Background", True, 0, 2, 0), ("IV) Roman style", True, 1, 1, 1),
+    ("Introduction to things", True, 1, 1, 1), ("Chapter 1 Introduction", True, 1, 1, 1), ("Section 10: Results", True, 1, 1, 1), ("section IV – Methods", True, 2, 2, 2), ("Chapter 3.2 Advanced Topics", True, 2, 2, 2), ("Chap 3", True, 1, 1, 1),
+    ("Section 2.1 - Scope", True, 2, 2, 2), ("chapter iv: the end", True, 2, 2, 2), ("chapter 12 of a tale with a very long title that goes on", True, 3, 3, 3), ("1.2 Title", True, 0, 2, 3), ("2.3.1 Sub Heading", True, 0, 2, 4), ("A. Appendix", True, 0, 2, 0),
+    ("1.", False, 0, 0, 0), ("2)  ", False, 0, 0, 0), ("A)     ", False, 0, 0, 2), ("Heading.", False, 0, 0, 0), ("Heading!", False, 0, 2, 0), ("Heading?", False, 0, 2, 0), ("not capitalized heading", False, 0, 0, 0), ("# Heading", False, 0, 2, 1), ("## lower words", False, 0, 2, 2),
+    ("Chapter", True, 1, 1, 1), ("Chapter One", True, 1, 1, 1), ("", False, 0, 0, 0), ("X", False, 0, 0, 0), ("Ab", True, 0, 0, 1), ("1. Start", True, 1, 1, 2), ("1.2.3. Deep", True, 1, 1, 4), ("IV. Part", True, 0, 0, 1), ("IIII. Part", True, 0, 0, 0), ("MMMM. Part", True, 0, 0, 1),
+    ("plain words here", False, 0, 0, 0), ("LOUD.", False, 0, 0, 0), ("ÄPFEL", False, 0, 2, 2), ("=== a b ===", False, 0, 1, 0), ("=======", False, 0, 1, 0), ("It ends.", False, 0, 0, 0), ("3.14 is pi", False, 0, 0, 3),
+]
+
+
+def test_headings(spark):
+    """Both forms of the classifiers on the same lines: as expressions and on one line at a time."""
+    rows = spark.createDataFrame([(h[0],) for h in HEADINGS], "s string")
+    line = F.col("s")
+    got = rows.select("s", T.is_heading_like(line).alias("like"), *[T.heading_level(line, r).alias(r) for r in ("pdf", "txt", "md")]).collect()
+    assert [tuple(r) for r in got] == HEADINGS
+    assert [(h[0], h[1], *(C.line_level(h[0], r) for r in ("pdf", "txt", "md"))) for h in HEADINGS] == HEADINGS
+
+
+@given(st.lists(st.text(alphabet="aZÄ1. )#=-IVXé,!\t", max_size=14), min_size=1, max_size=40))
+@settings(max_examples=10, deadline=None)
+def test_both_classifiers_agree(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string")
+    for rules in ("pdf", "txt", "md"):
+        got = rows.select("i", T.heading_level(F.col("s"), rules).alias("x")).orderBy("i").collect()
+        assert [r["x"] for r in got] == [C.line_level(t, rules) for t in texts]
+
+
+@pytest.mark.parametrize(("pattern", "yes", "no"), [
+    (T.BULLET, ["- item", "• item", "* item", "1. item", "2) item", "  - item", "10. x"], ["-item", "•item", "*item", "1.item", "item", "a) item", "", "–  item"]),
+    (r"^\s*$", ["", "   ", "\t", "\r\n", "\t \n  "], [" a ", ".", " - ", "0", " \n x"]),
+])
+def test_line_patterns(spark, pattern, yes, no):
+    assert [one(spark, F.col("s").rlike(pattern), s=s) for s in (*yes, *no)] == [True] * len(yes) + [False] * len(no)
+
+
+@pytest.mark.parametrize(("lines", "toc"), [
+    (["Contents of it"] + [f"Part {i} of the whole . . . . . . . . {i}" for i in range(5)], True),
+    (["Table of Contents", "a", "b", "c", "d"], True),
+    (["Mục lục", "a", "b", "c", "d"], True),
+    (["Table of Contents", "a", "b"], False),
+    ([f"a long identifier{i}" for i in range(9)], False),
+    ([f"short {i}" for i in range(9)], False),
+    ([f"Failure is everywhere {i}" for i in range(5)] + ["words"] * 5, True),
+    ([f"Failure is everywhere {i}" for i in range(3)] + ["words"] * 7, False),
+    ([f"Failure is everywhere {i}" for i in range(3)] + ["words"] * 5 + ["a........b", "a . . . . . . . . b"], True),
+])
+def test_contents_pages(spark, lines, toc):
+    assert one(spark, T.is_toc_page(F.col("s")), s="\n".join(lines)) is toc
 
 
 def test_text_functions(spark):
@@ -67,16 +114,41 @@ def test_blocks_and_breadcrumbs(spark):
     assert [(b["indent"], b["text"]) for b in found] == [(0, "# A\nbody"), (4, "    far\n    more"), (0, "back"), (0, "## B\nx")]
     chunks = C.chunk_documents(spark.createDataFrame([(1, text), (2, None), (3, "w " * 1200)], "doc_id long, text string"), most=6, least=2).collect()
     assert any(list(r["breadcrumbs"]) == ["# A"] for r in chunks if r["doc_id"] == 1)
+    under = C.chunk_documents(spark.createDataFrame([(1, "Top\n===\n\nfirst words\n\nlower\n---\n\nmore words")], "doc_id long, text string"), "md", most=3, least=1).collect()
+    assert [(r["content"], list(r["breadcrumbs"])) for r in under] == [("Top\n===", []), ("[Context: Top]\n\nfirst words", ["Top"]), ("[Context: Top]\n\nlower\n---", ["Top"]), ("[Context: Top > lower]\n\nmore words", ["Top", "lower"])]
     assert sum(r["content"].count("w") for r in chunks if r["doc_id"] == 3) == 1200
 
 
-@given(st.lists(st.integers(1, 40), max_size=60))
-def test_packing_keeps_order_and_bound(sizes):
-    groups = C.pack(sizes, 5, 30)
+@given(st.lists(st.integers(1, 40), max_size=60), st.lists(st.booleans(), min_size=60, max_size=60))
+def test_packing_keeps_order_and_bound(sizes, pieces):
+    groups = C.pack(sizes, 5, 30, pieces)
     assert [i for g in groups for i in g] == list(range(len(sizes)))
     assert all(len(g) == 1 or sum(sizes[i] for i in g) <= 30 for g in groups)
 
 
+@pytest.mark.parametrize(("sizes", "pieces", "groups"), [
+    ([20, 10, 5], None, [[0, 1], [2]]),
+    ([20, 12, 3, 9], None, [[0], [1], [2, 3]]),  # 12 did not fit and has the least: it stands alone
+    ([3, 3, 3, 3], [True] * 4, [[0, 1], [2, 3]]),  # pieces end a group as soon as it has the least
+    ([40, 2, 2], None, [[0], [1, 2]]),
+])
+def test_packing_rules(sizes, pieces, groups):
+    assert C.pack(sizes, 5, 30, pieces) == groups
+
+
+def test_oversized_blocks():
+    assert C.split_block("one two. three four.\n- a bullet. stays whole\nfive six", 2, 5) == ["one two.\nthree four.", "- a bullet. stays whole", "five six"]
+    assert C.split_block("a. " + "b " * 9 + ". c", 2, 5) == ["a.\n" + " ".join("b" * 9) + " .", "c"]
+    assert C.split_block("a a. " + "b " * 9 + ". c", 2, 5) == ["a a.", " ".join("b" * 9) + " .", "c"]
+
+
+@given(st.text(alphabet="ab \n\t-=#.", max_size=120))
+@settings(max_examples=15, deadline=None)
+def test_both_block_readers_agree(spark, text):
+    row = spark.createDataFrame([(text,)], "s string").select(C.blocks(F.col("s")).alias("b")).first()["b"]
+    assert [(b["indent"], b["text"]) for b in row] == C._blocks(text)
+
+
 @given(st.text(alphabet="ab. \n-", max_size=200))
 def test_split_block_loses_nothing(text):
     assert "".join("".join(C.split_block(text, 2, 4)).split()) == "".join(text.split())
@@ -98,6 +170,14 @@ def test_store(spark, tmp_path):
     assert sorted(r["id"] for r in before.collect()) == ["a0", "a1", "b0"]
     store.vacuum()
     assert sorted(r["id"] for r in store.read().collect()) == ["a0", "a1", "b0"] and len(list((tmp_path / "store" / "parts").iterdir())) == 1
+    for n in range(ChunkStore.MOST_NAMED + 2):  # more deleted files than a read names one by one
+        store.insert(spark.createDataFrame([(f"x{n}", f"x{n}", 0)], rows.schema))
+        assert store.delete_file(f"x{n}") == 1
+        if n > 1 and n < ChunkStore.MOST_NAMED:
+            state = store._state()
+            store._publish(state | {"gone": [*state["gone"], *([f"y{i}", 0] for i in range(ChunkStore.MOST_NAMED))]})
+            break
+    assert sorted(r["id"] for r in store.read().collect()) == ["a0", "a1", "b0"]
     state = store._state()
     store.clear()
     assert store.read().count() == 0
@@ -114,24 +194,103 @@ def test_readers(spark, tmp_path):
     s = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
     docx, xlsx = io.BytesIO(), io.BytesIO()
     with zipfile.ZipFile(docx, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>')
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:p><w:r><w:t>Body</w:t></w:r><w:r><w:pict><w:txbxContent><w:p><w:r><w:t>boxed</w:t></w:r></w:p></w:txbxContent></w:pict></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><a:blip xmlns:a="a"/></w:r></w:p></w:body></w:document>')
     with zipfile.ZipFile(xlsx, "w") as z:
-        z.writestr("xl/workbook.xml", f'<workbook xmlns="{s}"><sheets><sheet name="One"/></sheets></workbook>')
+        r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{s}" xmlns:r="{r}"><sheets><sheet name="Two" r:id="b"/><sheet name="One" r:id="a"/><sheet name="None" r:id="c"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="x"><Relationship Id="a" Target="worksheets/sheet1.xml"/><Relationship Id="b" Target="/xl/worksheets/sheet7.xml"/><Relationship Id="c" Target="worksheets/sheet9.xml"/></Relationships>')
         z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{s}"><si><t>x</t></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{s}"><sheetData><row><c t="s"><v>0</v></c><c><v>5</v></c></row></sheetData></worksheet>')
-    for name, content in {"a.txt": "é".encode("latin-1"), "b.md": b"![x](y) hi", "c.docx": docx.getvalue(), "d.xlsx": xlsx.getvalue(), "e.docx": b"broken", "f.bin": b""}.items():
+        z.writestr("xl/worksheets/sheet7.xml", f'<worksheet xmlns="{s}"><sheetData><row r="3"><c r="A3"><v> </v></c><c r="AB3" t="inlineStr"><is><t>far</t></is></c></row><row r="5"><c r="A5"><v>1</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/worksheets/sheet9.xml", f'<worksheet xmlns="{s}"><sheetData/></worksheet>')
+    for name, content in {"a.txt": "é".encode("latin-1"), "b.md": b"![x](y) hi", "c.docx": docx.getvalue(), "d.xlsx": xlsx.getvalue(), "e.docx": b"broken", "f.bin": b"x", "g.xls": b"old"}.items():
         (tmp_path / name).write_bytes(content)
     got = {r["file_name"]: r for r in files.read(spark, f"file://{tmp_path}").collect()}
     assert set(got) == {"a.txt", "b.md", "c.docx", "d.xlsx", "e.docx"}
     assert got["a.txt"]["text"] == "é" and got["b.md"]["text"] == " hi"
-    assert got["c.docx"]["text"] == "## Top\nBody" and got["d.xlsx"]["text"] == "=== SHEET: One ===\nRow 1: x | 5"
+    assert got["c.docx"]["text"] == "## Top\nBody" and got["d.xlsx"]["text"] == "=== SHEET: Two ===\nRow 1: far\nRow 2: 1\n\n=== SHEET: One ===\nRow 1: x | 5"
     assert got["e.docx"]["text"] is None and got["e.docx"]["error"]
+    marked = {r["file_name"]: r["text"] for r in files.read(spark, f"file://{tmp_path}", with_images=True).collect()}
+    assert marked["c.docx"] == "## Top\nBody\n[Image-only paragraph]"
+    held = files.cells(spark, f"file://{tmp_path}")
+    assert ("Two", 2, 27, "far") in [tuple(r)[1:5] for r in held.collect()]
+    info = {r["sheet"]: (r["n_rows"], r["n_columns"], r["is_empty"]) for r in files.sheet_info(held).collect()}
+    assert info == {"Two": (2, 2, False), "One": (1, 2, False), "None": (0, 0, True)}
+    assert {r["file_type"]: r["files"] for r in files.listed(spark, f"file://{tmp_path}").collect()}["unsupported"] == ["f.bin", "g.xls"]
 
 
 def test_main_text(spark):
-    page = "<html><title>t</title><nav>menu</nav><main><p>One<p>Two<img src='/i.png'><ul><li>a</ul><h2>References</h2><p>gone</main><p>after</html>"
-    row = H.main_texts(spark.createDataFrame([(1, "http://h/p", page)], "page_id long, url string, html string")).first()
-    assert row["main_text"] == "One\nTwo\n- a\nReferences\nafter" and row["image_urls"] == ["http://h/i.png"]
+    page = "<html><title>t</title><body><nav>menu</nav><main><p>One<p>Two[1] <sup class='reference'>x</sup><img src='/i.png'><div class='toc'>gone</div><ul><li>a<li>b</ul><section><h2>References</h2><p>gone</section><pre>gone</pre><p>last</main><p>after</html>"
+    other = "<div id='mw-content-text'>first <b>choice</b></div><main>second</main>"
+    docs = "<base href='http://d/x/'><div class='md-content'><article class='md-content__inner md-typeset'><h1>T</h1><p>a <b>b</b></p><ul><li>one<li>two</ul><div class='toc'><p>gone</p></div><img srcset='s.png 1w, w.png 9w'></article></div>"
+    rows = spark.createDataFrame([(1, "http://h/p", page), (2, "http://h/q", other), (3, None, None), (4, "http://h/d", docs)], "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in H.main_texts(rows).collect()}
+    assert got[1]["main_text"] == "One\nTwo\na\nb\nlast" and got[1]["image_urls"] == ["http://h/i.png"] and not got[1]["is_article"]
+    assert got[2]["main_text"] == "first\nchoice" and got[3]["main_text"] == ""
+    site = H.docs_texts(rows).where("page_id = 4").first()
+    assert "T" in site["main_text"] and "- one - two" in site["main_text"] and "gone" not in site["main_text"]
+    assert site["image_urls"] == ["http://d/x/w.png"]
+    assert [H.picture_url(H.Node("img", a), "http://h/") for a in ({"data-lazy-src": "l.png", "src": "s.png"}, {"data-srcset": "a.png 3w, b.png 3w"}, {})] == ["http://h/l.png", "http://h/b.png", None]
+    assert H.report(rows).where("page_id = 2").first()["title"] == "(untitled)"
+
+
+def test_fetching(spark):
+    from tessella.sources import web
+
+    png = b"\x89PNG\r\n\x1a\n"
+
+    def fetcher(url):
+        if url.endswith("/old"):
+            return 301, {"Location": "/new"}, b""
+        if url.endswith("/loop"):
+            return 302, {"location": "loop"}, b""
+        if url.endswith(".png"):
+            return 200, {"Content-Type": "image/png"}, png * (4 if "big" in url else 1)
+        if url.endswith("/gone"):
+            raise OSError("no route")
+        return 200, {"Content-Type": "text/html"}, b"<title>New</title><body><img src='a.png'><img src='/b/a.png'><img src='big.png'><img src='page'></body>"
+
+    urls = spark.createDataFrame([(f"http://h/{n}",) for n in ("old", "loop", "gone", "new", "new")], "url string")
+    got = {r["url"].rsplit("/", 1)[1]: r for r in web.fetch(urls, fetcher).collect()}
+    assert got["old"]["final_url"] == "http://h/new" and got["old"]["redirects"] == ["http://h/old"] and got["loop"]["error"] and "no route" in got["gone"]["error"] and len(got) == 4
+    pages = web.pages(web.fetch(urls.where("url like '%new'"), fetcher))
+    held = sorted((r["name"], r["url"], r["error"]) for r in web.download(H.main_texts(pages), fetcher, 20).collect())
+    assert held == [("a.png", "http://h/a.png", None), ("a_2.png", "http://h/b/a.png", None), ("big.png", "http://h/big.png", "too large"), ("page", "http://h/page", "not an image")]
+    assert {r["url"]: r["title"] for r in web.site_report(urls, fetcher).collect()}["http://h/old"] == "New"
+    assert one(spark, web.is_pdf(F.col("u"), F.col("t")), u="http://h/x", t="application/PDF; q") and not one(spark, web.is_pdf(F.col("u"), F.col("t")), u="http://h/x", t="text/html")
+
+
+def test_prompts(spark):
+    from tessella.functions import prompts
+
+    assert prompts.render("summary", file_name="a", contents="b").endswith("\n\nb") and prompts.render("summary", file_name="a") == "" == prompts.render("none")
+    assert all(prompts.places(p) for p in prompts.PROMPTS.values())
+    assert one(spark, prompts.rendered("$a costs $$${b}!", a=F.col("a"), b=F.col("b")), a="tea", b=3) == "tea costs $3!"
+    assert one(spark, prompts.rendered("$a $b", a=F.col("a")), a="tea") == "" == one(spark, prompts.rendered("$a", a=F.lit(None).cast("string")), a="tea")
+
+
+def test_token_counts_of_a_tokenizer(spark):
+    from public_tokenizers import path
+
+    from tokenizers import Tokenizer
+
+    file = path("byte_bpe_50k.json")
+    texts = ["", "one two", "naïve 12,5%"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select("s", T.bpe_count(file)(F.col("s")).alias("n")).collect()
+    own = Tokenizer.from_file(file)
+    assert {r["s"]: r["n"] for r in rows} == {t: max(1, len(own.encode(t, add_special_tokens=False).ids)) for t in texts}
+
+
+def test_predicates(spark):
+    from tessella.operators.retrieval import matches
+
+    rows = spark.createDataFrame([(1, "x"), (2, "y"), (None, "x")], "a int, b string")
+    ids = lambda where: [r["a"] for r in rows.where(matches(where)).collect()]
+    assert ids({}) == [1, 2, None] and ids({"a": 1}) == [1] and ids({"a": {"$gte": 1, "$lt": 2}}) == [1] and ids({"$or": [{"a": 2}, {"b": "x"}]}) == [1, 2, None]
+    assert ids({"a": {"$nin": [1]}, "b": {"$ne": "x"}}) == [2]
+    for bad in ({"$not": []}, {"a": {"$like": "x"}}):
+        with pytest.raises(ValueError, match="unknown"):
+            matches(bad)
 
 
 def test_bm25_value(spark):
@@ -160,6 +319,7 @@ def test_engine(spark, tmp_path):
     listed = {r["file_type"]: r["files"] for r in engine.list_files(f"file://{docs}").collect()}
     assert listed == {"md": ["a.md"], "txt": ["b.txt"], "docx": ["d.docx"], "unsupported": ["c.bin"]}
     state = {r["file_name"]: r for r in engine.process(f"file://{docs}", 1, 6).collect()}
+    assert state["a.md"]["message"].startswith("stored chunks: ") and not state["a.md"]["has_images"] and "not read" in state["d.docx"]["message"]
     assert state["a.md"]["success"] and state["a.md"]["chunks_stored"] >= 2 and not state["d.docx"]["success"] and state["d.docx"]["error"]
     before = engine.chunks().count()
     engine.process(f"file://{docs}", 1, 6)
@@ -168,6 +328,9 @@ def test_engine(spark, tmp_path):
     assert hit["file_name"] == "b.txt" and engine.hits("  ").count() == 0
     assert "# Rivers" in [r["section_title"] for r in engine.file_chunks("a.md").collect()]
     assert engine.rerank("river sea").count() >= 1
+    assert {r["file_name"] for r in engine.search("river", where={"file_type": "txt"}).collect()} == {"b.txt"}
+    engine.export_json(f"file://{tmp_path}/json", "a.md")
+    assert spark.read.json(f"file://{tmp_path}/json").count() == engine.file_chunks("a.md").count()
     assert engine.query("kettle") == {"success": True, "response": "It boils.", "images": ["http://h/i.png"], "chunks_found": before}
     assert engine.query("other") == {"success": False, "error": "no", "images": [], "chunks_found": 0}
     assert engine.suggestions()[0] == "What boils?" and len(engine.suggestions()) == 4
