@@ -70,6 +70,8 @@ LABELERS = ("form", "gazetteer", "cue", "against", "apart")
 NEAR, BLOCK = 24, 64
 START = {"form": 0.8, "gazetteer": 0.7, "cue": 0.75, "against": 0.75, "apart": 0.6}
 THRESHOLD = 0.5
+#: Proposals' worth of weight with which the classifier's values are drawn to their share among all.
+DRAWN = 4.0
 SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
 
 
@@ -161,16 +163,23 @@ def learn(patterns: dict[tuple[int, ...], int], rounds: int = 30) -> dict[tuple[
         for i, name in enumerate(LABELERS):
             cast = [(chance[p] if p[1 + i] > 0 else 1 - chance[p], n) for p, n in patterns.items() if p[1 + i]]
             right[name] = min(0.97, max(0.52, (sum(c * n for c, n in cast) + 10 * START[name]) / (sum(n for _, n in cast) + 10)))
-    # the span classifier: each field's values weighed by the chances just found
-    yes = sum(chance[p] * n for p, n in patterns.items()) + 1
-    no = sum((1 - chance[p]) * n for p, n in patterns.items()) + 1
+    # the span classifier: each field's values weighed by the chances just found, drawn to the value's share among all proposals
+    yes = sum(chance[p] * n for p, n in patterns.items())
+    no = total - yes
     weight: dict[tuple[int, int], list[float]] = {}
     for p, n in patterns.items():
         for at, value in enumerate(p):
-            w = weight.setdefault((at, value), [1.0, 1.0])
+            w = weight.setdefault((at, value), [0.0, 0.0])
             w[0] += chance[p] * n
             w[1] += (1 - chance[p]) * n
-    return {p: 1 / (1 + math.exp(-max(-30, min(30, math.log(yes / no) + sum(math.log(weight[at, v][0] / yes) - math.log(weight[at, v][1] / no) for at, v in enumerate(p)))))) for p in patterns}
+
+    def odds(at: int, value: int) -> float:
+        a, b = weight[at, value]
+        share = DRAWN * (a + b) / total
+        return math.log((a + share) / (yes + DRAWN)) - math.log((b + share) / (no + DRAWN))
+
+    start = math.log((yes + 1) / (no + 1))
+    return {p: 1 / (1 + math.exp(-max(-30, min(30, start + sum(odds(at, v) for at, v in enumerate(p)))))) for p in patterns}
 
 
 def found(docs: DataFrame) -> DataFrame:

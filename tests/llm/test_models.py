@@ -139,13 +139,14 @@ def test_em_is_brute_force():
         for i, name in enumerate(pii.LABELERS):
             agreed = [c if r[1 + i] > 0 else 1 - c for r, c in zip(rows, chance, strict=True) if r[1 + i]]
             right[name] = min(0.97, max(0.52, (sum(agreed) + 10 * pii.START[name]) / (len(agreed) + 10)))
-    yes, no = sum(chance) + 1, len(rows) - sum(chance) + 1
+    yes, no = sum(chance), len(rows) - sum(chance)
     got = pii.learn(patterns)
     for r in rows:
-        a, b = yes, no
+        a, b = yes + 1, no + 1
         for at, value in enumerate(r):
             same = [c for x, c in zip(rows, chance, strict=True) if x[at] == value]
-            a, b = a * (1 + sum(same)) / yes, b * (1 + len(same) - sum(same)) / no
+            share = pii.DRAWN * len(same) / len(rows)
+            a, b = a * (sum(same) + share) / (yes + pii.DRAWN), b * (len(same) - sum(same) + share) / (no + pii.DRAWN)
         assert got[r] == pytest.approx(a / (a + b))
 
 
