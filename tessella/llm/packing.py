@@ -4,7 +4,9 @@ Documents are tokenised whole and end with one closing id. Those longer than a s
 shorter piece first. Lengths are integers of at most CAPACITY, so the whole corpus is described by how many pieces there are of each
 length: the driver packs that table (at most CAPACITY rows, whatever the corpus size), longest first, and never sees a document.
 A bin has residual tokens, documents and attention cost (sum of squared lengths); a length goes to the kind of bin in which it fits
-under every capacity and whose residuals have the largest weighted dot product with the need, or the smallest residual norm.
+under every capacity and whose residuals have the largest weighted dot product with the need, or the smallest residual norm. most_docs and
+most_cost are the capacities besides tokens; by default they are what a sequence of CAPACITY tokens can hold at all, as the fewest
+sequences are asked for. A piece that exceeds the cost alone has a sequence of its own.
 Pieces then take their places by their number within their length; that number comes from a count within each input partition and
 an offset per partition, so no length class is gathered in one task.
 
@@ -138,7 +140,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, most_docs: int | None
                 out.append((length, first, bins * each, made, each, 0))
                 now, at = most - each * need, made
                 made += bins
-            if now[0] >= 1 and now[1] >= 1:
+            if (now >= 1).all():
                 rest, many, base = np.vstack([rest, now]), np.append(many, bins), np.append(base, at)
             left -= bins * each
             first += bins * each

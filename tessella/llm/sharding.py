@@ -2,10 +2,11 @@
 
 Nodes are split at the weighted median of their widest metadata dimension until there are as many leaves as asked for (or until leaves
 reach the target bytes). A dimension is an integer code: source and lang by their first bytes, size, doc_id; its spread is its range in
-the node over its range in the table. A median is found by summing bytes in BINS equal steps of the code's range and again within the
-step where half is reached, for all nodes of a level in one aggregation; the running sums stay with Spark, and one row a node reaches the
-driver, which keeps the tree. Rows that share the code at which the split falls, be it a third of the table, are ordered by a hash and
-split by the same search on that hash.
+the node over its range in the table. Rows of a node are ordered by code and then by a hash. The median is found by summing bytes in BINS
+equal steps of the code's range, for all nodes of a level in one aggregation, and again within the step where half is reached, and within
+the hashes of one code where that code alone holds it, until the step holds at most EDGE_ROWS rows; those are put in order. Running
+sums stay with Spark; one row a node reaches the driver, which keeps the tree. Rows that share the code at which the split falls, be it a
+third of the table, are so split by their hashes.
 
 Equal texts stay together where their bytes are at most TOGETHER of a leaf's: such a group is one unit, with the least metadata of its
 rows and one hash of its text, so it is never cut. Rows of larger groups go each by its own metadata and a hash of doc_id and text, as
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import cut, only, table
 
-BINS = 4096
+BINS = 2**16
+#: Rows of a node's step that are put in order in one task.
+EDGE_ROWS = 20_000
 TIES = 2**48
 #: Share of a leaf's bytes up to which a group of equal texts stays together.
 TOGETHER = 1 / 100
@@ -68,23 +71,43 @@ def _beside(rows: DataFrame, known: dict[int, tuple], fields: str) -> DataFrame:
     return rows.join(F.broadcast(nodes), "node")
 
 
-def _searched(rows: DataFrame, value: Column, ranges: dict[int, tuple[int, int]], below: dict[int, int], goals: dict[int, float]) -> dict[int, tuple[int, int, int]]:
-    """For each node the value at which the goal is reached, the bytes below it and the bytes at it."""
-    weight = dict.fromkeys(ranges, 0)
-    live = {k for k in ranges if ranges[k][1] - ranges[k][0] > 1}
-    while live:
-        steps = {k: max(1, -(-(ranges[k][1] - ranges[k][0]) // BINS)) for k in live}
-        inside = _beside(rows.withColumn("v", value), {k: (*ranges[k], steps[k], float(goals[k]), below[k]) for k in live}, "low long, high long, step long, goal double, below long").where("v >= low and v < high")
-        bins = inside.groupBy("node", F.expr("(v - low) div step").alias("bin")).agg(F.sum("size").alias("n"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+def _medians(rows: DataFrame, ranges: dict[int, tuple[int, int]], goals: dict[int, float]) -> dict[int, tuple[int, int]]:
+    """For each node of rows (node, code, tie, size), whose codes lie in its range, the last (code, tie) of its left half: the unit that
+    crosses the goal goes where it leaves the less uneven halves."""
+    state = {k: (*ranges[k], 0, TIES, 0) for k in ranges}  # codes from, to, ties from, to, bytes before
+    fields = "code_low long, code_high long, tie_low long, tie_high long, below long, code_step long, tie_step long, goal double"
+    open_ = set(ranges)
+
+    def known() -> dict[int, tuple]:
+        return {k: (*state[k], max(1, -(-(state[k][1] - state[k][0]) // BINS)), max(1, -(-(state[k][3] - state[k][2]) // BINS)), float(goals[k])) for k in state}
+
+    def inside() -> DataFrame:
+        return _beside(rows, known(), fields).where("code >= code_low and code < code_high and (code_high - code_low > 1 or (tie >= tie_low and tie < tie_high))")
+
+    while open_:
+        by_code = F.col("code_high") - F.col("code_low") > 1
+        bin_ = F.when(by_code, F.expr("(code - code_low) div code_step")).otherwise(F.expr("(tie - tie_low) div tie_step"))
+        bins = inside().where(F.col("node").isin(sorted(open_))).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("n"), F.count("*").alias("rows"), F.first("goal").alias("goal"), F.first("below").alias("below"))
         upto = F.col("below") + F.sum("n").over(Window.partitionBy("node").orderBy("bin"))
-        here = F.struct("bin", "n", "upto")
+        here = F.struct("bin", "n", "rows", "upto")
         found = bins.withColumn("upto", upto).groupBy("node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("goal"), here)), F.max(here)).alias("b")).select("node", "b.*").collect()  # one row a node
         for r in found:
             k = r["node"]
-            at = ranges[k][0] + r["bin"] * steps[k]
-            ranges[k], below[k], weight[k] = (at, min(at + steps[k], ranges[k][1])), r["upto"] - r["n"], r["n"]
-        live = {k for k in live if ranges[k][1] - ranges[k][0] > 1 and k in {r["node"] for r in found}}
-    return {k: (ranges[k][0], below[k], weight[k]) for k in ranges}
+            code_low, code_high, tie_low, tie_high, code_step, tie_step = (known()[k][i] for i in (0, 1, 2, 3, 5, 6))
+            if code_high - code_low > 1:
+                code_low, code_high = (at := code_low + r["bin"] * code_step), min(at + code_step, code_high)
+            else:
+                tie_low, tie_high = (at := tie_low + r["bin"] * tie_step), min(at + tie_step, tie_high)
+            state[k] = code_low, code_high, tie_low, tie_high, r["upto"] - r["n"]
+            if r["rows"] <= EDGE_ROWS or (code_high - code_low <= 1 and tie_high - tie_low <= 1):
+                open_.discard(k)
+        open_ &= {r["node"] for r in found}
+    each = inside().groupBy("node", "code", "tie").agg(F.sum("size").alias("n"), F.first("goal").alias("goal"), F.first("below").alias("below"))
+    order = Window.partitionBy("node").orderBy("code", "tie")
+    ordered = each.withColumn("upto", F.col("below") + F.sum("n").over(order))
+    here = F.struct("code", "tie", "n", "upto", "goal")
+    ends = ordered.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("goal"), here)), F.max(here)).alias("e")).select("node", "e.*").collect()  # one row a node
+    return {r["node"]: (r["code"], r["tie"] - (r["goal"] - (r["upto"] - r["n"]) < r["upto"] - r["goal"])) for r in ends}
 
 
 def tree(docs: DataFrame, leaves: int = 16, target_bytes: int | None = None) -> DataFrame:
@@ -95,20 +118,13 @@ def tree(docs: DataFrame, leaves: int = 16, target_bytes: int | None = None) ->
     whole = rows.agg(*spread).first()
     if not total:
         return rows
-    depth = (leaves - 1).bit_length()
-    for _ in range(depth):
+    for _ in range((leaves - 1).bit_length()):
         nodes = {r["node"]: r for r in rows.groupBy("node").agg(F.sum("size").alias("n"), *spread).collect()}  # one row a node
         widest = {k: max(DIMENSIONS, key=lambda d: (r[f"{d}_hi"] - r[f"{d}_lo"]) / max(1, whole[f"{d}_hi"] - whole[f"{d}_lo"])) for k, r in nodes.items()}
         coded = _beside(rows, {k: (d,) for k, d in widest.items()}, "dimension string").withColumn("code", F.coalesce(*[F.when(F.col("dimension") == d, F.col(d)) for d in DIMENSIONS])).drop("dimension")
-        goals = {k: r["n"] / 2 for k, r in nodes.items()}
-        at = _searched(coded, F.col("code"), {k: (r[f"{widest[k]}_lo"], r[f"{widest[k]}_hi"] + 1) for k, r in nodes.items()}, dict.fromkeys(nodes, 0), goals)
-        tied = _beside(coded, {k: (v,) for k, (v, _, _) in at.items()}, "split long")
-        ties = _searched(tied.where("code = split").drop("split"), F.col("tie"), dict.fromkeys(nodes, (0, TIES)), {k: b for k, (_, b, _) in at.items()}, goals)
-        # the unit that crosses the half goes where it leaves the less uneven halves
-        first = {k: (at[k][0], v - (goals[k] - b < b + n - goals[k])) for k, (v, b, n) in ties.items()}
+        last = _medians(coded, {k: (r[f"{widest[k]}_lo"], r[f"{widest[k]}_hi"] + 1) for k, r in nodes.items()}, {k: r["n"] / 2 for k, r in nodes.items()})
         right = F.when(F.col("code") != F.col("split"), F.col("code") > F.col("split")).otherwise(F.col("tie") > F.col("last"))
-        rows = _beside(coded, first, "split long, last long").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("code", "split", "last")
-        rows = rows if depth < 3 else cut(rows)
+        rows = cut(_beside(coded, last, "split long, last long").withColumn("node", F.col("node") * 2 + right.cast("int")).drop("code", "split", "last"))
     return rows
 
 

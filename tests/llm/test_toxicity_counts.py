@@ -50,7 +50,7 @@ def test_extreme_values_of_known_scores():
     """lambda solves mean(exp(lambda score)) = 1, and K makes the expected number of texts with their best scores right."""
     words, best = {-0.1: 9990, 2.0: 9}, {0.0: (95, 9500), 2.0: (5, 499)}
     rate, k = toxicity.extreme_values(words, best)
-    assert (9990 * math.exp(-0.1 * rate) + 10 * math.exp(2 * rate)) / 10_000 == pytest.approx(1, abs=1e-6)
+    assert (9990 * math.exp(-0.1 * rate) + 9 * math.exp(2 * rate) + math.exp(toxicity.MOST / 2 * rate)) / 10_000 == pytest.approx(1, abs=1e-6)
     assert k == pytest.approx(100 / (9500 + 499 * math.exp(-2 * rate)))
 
 
