@@ -52,17 +52,24 @@ def widest(srcset: Column) -> Column:
     return F.array_max(each)["url"]
 
 
+#: Words of pages that ask for a login, and ids of elements that scripts fill.
+LOGIN = ("signin", "log in", "login", "đăng nhập", "authenticate", "sso")
+ROOT_ID = r"""\sid=["']?(?:root|app|__next|docs-root)["'\s>]"""
+
+
 def flags(html: Column, url: Column) -> Column:
+    """What a page is by its address and source. A page is an application where scripts fill its root (or a main element with hardly any
+    text, or it warns those without scripts) and it has many scripts or a tiny text."""
     low = F.lower(html)
     bare = F.length(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"(?s)<(script|style)[^>]*>.*?</(script|style)>", ""), "<[^>]*>", " "), r"\s+", " ")))
-    scripts = F.size(F.regexp_extract_all(low, F.lit("<script"), F.lit(0)))
-    root = low.rlike("id=\"(?:root|app|__next)\"") | low.contains("<noscript")
+    scripts = F.regexp_count(low, F.lit(r"<script[\s>]"))
+    root = low.rlike(ROOT_ID) | (low.rlike(r"<main[\s>]") & (bare < 400)) | low.contains("<noscript")
     return F.struct(
         F.lower(url).endswith(".pdf").alias("is_pdf"),
         low.contains("<html").alias("is_html"),
-        (low.rlike("signin|sign in|log in|login|sso") | F.lower(url).contains("auth")).alias("looks_like_login"),
+        (low.rlike("|".join(LOGIN)) | F.coalesce(F.lower(F.parse_url(url, F.lit("PATH"))).contains("auth"), F.lit(False))).alias("looks_like_login"),
         (root & ((scripts >= 5) | (bare < 300))).alias("is_spa"),
-        low.contains("backstage").alias("is_backstage"),
+        (low.contains("backstage") | low.contains("techdocs")).alias("is_backstage"),
     )
 
 

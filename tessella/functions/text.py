@@ -96,6 +96,11 @@ def strip_citations(text: Column) -> Column:
     return text
 
 
+def without_references(text: Column) -> Column:
+    """A text up to the first line that names references alone."""
+    return F.split(text, r"(?i)\n(?:References|Bibliography|Notes|Footnotes)\n", 2)[0]
+
+
 def clean_markdown(text: Column) -> Column:
     """Images of all three notations go, then runs of blank lines."""
     for pattern in (r"!\[[^\]]*\]\([^)]*\)", r"!\[[^\]]*\]\[[^\]]*\]", r"(?i)<img[^>]*>"):

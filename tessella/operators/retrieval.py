@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import bm25_tokens
+from tessella.operators.store import workspace
 
 TOP_K, MOST_K, TOP_M, RRF_K, PER_FILE, FINAL_K = 20, 50, 30, 60, 3, 12
 
@@ -76,12 +77,18 @@ def expanded(hits: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
 def bm25(candidates: DataFrame, query: str, stopwords: list[str] | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """candidates (id, content) with bm25_score; statistics over the candidates that have tokens. Others score 0.
 
-    Only document frequencies are shuffled, combined before; the statistics are one row, and scoring reads each text where it lies."""
-    one = candidates.sparkSession.range(1).select(bm25_tokens(F.lit(query), stopwords).alias("t")).first()  # the query's own words
+    Texts are tokenised twice: for document frequencies, combined before the shuffle and written to the workspace with the number and
+    lengths of all documents as the null term, and for the scores, where each text lies; the statistics are one row."""
+    spark = candidates.sparkSession
+    one = spark.range(1).select(bm25_tokens(F.lit(query), stopwords).alias("t")).first()  # the query's own words
     asked = Counter(one["t"])
     held = candidates.withColumn("_tokens", bm25_tokens(F.coalesce("content", F.lit("")), stopwords))
-    whole = held.where(F.size("_tokens") > 0).agg(F.count("*").alias("_n"), F.avg(F.size("_tokens")).alias("_avgdl"))
-    df = held.select(F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    terms = held.where(F.size("_tokens") > 0).select(F.explode(F.concat(F.array_distinct("_tokens"), F.array(F.lit(None).cast("string")))).alias("term"), F.size("_tokens").alias("n"))
+    path = workspace(spark)
+    terms.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("n")).write.parquet(path)
+    counts = spark.read.schema("term string, df long, n long").parquet(path)
+    whole = counts.where("term is null").agg(F.max("df").alias("_n"), (F.max("n") / F.max("df")).alias("_avgdl"))
+    df = counts.where("term is not null").select("term", "df")
     raw = F.log(F.col("_n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     each = [F.max(F.when(F.col("term") == t, raw)).alias(f"_raw{i}") for i, t in enumerate(asked)]
     stats = df.join(F.broadcast(whole)).agg(F.avg(raw).alias("_mean"), F.max("_avgdl").alias("_avgdl"), *each)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import html as H
 from tessella.functions import text as T
 from tessella.operators import chunking as C
+from tessella.operators.layout import dealt
 from tessella.operators import retrieval as R
 from tessella.operators import store as S
 from tessella.sources import files as readers
@@ -24,6 +25,11 @@ STOPWORDS = ["the", "of", "and"]
 DEFAULTS = ["What is this about?", "Who wrote it?", "When was it written?", "Where is more?"]
 
 
+def _documents(t):
+    """The documents, dealt out for functions of whole texts."""
+    return dealt(t("documents"))
+
+
 def query(oracle: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,18 +119,18 @@ bm AS (SELECT cand.*, coalesce(s, 0) AS bm25_score FROM cand LEFT JOIN scored US
 ALL_DOCS = "SELECT doc_id AS id, text AS content FROM documents"
 
 
-def _as_chunks(t):
-    return t("documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("file_name"))
+def _as_chunks(t, table=None):
+    return (t("documents") if table is None else table).select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("file_name"))
 
 
 @query(f"WITH {_bm25_sql(ALL_DOCS)} SELECT id, round(bm25_score, 6) AS bm25_score FROM bm")
 def bm25_topk(t):
-    return R.bm25(_as_chunks(t), QUESTION).select("id", F.round("bm25_score", 6).alias("bm25_score"))
+    return R.bm25(_as_chunks(t, _documents(t)), QUESTION).select("id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 @query(f"WITH {_bm25_sql(ALL_DOCS, ', '.join(map(repr, STOPWORDS)))} SELECT id, round(bm25_score, 6) AS bm25_score FROM bm")
 def bm25_stopwords(t):
-    return R.bm25(_as_chunks(t), QUESTION, STOPWORDS).select("id", F.round("bm25_score", 6).alias("bm25_score"))
+    return R.bm25(_as_chunks(t, _documents(t)), QUESTION, STOPWORDS).select("id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
 def _candidates(t):
@@ -179,12 +185,12 @@ WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')"
 
 @query(f"SELECT doc_id, greatest(1, len({WORDS}))::INT AS words, round(greatest(1.0, length(text) / 4.0), 6)::DOUBLE AS chars4 FROM documents")
 def token_counts(t):
-    return t("documents").select("doc_id", T.token_count(F.col("text")).alias("words"), F.round(T.token_count(F.col("text"), "chars4"), 6).alias("chars4"))
+    return _documents(t).select("doc_id", T.token_count(F.col("text")).alias("words"), F.round(T.token_count(F.col("text"), "chars4"), 6).alias("chars4"))
 
 
 @query(r"SELECT doc_id, len(s)::INT AS sentences, length(s[1])::INT AS first_length FROM (SELECT doc_id, string_split(regexp_replace(text, '([.?!…])\s+', concat('\1', chr(1)), 'g'), chr(1)) AS s FROM documents)")
 def sentence_split(t):
-    return t("documents").select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("sentences"), F.length(F.col("s")[0]).alias("first_length"))
+    return _documents(t).select("doc_id", T.sentences(F.col("text")).alias("s")).select("doc_id", F.size("s").alias("sentences"), F.length(F.col("s")[0]).alias("first_length"))
 
 
 #: Forms of lines, put before the documents' own lines by their number, in both dialects; some lines lose their end marks.
@@ -196,7 +202,7 @@ FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subsc
 
 
 def _lines(t):
-    rows = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = _documents(t).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     n, line = F.col("line_no") % 13, F.col("line")
     held = F.when(n.isin(*BARE), F.regexp_replace(line, "[.!?]", "")).otherwise(line)
     made = F.concat(F.element_at(F.array(*map(F.lit, FORMS)), (n % 12 + 1).cast("int")), held, F.when(n == 9, " ===").otherwise(""))
@@ -239,7 +245,7 @@ def setext_lead(t):
         return F.when(line.rlike(r"\S"), F.concat(F.when(i % 3 == 0, line).otherwise(F.concat(F.lit("- "), line, F.lit("."))), under)).otherwise(line)
 
     text = F.array_join(F.transform(F.split("text", "\n"), marked), "\n\n")
-    held = t("documents").select("doc_id", F.explode(C.headings(C.blocks(text), "md")).alias("h"))
+    held = _documents(t).select("doc_id", F.explode(C.headings(C.blocks(text), "md")).alias("h"))
     return held.select("doc_id", "h.block_index", "h.level", F.md5(F.col("h.text").cast("binary")).alias("digest"))
 
 
@@ -248,7 +254,7 @@ fold AS (SELECT doc_id, i, n AS total, n > 120 AS shut, 0 AS grp FROM units WHER
 UNION ALL SELECT u.doc_id, u.i, CASE WHEN f.shut OR f.total + u.n > 120 THEN u.n ELSE f.total + u.n END, CASE WHEN f.shut THEN u.n > 120 ELSE f.total + u.n > 120 AND u.n >= 60 END, f.grp + CASE WHEN f.shut OR f.total + u.n > 120 THEN 1 ELSE 0 END FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
 SELECT f.doc_id, f.grp::INT AS chunk_index, count(*) AS units, sum(u.n)::BIGINT AS tokens FROM fold f JOIN units u USING (doc_id, i) GROUP BY ALL""")
 def greedy_pack(t):
-    return C.grouped(t("documents").select("doc_id", F.transform(F.split("text", "\n"), lambda s: T.token_count(s)).alias("sizes")), 60, 120)
+    return C.grouped(_documents(t).select("doc_id", F.transform(F.split("text", "\n"), lambda s: T.token_count(s)).alias("sizes")), 60, 120)
 
 
 @query(r"""WITH RECURSIVE lines AS (SELECT doc_id, i, CASE WHEN i % 5 = 4 THEN '' ELSE repeat(' ', 4 * (i % 3)) || s END AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
@@ -258,7 +264,7 @@ SELECT m.doc_id, m.i, CASE WHEN m.blank THEN NULL WHEN f.ref IS NULL OR abs(m.in
 SELECT doc_id, max(blocks)::INT AS blocks FROM fold GROUP BY doc_id""")
 def block_split(t):
     made = F.transform(F.split("text", "\n"), lambda s, i: F.when((i + 1) % 5 == 4, F.lit("")).otherwise(F.concat(F.repeat(F.lit(" "), (4 * ((i + 1) % 3)).cast("int")), s)))
-    return t("documents").select("doc_id", F.size(C.blocks(F.array_join(made, "\n"))).alias("blocks"))
+    return _documents(t).select("doc_id", F.size(C.blocks(F.array_join(made, "\n"))).alias("blocks"))
 
 
 #: The documents have no blank or indented lines, so each is one block: whole up to 500 words, else its sentences are folded into pieces
@@ -280,12 +286,12 @@ chunks AS (SELECT doc_id, grp AS chunk_index, sum(n) AS token_count, string_agg(
 
 @query(f"{CHUNKS} SELECT doc_id, chunk_index::INT AS chunk_index, token_count::INT AS token_count, md5(content) AS digest FROM chunks")
 def chunk_documents(t):
-    return C.chunk_documents(t("documents")).select("doc_id", "chunk_index", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
+    return C.chunk_documents(_documents(t)).select("doc_id", "chunk_index", "token_count", F.md5(F.col("content").cast("binary")).alias("digest"))
 
 
 @query(f"{CHUNKS} SELECT doc_id, count(*) AS chunks, sum(token_count)::BIGINT AS tokens, max(token_count)::INT AS longest FROM chunks GROUP BY doc_id")
 def chunk_stats(t):
-    return C.chunk_documents(t("documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("longest"))
+    return C.chunk_documents(_documents(t)).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("longest"))
 
 
 #: Ends of lines by doc_id: leaders with and without spaces before a page number, names that end in digits, and none.
@@ -298,7 +304,7 @@ c AS (SELECT doc_id, f, len(f) AS n, len(list_filter(f, lambda x: regexp_matches
 SELECT doc_id, (n >= 5 AND (len(list_filter(f[1:15], lambda x: contains(lower(x), 'table of contents') OR contains(lower(x), 'mục lục'))) > 0 OR (ends / n > 0.2 AND dots / n > 0.1) OR ends / n > 0.4)) AS is_toc FROM c""")
 def toc_detect(t):
     end = F.coalesce(F.get(F.array(*map(F.lit, TOC_ENDS)), (F.col("doc_id") % 7).cast("int")), F.lit(""))
-    return t("documents").select("doc_id", T.is_toc_page(F.replace("text", F.lit("\n"), F.concat(end, F.lit("\n")))).alias("is_toc"))
+    return _documents(t).select("doc_id", T.is_toc_page(F.replace("text", F.lit("\n"), F.concat(end, F.lit("\n")))).alias("is_toc"))
 
 
 @query(r"SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://([^?#]*)', 1), '[^A-Za-z0-9]+', '_', 'g'), '^_+', ''), '_+$', ''), 150) AS folder FROM pages")
@@ -322,10 +328,19 @@ def page_links(t):
     return t("pages").select("page_id", H.links(F.col("html")).alias("u")).select("page_id", F.size("u").alias("links"), F.array_join("u", " ").alias("urls"))
 
 
-@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '<p>Log in</p>' ELSE html END AS html, url FROM pages) SELECT page_id, lower(url) LIKE '%.pdf' AS is_pdf, lower(html) LIKE '%<html%' AS is_html, (regexp_matches(lower(html), 'signin|sign in|log in|login|sso') OR lower(url) LIKE '%auth%') AS looks_like_login, lower(html) LIKE '%backstage%' AS is_backstage FROM p""")
+#: Sources put before or in place of the pages by rule, so that each flag holds for some: a login, an application's root, a tiny page.
+_SCRIPTS = "<script></script>" * 5
+
+
+@query(rf"""WITH p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN html || '<p>Log in</p>' WHEN 1 THEN '<div id="app"></div>{_SCRIPTS}' || html WHEN 2 THEN '<main>short</main>' WHEN 3 THEN '<p>TechDocs</p><noscript>x</noscript>' || html ELSE html END AS html, url || CASE WHEN page_id % 7 = 0 THEN '/OAuth/x' WHEN page_id % 7 = 1 THEN '?q=auth' ELSE '' END AS url FROM pages),
+q AS (SELECT page_id, lower(html) AS low, lower(url) AS url, length(trim(regexp_replace(regexp_replace(regexp_replace(lower(html), '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS bare FROM p)
+SELECT page_id, url LIKE '%.pdf' AS is_pdf, low LIKE '%<html%' AS is_html, (regexp_matches(low, 'signin|log in|login|đăng nhập|authenticate|sso') OR string_split(string_split(url, '?')[1], '#')[1] LIKE '%://%/%auth%') AS looks_like_login,
+  ((regexp_matches(low, '\sid="app"') OR (low LIKE '%<main>%' AND bare < 400) OR low LIKE '%<noscript%') AND (len(string_split(low, '<script')) > 5 OR bare < 300)) AS is_spa, (low LIKE '%backstage%' OR low LIKE '%techdocs%') AS is_backstage FROM q""")
 def page_flags(t):
-    html = F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit("<p>Log in</p>"))).otherwise(F.col("html"))
-    return t("pages").select("page_id", H.flags(html, F.col("url")).alias("f")).select("page_id", "f.is_pdf", "f.is_html", "f.looks_like_login", "f.is_backstage")
+    kind, path = F.col("page_id") % 5, F.col("page_id") % 7
+    html = F.when(kind == 0, F.concat("html", F.lit("<p>Log in</p>"))).when(kind == 1, F.concat(F.lit(f'<div id="app"></div>{_SCRIPTS}'), "html")).when(kind == 2, "<main>short</main>").when(kind == 3, F.concat(F.lit("<p>TechDocs</p><noscript>x</noscript>"), "html")).otherwise(F.col("html"))
+    url = F.concat("url", F.when(path == 0, "/OAuth/x").when(path == 1, "?q=auth").otherwise(""))
+    return t("pages").select("page_id", H.flags(html, url).alias("f")).select("page_id", "f.*")
 
 
 CITED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s*\[[0-9]+\]', '', 'g'), '\s*\^\s*', ' ', 'g'), '(?i)\s*\(link\)\s*', ' ', 'g'), '\s{{2,}}', ' ', 'g')"
@@ -340,13 +355,20 @@ done AS (SELECT page_id, url, {CITED.format('t')} AS t FROM clean)
 SELECT page_id, md5(t) AS digest, length(t) >= 200 AS is_article, regexp_extract(url, '^[a-z]+://[^/]*') || '/b.png ' || regexp_extract(url, '^([a-z]+://.*/)[^/]*$', 1) || 'd.png' AS images FROM done""")
 def page_main_text(t):
     html = F.regexp_replace("html", "</article>", "".join(PAGE_MORE) + "</article>")
-    return H.main_texts(t("pages").withColumn("html", html)).select("page_id", F.md5(F.col("main_text").cast("binary")).alias("digest"), "is_article", F.array_join("image_urls", " ").alias("images"))
+    return H.main_texts(dealt(t("pages")).withColumn("html", html)).select("page_id", F.md5(F.col("main_text").cast("binary")).alias("digest"), "is_article", F.array_join("image_urls", " ").alias("images"))
 
 
 @query(r"WITH d AS (SELECT doc_id, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) AS text FROM documents) SELECT doc_id, md5(trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10)))) AS digest FROM d")
 def whitespace_clean(t):
     text = F.replace("text", F.lit(". "), F.lit(".   \n\n\n"))
-    return t("documents").select("doc_id", F.md5(T.clean_whitespace(text).cast("binary")).alias("digest"))
+    return _documents(t).select("doc_id", F.md5(T.clean_whitespace(text).cast("binary")).alias("digest"))
+
+
+@query(r"SELECT doc_id, md5(string_split_regex(CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(10) || 'REFERENCES' || chr(10)) WHEN 1 THEN replace(text, '. ', '. References ') ELSE text END, '(?i)\n(?:References|Bibliography|Notes|Footnotes)\n')[1]) AS digest FROM documents")
+def references_cut(t):
+    kind = F.col("doc_id") % 3
+    text = F.when(kind == 0, F.replace("text", F.lit("\n"), F.lit("\nREFERENCES\n"))).when(kind == 1, F.replace("text", F.lit(". "), F.lit(". References "))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", F.md5(T.without_references(text).cast("binary")).alias("digest"))
 
 
 #: A line break that stands alone: the pattern takes its neighbours along, so it goes over the text twice.
@@ -356,17 +378,17 @@ FLOWED = rf"regexp_replace(regexp_replace({JOINED}, '(^|[^\n])\n([^\n]|$)', '\1
 
 @query(rf"SELECT doc_id, md5(regexp_replace(regexp_replace({FLOWED}, '[ \t]{{2,}}', ' ', 'g'), ' +([,.;:!?)])', '\1', 'g')) AS digest FROM documents")
 def linebreak_fix(t):
-    return t("documents").select("doc_id", F.md5(T.fix_linebreaks(F.col("text")).cast("binary")).alias("digest"))
+    return _documents(t).select("doc_id", F.md5(T.fix_linebreaks(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query(f"SELECT doc_id, md5({CITED.format("text || ' a[1] b^ (Link) c' || chr(10) || ' [22]'")}) AS digest FROM documents")
 def citations_strip(t):
-    return t("documents").select("doc_id", F.md5(T.strip_citations(F.concat("text", F.lit(" a[1] b^ (Link) c\n [22]"))).cast("binary")).alias("digest"))
+    return _documents(t).select("doc_id", F.md5(T.strip_citations(F.concat("text", F.lit(" a[1] b^ (Link) c\n [22]"))).cast("binary")).alias("digest"))
 
 
 @query(r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' ![x](http://y/z.png) ![a][b] <img src=q>' || repeat(chr(10), 4) || 'end', '!\[[^\]]*\]\([^)]*\)', '', 'g'), '!\[[^\]]*\]\[[^\]]*\]', '', 'g'), '(?i)<img[^>]*>', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS digest FROM documents")
 def md_clean(t):
-    return t("documents").select("doc_id", F.md5(T.clean_markdown(F.concat("text", F.lit(" ![x](http://y/z.png) ![a][b] <img src=q>\n\n\n\nend"))).cast("binary")).alias("digest"))
+    return _documents(t).select("doc_id", F.md5(T.clean_markdown(F.concat("text", F.lit(" ![x](http://y/z.png) ![a][b] <img src=q>\n\n\n\nend"))).cast("binary")).alias("digest"))
 
 
 @query("SELECT count(*) AS n, sum(length(text))::BIGINT AS chars, count(DISTINCT source) AS files FROM documents")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import html as H
 from tessella.functions import text as T
+from tessella.sources.pdf import page_texts
 
 Fetcher = Callable[[str], tuple[int, dict[str, str], bytes]]
 #: Redirects that are followed, and bytes of a picture that are kept.
@@ -61,6 +62,23 @@ def pages(fetched: DataFrame) -> DataFrame:
     return kept.select(F.xxhash64("url").alias("page_id"), F.col("final_url").alias("url"), F.decode("body", "UTF-8").alias("html"))
 
 
+def pdf_texts(fetched: DataFrame) -> DataFrame:
+    """(url, text, error) of what was fetched as a PDF: its pages, cleaned, up to the references."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for url, body in zip(pdf["url"], pdf["body"], strict=True):
+                try:
+                    rows.append((url, "\n\n".join(page_texts(bytes(body))), None))
+                except Exception as problem:  # one bad file must not end the load
+                    rows.append((url, None, f"{type(problem).__name__}: {problem}"))
+            yield pd.DataFrame(rows, columns=["url", "text", "error"])
+
+    kept = fetched.where(F.col("error").isNull() & is_pdf(F.col("final_url"), F.col("content_type"))).select("url", "body")
+    return kept.mapInPandas(run, "url string, text string, error string").withColumn("text", T.without_references(T.clean_whitespace(F.col("text"))))
+
+
 def download(found: DataFrame, fetcher: Fetcher, most_bytes: int = MOST_BYTES) -> DataFrame:
     """found (page_id, image_urls): each picture with a name unique in its page's folder, its content and digest. A picture above
     most_bytes, not an image, or not fetched has its error and no content."""

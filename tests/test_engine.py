@@ -257,6 +257,9 @@ def test_fetching(spark):
     held = sorted((r["name"], r["url"], r["error"]) for r in web.download(H.main_texts(pages), fetcher, 20).collect())
     assert held == [("a.png", "http://h/a.png", None), ("a_2.png", "http://h/b/a.png", None), ("big.png", "http://h/big.png", "too large"), ("page", "http://h/page", "not an image")]
     assert {r["url"]: r["title"] for r in web.site_report(urls, fetcher).collect()}["http://h/old"] == "New"
+    pdf = a_pdf([b"BT /F1 12 Tf 72 700 Td (Some words) Tj 0 -14 Td (References) Tj 0 -14 Td (gone) Tj ET"])
+    read = web.pdf_texts(web.fetch(urls.limit(1).selectExpr("explode(array('http://h/a.pdf', 'http://h/b.pdf')) as url"), lambda url: (200, {}, pdf if "a" in url else b"no")))
+    assert {r["url"][-5:]: (r["text"], r["error"] is None) for r in read.collect()} == {"a.pdf": ("Some words", True), "b.pdf": (None, False)}
     assert one(spark, web.is_pdf(F.col("u"), F.col("t")), u="http://h/x", t="application/PDF; q") and not one(spark, web.is_pdf(F.col("u"), F.col("t")), u="http://h/x", t="text/html")
 
 
