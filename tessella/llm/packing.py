@@ -133,7 +133,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, most_docs: int | None
                 many[k] -= bins
                 base[k] += bins
             else:
-                each = int((most // need).min())
+                each = max(1, int((most // need).min()))
                 bins = left // each
                 if not bins:
                     bins, each = 1, left

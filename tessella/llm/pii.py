@@ -47,10 +47,11 @@ KEYS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-",
 ADDRESS = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)"
 _RUN = r"[A-Za-z0-9+/_-]"
 LOOSE = {
-    "secret": rf"(?<!{_RUN})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+={{0,2}}",
+    # letters and digits, 16 of them in a row and at most one slash: no words joined by hyphens, no paths
+    "secret": rf"(?<!{_RUN})(?!(?:[A-Za-z0-9+_-]*+/){{2}})(?=(?:[A-Za-z0-9]*+[+/_-])*?[A-Za-z0-9]{{16}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+={{0,2}}",
     "spelled_email": r"(?i)(?<![\w.+-])[a-z0-9][a-z0-9._+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{1,63}\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,12}\b",
     "local_phone": r"(?<![0-9+.)-])(?<!\+[0-9]{1,3}\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
-    "national_id": r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "national_id": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}})(?:{ADDRESS}\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?|(?:{'|'.join(GIVEN)})\x20\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
