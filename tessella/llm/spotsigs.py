@@ -95,6 +95,15 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.greatest(F.lit(0), (block - 1) * step + F.size(F.filter(F.element_at(inner, block), lambda b: b <= key)) - 1)
 
 
+def _narrow(sigs: Column) -> Column:
+    """Signatures as 32-bit integers of the same order, for the shuffle."""
+    return F.transform(sigs, lambda s: (s - F.lit(2**31)).cast("int"))
+
+
+def _wide(sigs: Column) -> Column:
+    return F.transform(sigs, lambda s: s.cast("bigint") + F.lit(2**31))
+
+
 def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     """Each row with next, its successor by (doc_id, text) around the table's end; columns doc_id, text, sigs.
 
@@ -113,12 +122,12 @@ def with_next(docs: DataFrame, rows_a_bucket: int = ROWS_A_BUCKET) -> DataFrame:
     bounds = sorted({found["low"], *(found["at"] if n > 1 else [])})
     bucket, last = _bucket(key, bounds), len(bounds) - 1
     firsts = F.array(*map(F.lit, bounds))
-    here = docs.withColumn("bucket", bucket).select("*", signatures(F.col("text")).alias("sigs"))
+    here = docs.withColumn("bucket", bucket).select("*", _narrow(signatures(F.col("text"))).alias("sigs"))
     places = F.when(F.element_at(firsts, F.col("bucket") + 1) == key, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(F.when(F.col("bucket") == 0, last).otherwise(F.col("bucket") - 1).alias("b"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost"))))
     from pyspark.sql import Window
 
     order = Window.partitionBy("b").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return here.withColumn("place", F.explode(places)).select("doc_id", "text", "sigs", "place.b", "place.ghost").withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("ghost = 0").select("doc_id", "text", "sigs", "next")
+    return here.withColumn("place", F.explode(places)).select("doc_id", "text", "sigs", "place.b", "place.ghost").withColumn("next", F.lead(F.struct("text", "sigs")).over(order)).where("ghost = 0").select("doc_id", "text", _wide(F.col("sigs")).alias("sigs"), F.struct("next.text", _wide(F.col("next.sigs")).alias("sigs")).alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
