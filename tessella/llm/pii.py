@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,9 @@ from tessella.llm.shared import only, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "spelled_email", "local_phone", "national_id", "account", "name")
-#: A run of characters cannot match from within where it did not match from its start, unless another match ended there (\G).
-EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
+#: A run of characters cannot match from within where it did not match from its start, unless another match ended there (\G). What follows
+#: a repetition is never one of its characters, so possessive ones match alike, and Java's regex repeats them without recursion.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
@@ -47,14 +50,15 @@ KEYS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "github_pat_", "glpat-", "sk-",
 ADDRESS = "(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|M|Sr|Sra)"
 _RUN = r"[A-Za-z0-9+/_-]"
 LOOSE = {
-    # letters and digits, 16 of them in a row and at most one slash: no words joined by hyphens, no paths
-    "secret": rf"(?<!{_RUN})(?!(?:[A-Za-z0-9+_-]*+/){{2}})(?=(?:[A-Za-z0-9]*+[+/_-])*?[A-Za-z0-9]{{16}})(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z]){_RUN}{{20,}}+={{0,2}}",
+    "secret": rf"(?<!{_RUN}){_RUN}{{20,}}+={{0,2}}",
     "spelled_email": r"(?i)(?<![\w.+-])[a-z0-9][a-z0-9._+-]{0,63}\s?[\[(]\s?at\s?[\])]\s?[a-z0-9-]{1,63}\s?[\[(]\s?dot\s?[\])]\s?[a-z]{2,12}\b",
     "local_phone": r"(?<![0-9+.)-])(?<!\+[0-9]{1,3}\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])",
     "national_id": r"(?<![A-Za-z0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "name": rf"(?<!\p{{L}})(?:{ADDRESS}\.?\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?|(?:{'|'.join(GIVEN)})\x20\p{{Lu}}\p{{Ll}}+)(?!\p{{L}})",
 }
+#: What a secret's run must hold: letters and digits, 16 of them in a row, and at most one slash: no words joined by hyphens, no paths.
+HOLDS, HOLDS_NOT = ("[A-Za-z0-9]{16}", "[0-9]", "[A-Za-z]"), "/[^/]*+/"
 GATES = {
     "secret": rf"(?<!{_RUN}){_RUN}{{20}}", "spelled_email": r"(?i)[\[(]\s?at\s?[\])]", "local_phone": "[0-9]{3}[.\\x20-][0-9]{4}", "national_id": "[0-9]-[0-9]{2}-[0-9]", "account": "[A-Z]{2}[0-9]{2}",
     "name": rf"(?<!\p{{L}})(?:{ADDRESS}\.?|{'|'.join(GIVEN)})\x20\p{{Lu}}",
@@ -76,28 +80,33 @@ DRAWN = 4.0
 SPAN = "struct<kind:int,start:int,end:int,value:string,before:string,after:string>"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: Spark puts an expression wherever its name stands, within loops too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _matches(text: Column, pattern: str, gate: Column, kind: int) -> Column:
     """The matches of a pattern with their places and what stands before and after them: gaps and matches alternate, so places are running
     sums of their lengths, over blocks and then within each."""
     found = F.transform(F.array(text), lambda t: F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern, -1).alias("gaps")))[0]
 
-    def listed(f: Column) -> Column:
-        pair = F.transform(f["m"], lambda m, i: F.struct(F.length(F.get(f["gaps"], i)).alias("gap"), F.length(m).alias("len"), i.alias("i")))
-        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(pair) - 1) / BLOCK).cast("int")), lambda b: F.slice(pair, b * BLOCK + 1, F.lit(BLOCK)))
+    def placed(block: Column, first: Column) -> Column:
+        begin = F.struct(first.alias("at"), F.array().cast("array<struct<start:int,i:int>>").alias("out"))
+        return F.aggregate(block, begin, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["i"].alias("i")))).alias("out")), lambda acc: acc["out"])
+
+    def starts(blocks: Column) -> Column:
         sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + x["gap"] + x["len"]))
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(sums, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-
-        def placed(block: Column, first: Column) -> Column:
-            begin = F.struct(first.alias("at"), F.array().cast("array<struct<start:int,i:int>>").alias("out"))
-            return F.aggregate(block, begin, lambda acc, x: F.struct((acc["at"] + x["gap"] + x["len"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), x["i"].alias("i")))).alias("out")), lambda acc: acc["out"])
-
-        at = F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts.alias("s")), lambda z: placed(z["b"], z["s"])))
+        return F.aggregate(sums, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
+    def listed(f: Column) -> Column:
         def span(x: Column) -> Column:
             value = F.get(f["m"], x["i"])
             return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), value.alias("value"), F.right(F.get(f["gaps"], x["i"]), F.lit(NEAR)).alias("before"), F.left(F.get(f["gaps"], x["i"] + 1), F.lit(1)).alias("after"))
 
+        pair = F.transform(f["m"], lambda m, i: F.struct(F.length(F.get(f["gaps"], i)).alias("gap"), F.length(m).alias("len"), i.alias("i")))
+        parted = _bound(pair, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size(p) - 1) / BLOCK).cast("int")), lambda b: F.slice(p, b * BLOCK + 1, F.lit(BLOCK))))
+        at = _bound(parted, lambda blocks: F.flatten(F.transform(F.arrays_zip(blocks.alias("b"), starts(blocks).alias("s")), lambda z: placed(z["b"], z["s"]))))
         return F.transform(at, span)
 
     spans = F.transform(F.array(found), lambda f: F.when(F.size(f["m"]) > 0, listed(f)).otherwise(F.array().cast(f"array<{SPAN}>")))[0]
@@ -125,8 +134,10 @@ def base_spans(text: Column) -> Column:
 
 def proposals(text: Column, base: Column) -> Column:
     """Spans of the looser patterns that overlap no base span."""
-    loose = F.concat(*[_matches(text, LOOSE[k], text.rlike(GATES[k]), len(BASE) + i) for i, k in enumerate(ADDED)])
-    return F.filter(loose, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    each = [_matches(text, LOOSE[k], text.rlike(GATES[k]), len(BASE) + i) for i, k in enumerate(ADDED)]
+    each[0] = F.filter(each[0], lambda s: reduce(Column.__and__, (s["value"].rlike(p) for p in HOLDS), ~s["value"].rlike(HOLDS_NOT)))
+    loose = F.concat(*each)
+    return _bound(base, lambda held: F.filter(loose, lambda s: ~F.exists(held, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
 
 
 def _described(span: Column) -> Column:
