@@ -8,9 +8,12 @@ the hashes of one code where that code alone holds it, until the step holds at m
 sums stay with Spark; one row a node reaches the driver, which keeps the tree. Rows that share the code at which the split falls, be it a
 third of the table, are so split by their hashes.
 
-Equal texts stay together where their bytes are at most TOGETHER of a leaf's: such a group is one unit, with the least metadata of its
-rows and one hash of its text, so it is never cut. Rows of larger groups go each by its own metadata and a hash of doc_id and text, as
-else leaves could not be near equal. The table of larger groups has at most leaves / TOGETHER rows and is broadcast.
+Equal texts stay together where their bytes are at most TOGETHER of a leaf's and they are at most ROWS_TOGETHER rows: such a group is one
+unit, with the least metadata of its rows and one hash of its text, so it is never cut. Rows of larger groups go each by its own metadata
+and a hash of doc_id and text, as else leaves could not be near equal, and one task would hold all empty texts. Larger groups are broadcast
+up to a checked number, else joined by salted keys.
+
+doc_ids may be any 64-bit numbers: they count from the least on, in steps of four where they span more than 62 bits.
 
 Null texts have size 1 and are equal texts, null metadata has the code 0. Rows that repeat in full share a hash and lie in one leaf; their
 order in a slot comes from Spark's row numbers. An empty table gives no rows. Other columns are ignored.
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import cut, only, table
+from tessella.llm.shared import beside, cut, only, table
 
 BINS = 2**16
 #: Rows of a node's step that are put in order in one task.
@@ -29,6 +32,9 @@ EDGE_ROWS = 20_000
 TIES = 2**48
 #: Share of a leaf's bytes up to which a group of equal texts stays together.
 TOGETHER = 1 / 100
+ROWS_TOGETHER = 10_000
+#: Ids that lie further apart are counted in steps of 2^COARSE, so that differences and bounds stay within 64 bits.
+WIDEST, COARSE = 2**62, 2
 ROWS_A_SLOT_BUCKET = 10_000
 DIMENSIONS = ("source", "lang", "size", "doc")
 
@@ -57,12 +63,14 @@ def units(docs: DataFrame, leaves: int, target_bytes: int | None = None) -> tupl
             leaves *= 2
     copies = held.groupBy("same").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.struct(*[F.min(f"own.{c}").alias(c) for c in ("source", "lang", "doc")], F.xxhash64(F.first("same")).alias("tie")).alias("unit"))
     copies = cut(copies.where("n > 1"))
-    fits = F.col("bytes") <= total / leaves * TOGETHER
-    large = F.broadcast(copies.where(~fits).select("same"))  # at most leaves / TOGETHER rows
-    alone = held.join(large, "same", "left_semi").withColumn("unit", F.col("own"))
-    rest = held.join(large, "same", "left_anti").join(copies.where(fits).select("same", "unit"), "same", "left").withColumn("unit", F.coalesce("unit", "own"))
-    rows = alone.unionByName(rest).select("doc_id", "size", "text_crc32", "unit.source", "unit.lang", "unit.doc", F.col("unit.tie").bitwiseAND(F.lit(TIES - 1)).alias("tie"))
-    return cut(rows), total, leaves
+    fits = (F.col("bytes") <= total / leaves * TOGETHER) & (F.col("n") <= ROWS_TOGETHER)
+    parted = beside(held, copies.where(~fits).select("same", F.lit(True).alias("large")), "same")
+    alone = parted.where("large").withColumn("unit", F.col("own"))
+    rest = parted.where("large is null").join(copies.where(fits).select("same", "unit"), "same", "left").withColumn("unit", F.coalesce("unit", "own"))
+    rows = cut(alone.unionByName(rest).select("doc_id", "size", "text_crc32", "unit.source", "unit.lang", "unit.doc", F.col("unit.tie").bitwiseAND(F.lit(TIES - 1)).alias("tie")))
+    low, high = rows.agg(F.min("doc"), F.max("doc")).first()
+    step = COARSE if total and high - low >= WIDEST else 0
+    return rows.withColumn("doc", F.shiftright("doc", step) - F.lit((low or 0) >> step)), total, leaves
 
 
 def _beside(rows: DataFrame, known: dict[int, tuple], fields: str) -> DataFrame:
