@@ -119,8 +119,9 @@ def _near_lists(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def fit(vectors: DataFrame, k: int) -> dict:
     """The index's parameters from a bounded sample: coarse centres, how many lists to visit, codebooks."""
     n = vectors.count()
-    near = vectors.withColumn("order", F.xxhash64("id")).where(F.pmod("order", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * SAMPLE / max(1, n))) + 1)
-    x = np.array([r["v"] for r in near.orderBy("order", "id", "row").limit(SAMPLE).select("v").collect()], np.float64)
+    near = vectors.withColumn("order", F.xxhash64("id", "row")).where(F.pmod("order", F.lit(1_000_000)) < int(1_000_000 * min(1.0, 1.2 * SAMPLE / max(1, n))) + 1)
+    held = [r["v"] for r in near.orderBy("order", "id", "row").limit(SAMPLE).select("v").collect()] or [r["v"] for r in vectors.limit(SAMPLE).select("v").collect()]
+    x = np.array(held, np.float64)
     lists = max(1, min(n // LIST_ROWS, len(x) // 8))
     centres = _kmeans(x, lists)
     eta = max(1.0, (x.shape[1] - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
