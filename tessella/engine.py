@@ -14,6 +14,8 @@ from tessella.operators.store import ChunkStore, summaries, workspace
 from tessella.sources import files
 
 DIMENSIONS, SUMMARY_CHUNKS, SUMMARY_FILES = 64, 100, 100
+#: File names up to which the store is looked up by name.
+MOST_NAMES = 1000
 IMAGE_MARK = r"(?m)^\[IMAGE: .* - [0-9]+x[0-9]+\]$|^\[Image-only paragraph\]$"
 NO_DOCUMENTS = "No relevant documents found for your query."
 DEFAULTS = ("What are the main topics of the documents?", "Which terms are explained?", "Which steps are described?", "What else is covered?")
@@ -37,23 +39,25 @@ class Engine:
         return files.listed(self.spark, folder)
 
     def _records(self, docs: DataFrame, least: int, most: int) -> DataFrame:
-        made = chunking.chunk_documents(docs.where("error is null"), "txt", least, most, ("doc_id", "file_name", "file_type"))
+        made = chunking.chunk_documents(docs.where("error is null"), "txt", least, most, ("path", "doc_id", "file_name", "file_type"))
         return made.select(
-            F.concat_ws("_", "file_name", "chunk_index").alias("id"), "doc_id", "file_name", "file_type", "chunk_index", "content", "token_count", "breadcrumbs",
+            F.concat_ws("_", "file_name", F.left(F.md5(F.col("path").cast("binary")), F.lit(12)), "chunk_index").alias("id"), "path", "doc_id", "file_name", "file_type", "chunk_index", "content", "token_count", "breadcrumbs",
             F.try_element_at("breadcrumbs", F.lit(-1)).alias("section_title"), F.when(F.size("breadcrumbs") > 0, F.array_join("breadcrumbs", " > ")).alias("heading_path"),
             "indent_levels", "page_from", "page_to", T.page_range(F.col("page_from"), F.col("page_to")).alias("page_range"), self.embed(F.col("content")).alias("embedding"),
         )
 
     def process(self, folder: str, least: int = chunking.MIN_TOKENS, most: int = chunking.MAX_TOKENS) -> DataFrame:
-        """Read, chunk and store a folder or a file; chunks whose id the store has stay as they are. The state of each file. Files are
-        read and parsed once; their texts wait in the workspace."""
+        """Read, chunk and store a folder or a file; chunks whose id the store has stay as they are. The state of each file: files are
+        known by their paths. They are read and parsed once; their texts wait in the workspace."""
         path = workspace(self.spark)
         files.read(self.spark, folder, with_images=True).write.parquet(path)
         docs = self.spark.read.parquet(path)
         self.store.insert(self._records(docs, least, most))
-        kept = self.chunks().groupBy("file_name").agg(F.count("*").alias("chunks_stored"), F.sum("token_count").alias("total_tokens"))
+        names = [r["file_name"] for r in docs.select("file_name").distinct().limit(MOST_NAMES + 1).collect()]
+        held = self.store.of_files(names) if len(names) <= MOST_NAMES else self.chunks()
+        kept = held.groupBy("path").agg(F.count("*").alias("chunks_stored"), F.sum("token_count").alias("total_tokens"))
         pictures = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(IMAGE_MARK), F.lit(0)))
-        found = docs.select("file_name", "file_type", "error", pictures.alias("image_count")).join(kept, "file_name", "left")
+        found = docs.select("path", "file_name", "file_type", "error", pictures.alias("image_count")).join(kept, "path", "left")
         stored, tokens = F.coalesce("chunks_stored", F.lit(0)), F.coalesce("total_tokens", F.lit(0))
         done = F.col("error").isNull() & (stored > 0)
         message = F.when(F.col("error").isNotNull(), F.concat(F.lit("not read: "), "error")).when(stored == 0, "no text found").otherwise(F.concat(F.lit("stored chunks: "), stored.cast("string")))
@@ -68,7 +72,8 @@ class Engine:
         return self._records(none, chunking.MIN_TOKENS, chunking.MAX_TOKENS)
 
     def file_chunks(self, file_name: str) -> DataFrame:
-        return self.chunks().where(F.col("file_name") == file_name).orderBy("chunk_index")
+        now = self.store.file_chunks(file_name)
+        return self.chunks() if now is None else now
 
     def delete_file(self, file_name: str) -> int:
         return self.store.delete_file(file_name)

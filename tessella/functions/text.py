@@ -24,6 +24,11 @@ FENCED_TITLE = r"^[=\-#*]{3,}\s*.+\s*[=\-#*]{3,}$"
 ROMAN_TITLE = r"^([IVXLCDM]+)[.\s]+."
 ROMAN = r"^(?=.)M{0,4}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
 COUNTED_TITLE = r"^([0-9]+(?:\.[0-9]+)*)[.)\s]+."
+#: The same for Java's regex, which repeats a plain group by recursion: possessive, as nothing that may follow a repetition is part of it.
+NUMBERED_ONCE = r"^\s*(?:[0-9]++\.)++\s+\S"
+ENUMERATED_ONCE = r"^\s*(?:[0-9]+(?:\.[0-9]++)*+[.)]?|[A-Z]+[.)])\s+[A-Z][^.]*$"
+#: The two ends of a fenced title, which is at least two fences and a character long.
+FENCE, FENCED_LENGTH = r"[=\-#*]{3}", 7
 TOC_TITLES = ("table of contents", "mục lục")
 
 
@@ -118,7 +123,21 @@ def is_title(text: Column) -> Column:
 
 def is_heading_like(line: Column) -> Column:
     """Whether a line has the form of a heading at all: enumerated, capitalised without an end mark, or a numbered chapter."""
-    return line.rlike(ENUMERATED_TITLE) | line.rlike(PLAIN_TITLE) | line.rlike(CHAPTER_TITLE)
+    return line.rlike(ENUMERATED_ONCE) | line.rlike(PLAIN_TITLE) | line.rlike(CHAPTER_TITLE)
+
+
+def is_fenced(title: Column) -> Column:
+    """FENCED_TITLE of one line, by its ends: the pattern itself tries every length of both fences."""
+    return title.rlike(f"^{FENCE}") & title.rlike(f"{FENCE}$") & (F.length(title) >= FENCED_LENGTH)
+
+
+def counted_dots(title: Column) -> Column:
+    """Dots in the number that COUNTED_TITLE finds, -1 where it finds none: of dotted numbers without a mark or space behind them, the last
+    dot is the mark."""
+    run = r"^[0-9]++(?:\.[0-9]++)*+"
+    number = F.regexp_extract(title, run, 0)
+    dots = F.length(number) - F.length(F.replace(number, F.lit(".")))
+    return F.when(title.rlike(rf"{run}[.)\s]+."), dots).otherwise(dots - 1)
 
 
 def heading_level(line: Column, rules: str = "txt") -> Column:
@@ -133,13 +152,12 @@ def heading_level(line: Column, rules: str = "txt") -> Column:
     short = (F.length(t) < 80) & ~F.endswith(t, F.lit("."))
     chapter = F.when(F.length(t) < 50, 2).otherwise(3)
     if rules == "md":
-        roman, counted = F.regexp_extract(t, ROMAN_TITLE, 1), F.regexp_extract(t, COUNTED_TITLE, 1)
-        depth = F.least(F.lit(6), F.length(counted) - F.length(F.replace(counted, F.lit("."))) + 2)
-        level = F.when(F.length(t) < 2, 0).when(marks > 0, marks).when(roman.rlike(ROMAN), 1).when(counted != "", depth).when(is_upper(t) & short, 2)
+        roman, dots = F.regexp_extract(t, ROMAN_TITLE, 1), counted_dots(t)
+        level = F.when(F.length(t) < 2, 0).when(marks > 0, marks).when(roman.rlike(ROMAN), 1).when(dots >= 0, F.least(F.lit(6), dots + 2)).when(is_upper(t) & short, 2)
         return level.when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter).otherwise(0)
-    level = F.when(F.length(t) < 3, 0).when(t.rlike(NUMBERED), 1).when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter)
+    level = F.when(F.length(t) < 3, 0).when(t.rlike(NUMBERED_ONCE), 1).when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter)
     if rules == "txt":
-        level = level.when(short & ~F.endswith(t, F.lit(",")) & (is_upper(t) | is_title(t)), 2).when(t.rlike(FENCED_TITLE), 1).when(marks > 0, marks)
+        level = level.when(short & ~F.endswith(t, F.lit(",")) & (is_upper(t) | is_title(t)), 2).when(is_fenced(t), 1).when(marks > 0, marks)
     return level.otherwise(0)
 
 
@@ -179,9 +197,15 @@ def docs_suffix(url: Column) -> Column:
 
 def techdocs_url(url: Column) -> Column:
     """The static page behind a documentation URL with at least three segments after docs; else null."""
-    found = F.regexp_extract(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), r"^(?:/+(?!docs/)[^/]+)*/+docs/+([^/]+/+[^/]+/+[^/]+)", 1)
+    segments = F.filter(F.split(F.coalesce(F.parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda x: x != "")
     host = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(found != "", F.concat(host, F.lit("/api/techdocs/static/docs/"), F.regexp_replace(found, "/+", "/"), F.lit("/index.html")))
+
+    def page(held: Column) -> Column:
+        at = F.array_position(held, "docs").cast("int")
+        named = F.array_join(F.slice(held, at + 1, F.lit(3)), "/")
+        return F.when((at > 0) & (F.size(held) >= at + 3), F.concat(host, F.lit("/api/techdocs/static/docs/"), named, F.lit("/index.html")))
+
+    return F.transform(F.array(segments), page)[0]
 
 
 def cookie_names(header: Column) -> Column:

@@ -16,10 +16,12 @@ from tessella.functions import text as T
 from tessella.functions.text import heading_level, indent_width, lines, setext_level, strip
 
 MIN_TOKENS, MAX_TOKENS, INDENT_STEP, TAB = 300, 500, 4, 4
+#: Fixed value: what begins and ends fenced code.
+FENCE_MARK = "```"
 _LINE = re.compile("\r\n|[\n\x0b\x0c\r\x85\u2028\u2029]")
 _PAGE = re.compile("\x1e([0-9]+)\x1e")
-_SENTENCES, _BULLET, _NUMBERED, _PLAIN, _CHAPTER, _MARKED, _FENCED, _ROMAN_TITLE, _ROMAN, _COUNTED = (
-    re.compile(p) for p in (T.SENTENCE_END, T.BULLET, T.NUMBERED, T.PLAIN_TITLE, T.CHAPTER_TITLE, T.MARKED_TITLE, T.FENCED_TITLE, T.ROMAN_TITLE, T.ROMAN, T.COUNTED_TITLE)
+_SENTENCES, _BULLET, _NUMBERED, _PLAIN, _CHAPTER, _MARKED, _FENCE, _ROMAN_TITLE, _ROMAN, _COUNTED = (
+    re.compile(p) for p in (T.SENTENCE_END, T.BULLET, T.NUMBERED, T.PLAIN_TITLE, T.CHAPTER_TITLE, T.MARKED_TITLE, T.FENCE, T.ROMAN_TITLE, T.ROMAN, T.COUNTED_TITLE)
 )
 CHUNK = "chunk_index int, content string, token_count int, breadcrumbs array<string>, block_indices array<int>, indent_levels array<int>, page_from int, page_to int"
 
@@ -93,7 +95,7 @@ def line_level(line: str, rules: str = "txt") -> int:
     if rules == "txt":
         if short and not t.endswith(",") and (t.isupper() or t.istitle()):
             return 2
-        if _FENCED.match(t):
+        if len(t) >= T.FENCED_LENGTH and _FENCE.match(t) and _FENCE.fullmatch(t[-3:]):
             return 1
         return len(marks.group(1)) if marks else 0
     return 0
@@ -132,11 +134,23 @@ def tokens(text: str) -> int:
     return max(1, len(text.split()))
 
 
-def split_block(text: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS) -> list[str]:
-    """Pieces of an oversized block: bullets stay whole, other lines go by sentence; parts join while they stay within most. A part above
-    most goes with what stands before it where that is below least, else alone; nothing is lost. A last piece that fits the one before
-    joins it."""
-    parts = [p for line in _LINE.split(text) if line.strip() for p in ([line.rstrip()] if _BULLET.match(line) else map(str.strip, _SENTENCES.split(line))) if p]
+def _parts(text: str, fences: bool) -> Iterator[str]:
+    """The lines of a block, whole where they are bullets or, with fences, code between lines that begin with ```; others by sentence."""
+    code = False
+    for line in filter(str.strip, _LINE.split(text)):
+        fence = fences and line.lstrip().startswith(FENCE_MARK)
+        code ^= fence
+        if fence or code or _BULLET.match(line):
+            yield line.rstrip()
+        else:
+            yield from filter(None, map(str.strip, _SENTENCES.split(line)))
+
+
+def split_block(text: str, least: int = MIN_TOKENS, most: int = MAX_TOKENS, fences: bool = False) -> list[str]:
+    """Pieces of an oversized block: bullets and, with fences, lines of fenced code stay whole, other lines go by sentence; parts join
+    while they stay within most. A part above most goes with what stands before it where that is below least, else alone; nothing is lost.
+    A last piece that fits the one before joins it."""
+    parts = list(_parts(text, fences))
     out: list[list[str]] = []
     sizes: list[int] = []
     joins = False
@@ -209,7 +223,7 @@ def chunks_of(text: str, rules: str = "txt", sheets: bool = False, least: int =
             continue
         above = [t for _, t in stack]
         split = not sheets and tokens(block) > most
-        units += [(i, indent, page, above, p, split) for p in (split_block(block, least, most) if split else [block])]
+        units += [(i, indent, page, above, p, split) for p in (split_block(block, least, most, rules == "md") if split else [block])]
         if not sheets and len(found) > 1 and (head := _first_heading(block, rules)):
             stack = [h for h in stack if h[0] < head[0]] + [head]
     sizes = [tokens(u[4]) for u in units]

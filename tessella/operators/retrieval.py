@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import bm25_tokens
+from tessella.functions.text import bm25_tokens, page_range, preview, with_context
 from tessella.operators.store import workspace
 
 TOP_K, MOST_K, TOP_M, RRF_K, PER_FILE, FINAL_K = 20, 50, 30, 60, 3, 12
@@ -104,6 +104,25 @@ def bm25(candidates: DataFrame, query: str, stopwords: list[str] | None = None,
     return held.join(F.broadcast(stats)).withColumn("bm25_score", score(F.col("_tokens"))).select(*candidates.columns, "bm25_score")
 
 
+def bm25_many(candidates: DataFrame, queries: DataFrame, stopwords: list[str] | None = None, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+    """candidates (query_id, id, content) with bm25_score, by the statistics of each query's own candidates, which are a bounded list;
+    queries: (query_id, text). Candidates are computed and shuffled once: all aggregations are by query_id, as the rows then lie."""
+    held = candidates.withColumn("_tokens", bm25_tokens(F.coalesce("content", F.lit("")), stopwords)).repartition("query_id")
+    asked = queries.select("query_id", F.explode(bm25_tokens(F.col("text"), stopwords)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    sizes = held.where(F.size("_tokens") > 0).groupBy("query_id").agg(F.count("*").alias("n"), F.avg(F.size("_tokens")).alias("_avgdl"))
+    terms = held.select("query_id", F.explode(F.array_distinct("_tokens")).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    known = terms.join(sizes, "query_id").join(asked, ["query_id", "term"], "left").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    stats = known.groupBy("query_id").agg(F.avg("raw").alias("_mean"), F.first("_avgdl").alias("_avgdl"), F.collect_list(F.when(F.col("times").isNotNull(), F.struct("term", "times", "raw"))).alias("_asked"))
+    norm = k1 * (1 - b + b * F.size("_tokens") / F.col("_avgdl"))
+
+    def share(t: Column) -> Column:
+        tf = F.size(F.filter("_tokens", lambda x: x == t["term"]))
+        return F.when(tf > 0, t["times"] * F.when(t["raw"] >= 0, t["raw"]).otherwise(epsilon * F.col("_mean")) * tf * (k1 + 1) / (tf + norm)).otherwise(0.0)
+
+    score = F.coalesce(F.aggregate("_asked", F.lit(0.0), lambda s, t: s + share(t)), F.lit(0.0))
+    return held.join(stats, "query_id", "left").withColumn("bm25_score", score).select(*candidates.columns, "bm25_score")
+
+
 def fuse_lists(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """(id, rrf_score) of rank lists (id, rank), each with other ids: an id that a list lacks gets nothing from it."""
     each = [one.select("id", (1.0 / (k + F.col("rank"))).alias("share")) for one in lists]
@@ -133,31 +152,53 @@ def matches(where: dict) -> Column:
     return reduce(lambda a, b: a & b, each, F.lit(True))
 
 
-def fused(ranked: DataFrame, columns: list[str], k: int = RRF_K, partition: list[str] | None = None) -> DataFrame:
+def fused(ranked: DataFrame, columns: list[str], k: int = RRF_K) -> DataFrame:
     """rrf_score: the sum of 1 / (k + rank) over the rank columns; a null rank gives nothing."""
-    return ranked.withColumn("rrf_score", sum((F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in columns[1:]), F.coalesce(1.0 / (k + F.col(columns[0])), F.lit(0.0))))
+    return ranked.withColumn("rrf_score", reduce(Column.__add__, (F.coalesce(1.0 / (k + F.col(c)), F.lit(0.0)) for c in columns)))
 
 
-def rerank(hits: DataFrame, query: str, scorer: Callable[[Column], Column] | None = None, top_m: int = TOP_M, final_k: int = FINAL_K) -> DataFrame:
-    """hits (id, content, vector_rank): BM25 over them, fusion, the top_m by a scorer (by default the fused order), the best final_k."""
-    w = Window.partitionBy(F.lit(0))  # hits are at most MOST_K rows
-    ranked = bm25(hits, query).withColumn("bm25_rank", F.row_number().over(w.orderBy(F.desc("bm25_score"), "vector_rank")))
+def rerank_many(hits: DataFrame, queries: DataFrame, scorer: Callable[[Column], Column] | None = None, top_m: int = TOP_M, final_k: int = FINAL_K) -> DataFrame:
+    """hits (query_id, id, content, vector_rank) of many queries (query_id, text): BM25 over each query's own, fusion, the top_m by a scorer
+    (by default the fused order), the best final_k. A query's hits are at most MOST_K rows."""
+    w = Window.partitionBy("query_id")
+    ranked = bm25_many(hits, queries).withColumn("bm25_rank", F.row_number().over(w.orderBy(F.desc("bm25_score"), "vector_rank")))
     both = fused(ranked, ["vector_rank", "bm25_rank"]).withColumn("fused_rank", F.row_number().over(w.orderBy(F.desc("rrf_score"), "vector_rank"))).where(F.col("fused_rank") <= top_m)
     ce = scorer(F.col("content")) if scorer else 1.0 - (F.col("fused_rank") - 1) * 0.01
     return both.withColumn("ce_score", ce).withColumn("rank", F.row_number().over(w.orderBy(F.desc("ce_score"), "fused_rank"))).where(F.col("rank") <= final_k)
 
 
-def keep_first_by_content(rows: DataFrame, order: list, hash_length: int = 16) -> DataFrame:
+def rerank(hits: DataFrame, query: str, scorer: Callable[[Column], Column] | None = None, top_m: int = TOP_M, final_k: int = FINAL_K) -> DataFrame:
+    """rerank_many() of one query: hits (id, content, vector_rank)."""
+    one = hits.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    return rerank_many(hits.withColumn("query_id", F.lit(0)), one, scorer, top_m, final_k).drop("query_id")
+
+
+def rank_changes(reranked: DataFrame) -> DataFrame:
+    """What re-ranking did, by file: rows, how far they moved, their best and worst score."""
+    change = F.col("vector_rank") - F.col("rank")
+    return reranked.groupBy("file_name").agg(
+        F.count("*").alias("n"), F.avg(F.abs(change)).alias("mean_change"), F.max(change).alias("most_up"), F.min(change).alias("most_down"), F.min("ce_score").alias("least_score"), F.max("ce_score").alias("best_score")
+    )
+
+
+def shown(hits: DataFrame, preview_length: int = 200) -> DataFrame:
+    """Hits as they are shown: pages as a range, the file's name or Unknown, a preview, the content with its breadcrumbs; other columns stay."""
+    name = F.coalesce("file_name", F.lit("Unknown"))
+    return hits.withColumns({"page_range": page_range(F.col("page_from"), F.col("page_to")), "file_name": name, "preview": preview(F.col("content"), preview_length), "payload": with_context(F.col("content"), F.col("breadcrumbs"))})
+
+
+def keep_first_by_content(rows: DataFrame, order: list, hash_length: int = 16, within: tuple[str, ...] = ()) -> DataFrame:
     digest = F.left(F.md5(F.col("content").cast("binary")), F.lit(hash_length))
-    return rows.withColumn("digest", digest).withColumn("_n", F.row_number().over(Window.partitionBy("digest").orderBy(*order))).where("_n = 1").drop("_n", "digest")
+    return rows.withColumn("digest", digest).withColumn("_n", F.row_number().over(Window.partitionBy(*within, "digest").orderBy(*order))).where("_n = 1").drop("_n", "digest")
 
 
-def cap_per_file(rows: DataFrame, order: list, most: int = PER_FILE) -> DataFrame:
+def cap_per_file(rows: DataFrame, order: list, most: int = PER_FILE, within: tuple[str, ...] = ()) -> DataFrame:
     if most <= 0:
         return rows
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("file_name").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*within, "file_name").orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def postprocess(rows: DataFrame, most: int = PER_FILE) -> DataFrame:
-    kept = cap_per_file(keep_first_by_content(rows, ["rank"]), ["rank"], most)
-    return kept.withColumn("final_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank")))
+def postprocess(rows: DataFrame, most: int = PER_FILE, within: tuple[str, ...] = ()) -> DataFrame:
+    """Re-ranked rows without repeated contents, at most so many of a file, numbered anew; within: the columns that tell queries apart."""
+    kept = cap_per_file(keep_first_by_content(rows, ["rank"], within=within), ["rank"], most, within)
+    return kept.withColumn("final_rank", F.row_number().over(Window.partitionBy(*(within or [F.lit(0)])).orderBy("rank")))

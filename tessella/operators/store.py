@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+
+from tessella.operators.parts import PartedTable
 
 
 def insert_new_only(store: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
@@ -47,108 +47,85 @@ def workspace(spark: SparkSession) -> str:
 
 
 class ChunkStore:
-    """A table under one path that grows by parts: an insert writes the new rows alone, a delete writes no rows at all. A numbered list
-    says which parts are current and which files are gone from which parts; compact() rewrites them as one part.
-
-    Lists are made once and never changed, so a reader sees one state. Of two writers at once the second fails where the file system's
-    rename does not replace (HDFS, local disks); on object stores without such a rename, let one writer at a time change a store."""
+    """Rows (file_name, a key, any others) as a parted table whose places are hashes of file names: inserts and lookups open the files of
+    the parts that can hold the names they are about. Rows of one key have one file name; a row is the same as another if both name and
+    key are. Without a column file_name the places are hashes of the key."""
 
-    #: Deleted files up to which a read names each in a filter; beyond it they are a table that the rows are joined with.
-    MOST_NAMED = 64
+    MOST_NAMED = PartedTable.MOST_NAMED
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        self._jvm_path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._jvm_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _state(self) -> dict:
-        """version, parts (numbers), gone (file name and the last part it is gone from), schema."""
-        lists = self._jvm_path(f"{self.path}/lists")
-        found = [s.getPath().getName() for s in self._fs.listStatus(lists)] if self._fs.exists(lists) else []
-        version = max((int(n.removesuffix(".json")) for n in found if n.endswith(".json")), default=-1)
-        if version < 0:
-            return {"version": -1, "parts": [], "gone": [], "schema": None}
-        stream = self._fs.open(self._jvm_path(f"{self.path}/lists/{version}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")) | {"version": version}
-        finally:
-            stream.close()
-
-    def _publish(self, state: dict) -> None:
-        """The list is written beside the others and gets its number by a rename, which fails where the number is taken."""
-        draft, final = (self._jvm_path(f"{self.path}/lists/{n}") for n in (f"_{uuid.uuid4().hex}", f"{state['version'] + 1}.json"))
-        out = self._fs.create(draft, False)
-        out.write(bytearray(json.dumps({k: state[k] for k in ("parts", "gone", "schema")}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise RuntimeError(f"{self.path}: another change came first; repeat this one")
-
-    def _rows(self, state: dict) -> DataFrame | None:
-        if state["schema"] is None:
-            return None
-        schema = StructType.fromJson(state["schema"])
-        if not state["parts"]:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(StructType(schema.fields).add("_part", "long")).parquet(*[f"{self.path}/parts/{p}" for p in state["parts"]])
-        if len(state["gone"]) <= self.MOST_NAMED:
-            for name, last in state["gone"]:
-                rows = rows.where(~(F.col("file_name").eqNullSafe(F.lit(name)) & (F.col("_part") <= last)))
-            return rows.drop("_part")
-        gone = self.spark.createDataFrame([tuple(g) for g in state["gone"]], "_gone string, _last long")
-        return rows.join(gone, F.col("file_name").eqNullSafe(F.col("_gone")) & (F.col("_part") <= F.col("_last")), "left_anti").drop("_part")
+        self.spark, self.table = spark, PartedTable(spark, path)
+        self.path = self.table.path
 
     def read(self) -> DataFrame | None:
-        return self._rows(self._state())
+        now = self.table.rows(self.table.state())
+        return None if now is None else now.drop("_place", "_part")
+
+    def parts(self) -> list[int]:
+        return [p for p, _ in self.table.state()["parts"]]
+
+    def rows_of(self, parts: list[int]) -> DataFrame:
+        """The rows of some of the current parts."""
+        return self.table.rows(self.table.state(), parts=parts).drop("_place", "_part")
 
-    def _add(self, state: dict, rows: DataFrame, keep: bool) -> None:
-        part = uuid.uuid4().int % 10**6 + 10**6 * (state["version"] + 1)  # ascending by version, unique among failed attempts
-        rows.withColumn("_part", F.lit(part).cast("long")).write.parquet(f"{self.path}/parts/{part}")
-        fields = {f["name"]: f for f in (state["schema"] or {"fields": []})["fields"]}
-        fields |= {f["name"]: f for f in rows.schema.jsonValue()["fields"] if f["name"] not in fields}
-        schema = {"type": "struct", "fields": [f | {"nullable": True} for f in fields.values()]}
-        self._publish(state | {"parts": [*(state["parts"] if keep else []), part], "gone": state["gone"] if keep else [], "schema": schema})
+    def places_of(self, names: list[str | None]) -> list[int]:
+        rows = self.spark.createDataFrame([(n,) for n in names], "file_name string").select(F.xxhash64("file_name").alias("p"))
+        return [r["p"] for r in rows.collect()]
 
     def insert(self, new: DataFrame, key: str = "id") -> None:
-        """Appends the rows of new whose key the store has not, each key once: of rows that share it, the one with the smallest hash of
-        all its columns. new is computed once."""
-        state, staged = self._state(), f"{self.path}/staged/{uuid.uuid4().hex}"
+        """Appends the rows of new that the store has not, each once: of rows that are the same, the one with the smallest hash of all its
+        columns. Rows of a null key are the same if all their columns are. new is computed once; of the store, the files that can hold the
+        new rows are read, or all where new is of more than MOST_PLACES names."""
+        state, staged = self.table.state(), f"{self.path}/staged/{uuid.uuid4().hex}"
         new.write.parquet(staged)
-        rows, now = self.spark.read.schema(new.schema).parquet(staged), self._rows(state)
-        order = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])))
-        first = rows.withColumn("_nth", order).where("_nth = 1").drop("_nth")
-        self._add(state, first if now is None else insert_new_only(now, first, key), True)
-        self._fs.delete(self._jvm_path(staged), True)
+        rows = self.spark.read.schema(new.schema).parquet(staged)
+        columns = sorted(rows.columns)
+        place = F.xxhash64("file_name" if "file_name" in columns else key)
+
+        def same(of: DataFrame) -> DataFrame:
+            """of with _same: the key, or for a null key a digest of new's columns."""
+            each = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if c in of.columns else F.lit("{}") for c in columns]
+            return of.withColumn("_same", F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.concat(F.lit("n"), F.sha2(F.to_json(F.array(*each)), 256))))
+
+        whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+        once = same(rows).withColumn("_place", place).groupBy("_place", "_same").agg(F.min_by(whole, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])).alias("_row"))
+        first = once.select("_place", "_same", "_row.*")
+        if state["parts"]:
+            places = [r["_place"] for r in rows.select(place.alias("_place")).distinct().limit(self.table.MOST_PLACES + 1).collect()]
+            now = same(self.table.rows(state, places if len(places) <= self.table.MOST_PLACES else None))
+            known = now.select("_place", "_same").join(first.select("_place", "_same"), ["_place", "_same"], "left_semi").distinct()
+            first = first.join(known, ["_place", "_same"], "left_anti")
+        self.table.add(state, first.drop("_same"))
+        self.table._fs.delete(self.table._jvm_path(staged), True)
 
     def delete_file(self, file_name: str) -> int:
-        state = self._state()
-        now = self._rows(state)
-        n = 0 if now is None else now.where(F.col("file_name") == file_name).count()
+        state = self.table.state()
+        now = self.file_chunks(file_name)
+        n = 0 if now is None else now.count()
         if n:
-            self._publish(state | {"gone": [*(g for g in state["gone"] if g[0] != file_name), [file_name, max(state["parts"])]]})
+            self.table.forget(state, file_name)
         return n
 
     def clear(self) -> None:
-        state = self._state()
-        if state["schema"] is not None:
-            self._publish(state | {"parts": [], "gone": []})
+        self.table.clear()
 
     def drop(self) -> None:
-        self._fs.delete(self._jvm_path(self.path), True)
+        self.table.drop()
 
     def compact(self) -> None:
-        """The current rows as one part, without traces of deleted files; older parts stay for readers until vacuum()."""
-        state = self._state()
-        if state["parts"]:
-            self._add(state, self._rows(state), False)
+        self.table.compact()
 
     def vacuum(self) -> None:
-        """Deletes the parts that the current list does not name."""
-        parts, current = self._jvm_path(f"{self.path}/parts"), {str(p) for p in self._state()["parts"]}
-        for s in self._fs.listStatus(parts) if self._fs.exists(parts) else []:
-            if s.getPath().getName() not in current:
-                self._fs.delete(s.getPath(), True)
+        self.table.vacuum()
+
+    def of_files(self, names: list[str | None]) -> DataFrame | None:
+        """The rows of some files, from the files of the store that can hold them."""
+        now = self.table.rows(self.table.state(), self.places_of(names))
+        if now is None:
+            return None
+        asked = F.col("file_name").isin([n for n in names if n is not None])
+        return now.where(asked | F.col("file_name").isNull() if None in names else asked).drop("_place", "_part")
 
     def file_chunks(self, file_name: str) -> DataFrame | None:
-        now = self.read()
-        return None if now is None else now.where(F.col("file_name") == file_name).orderBy("chunk_index")
+        now = self.of_files([file_name])
+        return now if now is None or "chunk_index" not in now.columns else now.orderBy("chunk_index")

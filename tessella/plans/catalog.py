@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import html as H
 from tessella.functions import text as T
 from tessella.operators import chunking as C
-from tessella.operators.layout import dealt
+from tessella.operators.layout import dealt, numbered
 from tessella.operators import retrieval as R
 from tessella.operators import store as S
 from tessella.sources import files as readers
@@ -101,8 +101,12 @@ def contextual_search(t):
     return R.expanded(_hits(c), c, 1).select("doc_id", "chunk_index", "role")
 
 
+WITHOUT = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> ''"
+TOKENS = WITHOUT + ")"
+
+
 def _bm25_sql(candidates: str, stop: str = "") -> str:
-    tokens = r"list_filter(string_split_regex(regexp_replace(lower({0}), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\s+'), lambda x: x <> ''" + (f" AND x NOT IN ({stop})" if stop else "") + ")"
+    tokens = WITHOUT + (f" AND x NOT IN ({stop})" if stop else "") + ")"
     return f"""
 cand AS ({candidates}),
 toks AS (SELECT id, {tokens.format('content')} AS tk FROM cand),
@@ -163,10 +167,42 @@ def rerank_pipeline(t):
     return done.select("id", "file_name", F.round("ce_score", 6).alias("ce_score"), "rank", "final_rank")
 
 
-@query(f"{RERANKED} SELECT file_name, count(*) AS n, round(avg(abs(vector_rank - rank)), 6) AS mean_change, max(vector_rank - rank)::INT AS most_up, min(vector_rank - rank)::INT AS most_down FROM reranked GROUP BY file_name")
+@query(f"{RERANKED} SELECT file_name, count(*) AS n, round(avg(abs(vector_rank - rank)), 6) AS mean_change, max(vector_rank - rank)::INT AS most_up, min(vector_rank - rank)::INT AS most_down, round(min(ce_score), 6)::DOUBLE AS least_score, round(max(ce_score), 6)::DOUBLE AS best_score FROM reranked GROUP BY file_name")
 def rerank_analysis(t):
-    change = F.col("vector_rank") - F.col("rank")
-    return R.rerank(_candidates(t), QUESTION).groupBy("file_name").agg(F.count("*").alias("n"), F.round(F.avg(F.abs(change)), 6).alias("mean_change"), F.max(change).alias("most_up"), F.min(change).alias("most_down"))
+    found = R.rank_changes(R.rerank(_candidates(t), QUESTION))
+    return found.withColumns({c: F.round(c, 6) for c in ("mean_change", "least_score", "best_score")})
+
+
+#: The texts of benchmark ask; each one's hits are the nearest 50 of the documents that fall to it.
+BATCH = f"""WITH asks AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, text FROM benchmark), parts AS (SELECT count(*) AS p FROM benchmark),
+hits AS (SELECT * FROM (SELECT doc_id % p AS query_id, doc_id AS id, text AS content, source AS file_name, row_number() OVER (PARTITION BY doc_id % p ORDER BY n_chars, doc_id) AS vector_rank FROM documents, parts) WHERE vector_rank <= 50),
+toks AS (SELECT query_id, id, {TOKENS.format('content')} AS tk FROM hits),
+terms AS (SELECT query_id, id, term, count(*) AS tf FROM (SELECT query_id, id, unnest(tk) AS term FROM toks) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format('text')}) AS term FROM asks) GROUP BY ALL),
+sizes AS (SELECT query_id, id, len(tk) AS dl FROM toks WHERE len(tk) > 0),
+whole AS (SELECT query_id, count(*) AS n, avg(dl) AS avgdl FROM sizes GROUP BY query_id),
+raws AS (SELECT query_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS raw FROM (SELECT query_id, term, count(*) AS df FROM terms GROUP BY ALL) JOIN whole USING (query_id)),
+means AS (SELECT query_id, avg(raw) AS mean FROM raws GROUP BY query_id),
+scored AS (SELECT query_id, id, sum(times * CASE WHEN raw >= 0 THEN raw ELSE 0.25 * mean END * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s
+  FROM terms JOIN asked USING (query_id, term) JOIN raws USING (query_id, term) JOIN means USING (query_id) JOIN sizes USING (query_id, id) JOIN whole USING (query_id) GROUP BY query_id, id),
+ranked AS (SELECT hits.*, row_number() OVER (PARTITION BY query_id ORDER BY round(coalesce(s, 0), 9) DESC, vector_rank) AS bm25_rank FROM hits LEFT JOIN scored USING (query_id, id)),
+rrf AS (SELECT *, 1.0::DOUBLE / (60 + vector_rank) + 1.0::DOUBLE / (60 + bm25_rank) AS rrf_score FROM ranked),
+fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, vector_rank) AS fused_rank FROM rrf),
+reranked AS (SELECT *, fused_rank AS rank FROM fused WHERE fused_rank <= 12),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id, left(md5(content), 16) ORDER BY rank) AS n FROM reranked),
+capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, file_name ORDER BY rank) AS f FROM firsts WHERE n = 1)
+SELECT query_id, id, file_name, bm25_rank::INT AS bm25_rank, rank::INT AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rank)::INT AS final_rank FROM capped WHERE f <= 2"""
+
+
+@query(BATCH)
+def rerank_batch(t):
+    asks = t("benchmark").select((F.row_number().over(Window.orderBy("item_id")) - 1).cast("bigint").alias("query_id"), "text")  # the queries
+    parts = F.broadcast(t("benchmark").agg(F.count("*").alias("p")))
+    rows = t("documents").join(parts).select((F.col("doc_id") % F.col("p")).alias("query_id"), F.col("doc_id").alias("id"), F.col("text").alias("content"), F.col("source").alias("file_name"), "n_chars")
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy("n_chars", "id"))
+    hits = rows.withColumn("vector_rank", nth).where(F.col("vector_rank") <= R.MOST_K).drop("n_chars")
+    done = R.postprocess(R.rerank_many(hits, asks), 2, ("query_id",))
+    return done.select("query_id", "id", "file_name", "bm25_rank", "rank", "final_rank")
 
 
 @query("SELECT id FROM (SELECT doc_id AS id, row_number() OVER (PARTITION BY left(md5(text), 16) ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
@@ -401,9 +437,11 @@ def last_per_key(t):
     return S.last_per_key(t("documents"), "source", "lang", "doc_id")
 
 
-@query("SELECT lang, count(*) AS n, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM documents GROUP BY lang")
+@query("SELECT coalesce(CASE WHEN kind IN ('pdf', 'txt', 'md', 'docx', 'xlsx') THEN kind END, 'unsupported') AS file_type, count(*) AS n, md5(string_agg(name, ',' ORDER BY name)) AS files FROM (SELECT 'd' || doc_id || '.' || ['PDF', 'txt', 'md', 'docx', 'xlsx', 'bin', 'x.md'][(doc_id % 7)::INT + 1] AS name, lower(['PDF', 'txt', 'md', 'docx', 'xlsx', 'bin', 'md'][(doc_id % 7)::INT + 1]) AS kind FROM documents) GROUP BY file_type")
 def group_files(t):
-    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
+    ending = F.element_at(F.array(*map(F.lit, ("PDF", "txt", "md", "docx", "xlsx", "bin", "x.md"))), (F.col("doc_id") % 7 + 1).cast("int"))
+    paths = t("documents").select(F.concat(F.lit("file:/folder/sub/d"), F.col("doc_id").cast("string"), F.lit("."), ending).alias("path"))
+    return readers.grouped_files(paths).withColumn("files", F.md5(F.array_join("files", ",").cast("binary")))
 
 
 @query("SELECT doc_id, text FROM documents WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = documents.doc_id)")
@@ -419,6 +457,20 @@ def _store(rows):
     return store
 
 
+@query("SELECT doc_id, source, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(lang) || text END) AS digest FROM documents")
+def store_insert(t):
+    rows = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text", "lang")
+    store = _store(rows.where("id % 2 = 0"))
+    store.insert(rows.withColumn("text", F.concat(F.upper("lang"), "text")))  # every other row is there already and stays
+    return store.read().select(F.col("id").alias("doc_id"), F.col("file_name").alias("source"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT doc_id, n_chars, md5(text) AS digest FROM documents WHERE source IN ('src3', 'src11')")
+def store_file_chunks(t):
+    store = _store(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text", "n_chars"))
+    return store.of_files(["src3", "src11", "none"]).select(F.col("id").alias("doc_id"), "n_chars", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query("SELECT doc_id FROM documents WHERE source IS DISTINCT FROM 'src3'")
 def delete_by_key(t):
     store = _store(t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text"))
@@ -438,10 +490,10 @@ RANKS = "a AS (SELECT doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, do
 
 @query(f"WITH {RANKS} SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0::DOUBLE / (60 + a.r), 0) + coalesce(1.0::DOUBLE / (60 + b.r), 0), 9) AS rrf_score FROM a FULL JOIN b ON a.id = b.id")
 def rrf_outer(t):
-    rows, w = t("documents"), Window.partitionBy(F.lit(0))
-    a = rows.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
-    b = rows.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), F.row_number().over(w.orderBy("doc_id")).alias("rank"))
-    return R.fuse_lists([a, b]).select("id", F.round("rrf_score", 9).alias("rrf_score"))
+    rows = t("documents").select(F.col("doc_id").alias("id"), "n_chars")
+    a = numbered(rows.where("id % 3 <> 0"), [F.desc("n_chars"), "id"])
+    b = numbered(rows.where("id % 4 <> 0"), ["id"])
+    return R.fuse_lists([a.select("id", "rank"), b.select("id", "rank")]).select("id", F.round("rrf_score", 9).alias("rrf_score"))
 
 
 @query("SELECT a.conv_id, a.turn, count(b.turn) AS pictures, coalesce(array_to_string(list(b.turn ORDER BY b.turn), ','), '') AS held FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn % 2 = 0 AND b.turn IN (a.turn, a.turn + 2) GROUP BY ALL")
@@ -452,7 +504,7 @@ def chunk_pictures(t):
     return made.select("conv_id", "turn", F.size("pictures").cast("bigint").alias("pictures"), F.array_join("pictures", ",").alias("held"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber AS picture, count(b.l_linenumber) AS blocks, coalesce(sum(b.l_quantity), 0) AS quantity FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber <> a.l_linenumber AND b.l_quantity <= a.l_quantity + 10 + 5 AND b.l_quantity + 10 >= a.l_quantity - 5 GROUP BY a.l_orderkey, a.l_linenumber")
+@query("SELECT a.l_orderkey, a.l_linenumber AS picture, count(b.l_linenumber) AS blocks, coalesce(sum(b.l_quantity), 0) AS quantity FROM lineitem a LEFT JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber <> a.l_linenumber AND (abs((b.l_quantity + 10) - a.l_quantity) < 5 OR abs(b.l_quantity - (a.l_quantity + 10)) < 5) GROUP BY a.l_orderkey, a.l_linenumber")
 def picture_margin(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("top"), (F.col("l_quantity") + 10).alias("bottom"))
     near = readers.within_margin(rows, rows, "l_orderkey", 5.0)
@@ -460,9 +512,12 @@ def picture_margin(t):
     return near.groupBy("l_orderkey", F.col("l_linenumber").alias("picture")).agg(F.count(F.when(kept, 1)).alias("blocks"), F.coalesce(F.sum(F.when(kept, F.col("n_top"))), F.lit(0.0)).alias("quantity"))
 
 
-@query("SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY GROUPING SETS ((lang), (source), ())")
+#: Documents as pictures: their source the file, their language the page, their type the part of their number.
+@query("SELECT file_name, page_number, format, count(*) AS images, sum(n_chars)::BIGINT * 1024 AS bytes, count(*) FILTER (WHERE n_chars > 1024) AS large FROM (SELECT source AS file_name, (doc_id % 7)::INT AS page_number, lang AS format, n_chars FROM documents WHERE doc_id % 5 <> 0) GROUP BY GROUPING SETS ((file_name, page_number), (format), ())")
 def grouping_sets_summary(t):
-    return t("documents").groupingSets([["lang"], ["source"], []], "lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars")).select("lang", "source", "n", "chars")
+    bad = F.when(F.col("doc_id") % 5 == 0, "unreadable")
+    pictures = t("documents").select(F.col("source").alias("file_name"), (F.col("doc_id") % 7).cast("int").alias("page_number"), F.col("lang").alias("format"), (F.col("n_chars") * 1024).alias("size_bytes"), bad.alias("error"))
+    return readers.image_summary(pictures).select("file_name", "page_number", "format", "images", "bytes", "large")
 
 
 @query("SELECT a.l_orderkey, a.l_linenumber AS line, b.l_linenumber AS near, b.l_quantity AS quantity FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND abs(a.l_linenumber - b.l_linenumber) <= 3")
@@ -523,8 +578,8 @@ def hit_projection(t):
     turn = F.col("turn")
     first, last = F.when(turn % 4 != 0, turn), F.when(turn % 4 == 1, turn).otherwise(turn + turn % 4)
     crumbs = F.when(turn % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
-    name = F.coalesce(F.when(F.col("role") != "user", F.col("role")), F.lit("Unknown"))
-    return t("conversations").select("conv_id", "turn", T.page_range(first, last).alias("page_range"), name.alias("file_name"), T.preview(F.col("text"), 200).alias("preview"), F.md5(T.with_context(F.col("text"), crumbs).cast("binary")).alias("payload"))
+    hits = t("conversations").select("conv_id", "turn", F.when(F.col("role") != "user", F.col("role")).alias("file_name"), F.col("text").alias("content"), first.alias("page_from"), last.alias("page_to"), crumbs.alias("breadcrumbs"))
+    return R.shown(hits).select("conv_id", "turn", "page_range", "file_name", "preview", F.md5(F.col("payload").cast("binary")).alias("payload"))
 
 
 @query("SELECT a.conv_id, a.turn, b.turn AS image, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + a.turn % 3")

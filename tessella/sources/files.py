@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessella.functions.text import clean_markdown, is_toc_page, page_mark
 from tessella.sources.pdf import page_images, page_texts
@@ -38,10 +39,16 @@ def decoded(content: Column) -> Column:
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
+def document_id(path: Column) -> Column:
+    """A file's name without its ending and a digest of its whole path: files of one name in different folders stay apart."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.concat_ws("_", stem, F.left(F.md5(path.cast("binary")), F.lit(12)))
+
+
 def scan(spark: SparkSession, folder: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
-    return found.select("path", name.alias("file_name"), F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), file_type(F.col("path")).alias("file_type"), "content").where("file_type is not null")
+    return found.select("path", name.alias("file_name"), document_id(F.col("path")).alias("doc_id"), file_type(F.col("path")).alias("file_type"), "content").where("file_type is not null")
 
 
 def _own_text(p: ElementTree.Element) -> str:
@@ -231,11 +238,15 @@ def near_rows(left: DataFrame, right: DataFrame, group: str, position: str, dist
     return left.join(other, (F.col(group) == F.col(f"n_{group}")) & (F.abs(F.col(position) - F.col(f"n_{position}")) <= distance))
 
 
-def listed(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_type, n, files) of a folder: names by type, files without a reader as unsupported. Contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+def grouped_files(paths: DataFrame) -> DataFrame:
+    """(file_type, n, files) of paths: names by type, files without a reader as unsupported."""
     kind = F.coalesce(file_type(F.col("path")), F.lit("unsupported"))
-    return found.groupBy(kind.alias("file_type")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1))).alias("files"))
+    return paths.groupBy(kind.alias("file_type")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.element_at(F.split("path", "/"), -1))).alias("files"))
+
+
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """grouped_files() of a folder. Contents are not read."""
+    return grouped_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path"))
 
 
 def in_range(spans: DataFrame, points: DataFrame, group: str, first: str, last: str, position: str) -> DataFrame:
@@ -261,10 +272,33 @@ def dealt_images(images: DataFrame, group: str, position: str, paragraphs: Colum
     return images.withColumn("paragraph", F.get(paragraphs, at))
 
 
-def unique_names(rows: DataFrame, base: str, ending: str, order: str) -> DataFrame:
-    """rows with name: base and ending, from the second of a name on with its number between them."""
-    nth = F.row_number().over(Window.partitionBy(base, ending).orderBy(order))
-    return rows.withColumn("name", F.concat(F.col(base), F.when(nth > 1, F.concat(F.lit("_"), nth.cast("string"))).otherwise(""), F.col(ending)))
+def unique_names(rows: DataFrame, base: str, ending: str, order: str, folder: str | None = None) -> DataFrame:
+    """rows with name: base and ending where no row before has that name in the folder, else with the least number from 2 on between
+    them that none has. Only bases that are alike up to their trailing numbers can meet: those of a folder stream through one task in
+    order, as each name depends on the ones before; of them it holds the names given so far."""
+    within = F.col(folder).cast("string") if folder else F.lit("")
+    family = F.regexp_replace(F.col(base), r"(?:_[0-9]+)+$", "") if base in rows.columns else F.lit("")
+    keys = ["_folder", "_family", "_ending"]
+    laid = rows.withColumns({"_folder": within, "_family": family, "_ending": F.coalesce(F.col(ending), F.lit(""))}).repartition(*keys).sortWithinPartitions(*keys, order)
+    held = laid.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row"), *keys, F.coalesce(F.col(base), F.lit("")).alias("_base"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken, last = None, set(), {}
+        for pdf in batches:
+            names = []
+            for key, own in zip(zip(*(pdf[k] for k in keys), strict=True), pdf["_base"], strict=True):
+                if key != now:
+                    now, taken, last = key, set(), {}
+                name = own
+                while name in taken:
+                    last[own] = last.get(own, 1) + 1
+                    name = f"{own}_{last[own]}"
+                taken.add(name)
+                names.append(name + key[2])
+            yield pdf[["row"]].assign(name=names)
+
+    schema = StructType([held.schema["row"], StructField("name", StringType())])
+    return held.mapInPandas(run, schema).select("row.*", "name")
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
@@ -300,8 +334,8 @@ def pictures_of_chunks(chunks: DataFrame, pictures: DataFrame, group: str, key:
 
 
 def within_margin(pictures: DataFrame, blocks: DataFrame, group: str, margin: float = 50.0) -> DataFrame:
-    """Every picture (top, bottom) with each block of its page that lies at most margin above or below it; the columns of blocks with the
-    prefix n_, null where there is none."""
+    """Every picture (top, bottom) with each block of its page that ends less than margin from the picture's top or begins less than
+    margin from its bottom; the columns of blocks with the prefix n_, null where there is none."""
     other = blocks.select(*[F.col(c).alias(f"n_{c}") for c in blocks.columns])
-    near = (F.col(group) == F.col(f"n_{group}")) & (F.col("n_top") <= F.col("bottom") + margin) & (F.col("n_bottom") >= F.col("top") - margin)
-    return pictures.join(other, near, "left")
+    above, below = F.abs(F.col("n_bottom") - F.col("top")) < margin, F.abs(F.col("n_top") - F.col("bottom")) < margin
+    return pictures.join(other, (F.col(group) == F.col(f"n_{group}")) & (above | below), "left")

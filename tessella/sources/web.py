@@ -8,11 +8,12 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import html as H
 from tessella.functions import text as T
+from tessella.sources.files import unique_names
 from tessella.sources.pdf import page_texts
 
 Fetcher = Callable[[str], tuple[int, dict[str, str], bytes]]
@@ -89,11 +90,10 @@ def download(found: DataFrame, fetcher: Fetcher, most_bytes: int = MOST_BYTES) -
     held = each.join(got, "url").withColumns({"ending": ending, "error": error})
     name = F.regexp_replace(F.element_at(F.split(F.regexp_replace("url", r"[?#].*$", ""), "/"), -1), r"\.[^.]*$", "")
     base = T.file_base(name)
-    rank = F.row_number().over(Window.partitionBy("page_id", "base", "ending").orderBy("nth"))
-    named = held.withColumn("base", base).withColumn("rank", rank)
-    file = F.concat("base", F.when(F.col("rank") > 1, F.concat(F.lit("_"), F.col("rank").cast("string"))).otherwise(""), "ending")
+    named = held.withColumn("base", base).select("page_id", "nth", "base", "ending")
+    named = unique_names(named, "base", "ending", "nth", "page_id").select("page_id", "nth", "name")
     content = F.when(F.col("error").isNull(), F.col("body"))
-    return named.select("page_id", "nth", "url", file.alias("name"), content.alias("content"), F.md5(content).alias("digest"), "error")
+    return held.join(named, ["page_id", "nth"]).select("page_id", "nth", "url", "name", content.alias("content"), F.md5(content).alias("digest"), "error")
 
 
 def site_report(urls: DataFrame, fetcher: Fetcher) -> DataFrame:

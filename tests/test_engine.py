@@ -174,15 +174,15 @@ def test_store(spark, tmp_path):
         store.insert(spark.createDataFrame([(f"x{n}", f"x{n}", 0)], rows.schema))
         assert store.delete_file(f"x{n}") == 1
         if n > 1 and n < ChunkStore.MOST_NAMED:
-            state = store._state()
-            store._publish(state | {"gone": [*state["gone"], *([f"y{i}", 0] for i in range(ChunkStore.MOST_NAMED))]})
+            state = store.table.state()
+            store.table.publish(state | {"gone": [*state["gone"], *([f"y{i}", 0] for i in range(ChunkStore.MOST_NAMED))]})
             break
     assert sorted(r["id"] for r in store.read().collect()) == ["a0", "a1", "b0"]
-    state = store._state()
+    state = store.table.state()
     store.clear()
     assert store.read().count() == 0
     with pytest.raises(RuntimeError):
-        store._publish(state)
+        store.table.publish(state)
     store.insert(rows)
     assert store.read().count() == 3
     store.drop()
