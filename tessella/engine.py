@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import prompts
 from tessella.functions import text as T
 from tessella.operators import chunking, retrieval
+from tessella.operators.ann import VectorIndex
+from tessella.operators.postings import Postings
 from tessella.operators.store import ChunkStore, summaries, workspace
 from tessella.sources import files
 
-DIMENSIONS, SUMMARY_CHUNKS, SUMMARY_FILES = 64, 100, 100
+DIMENSIONS, SUMMARY_CHUNKS = 64, 100
+#: Summaries that the model folds into one at a time.
+FOLD = 20
 #: File names up to which the store is looked up by name.
 MOST_NAMES = 1000
 IMAGE_MARK = r"(?m)^\[IMAGE: .* - [0-9]+x[0-9]+\]$|^\[Image-only paragraph\]$"
@@ -29,11 +35,24 @@ def hashed_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
 
 
 class Engine:
-    """embed: text column to vector column. model: (prompt name, contents, question) to a reply; prompt names are validate, answer,
-    summary and suggest. Without a model questions count as valid, answers are the contents and summaries are each file's first text."""
+    """embed: text column to vector column. model: (prompt name, prompt) to a reply; the prompts are those of functions.prompts, filled.
+    Without a model questions count as valid, answers are the contents and summaries are each file's first text.
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = hashed_embedding, model: Callable[[str, str, str], str] | None = None):
+    Beside the store lie an index of its vectors and one of its words, which take up what the store has new before they are searched."""
+
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] = hashed_embedding, model: Callable[[str, str], str] | None = None):
         self.spark, self.store, self.embed, self.model = spark, ChunkStore(spark, path), embed, model
+        self.vectors, self.words = VectorIndex(spark, f"{self.store.path}/vectors"), Postings(spark, f"{self.store.path}/words")
+
+    def sync(self) -> None:
+        """Brings the indexes up to the store: new parts are added, and where the store was compacted they are made anew."""
+        parts = self.store.parts()
+        for index, columns in ((self.vectors, lambda rows: rows.drop("content")), (self.words, lambda rows: rows.select("id", "file_name", "content"))):
+            seen = index.table.state()["notes"].get("seen", [])
+            if set(seen) - set(parts):
+                index.rebuild(columns(self.store.read()), {"seen": parts})
+            elif new := [p for p in parts if p not in seen]:
+                index.add(columns(self.store.rows_of(new)), {"seen": parts})
 
     def list_files(self, folder: str) -> DataFrame:
         return files.listed(self.spark, folder)
@@ -53,6 +72,7 @@ class Engine:
         files.read(self.spark, folder, with_images=True).write.parquet(path)
         docs = self.spark.read.parquet(path)
         self.store.insert(self._records(docs, least, most))
+        self.sync()
         names = [r["file_name"] for r in docs.select("file_name").distinct().limit(MOST_NAMES + 1).collect()]
         held = self.store.of_files(names) if len(names) <= MOST_NAMES else self.chunks()
         kept = held.groupBy("path").agg(F.count("*").alias("chunks_stored"), F.sum("token_count").alias("total_tokens"))
@@ -76,41 +96,68 @@ class Engine:
         return self.chunks() if now is None else now
 
     def delete_file(self, file_name: str) -> int:
-        return self.store.delete_file(file_name)
+        n = self.store.delete_file(file_name)
+        if n:
+            self.vectors.forget(file_name)
+            self.words.forget(file_name)
+        return n
 
     def clear(self) -> int:
         n = self.chunks().count()
-        self.store.clear()
+        for one in (self.store, self.vectors, self.words):
+            one.clear()
         return n
 
     def stats(self) -> DataFrame:
         return self.chunks().agg(F.count("*").alias("chunks"), F.countDistinct("file_name").alias("files"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
 
-    def search(self, question: str, k: int = retrieval.TOP_K, window: int = 2, min_similarity: float = 0.0, where: dict | None = None) -> DataFrame:
+    def search(self, question: str, k: int = retrieval.TOP_K, window: int = 2, min_similarity: float = 0.0, where: dict | None = None, exact: bool = False) -> DataFrame:
         """Chunks around the k nearest of those that where (see retrieval.matches) allows, in the order of documents; none for a blank
         question."""
-        rows = self.chunks()
-        hits = self.hits(question, k, min_similarity, where)
-        return retrieval.expanded(hits.select("doc_id", "chunk_index"), rows, window).orderBy("doc_id", "chunk_index")
-
-    def hits(self, question: str, k: int = retrieval.TOP_K, min_similarity: float = 0.0, where: dict | None = None) -> DataFrame:
-        """The k nearest chunks of those that where allows, with distance, similarity and vector_rank."""
-        rows = self.chunks().where(retrieval.matches(where or {}))
+        hits = self.hits(question, k, min_similarity, where, exact)
+        near = hits.select("doc_id", "chunk_index", "file_name").collect()  # at most MOST_K rows
+        rows = self.store.of_files([r["file_name"] for r in near]) if near else self.chunks().limit(0)
+        held = self.spark.createDataFrame([tuple(r)[:2] for r in near], "doc_id string, chunk_index int")
+        return retrieval.expanded(held, rows, window).orderBy("doc_id", "chunk_index")
+
+    def _found(self, near: DataFrame | None, extra: str, order: list) -> DataFrame:
+        """The stored chunks of near (id, file_name, a score named extra), at most MOST_K rows, with the score and its rank."""
+        rows = near.select("id", "file_name", extra).collect() if near is not None else []
+        held = self.store.of_files([r["file_name"] for r in rows]) if rows else self.chunks().limit(0)
+        scored = F.broadcast(self.spark.createDataFrame([tuple(r) for r in rows], f"_id string, _file string, {extra} double"))
+        both = held.join(scored, (F.col("id") == F.col("_id")) & F.col("file_name").eqNullSafe(F.col("_file"))).drop("_id", "_file")
+        return both.withColumn("vector_rank", F.row_number().over(Window.orderBy(*order)))
+
+    def hits(self, question: str, k: int = retrieval.TOP_K, min_similarity: float = 0.0, where: dict | None = None, exact: bool = False) -> DataFrame:
+        """The k nearest chunks of those that where allows, with distance, similarity and vector_rank, by the index of vectors: of the lists
+        that it visits, or exact."""
+        self.sync()
         asked = self.spark.createDataFrame([(question,)], "q string").select(self.embed(F.col("q")).alias("v")).first()["v"]  # one row
-        return retrieval.top_k(rows if question.strip() else rows.limit(0), asked, k, min_similarity=min_similarity)
+        near = self.vectors.nearest(asked, min(k, retrieval.MOST_K), where, exact) if question.strip() else None
+        similarity = F.greatest(F.lit(0.0), 1 - F.col("distance"))
+        return self._found(near, "distance", ["distance", "id"]).withColumn("similarity", similarity).where(F.col("similarity") >= min_similarity)
+
+    def keyword_hits(self, question: str, k: int = retrieval.TOP_K) -> DataFrame:
+        """The k best chunks by BM25 over the whole store, with bm25_score and word_rank, by the postings of the question's words."""
+        self.sync()
+        return self._found(self.words.search(question, min(k, retrieval.MOST_K)), "bm25_score", [F.desc("bm25_score"), "id"]).withColumnRenamed("vector_rank", "word_rank")
 
     def rerank(self, question: str, scorer: Callable[[Column], Column] | None = None, per_file: int = retrieval.PER_FILE) -> DataFrame:
         """Hits by vectors and BM25, fused, re-ranked, without repeated contents, at most per_file of a file."""
         return retrieval.postprocess(retrieval.rerank(self.hits(question, retrieval.MOST_K), question, scorer), per_file)
 
+    def _ask(self, name: str, **values: str) -> str:
+        return self.model(name, prompts.render(name, **values))
+
     def query(self, question: str) -> dict:
-        """success, response or error, image links, and the number of chunks found."""
+        """success, response or error, image links, and the number of chunks found. The question is judged by the summaries of all files,
+        answered from the chunks found."""
         found = self.search(question).select("file_name", "content").collect()  # at most k * (2 * window + 1) chunks
         if not found:
             return {"success": True, "response": NO_DOCUMENTS, "images": [], "chunks_found": 0}
         contents = "\n\n".join(f"[{r['file_name']}] {r['content']}" for r in found)
-        verdict = self.model("validate", contents, question) if self.model else f"VALID: {question}"
-        reply = self.model("answer", contents, verdict.partition(":")[2].strip()) if self.model and verdict.startswith("VALID") else contents
+        verdict = self._ask("validate", summaries=self.digest(), question=question) if self.model else f"VALID: {question}"
+        reply = self._ask("answer", contents=contents, question=verdict.partition(":")[2].strip()) if self.model and verdict.startswith("VALID") else contents
         one = self.spark.createDataFrame([(verdict, reply)], "verdict string, reply string").select(T.route(F.col("verdict")).alias("route"), T.answer_and_urls(F.col("reply")).alias("a")).first()
         if one["route"] == "valid":
             return {"success": True, "response": one["a"]["text"], "images": one["a"]["urls"], "chunks_found": len(found)}
@@ -125,23 +172,47 @@ class Engine:
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame({"file_name": pdf["file_name"], "summary": [model("summary", c, "") for c in pdf["contents"]]})
+                said = [model("summary", prompts.render("summary", file_name=n, contents=c)) for n, c in zip(pdf["file_name"], pdf["contents"], strict=True)]
+                yield pd.DataFrame({"file_name": pdf["file_name"], "summary": said})
 
         return texts.select("file_name", "contents").mapInPandas(run, "file_name string, summary string")
 
+    def digest(self) -> str:
+        """The summaries of all files as one text: FOLD at a time the model makes one of them, on the executors, until one round leaves at
+        most FOLD. It is kept beside the store until the store changes."""
+        version = self.store.table.state()["version"]
+        kept = f"{self.store.path}/digests/{version}"
+        place = self.store.table._jvm_path(kept)
+        if not self.store.table._fs.exists(place):
+            line = F.concat_ws(": ", "file_name", "summary").alias("text")
+            self._folded(self.summaries().select(F.col("file_name").alias("key"), line)).write.mode("overwrite").parquet(kept)
+        rows = self.spark.read.schema("key string, text string").parquet(kept).orderBy("key").collect()  # at most FOLD rows
+        return "\n\n".join(r["text"] for r in rows)
+
+    def _folded(self, rows: DataFrame) -> DataFrame:
+        """rows (key, text) folded to at most FOLD of them: in every round, groups of about FOLD by a hash of their keys become one text."""
+        model = self.model
+
+        def fold(held: pd.DataFrame) -> pd.DataFrame:
+            held = held.sort_values(["key", "text"])
+            whole = "\n\n".join(held["text"])
+            told = model("summary", prompts.render("summary", file_name=f"{held['key'].iloc[0]} to {held['key'].iloc[-1]}", contents=whole)) if model else whole
+            return pd.DataFrame({"key": [held["key"].iloc[0]], "text": [told]})
+
+        for level in itertools.count():
+            path = workspace(self.spark)
+            rows.write.parquet(path)
+            rows = self.spark.read.schema("key string, text string").parquet(path)
+            n = rows.count()
+            if n <= FOLD:
+                return rows
+            group = F.pmod(F.xxhash64("key", "text", F.lit(level)), F.lit(-(-n // FOLD)))
+            rows = rows.groupBy(group.alias("group")).applyInPandas(fold, "key string, text string")
+
     def suggestions(self, most: int = 4) -> list[str]:
-        """Questions that the stored files suggest, filled up from defaults. The summaries reach the model SUMMARY_FILES files at a time, in
-        the order of names, each time with the questions found so far; one batch is on the driver at once."""
-        reply, batch = "", []
-
-        def asked(rows: list[str]) -> str:
-            return self.model("suggest", "\n\n".join([*([reply] if reply else []), *rows]), "")
-
-        for r in self.summaries().orderBy("file_name").toLocalIterator() if self.model else ():
-            batch.append(f"{r['file_name']}: {r['summary']}")
-            if len(batch) == SUMMARY_FILES:
-                reply, batch = asked(batch), []
-        reply = asked(batch) if batch else reply
+        """Questions that the stored files suggest, by their summaries folded to one text, filled up from defaults."""
+        summed = self.digest() if self.model else ""
+        reply = self._ask("suggest", most=str(most), summaries=summed) if summed else ""
         return self.spark.createDataFrame([(reply,)], "r string").select(T.questions(F.col("r"), list(DEFAULTS), most).alias("q")).first()["q"]
 
     def export_json(self, path: str, file_name: str | None = None) -> None:

@@ -314,8 +314,9 @@ def test_engine(spark, tmp_path):
     (docs / "c.bin").write_bytes(b"x")
     (docs / "d.docx").write_bytes(b"broken")
 
-    def model(prompt, contents, question):
-        return {"validate": "VALID: kettle?" if "kettle" in question else "IRRELEVANT: no", "answer": "It boils. ['http://h/i.png']", "summary": "short", "suggest": "1. What boils?"}[prompt]
+    def model(name, prompt):
+        assert prompt
+        return {"validate": "VALID: kettle?" if "Question: kettle" in prompt and "short" in prompt else "IRRELEVANT: no", "answer": "It boils. ['http://h/i.png']", "summary": "short", "suggest": "1. What boils?"}[name]
 
     engine = Engine(spark, f"file://{tmp_path}/store", model=model)
     assert engine.query("kettle")["response"] == NO_DOCUMENTS and engine.chunks().count() == 0 and engine.suggestions()[1:] == engine.suggestions()[1:4]
