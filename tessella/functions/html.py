@@ -31,6 +31,9 @@ DOCS_BLOCKS = frozenset("h1 h2 h3 p ul ol pre code".split())
 #: Elements that end an open paragraph.
 BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol pre table blockquote".split())
 LEAST_MAIN = 200
+#: Elements whose text belongs to the block around them, and characters from which a block's text is prose.
+INLINE = frozenset("a abbr b bdi bdo cite code data dfn em font i kbd mark q s samp small span strong sub sup time tt u var".split())
+LEAST_PROSE = 80
 
 
 def title(html: Column) -> Column:
@@ -166,10 +169,42 @@ def is_citation(node: Node) -> bool:
     return bool(node.classes & CITATION_CLASSES) or (node.tag == "a" and (node.attributes.get("role") == "doc-noteref" or "footnote" in node.attributes.get("rel", "").split()))
 
 
+def dense(root: Node) -> Node | None:
+    """The element that holds the page's prose, by text and links alone; none where no text is long enough to be prose.
+
+    An element's own prose is the text in it and its inline children, links taken out. Prose of LEAST_PROSE characters or more counts for
+    the element's parent, and half of it for the grandparent, so that the container of many paragraphs stands above each of them; what
+    is counted is weighed by the share of the element's text that is no link, so lists of links fall behind."""
+    own, text, linked, score, up = {}, {}, {}, {}, {id(root): None}
+    nodes = list(root.walk())
+    for node in reversed(nodes):  # children before their parents
+        prose = plain = links = 0
+        for child in node.children:
+            if isinstance(child, str):
+                prose += len(child.strip())
+                plain += len(child.strip())
+            else:
+                up[id(child)] = node
+                plain += text[id(child)]
+                links += linked[id(child)]
+                if child.tag in INLINE:
+                    prose += own[id(child)]
+        own[id(node)], text[id(node)] = (0 if node.tag == "a" else prose), plain
+        linked[id(node)] = plain if node.tag == "a" else links
+    for node in nodes:
+        if node.tag not in INLINE and node.tag != "a" and own[id(node)] >= LEAST_PROSE:
+            parent = up[id(node)]
+            for held, share in ((parent, 1.0), (parent and up[id(parent)], 0.5)):
+                if held is not None:
+                    score[id(held)] = score.get(id(held), 0.0) + share * own[id(node)]
+    found = [n for n in nodes if score.get(id(n))]
+    return max(found, key=lambda n: score[id(n)] * (1 - linked[id(n)] / max(1, text[id(n)])), default=None)
+
+
 def container(root: Node) -> Node:
-    """The main content: by id, by element, by class, else the body."""
-    tests = (lambda n: n.attributes.get("id") == "mw-content-text", lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.tag == "div" and any(map(MAIN_CLASS.search, n.classes)), lambda n: n.tag == "body")
-    return next((found for test in tests if (found := root.find(test))), root)
+    """The main content: by id, by element, by class, else by the density of its text, else the body."""
+    tests = (lambda n: n.attributes.get("id") == "mw-content-text", lambda n: n.tag == "main", lambda n: n.tag == "article", lambda n: n.tag == "div" and any(map(MAIN_CLASS.search, n.classes)))
+    return next((found for test in tests if (found := root.find(test))), None) or dense(root) or root.find(lambda n: n.tag == "body") or root
 
 
 def _without_references(root: Node) -> Node:
@@ -205,21 +240,50 @@ def main_content(html: str | None, url: str) -> tuple[str, list[str]]:
     return "\n".join(kept.texts()), images
 
 
-def docs_content(html: str | None, url: str) -> tuple[str, list[str]]:
-    """The blocks of a documentation page's article, and its pictures. A block within a block (an item's list, code in pre) comes twice."""
-    root = tree(html)
-    base = root.find(lambda n: n.tag == "base" and "href" in n.attributes)
+def _article(root: Node) -> Node:
+    """The article of a documentation page, without its noise."""
     outer = root.find(lambda n: n.tag == "div" and "md-content" in n.classes) or root
     article = outer.find(lambda n: n.tag == "article" and {"md-content__inner", "md-typeset"} <= n.classes) or outer
-    article.without(lambda n: n.tag in DOCS_NOISE or bool(n.classes & DOCS_NOISE_CLASSES) or n.attributes.get("id") in DOCS_NOISE_IDS)
-    parts = []
+    return article.without(lambda n: n.tag in DOCS_NOISE or bool(n.classes & DOCS_NOISE_CLASSES) or n.attributes.get("id") in DOCS_NOISE_IDS)
+
+
+def blocks_of(article: Node) -> Iterator[tuple[str, str]]:
+    """(tag, text) of the blocks of an article that have text; of a list its items, a line each. A block within a block (an item's list,
+    code in pre) comes twice."""
     for node in article.walk():
         if node.tag in ("ul", "ol"):
-            parts.append("\n".join("- " + " ".join(c.texts()) for c in node.children if isinstance(c, Node) and c.tag == "li"))
+            body = "\n".join("- " + " ".join(c.texts()) for c in node.children if isinstance(c, Node) and c.tag == "li")
         elif node.tag in DOCS_BLOCKS:
             body = ("\n" if node.tag in ("pre", "code") else " ").join(node.texts())
-            parts.append(body if node.tag == "p" else f"\n{body}\n")
-    return "\n".join(p for p in parts if p), pictures(article, base.attributes["href"] if base else url)
+        else:
+            continue
+        if body:
+            yield node.tag, body
+
+
+def docs_content(html: str | None, url: str) -> tuple[str, list[str]]:
+    """The blocks of a documentation page's article, those of headings and code apart by blank lines, and its pictures."""
+    root = tree(html)
+    base = root.find(lambda n: n.tag == "base" and "href" in n.attributes)
+    article = _article(root)
+    parts = (body if tag in ("p", "ul", "ol") else f"\n{body}\n" for tag, body in blocks_of(article))
+    return "\n".join(parts), pictures(article, base.attributes["href"] if base else url)
+
+
+@F.udtf(returnType="block_no int, tag string, text string", useArrow=True)
+class PageBlocks:
+    """The blocks of a page's article as rows, in SQL: FROM pages, LATERAL page_blocks(html)."""
+
+    def eval(self, html: str):
+        for i, (tag, body) in enumerate(blocks_of(_article(tree(html)))):
+            yield i, tag, body
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) as (page_id, block_no, tag, text)."""
+    spark = pages.sparkSession
+    spark.udtf.register("page_blocks", PageBlocks)
+    return spark.sql("SELECT p.page_id, b.* FROM {pages} p, LATERAL page_blocks(p.html) b", pages=pages)
 
 
 def _read(pages: DataFrame, reader: Callable[[str | None, str], tuple[str, list[str]]]) -> DataFrame:
@@ -237,6 +301,17 @@ def main_texts(pages: DataFrame) -> DataFrame:
     return found.withColumn("is_article", F.length("main_text") >= LEAST_MAIN)
 
 
+def dense_texts(pages: DataFrame) -> DataFrame:
+    """pages (page_id, html) with text, the prose that dense() finds, null where there is none."""
+
+    @F.pandas_udf("string")
+    def prose(html: pd.Series) -> pd.Series:
+        found = (dense(tree(h).without(is_noise)) for h in html)
+        return pd.Series([None if n is None else "\n".join(n.texts()) for n in found])
+
+    return pages.select("page_id", prose("html").alias("text"))
+
+
 def docs_texts(pages: DataFrame) -> DataFrame:
     """main_texts() by the layout of documentation sites."""
     return _read(pages, docs_content).withColumn("main_text", T.normalize_ws(F.col("main_text")))

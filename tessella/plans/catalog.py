@@ -30,6 +30,11 @@ def _documents(t):
     return dealt(t("documents"))
 
 
+def _pages(t):
+    """The pages, dealt out for functions of whole pages."""
+    return dealt(t("pages"))
+
+
 def query(oracle: str | None = None):
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,6 +384,36 @@ def page_flags(t):
     return t("pages").select("page_id", H.flags(html, url).alias("f")).select("page_id", "f.*")
 
 
+#: The pages without bold marks, which stay open; some with a list and code at the end of their articles.
+BLOCK_MORE = "<ul><li>one</li><li>two &amp; <a href='x'>three</a></li></ul><pre>a\n  b</pre></article>"
+
+
+@query(r"""WITH held AS (SELECT page_id, regexp_extract(regexp_replace(html, '</?b>|<br>', '', 'g'), '(?s)<article>(.*)</article>', 1) AS a FROM pages),
+marked AS (SELECT page_id, string_split(replace(replace(a, '<h1>', chr(1) || 'h1' || chr(2)), '<p>', chr(1) || 'p' || chr(2)), chr(1))[2:] AS parts FROM held),
+each AS (SELECT page_id, unnest(range(1, len(parts) + 1)) AS i, unnest(parts) AS part FROM marked),
+said AS (SELECT page_id, i, string_split(part, chr(2))[1] AS tag, regexp_replace(replace(replace(replace(replace(regexp_replace(string_split(part, chr(2))[2], '(?s)<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g') AS text FROM each),
+full_ AS (SELECT * FROM said WHERE text <> '' UNION ALL SELECT page_id, 100000 + k, ['ul', 'pre'][k::INT], ['- one' || chr(10) || '- two & three', 'a' || chr(10) || '  b'][k::INT] FROM pages, range(1, 3) r(k) WHERE page_id % 3 = 0)
+SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY i) - 1)::INT AS block_no, tag, md5(text) AS digest FROM full_""")
+def page_blocks(t):
+    html = F.regexp_replace("html", "</?b>|<br>", "")
+    more = F.when(F.col("page_id") % 3 == 0, F.replace(html, F.lit("</article>"), F.lit(BLOCK_MORE))).otherwise(html)
+    return H.page_blocks(_pages(t).select("page_id", more.alias("html"))).select("page_id", "block_no", "tag", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+#: The pages with their articles called by no known name and two more paragraphs in them: the prose is found by density.
+PROSE = "".join(f"<p>{'A sentence of prose that is long enough to count as such in any page. ' * 2}{n}</p>" for n in ("first", "second"))
+
+
+@query(rf"""WITH held AS (SELECT page_id, regexp_extract(regexp_replace(html, '</?b>|<br>', '', 'g'), '(?s)<article>(.*)</article>', 1) || '{PROSE}' AS a FROM pages),
+parts AS (SELECT page_id, list_filter(list_transform(string_split(regexp_replace(a, '(?s)<[^>]*>', chr(1), 'g'), chr(1)), lambda x: regexp_replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS p FROM held)
+SELECT page_id, md5(regexp_replace(array_to_string(p, ' '), '\s+', ' ', 'g')) AS digest FROM parts""")
+def page_dense_text(t):
+    html = F.regexp_replace("html", "</?b>|<br>", "")
+    plain = F.replace(F.replace(html, F.lit("<article>"), F.lit('<div class="x1"><div>')), F.lit("</article>"), F.lit(f"{PROSE}</div></div>"))
+    made = H.dense_texts(_pages(t).select("page_id", plain.alias("html")))
+    return made.select("page_id", F.md5(F.trim(F.regexp_replace("text", r"\s+", " ")).cast("binary")).alias("digest"))
+
+
 CITED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\s*\[[0-9]+\]', '', 'g'), '\s*\^\s*', ' ', 'g'), '(?i)\s*\(link\)\s*', ' ', 'g'), '\s{{2,}}', ' ', 'g')"
 #: The pages with a section of references, a citation, two pictures and a table put into their articles by rule.
 PAGE_MORE = ("<sup class=\"reference\">[3]</sup>", "<img srcset=\"/a.png 1w, /b.png 2w\" src=\"/c.png\"><img data-original=\"d.png\">", "<table><tr><td>cell</td></tr></table>", "<h2>Notes</h2><p>gone</p>")

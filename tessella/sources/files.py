@@ -232,10 +232,26 @@ def image_summary(found: DataFrame) -> DataFrame:
     return found.where("error is null").groupingSets([["file_name", "page_number"], ["format"], []], "file_name", "page_number", "format").agg(*counts)
 
 
-def near_rows(left: DataFrame, right: DataFrame, group: str, position: str, distance: int) -> DataFrame:
-    """Rows of both tables in the same group at most distance apart; columns of right with the prefix n_."""
-    other = right.select(*[F.col(c).alias(f"n_{c}") for c in right.columns])
-    return left.join(other, (F.col(group) == F.col(f"n_{group}")) & (F.abs(F.col(position) - F.col(f"n_{position}")) <= distance))
+def _bin(position: Column, width: float) -> Column:
+    return F.floor(position / width).cast("bigint")
+
+
+def _bins(first: Column, last: Column, width: float) -> Column:
+    """A row for each bin from first to last; none where last is before first or one is null."""
+    return F.explode(F.when(first <= last, F.sequence(_bin(first, width), _bin(last, width))))
+
+
+def _prefixed(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select(*[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in rows.columns])
+
+
+def near_rows(left: DataFrame, right: DataFrame, group: str, position: str, distance: float) -> DataFrame:
+    """Rows of both tables in the same group at most distance apart; columns of right with the prefix n_. Rows meet by group and bin of
+    positions, a right row in the at most three bins that it reaches, so one huge group is many tasks."""
+    width, at = max(1.0, 2.0 * distance), F.col(f"n_{position}")
+    other = _prefixed(right, "n_").withColumn("_bin", _bins(at - distance, at + distance, width))
+    near = (F.col(group) == F.col(f"n_{group}")) & (F.col("_at") == F.col("_bin")) & (F.abs(F.col(position) - at) <= distance)
+    return left.withColumn("_at", _bin(F.col(position), width)).join(other, near).drop("_at", "_bin")
 
 
 def grouped_files(paths: DataFrame) -> DataFrame:
@@ -249,10 +265,13 @@ def listed(spark: SparkSession, folder: str) -> DataFrame:
     return grouped_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path"))
 
 
-def in_range(spans: DataFrame, points: DataFrame, group: str, first: str, last: str, position: str) -> DataFrame:
-    """Every span with each point of its group from first to last; columns of points with the prefix p_."""
-    other = points.select(*[F.col(c).alias(f"p_{c}") for c in points.columns])
-    return spans.join(other, (F.col(group) == F.col(f"p_{group}")) & F.col(f"p_{position}").between(F.col(first), F.col(last)))
+def in_range(spans: DataFrame, points: DataFrame, group: str, first: str, last: str, position: str, width: float = 1024.0) -> DataFrame:
+    """Every span with each point of its group from first to last; columns of points with the prefix p_. A span is a row in each bin of
+    width that it reaches and a point is in one, so a pair meets once and a huge group is many tasks; let width be about a span's length."""
+    other = _prefixed(points, "p_").withColumn("_at", _bin(F.col(f"p_{position}"), width))
+    held = spans.withColumn("_bin", _bins(F.col(first), F.col(last), width))
+    inside = (F.col(group) == F.col(f"p_{group}")) & (F.col("_bin") == F.col("_at")) & F.col(f"p_{position}").between(F.col(first), F.col(last))
+    return held.join(other, inside).drop("_at", "_bin")
 
 
 def surroundings(rows: DataFrame, group: str, position: str, text: str, distance: int = 2, own: bool = False) -> DataFrame:
@@ -335,7 +354,17 @@ def pictures_of_chunks(chunks: DataFrame, pictures: DataFrame, group: str, key:
 
 def within_margin(pictures: DataFrame, blocks: DataFrame, group: str, margin: float = 50.0) -> DataFrame:
     """Every picture (top, bottom) with each block of its page that ends less than margin from the picture's top or begins less than
-    margin from its bottom; the columns of blocks with the prefix n_, null where there is none."""
-    other = blocks.select(*[F.col(c).alias(f"n_{c}") for c in blocks.columns])
+    margin from its bottom; the columns of blocks with the prefix n_, null where there is none. Pictures meet blocks by page and bin, once
+    by each of their edges."""
+    other, width = _prefixed(blocks, "n_"), max(1.0, 2.0 * margin)
     above, below = F.abs(F.col("n_bottom") - F.col("top")) < margin, F.abs(F.col("n_top") - F.col("bottom")) < margin
-    return pictures.join(other, (F.col(group) == F.col(f"n_{group}")) & (above | below), "left")
+
+    def met(held: DataFrame, edge: str, reach: str, near: Column, how: str) -> DataFrame:
+        at = F.col(f"n_{reach}")
+        binned = other.withColumn("_bin", _bins(at - margin, at + margin, width))
+        same = (F.col(group) == F.col(f"n_{group}")) & (F.col("_at") == F.col("_bin")) & near
+        return held.withColumn("_at", _bin(F.col(edge), width)).join(binned, same, how).drop("_at", "_bin")
+
+    over, under = met(pictures, "top", "bottom", above, "inner"), met(pictures, "bottom", "top", below & ~F.coalesce(above, F.lit(False)), "inner")
+    alone = met(met(pictures, "top", "bottom", above, "left_anti"), "bottom", "top", below, "left_anti")
+    return over.unionByName(under).unionByName(alone, allowMissingColumns=True)

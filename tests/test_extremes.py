@@ -1,0 +1,175 @@
+"""Long lines, names that meet, joins of huge groups, fenced code, pages by density: where the plain way fails or was wrong."""
+
+import re
+from itertools import pairwise
+
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from tessella.functions import html as H
+from tessella.functions import text as T
+from tessella.operators import chunking as C
+from tessella.operators import retrieval as R
+from tessella.operators.layout import numbered
+from tessella.sources import files, web
+
+N = 300_000
+LINES = {
+    "numbers": "1." * N + " x", "numbers_only": "1." * N, "numbers_no_end": "1.2" * N + "x", "enumerated": "1" + ".1" * N + " Title", "fence": "=" * N + "x", "fenced": "=" * N + " x " + "-" * N, "stars": "*#" * N,
+    "roman": "I" * N + " x", "chapter": "Chapter " + "x" * N, "title": "A" + " b" * N, "capitals": "A" * N, "marks": "#" * N + " x", "spaces": " " * N, "dots": "." * N,
+}
+
+
+def test_heading_rules_take_long_lines(spark):
+    """Each line alone on the JVM, by every rule, as in Python."""
+    rows = spark.createDataFrame(list(LINES.items()), "name string, line string").repartition(4)
+    rules = ("txt", "md", "pdf")
+    got = {r["name"]: list(r)[1:] for r in rows.select("name", *[T.heading_level(F.col("line"), k).alias(k) for k in rules]).collect()}
+    assert got == {k: [C.line_level(v, r) for r in rules] for k, v in LINES.items()}
+    assert rows.select("name", T.is_heading_like(F.col("line")).alias("h"), T.setext_level(F.col("line"), F.lit("=" * N)).alias("s")).where("h").count() >= 2
+    url = F.concat(F.lit("http://h/"), F.lit("x/" * N), F.lit("docs/a/b/c/d"))
+    assert spark.range(1).select(T.techdocs_url(url).alias("u")).first()["u"] == "http://h/api/techdocs/static/docs/a/b/c/index.html"
+
+
+SHORT = st.lists(st.sampled_from(["1", "12", ".", "..", ")", " ", "A", "b", "=", "---", "#", "IV", "Chapter", ":", "x."]), max_size=9).map("".join)
+
+
+@given(SHORT)
+def test_patterns_in_parts_are_the_patterns(line):
+    """The rules that stand in for a pattern, restated in Python, against the pattern."""
+    t = line.strip()
+    fence = len(t) >= T.FENCED_LENGTH and bool(re.match(T.FENCE, t)) and bool(re.fullmatch(T.FENCE, t[-3:]))
+    assert fence == bool(re.match(T.FENCED_TITLE, t))
+    for once, plain in ((T.NUMBERED_ONCE, T.NUMBERED), (T.ENUMERATED_ONCE, T.ENUMERATED_TITLE)):
+        assert bool(re.match(once, t)) == bool(re.match(plain, t))
+    number = re.match(r"[0-9]++(?:\.[0-9]++)*+", t)
+    dots = (number.group().count(".") if number else 0) - (not re.match(r"[0-9]++(?:\.[0-9]++)*+[.)\s]+.", t))
+    found = re.match(T.COUNTED_TITLE, t)
+    assert dots == (found.group(1).count(".") if found else -1)
+
+
+def test_urls_of_documentation(spark):
+    cases = {"http://h/docs/a/b/c": "a/b/c", "http://h//x//docs//a//b//c/d": "a/b/c", "http://h/docs/a/b": None, "http://h/docs": None, "http://h/xdocs/a/b/c": None, "http://h/docs/docs/docs/docs": "docs/docs/docs", "http://h/": None, "": None}
+    rows = spark.createDataFrame([(u,) for u in cases], "u string")
+    want = {u: p and f"http://h/api/techdocs/static/docs/{p}/index.html" for u, p in cases.items()}
+    assert {r["u"]: r["p"] for r in rows.select("u", T.techdocs_url(F.col("u")).alias("p")).collect()} == want
+
+
+def named(rows):
+    taken, out = {}, []
+    for folder, base, ending in rows:
+        name, i = base + ending, 2
+        while name in taken.setdefault(folder, set()):
+            name, i = f"{base}_{i}{ending}", i + 1
+        taken[folder].add(name)
+        out.append(name)
+    return out
+
+
+def test_names_are_unique_by_what_exists(spark):
+    rows = [("p", b, e) for b in ("a", "a", "a_2", "a_2", "a", "a_2_2", "a_3", "a_2", "b", "a_2") for e in (".png", "")] + [("q", "a", ".png"), ("q", "a", ".png"), ("q", "1", ""), ("q", "1", "")]
+    held = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n int, folder string, base string, ending string").repartition(5)
+    got = {r["n"]: r["name"] for r in files.unique_names(held, "base", "ending", "n", "folder").collect()}
+    assert [got[i] for i in range(len(rows))] == named(rows)
+    one = files.unique_names(held.where("folder = 'p'"), "base", "ending", "n")
+    assert one.columns == [*held.columns, "name"] and one.select("name").distinct().count() == 20
+
+
+def test_downloads_have_names_of_their_own(spark):
+    pages = spark.createDataFrame([(1, ["http://h/a.png", "http://h/x/a.png", "http://h/a_2.png"]), (2, ["http://h/a.png"])], "page_id long, image_urls array<string>")
+    got = web.download(pages, lambda url: (200, {"Content-Type": "image/png"}, url.encode())).collect()
+    assert sorted((r["page_id"], r["nth"], r["name"], bytes(r["content"]).decode()) for r in got) == [(1, 0, "a.png", "http://h/a.png"), (1, 1, "a_2.png", "http://h/x/a.png"), (1, 2, "a_2_2.png", "http://h/a_2.png"), (2, 0, "a.png", "http://h/a.png")]
+
+
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    from tessella.engine import Engine
+
+    for folder in "ab":
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "x.txt").write_text("\n\n".join(f"{folder}{i} " * 6 for i in range(6)))
+    engine = Engine(spark, f"file://{tmp_path}/store")
+    state = engine.process(f"file://{tmp_path}/in", 1, 8).collect()
+    assert [(r["success"], r["chunks_stored"]) for r in state] == [(True, 6), (True, 6)]
+    held = engine.chunks()
+    assert held.count() == held.select("id").distinct().count() == 12 and held.select("doc_id").distinct().count() == 2
+    assert all(len({w[0] for w in r["content"].split()}) == 1 for r in held.collect())
+    assert engine.process(f"file://{tmp_path}/in", 1, 8).count() == 2 and engine.chunks().count() == 12 and engine.delete_file("x.txt") == 12
+
+
+def test_margins_are_strict(spark):
+    pictures = spark.createDataFrame([(1, "p", 100.0, 200.0), (2, "p", 1000.0, 1100.0), (3, None, 0.0, 1.0), (4, "p", None, 5.0)], "n int, page string, top double, bottom double")
+    texts = [("above", 40.0, 60.0), ("at_above", 20.0, 50.0), ("over_edge", 90.0, 140.0), ("within", 120.0, 160.0), ("below", 249.0, 300.0), ("at_below", 250.0, 300.0), ("both", 149.0, 151.0), ("none", 500.0, 600.0)]
+    blocks = spark.createDataFrame([("p", *t) for t in texts], "page string, name string, top double, bottom double")
+    got = sorted((r["n"], r["n_name"]) for r in files.within_margin(pictures, blocks, "page").collect() if r["n_name"])
+    assert got == [(1, n) for n in sorted(n for n, top, bottom in texts if abs(bottom - 100) < 50 or abs(top - 200) < 50)] + [(4, "above"), (4, "at_above")]  # a null edge meets nothing
+    assert sorted(r["n"] for r in files.within_margin(pictures, blocks, "page").where("n_name is null").collect()) == [2, 3]
+
+
+def test_joins_by_bins_are_the_joins(spark):
+    rows = spark.range(4000).select(F.lit("hot").alias("g"), (F.col("id") * 7 % 4001).alias("at"), (F.col("id") % 5).alias("len"))
+    near = files.near_rows(rows.select("g", "at"), rows, "g", "at", 3)
+    assert near.count() == sum(min(4000, a + 3) - max(0, a - 3) + 1 - (a - 3 <= 3994 <= a + 3) for a in range(4001) if a != 3994) and near.columns == ["g", "at", "n_g", "n_at", "n_len"]
+    spans = rows.select("g", F.col("at").alias("lo"), (F.col("at") + F.col("len") - 1).alias("hi"))
+    got = files.in_range(spans, rows.select("g", "at"), "g", "lo", "hi", "at", 2.0)
+    want = spans.crossJoin(rows.select(F.col("at").alias("p"))).where("p between lo and hi").count()
+    assert got.count() == want and got.where("p_at < lo or p_at > hi").count() == 0
+    odd = spark.createDataFrame([("g", None, 3), ("g", 5, 2), (None, 1, 9)], "g string, lo int, hi int")
+    assert files.in_range(odd, spark.createDataFrame([("g", 3), ("g", None)], "g string, at int"), "g", "lo", "hi", "at").count() == 0
+
+
+def test_fenced_code_is_never_cut_by_sentence():
+    code = ["```py", "x = 1. y = 2. z = 3.", "    if a? b! c.", "```"]
+    text = "\n".join(["One. Two. Three.", *code, "Four. Five."])
+    for md in (True, False):
+        lines = "\n".join(C.split_block(text, 1, 4, md)).split("\n")
+        assert all(c in lines for c in code) == md and "One." in lines and "Five." in lines
+    found = [c for _, c, *_ in C.chunks_of(text, "md", least=1, most=6)]
+    assert any(code[1] in c for c in found) and "".join("".join(found).split()) == "".join(text.split())
+    assert all(code[1] not in c for _, c, *_ in C.chunks_of(text, "txt", least=1, most=6))
+
+
+def test_numbers_of_a_whole_table(spark):
+    rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(6)
+    got = sorted((r["v"], r["rank"]) for r in numbered(rows, ["v"]).collect())
+    assert [r for _, r in got] == list(range(1, 5001)) and all(a < b for (a, _), (b, _) in pairwise(got))
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><div id='n'>{links}</div><div><div><p>{a}</p><p>{b}</p></div></div><div>short</div></body>", "{a}\n{b}"),
+    ("<body><td><a href='x'>{a} {b}</a></td><section><p>{a} <a href='y'>more</a></p><ul>{links}</ul></section></body>", None),
+    ("<body>{links}<p>few words</p></body>", None),
+])
+def test_prose_by_density(page, want):
+    parts = {"a": "A river runs to the sea and carries sand and stones along its bed, year after year, without end.", "b": "Hills stand green above the valley where the old mill has turned since before anyone now living was born.", "links": "".join(f"<li><a href='{i}'>A long link to some other page of this site, number {i}</a></li>" for i in range(30))}
+    found = H.dense(H.tree(page.format(**parts)))
+    if want:
+        assert "\n".join(found.texts()) == want.format(**parts)
+    elif "section" in page:
+        assert found.tag == "section" or parts["a"] in " ".join(found.texts())
+    else:
+        assert found is None
+    text, _ = H.main_content(page.format(**parts), "http://h/")
+    assert parts["a"] in text or "few words" in text
+
+
+def test_blocks_as_rows_of_sql(spark):
+    html = "<nav><p>gone</p></nav><div class='md-content'><article class='md-content__inner md-typeset'><h1> T </h1><p>a <b>b</b></p><ul><li>x<li>y</ul><pre>c\n d</pre><p> </p></article></div>"
+    pages = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id long, html string")
+    got = [tuple(r) for r in H.page_blocks(pages).orderBy("page_id", "block_no").collect()]
+    assert got == [(1, 0, "h1", "T"), (1, 1, "p", "a b"), (1, 2, "ul", "- x\n- y"), (1, 3, "pre", "c\n d")]
+    assert spark.sql("SELECT count(*) AS n FROM page_blocks('<p>x</p><h2>y</h2>')").first()["n"] == 2
+
+
+def test_many_queries_are_one_at_a_time(spark):
+    rows = [(q, f"d{i}", f"f{i % 4}", "the river runs" if i % 3 else "a kettle boils the water " * (i % 5), i + 1) for q in (1, 2, None) for i in range(12)]
+    hits = spark.createDataFrame(rows, "query_id long, id string, file_name string, content string, vector_rank int")
+    asks = spark.createDataFrame([(1, "kettle water"), (2, "river river the"), (3, "nothing")], "query_id long, text string")
+    many = R.postprocess(R.rerank_many(hits, asks), 2, ("query_id",))
+    for q, text in ((1, "kettle water"), (2, "river river the")):
+        one = R.postprocess(R.rerank(hits.where(F.col("query_id") == q).drop("query_id"), text), 2)
+        key = ["id", "bm25_rank", "rank", "final_rank"]
+        assert sorted(map(tuple, many.where(F.col("query_id") == q).select(*key).collect())) == sorted(map(tuple, one.select(*key).collect()))
+        scan = {r["id"]: r["bm25_score"] for r in R.bm25(hits.where(F.col("query_id") == q), text).collect()}
+        assert {r["id"]: r["bm25_score"] for r in R.bm25_many(hits.where(F.col("query_id") == q), asks).collect()} == pytest.approx(scan)
