@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from tessella.functions.text import clean_markdown, is_toc_page, page_mark
+from tessella.functions.text import clean_markdown, is_toc_page, page_mark, row_text
 from tessella.sources.pdf import page_images, page_texts
 
 #: Namespaces of the office formats.
@@ -22,6 +23,7 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+D = "{http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing}"
 #: Fixed value: what stands for a paragraph of pictures alone.
 IMAGE_ONLY = "[Image-only paragraph]"
 
@@ -65,17 +67,26 @@ def _own_text(p: ElementTree.Element) -> str:
     return "".join(out).strip()
 
 
-def docx_paragraphs(content: bytes, with_images: bool = False) -> list[tuple[int, str, str, int, int]]:
-    """(index, text, style, heading level or 0, indent in 18-point levels) of the body's own paragraphs with text; tables and text boxes are
-    no paragraphs. with_images: a paragraph of pictures alone stands with a placeholder."""
+def _pictured(p: ElementTree.Element) -> list[str]:
+    """The relationships of the pictures drawn in an element, in order."""
+    marks = ((n, f"{R}embed") if n.tag.endswith("}blip") else (n, f"{R}id") for n in p.iter() if n.tag.endswith(("}blip", "}imagedata")))
+    return [n.get(key) or n.get(f"{R}link") or "" for n, key in marks]
+
+
+def _body_paragraphs(content: bytes, with_images: bool) -> Iterator[tuple[ElementTree.Element, str]]:
+    """The body's own paragraphs with text, or with pictures alone, and their text; tables and text boxes are no paragraphs."""
     body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(content)).read("word/document.xml")).find(f"{W}body")
-    out = []
     for p in body.findall(f"{W}p") if body is not None else []:
-        text = _own_text(p)
-        if not text and with_images and any(n.tag.endswith(("}blip", "}imagedata")) for n in p.iter()):
-            text = IMAGE_ONLY
-        if not text:
-            continue
+        text = _own_text(p) or (IMAGE_ONLY if with_images and _pictured(p) else "")
+        if text:
+            yield p, text
+
+
+def docx_paragraphs(content: bytes, with_images: bool = False) -> list[tuple[int, str, str, int, int]]:
+    """(index, text, style, heading level or 0, indent in 18-point levels) of the body's own paragraphs with text. with_images: a paragraph
+    of pictures alone stands with a placeholder."""
+    out = []
+    for p, text in _body_paragraphs(content, with_images):
         style, indent = p.find(f"{W}pPr/{W}pStyle"), p.find(f"{W}pPr/{W}ind")
         name = style.get(f"{W}val", "") if style is not None else ""
         twips = (indent.get(f"{W}left") or indent.get(f"{W}start") or "0") if indent is not None else "0"
@@ -197,33 +208,108 @@ def picture(data: bytes) -> tuple[str, int, int]:
     return "UNKNOWN", 0, 0
 
 
-def office_images(content: bytes) -> list[tuple[int | None, str, str, int, int, bytes]]:
-    """(null, name, format, width, height, data) of the pictures in a DOCX or XLSX file, by name."""
+def _targets(book: zipfile.ZipFile, part: str) -> dict[str, str]:
+    """The files that a part of an office file names by its relationships."""
+    folder, name = posixpath.split(part)
+    where = f"{folder}/_rels/{name}.rels"
+    if where not in book.namelist():
+        return {}
+    found = ElementTree.fromstring(book.read(where))
+    return {r.get("Id"): posixpath.normpath(posixpath.join("/", folder, r.get("Target") or "")).lstrip("/") for r in found if r.get("TargetMode") != "External"}
+
+
+def _docx_anchors(book: zipfile.ZipFile, content: bytes) -> Iterator[tuple[str, int | None, str | None, int | None]]:
+    """(file, paragraph, null, null) of every picture drawn in a paragraph of the body; paragraphs as docx_paragraphs() numbers them when
+    those of pictures alone stand."""
+    targets = _targets(book, "word/document.xml")
+    for i, (p, _) in enumerate(_body_paragraphs(content, True)):
+        yield from ((targets[r], i, None, None) for r in _pictured(p) if r in targets)
+
+
+def _xlsx_anchors(book: zipfile.ZipFile) -> Iterator[tuple[str, int | None, str | None, int | None]]:
+    """(file, null, sheet, row from 0) of every picture that a sheet's drawing fixes to a cell."""
+    sheets = _targets(book, "xl/workbook.xml")
+    for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{S}sheet"):
+        part = sheets.get(sheet.get(f"{R}id"), "")
+        drawings = _targets(book, part) if part in book.namelist() else {}
+        for drawing in (d for d in drawings.values() if "/drawings/" in d and d in book.namelist()):
+            pictures_ = _targets(book, drawing)
+            for anchor in ElementTree.fromstring(book.read(drawing)):
+                row = anchor.find(f"{D}from/{D}row")
+                yield from ((pictures_[r], None, sheet.get("name"), int(row.text) if row is not None else None) for r in _pictured(anchor) if r in pictures_)
+
+
+def office_images(content: bytes) -> list[tuple]:
+    """(null, name, format, width, height, data, paragraph, sheet, row) of the pictures in a DOCX or XLSX file: a row for each place where
+    one is drawn, in the order of the file; pictures drawn nowhere come last, without a place."""
     book = zipfile.ZipFile(io.BytesIO(content))
     held = sorted(n for n in book.namelist() if re.match(r"(?:word|xl)/media/[^/]+$", n))
-    return [(None, n.rsplit("/", 1)[1], *picture(data), data) for n, data in ((n, book.read(n)) for n in held)]
+    anchors = list(_docx_anchors(book, content)) if "word/document.xml" in book.namelist() else list(_xlsx_anchors(book)) if "xl/workbook.xml" in book.namelist() else []
+    placed = [a for a in anchors if a[0] in held]
+    placed += [(n, None, None, None) for n in held if n not in {a[0] for a in placed}]
+    return [(None, posixpath.basename(n), *picture(data), data, *place) for n, *place in placed for data in (book.read(n),)]
 
 
-IMAGE = "file_name string, doc_id string, file_type string, page_number int, image_index int, filename string, format string, width int, height int, size_bytes long, digest string, content binary, error string"
+IMAGE = "path string, file_name string, doc_id string, file_type string, page_number int, image_index int, filename string, format string, width int, height int, paragraph_index int, sheet string, cell_row int, size_bytes long, digest string, content binary, error string"
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """The pictures of a folder's PDF, DOCX and XLSX files, a row each with their data; a bad file gives a row with its error. Written
     as a table they are the store's pictures."""
     names = [c.split()[0] for c in IMAGE.split(", ")]
+    numbers = ("page_number", "image_index", "width", "height", "paragraph_index", "cell_row", "size_bytes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for file_name, doc_id, kind, content in zip(pdf["file_name"], pdf["doc_id"], pdf["file_type"], pdf["content"], strict=True):
+            for *known, kind, content in zip(*(pdf[c] for c in ("path", "file_name", "doc_id", "file_type", "content")), strict=True):
                 rows = []
                 try:
-                    for i, (page, name, form, width, height, data) in enumerate(page_images(content) if kind == "pdf" else office_images(content)):
-                        rows.append((file_name, doc_id, kind, page, i, name, form, width, height, len(data), hashlib.md5(data).hexdigest(), data, None))
+                    found = [(*i, None, None, None) for i in page_images(content)] if kind == "pdf" else office_images(content)
+                    for i, (page, name, form, width, height, data, *place) in enumerate(found):
+                        rows.append((*known, kind, page, i, name, form, width, height, *place, len(data), hashlib.md5(data).hexdigest(), data, None))
                 except Exception as problem:  # one bad file must not end the load
-                    rows = [(file_name, doc_id, kind, *(None,) * 9, f"{type(problem).__name__}: {problem}")]
-                yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(("page_number", "image_index", "width", "height", "size_bytes"), "Int64"))
+                    rows = [(*known, kind, *(None,) * (len(names) - 5), f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=names).astype(dict.fromkeys(numbers, "Int64"))
+
+    return scan(spark, folder).where("file_type in ('pdf', 'docx', 'xlsx')").mapInPandas(run, IMAGE)
+
+
+def paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, doc_id, paragraph_index, text, style, level, indent) of a folder's DOCX files, those of pictures alone with their placeholder;
+    a bad file gives no rows here, as images() and read() tell its error."""
+    schema = "path string, doc_id string, paragraph_index int, text string, style string, level int, indent int"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, doc_id, content in zip(pdf["path"], pdf["doc_id"], pdf["content"], strict=True):
+                try:
+                    rows += [(path, doc_id, *p) for p in docx_paragraphs(content, True)]
+                except Exception:  # told by the readers of the file
+                    continue
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return scan(spark, folder).where("file_type = 'docx'").select("path", "doc_id", "content").mapInPandas(run, schema)
+
+
+def picture_contexts(pictures_: DataFrame, paragraphs_: DataFrame, rows: DataFrame, distance: int = 2) -> DataFrame:
+    """pictures (path, image_index, paragraph_index, sheet, cell_row) with context: of those in a document the texts of at most distance
+    paragraphs before and after, of those in a workbook the lines of the rows at most distance away, their own with them; null where
+    there is none. paragraphs: (path, paragraph_index, text); rows: (path, sheet, row_idx, line)."""
+    about = paragraphs_.select("path", "paragraph_index", "text").where(F.col("text") != IMAGE_ONLY)
+    drawn = near_rows(pictures_.where("paragraph_index is not null").select("path", "image_index", "paragraph_index"), about, "path", "paragraph_index", distance)
+    told = drawn.where("n_paragraph_index <> paragraph_index").select("path", "image_index", F.col("n_paragraph_index").alias("at"), F.col("n_text").alias("said"))
+    place = F.to_json(F.struct("path", "sheet")).alias("place")
+    fixed = near_rows(pictures_.where("cell_row is not null").select("path", "image_index", "cell_row", place).withColumnRenamed("cell_row", "row_idx"), rows.select(place, "row_idx", "line"), "place", "row_idx", distance)
+    lines = fixed.select("path", "image_index", F.col("n_row_idx").alias("at"), F.col("n_line").alias("said"))
+    both = told.unionByName(lines).where(F.trim("said") != "").groupBy("path", "image_index").agg(F.array_sort(F.collect_list(F.struct("at", "said"))).alias("held"))
+    return pictures_.join(both.select("path", "image_index", F.array_join(F.transform("held", lambda h: h["said"]), "\n").alias("context")), ["path", "image_index"], "left")
+
 
-    return scan(spark, folder).where("file_type in ('pdf', 'docx', 'xlsx')").drop("path").mapInPandas(run, IMAGE)
+def sheet_rows(cells_: DataFrame) -> DataFrame:
+    """cells() as (path, sheet, row_idx, line): a row's values joined by bars."""
+    held = cells_.where("row_idx is not null").groupBy("path", "sheet", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", "value"))).alias("held"))
+    return held.select("path", "sheet", "row_idx", row_text(F.transform("held", lambda c: c["value"])).alias("line"))
 
 
 def image_summary(found: DataFrame) -> DataFrame:
@@ -321,19 +407,19 @@ def unique_names(rows: DataFrame, base: str, ending: str, order: str, folder: st
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(file_name, sheet, row_idx, col_idx, value) of a folder's workbooks; a sheet without cells has a row of nulls, a bad file its error."""
+    """(path, file_name, sheet, row_idx, col_idx, value, error) of a folder's workbooks; a sheet without cells has a row of nulls, a bad file its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["file_name"], pdf["content"], strict=True):
+            for path, name, content in zip(pdf["path"], pdf["file_name"], pdf["content"], strict=True):
                 try:
-                    rows = [(name, *c, None) for c in xlsx_cells(content)]
+                    rows = [(path, name, *c, None) for c in xlsx_cells(content)]
                 except Exception as problem:  # one bad file must not end the load
-                    rows = [(name, None, None, None, None, f"{type(problem).__name__}: {problem}")]
-                yield pd.DataFrame(rows, columns=["file_name", "sheet", "row_idx", "col_idx", "value", "error"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
+                    rows = [(path, name, None, None, None, None, f"{type(problem).__name__}: {problem}")]
+                yield pd.DataFrame(rows, columns=["path", "file_name", "sheet", "row_idx", "col_idx", "value", "error"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
 
-    held = scan(spark, folder).where("file_type = 'xlsx'").select("file_name", "content")
-    return held.mapInPandas(run, "file_name string, sheet string, row_idx long, col_idx int, value string, error string")
+    held = scan(spark, folder).where("file_type = 'xlsx'").select("path", "file_name", "content")
+    return held.mapInPandas(run, "path string, file_name string, sheet string, row_idx long, col_idx int, value string, error string")
 
 
 def sheet_info(cells: DataFrame) -> DataFrame:
