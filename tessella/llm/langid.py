@@ -4,11 +4,12 @@ A text's vector counts the byte pairs and triples of its letters (lower case, UT
 in ASCII are one space) in DIMENSIONS hashed places, as log(1 + count) times the inverse
 document frequency, normalised. Document frequencies cover all learning rows. Each language has CENTROIDS clusters, fitted by spherical
 k-means on at most SAMPLE of its learning rows (those with the smallest hash of doc_id and text), and on at most TOTAL rows in all, shared
-evenly where there are more languages than that allows, one row each at least. The nearest centroid by cosine names the language. A text is rejected where its cosine falls below the language's floor for a text of its length: FLOOR times the lowest cosines
+evenly where there are more languages than that allows, one row each at least. A language is clustered in a task of its own; all have at most MOST_CENTRES
+centroids: with more languages each has fewer, and beyond one each only those with the most learning rows are known. The nearest centroid by cosine names the language. A text is rejected where its cosine falls below the language's floor for a text of its length: FLOOR times the lowest cosines
 seen among the fitting rows with about as many n-grams; texts of up to SHORT n-grams go below BARE only.
 
 Null texts and texts without a letter are "und" with score 0 and count as rejected. Equal cosines go to the language first in code point
-order. Without any learning row every text is "und". Rows that repeat are predicted as often; other columns are ignored by classify()
+order. Without any learning row every text is "und", and keep_languages(), which then cannot tell, keeps all rows. Rows that repeat are predicted as often; other columns are ignored by classify()
 and pass through keep_languages() untouched, which judges each row by its own text, whatever its doc_id.
 """
 
@@ -29,6 +30,8 @@ DIMENSIONS = 8192
 CENTROIDS = 3
 #: The most rows of a language on which its centroids are fitted, and of all languages; parts in which the rows of a language are ranked.
 SAMPLE, TOTAL, PARTS = 400, 40_000, 32
+#: Centroids in all that go to every executor.
+MOST_CENTRES = 2048
 FLOOR = 0.4
 SHORT, BARE = 160, 0.02
 #: Upper ends of the classes of length (n-grams) for rejection.
@@ -62,10 +65,14 @@ def _frequencies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"place": np.append(np.flatnonzero(df), -1), "n": np.append(df[df > 0], rows)})
 
 
+_SAMPLED = "lang string, order long, places binary, counts binary, n long"
+
+
 def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The vectors of rows (lang, order, text): which places count, and what, as packed numbers."""
     for pdf in batches:
-        rows = [(lang, at := np.flatnonzero(v).astype(np.int32), v[at], n) for lang, text in zip(pdf["lang"], pdf["text"], strict=True) if has_letter(text) for v, n in (_counts(text),)]
-        yield pd.DataFrame(rows, columns=["lang", "at", "v", "n"])
+        rows = [(lang, order, at.astype(np.uint16).tobytes(), v[at].tobytes(), n) for lang, order, text in zip(pdf["lang"], pdf["order"], pdf["text"], strict=True) if has_letter(text) for v, n in (_counts(text),) for at in (np.flatnonzero(v),)]
+        yield pd.DataFrame(rows, columns=["lang", "order", "places", "counts", "n"])
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -92,10 +99,31 @@ def _chosen(labelled: DataFrame, sample: int) -> DataFrame:
     in_part = F.row_number().over(Window.partitionBy("lang", F.pmod("order", F.lit(PARTS))).orderBy("order"))
     near = known.withColumn("nth", in_part).where(F.col("nth") <= most)
     chosen = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("order"))).where(F.col("nth") <= most)
-    chosen = cut(chosen.select("lang", F.col("order").alias("chosen")))  # at most TOTAL rows, or one a language
+    chosen = cut(chosen.select("lang", F.col("order").alias("chosen")))  # at most TOTAL rows, as languages are at most MOST_CENTRES
     held = labelled.withColumn("order", F.xxhash64("doc_id", "text"))
     rows = held.join(F.broadcast(chosen), (held["lang"] == chosen["lang"]) & (F.col("order") == F.col("chosen")), "left_semi")
-    return rows.select("lang", "text", "order").dropDuplicates(["lang", "order"]).orderBy("lang", "order").select("lang", "text")
+    return rows.select("lang", "text", "order").dropDuplicates(["lang", "order"])
+
+
+def _language(idf: np.ndarray, centroids: int):
+    """The centroids and floors of one language from its at most SAMPLE vectors."""
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("order")
+        x = np.zeros((len(own), DIMENSIONS), np.float32)
+        for k, (at, v) in enumerate(zip(own["places"], own["counts"], strict=True)):
+            x[k, np.frombuffer(at, np.uint16)] = np.frombuffer(v, np.float32)
+        x = _unit(x * idf)
+        c = _clustered(x, centroids)
+        cosine, classes = (x @ c.T).max(1), np.searchsorted(LENGTHS, own["n"].to_numpy())
+        low = [np.quantile(cosine[classes == k], 0.02) if (classes == k).sum() >= 5 else np.nan for k in range(len(LENGTHS) + 1)]
+        known = np.flatnonzero(~np.isnan(low))
+        # classes of length without rows take the floor of the next shorter one, the shortest a tenth of the shortest known
+        floors = [FLOOR * low[k] if k in known else FLOOR * (low[known[known < k][-1]] if (known < k).any() else 0.1 * low[known[0]] if len(known) else 0.0) for k in range(len(low))]
+        floors = [float(min(f, BARE) if k < np.searchsorted(LENGTHS, SHORT + 1) else f) for k, f in enumerate(floors)]
+        return pd.DataFrame({"lang": [own["lang"].iloc[0]], "centres": [c.astype(np.float32).tobytes()], "floors": [floors]})
+
+    return run
 
 
 def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -> dict | None:
@@ -108,24 +136,16 @@ def fit(labelled: DataFrame, centroids: int = CENTROIDS, sample: int = SAMPLE) -
         return None
     idf = np.zeros(DIMENSIONS, np.float32)
     idf[list(df)] = np.log((1 + total) / (1 + np.array(list(df.values())))) + 0.1
-    rows = _chosen(labelled, sample).mapInPandas(_sampled, "lang string, at array<int>, v array<float>, n long").collect()
-    names, all_centres, owner, floors = sorted({r["lang"] for r in rows}), [], [], []
-    for i, name in enumerate(names):
-        own = [r for r in rows if r["lang"] == name]
-        x = np.zeros((len(own), DIMENSIONS), np.float32)
-        for k, r in enumerate(own):
-            x[k, r["at"]] = r["v"]
-        x = _unit(x * idf)
-        c = _clustered(x, centroids)
-        cosine, classes = (x @ c.T).max(1), np.searchsorted(LENGTHS, [r["n"] for r in own])
-        low = [np.quantile(cosine[classes == k], 0.02) if (classes == k).sum() >= 5 else np.nan for k in range(len(LENGTHS) + 1)]
-        known = np.flatnonzero(~np.isnan(low))
-        # classes of length without rows take the floor of the next shorter one, the shortest a tenth of the shortest known
-        floors.append([FLOOR * low[k] if k in known else FLOOR * (low[known[known < k][-1]] if (known < k).any() else 0.1 * low[known[0]] if len(known) else 0.0) for k in range(len(low))])
-        floors[-1] = [min(f, BARE) if k < np.searchsorted(LENGTHS, SHORT + 1) else f for k, f in enumerate(floors[-1])]
-        all_centres.append(c)
-        owner += [i] * len(c)
-    return {"idf": idf, "names": names, "centres": np.vstack(all_centres).astype(np.float32), "owner": np.array(owner), "floors": np.array(floors, np.float32)}
+    known = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_CENTRES).select("lang")
+    languages = [r["lang"] for r in known.collect()]
+    labelled = labelled.where(F.col("lang").isin(languages))
+    each = max(1, min(centroids, MOST_CENTRES // len(languages)))
+    vectors = _chosen(labelled, sample).mapInPandas(_sampled, _SAMPLED)
+    found = vectors.groupBy("lang").applyInPandas(_language(idf, each), "lang string, centres binary, floors array<double>")
+    rows = sorted(found.collect(), key=lambda r: r["lang"])  # at most MOST_CENTRES centroids
+    centres = [np.frombuffer(r["centres"], np.float32).reshape(-1, DIMENSIONS) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(c) for c in centres])
+    return {"idf": idf, "names": [r["lang"] for r in rows], "centres": np.vstack(centres), "owner": owner, "floors": np.array([r["floors"] for r in rows], np.float32)}
 
 
 def _judged(texts, m: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -166,8 +186,10 @@ def learning(docs: DataFrame) -> DataFrame:
 def keep_languages(docs: DataFrame) -> DataFrame:
     """The rows of docs that are not rejected."""
     model = fit(learning(docs))
-    if model is None or "text" not in docs.columns:
+    if "text" not in docs.columns:
         return docs.where(F.lit(False))
+    if model is None:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
