@@ -124,8 +124,9 @@ def _starred(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _verified(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """edges (a, b): those that are near, on full sets. Each star is dealt into blocks of STAR_BLOCK members, each with its centre."""
-    sizes = edges.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).alias("blocks"))
+    """edges (a, b, n: the size of b's set): those that are near, on full sets. Each star is dealt into blocks by members and by their
+    shingles, each with its centre."""
+    sizes = edges.groupBy("a").agg(F.ceil(F.greatest(F.count("*") / STAR_BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     members = edges.join(sizes, "a").select(F.col("a").alias("centre"), F.col("b").alias("member"), F.expr("pmod(xxhash64(b), blocks)").alias("block"))
     centres = members.select("centre", F.col("centre").alias("member"), "block").distinct()
     held = members.unionByName(centres).join(texts.select(F.col("doc_id").alias("member"), "text"), "member")
@@ -234,7 +235,7 @@ def prefix_links(texts: DataFrame, named: DataFrame) -> DataFrame:
     rare = ordered.select("node", "n", F.explode(F.slice("s", F.lit(1), first)).alias("s")).where("s.df > 1").select("node", "n", "s.shingle").join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
     other = rare.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "label")])
     met = rare.join(other, "shingle").where(f"node < node_b and label <> label_b and {OF} * least(n, n_b) >= {NEAR} * greatest(n, n_b)")
-    return _verified(cut(met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()), texts)
+    return _verified(cut(met.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("n_b").alias("n")).distinct()), texts)
 
 
 def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
@@ -246,19 +247,19 @@ def classes(docs: DataFrame, exact: bool = False) -> DataFrame:
     sets = sets.select("n", "s1", "s2", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row"))
     nodes = sets.where("node is not null")
     kept = signed.where("n > 0").join(nodes.select("n", "s1", "s2", "node", "row"), ["n", "s1", "s2", "row"])
-    bands = kept.select("node", F.explode("keys").alias("key"))
+    bands = kept.select("node", "n", F.explode("keys").alias("key"))
     stars = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("key", "a")
     candidates = cut(bands.join(stars, "key"))
     named = candidates.select(F.col("node").alias("doc_id")).distinct() if not exact else kept.select(F.col("node").alias("doc_id"))
     texts = beside(docs, cut(named), "doc_id", "left_semi", salts=1)
     texts = cut(texts.groupBy("doc_id", "h").agg(F.first("text").alias("text")))
-    tried = cut(candidates.where("node <> a").select("a", F.col("node").alias("b")).distinct())
+    tried = cut(candidates.where("node <> a").select("a", F.col("node").alias("b"), "n").distinct())
     links = cut(_verified(tried, texts))
 
     mixed, larger = cut(_labelled(candidates, links)), F.lit(True)
     for star in range(1, STARS):
         sizes = mixed.groupBy("key").agg(F.count("*").alias("size"), F.min_by(F.struct("node", "label"), F.xxhash64("node", "key", F.lit(star))).alias("c")).where(larger)
-        more = mixed.join(sizes, "key").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct()
+        more = mixed.join(sizes, "key").where("label <> c.label").select(F.col("c.node").alias("a"), F.col("node").alias("b")).distinct().join(kept.select(F.col("node").alias("b"), "n"), "b")
         more = cut(more.join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
         links, tried = cut(links.unionByName(_verified(more, texts))), tried.unionByName(more)
         mixed, larger = cut(_labelled(mixed.drop("label"), links)), F.col("size") > BLOCK
