@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tessella.functions import html as H
 from tessella.functions import text as T
 from tessella.operators import chunking as C
+from tessella.operators.ann import VectorIndex
 from tessella.operators.layout import dealt, numbered
+from tessella.operators.postings import Postings
 from tessella.operators import retrieval as R
 from tessella.operators import store as S
 from tessella.sources import files as readers
@@ -142,6 +144,34 @@ def bm25_stopwords(t):
     return R.bm25(_as_chunks(t, _documents(t)), QUESTION, STOPWORDS).select("id", F.round("bm25_score", 6).alias("bm25_score"))
 
 
+@query(f"WITH {_bm25_sql(ALL_DOCS)} SELECT scored.id, source AS file_name, round(s, 6) AS bm25_score FROM scored JOIN documents ON doc_id = scored.id")
+def bm25_postings(t):
+    rows = _as_chunks(t, _documents(t))
+    index = Postings(rows.sparkSession, S.workspace(rows.sparkSession))
+    index.add(rows.where("id % 2 = 0"))
+    index.add(rows.where("id % 2 <> 0"))
+    return index.search(QUESTION, None).select(F.col("id").cast("bigint").alias("id"), "file_name", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query(f"WITH {_bm25_sql(ALL_DOCS)} SELECT CAST(id AS VARCHAR) AS id, round(s, 6) AS bm25_score FROM scored ORDER BY s DESC, CAST(id AS VARCHAR) LIMIT 20")
+def bm25_postings_topk(t):
+    rows = _as_chunks(t, _documents(t))
+    index = Postings(rows.sparkSession, S.workspace(rows.sparkSession))
+    index.add(rows)
+    return index.search(QUESTION, R.TOP_K).select("id", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+@query(f"SELECT id, round(d, 6) AS distance FROM (SELECT e.vec_id AS id, {L2} AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY d, id LIMIT 20)")
+def vector_index_topk(t):
+    """The index in its exact mode, grown by two additions; its usual mode is measured by recall in the tests."""
+    q, v = _first_vector(t)
+    rows = v.withColumn("file_name", F.lit("vectors"))
+    index = VectorIndex(rows.sparkSession, S.workspace(rows.sparkSession), list_rows=100)
+    index.add(rows.where("id % 3 <> 0"))
+    index.add(rows.where("id % 3 = 0"))
+    return index.nearest(q, R.TOP_K, exact=True).select("id", F.round("distance", 6).alias("distance"))
+
+
 def _candidates(t):
     q, v = _first_vector(t)
     chunks = _as_chunks(t)
