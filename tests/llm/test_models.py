@@ -2,6 +2,7 @@
 
 import re
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -180,11 +181,21 @@ def test_queries_on_odd_tables(spark, odd, tmp_path, name):
         docs = odd if kind == "odd" else odd.limit(0)
         labels = spark.createDataFrame([(3, 1, 0, "x"), (4, None, 1, "x"), (None, 1, 1, "x"), (3, 0, 1, "x")] if kind == "odd" else [], "doc_id long, quality int, toxic int, text string")
         vectors = spark.createDataFrame([(0, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [0.5, None], 1), (2, None, 1), (None, [1.0, 1.0], 1), (4, [3.0, 4.0], 1)] if kind == "odd" else [], "vec_id long, embedding array<double>, id int")
-        for table, rows in (("documents", docs), ("labels", labels), ("embeddings", vectors)):
+        said = spark.createDataFrame([(1, 0, "user", None, 1), (1, 0, "user", None, 1), (None, 1, None, "x", 1), (1, None, "assistant", "", 1)] if kind == "odd" else [], "conv_id long, turn long, role string, text string, window int")
+        sold = "sale_id long, client_id long, status string, total double, sold_at timestamp_ntz, arrived_at timestamp_ntz, priority int, day string, role int, c0 string, key long"
+        at = datetime(2024, 2, 29, 23)
+        sales = spark.createDataFrame([(1, 1, None, None, at, at, 1, "d", 1, "c", 2)] * 2 + [(None, None, None, 1.5, None, None, None, None, None, None, None)] if kind == "odd" else [], sold)
+        for table, rows in (("documents", docs), ("labels", labels), ("embeddings", vectors), ("conversations", said), ("sales", sales)):
             rows.write.parquet(f"file://{tmp_path}/{kind}/{table}.parquet")
         got = registry.QUERIES[name](spark, f"file://{tmp_path}/{kind}").collect()
         if name.startswith("op8"):
             assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == ([(0, 1, 0)] * 2 + [(0, 2, 4)] * 2 if kind == "odd" else [])
+        elif name.startswith("op11"):
+            assert sorted((r["day"], r["n_rows"], r["columns"]) for r in got) == ([(-1, 1, ",".join(sales.columns)), (19782, 1, ",".join(sales.columns))] if kind == "odd" else [])
+        elif name.startswith("op12"):
+            assert sorted((r["conv_id"] is None, r["conv_id"] or 0, r["n_turns"]) for r in got) == ([(False, -1, 2), (False, 1, 3), (True, 0, 1)] if kind == "odd" else [(False, -1, 2)])
+        elif name.startswith("op13"):
+            assert len(got) == (3 * 600 if kind == "odd" else 0)
         elif name.startswith("op5"):
             assert len(got) >= docs.count()
         else:
