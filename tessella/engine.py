@@ -14,7 +14,7 @@ from tessella.functions import text as T
 from tessella.operators import chunking, retrieval
 from tessella.operators.ann import VectorIndex
 from tessella.operators.postings import Postings
-from tessella.operators.store import ChunkStore, summaries, workspace
+from tessella.operators.store import ChunkStore, samples, summaries, workspace
 from tessella.sources import files
 
 DIMENSIONS, SUMMARY_CHUNKS = 64, 100
@@ -111,6 +111,10 @@ class Engine:
     def stats(self) -> DataFrame:
         return self.chunks().agg(F.count("*").alias("chunks"), F.countDistinct("file_name").alias("files"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("tokens"))
 
+    def samples(self, n: int = 5) -> DataFrame:
+        """The first chunks by id as previews with all that is known of them, embeddings left out."""
+        return samples(self.chunks().drop("embedding"), n)
+
     def search(self, question: str, k: int = retrieval.TOP_K, window: int = 2, min_similarity: float = 0.0, where: dict | None = None, exact: bool = False) -> DataFrame:
         """Chunks around the k nearest of those that where (see retrieval.matches) allows, in the order of documents; none for a blank
         question."""

@@ -144,7 +144,7 @@ def heading_level(line: Column, rules: str = "txt") -> Column:
     """0 for no heading, else its level; the first rule that holds decides.
 
     pdf, from three characters on: dotted numbers 1, capitalised lines without an end mark 1, chapters and sections 2 (3 from 50
-    characters on). txt: as pdf, then short capitals or title case 2, fenced titles 1, '#' marks by their number. md, from two characters
+    characters on). docx: '#' marks, which stand for styles, by their number, then as pdf. txt: as pdf, then short capitals or title case 2, fenced titles 1, '#' marks by their number. md, from two characters
     on: '#' marks by their number, Roman numerals 1, numbers by their dots from 2 to 6, short capitals 2, then capitalised lines and
     chapters as pdf."""
     t = strip(line)
@@ -155,7 +155,8 @@ def heading_level(line: Column, rules: str = "txt") -> Column:
         roman, dots = F.regexp_extract(t, ROMAN_TITLE, 1), counted_dots(t)
         level = F.when(F.length(t) < 2, 0).when(marks > 0, marks).when(roman.rlike(ROMAN), 1).when(dots >= 0, F.least(F.lit(6), dots + 2)).when(is_upper(t) & short, 2)
         return level.when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter).otherwise(0)
-    level = F.when(F.length(t) < 3, 0).when(t.rlike(NUMBERED_ONCE), 1).when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter)
+    styled = F.when(marks > 0, marks) if rules == "docx" else F
+    level = styled.when(F.length(t) < 3, 0).when(t.rlike(NUMBERED_ONCE), 1).when(t.rlike(PLAIN_TITLE), 1).when(t.rlike(CHAPTER_TITLE), chapter)
     if rules == "txt":
         level = level.when(short & ~F.endswith(t, F.lit(",")) & (is_upper(t) | is_title(t)), 2).when(is_fenced(t), 1).when(marks > 0, marks)
     return level.otherwise(0)

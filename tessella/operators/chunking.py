@@ -84,6 +84,8 @@ def line_level(line: str, rules: str = "txt") -> int:
             return min(6, counted.group(1).count(".") + 2)
         if short and t.isupper():
             return 2
+    elif rules == "docx" and marks:  # the style's level, which stands before every pattern
+        return len(marks.group(1))
     elif len(t) < 3:
         return 0
     elif _NUMBERED.match(t):
@@ -237,12 +239,12 @@ def chunks_of(text: str, rules: str = "txt", sheets: bool = False, least: int =
 
 def chunk_documents(docs: DataFrame, rules: str = "txt", least: int = MIN_TOKENS, most: int = MAX_TOKENS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """docs (text and the columns of keep) as chunks with breadcrumbs and those columns; documents stream through, each on its own. A
-    column file_type, where docs has one, decides by row: md and docx take the Markdown rules for headings, pdf its own, xlsx packs whole
+    column file_type, where docs has one, decides by row: md takes the Markdown rules for headings, pdf its own, docx those of pdf after its styles, xlsx packs whole
     sheets. Page marks become page_from and page_to."""
     kind = F.coalesce("file_type", F.lit("")) if "file_type" in docs.columns else F.lit("")
     schema = ", ".join([*(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep), CHUNK])
     names = [*keep, *(c.split()[0] for c in CHUNK.split(", "))]
-    by_kind = {"md": "md", "docx": "md", "pdf": "pdf"}
+    by_kind = {"md": "md", "docx": "docx", "pdf": "pdf"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

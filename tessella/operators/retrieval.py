@@ -181,10 +181,15 @@ def rank_changes(reranked: DataFrame) -> DataFrame:
     )
 
 
+#: What a hit shows where it knows nothing.
+DEFAULTS = {"file_name": "Unknown", "chunk_index": -1, "token_count": 0}
+
+
 def shown(hits: DataFrame, preview_length: int = 200) -> DataFrame:
-    """Hits as they are shown: pages as a range, the file's name or Unknown, a preview, the content with its breadcrumbs; other columns stay."""
-    name = F.coalesce("file_name", F.lit("Unknown"))
-    return hits.withColumns({"page_range": page_range(F.col("page_from"), F.col("page_to")), "file_name": name, "preview": preview(F.col("content"), preview_length), "payload": with_context(F.col("content"), F.col("breadcrumbs"))})
+    """Hits as they are shown: pages as a range, DEFAULTS for what is null, a preview, the content with its breadcrumbs; other columns
+    stay."""
+    known = {c: F.coalesce(c, F.lit(v)) for c, v in DEFAULTS.items() if c in hits.columns}
+    return hits.withColumns(known | {"page_range": page_range(F.col("page_from"), F.col("page_to")), "preview": preview(F.col("content"), preview_length), "payload": with_context(F.col("content"), F.col("breadcrumbs"))})
 
 
 def keep_first_by_content(rows: DataFrame, order: list, hash_length: int = 16, within: tuple[str, ...] = ()) -> DataFrame:

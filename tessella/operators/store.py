@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import preview
 from tessella.operators.parts import PartedTable
 
 
@@ -23,6 +24,11 @@ def stats(rows: DataFrame, text: str = "text") -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(F.length(text)).cast("bigint").alias("chars"), F.countDistinct("source").alias("files"))
 
 
+def samples(rows: DataFrame, n: int = 5, length: int = 200) -> DataFrame:
+    """The first n rows by id, with a preview instead of their content; their other columns are what is known of them."""
+    return rows.orderBy("id").limit(n).withColumn("preview", preview(F.col("content"), length)).drop("content")
+
+
 def last_per_key(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value))
 

@@ -522,6 +522,11 @@ def _store(rows):
     return store
 
 
+@query("SELECT doc_id, source, lang, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents ORDER BY doc_id LIMIT 5")
+def store_samples(t):
+    return S.samples(t("documents").select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("content"))).withColumnRenamed("id", "doc_id")
+
+
 @query("SELECT doc_id, source, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE upper(lang) || text END) AS digest FROM documents")
 def store_insert(t):
     rows = t("documents").select(F.col("doc_id").alias("id"), F.col("source").alias("file_name"), "text", "lang")
@@ -637,14 +642,14 @@ def cookie_names(t):
 
 
 @query("""SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN NULL WHEN turn % 4 = 1 THEN turn::VARCHAR ELSE turn || '-' || (turn + turn % 4) END AS page_range,
-CASE WHEN role = 'user' THEN 'Unknown' ELSE role END AS file_name, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
+CASE WHEN role = 'user' THEN 'Unknown' ELSE role END AS file_name, CASE WHEN turn % 3 = 0 THEN -1 ELSE turn END AS chunk_index, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
 md5(CASE WHEN turn % 2 = 0 THEN '[Context: ' || role || ' > ' || conv_id || ']' || chr(10) || chr(10) || text ELSE text END) AS payload FROM conversations""")
 def hit_projection(t):
     turn = F.col("turn")
     first, last = F.when(turn % 4 != 0, turn), F.when(turn % 4 == 1, turn).otherwise(turn + turn % 4)
     crumbs = F.when(turn % 2 == 0, F.array("role", F.col("conv_id").cast("string"))).otherwise(F.array().cast("array<string>"))
-    hits = t("conversations").select("conv_id", "turn", F.when(F.col("role") != "user", F.col("role")).alias("file_name"), F.col("text").alias("content"), first.alias("page_from"), last.alias("page_to"), crumbs.alias("breadcrumbs"))
-    return R.shown(hits).select("conv_id", "turn", "page_range", "file_name", "preview", F.md5(F.col("payload").cast("binary")).alias("payload"))
+    hits = t("conversations").select("conv_id", "turn", F.when(F.col("role") != "user", F.col("role")).alias("file_name"), F.col("text").alias("content"), first.alias("page_from"), last.alias("page_to"), crumbs.alias("breadcrumbs"), F.when(turn % 3 != 0, turn).alias("chunk_index"))
+    return R.shown(hits).select("conv_id", "turn", "page_range", "file_name", "chunk_index", "preview", F.md5(F.col("payload").cast("binary")).alias("payload"))
 
 
 @query("SELECT a.conv_id, a.turn, b.turn AS image, b.role FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn AND a.turn + a.turn % 3")

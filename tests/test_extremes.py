@@ -25,7 +25,7 @@ LINES = {
 def test_heading_rules_take_long_lines(spark):
     """Each line alone on the JVM, by every rule, as in Python."""
     rows = spark.createDataFrame(list(LINES.items()), "name string, line string").repartition(4)
-    rules = ("txt", "md", "pdf")
+    rules = ("txt", "md", "pdf", "docx")
     got = {r["name"]: list(r)[1:] for r in rows.select("name", *[T.heading_level(F.col("line"), k).alias(k) for k in rules]).collect()}
     assert got == {k: [C.line_level(v, r) for r in rules] for k, v in LINES.items()}
     assert rows.select("name", T.is_heading_like(F.col("line")).alias("h"), T.setext_level(F.col("line"), F.lit("=" * N)).alias("s")).where("h").count() >= 2
