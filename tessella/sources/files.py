@@ -407,19 +407,19 @@ def unique_names(rows: DataFrame, base: str, ending: str, order: str, folder: st
 
 
 def cells(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, file_name, sheet, row_idx, col_idx, value, error) of a folder's workbooks; a sheet without cells has a row of nulls, a bad file its error."""
+    """(file_name, sheet, row_idx, col_idx, value, error, path) of a folder's workbooks; a sheet without cells has a row of nulls, a bad file its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, name, content in zip(pdf["path"], pdf["file_name"], pdf["content"], strict=True):
                 try:
-                    rows = [(path, name, *c, None) for c in xlsx_cells(content)]
+                    rows = [(name, *c, None, path) for c in xlsx_cells(content)]
                 except Exception as problem:  # one bad file must not end the load
-                    rows = [(path, name, None, None, None, None, f"{type(problem).__name__}: {problem}")]
-                yield pd.DataFrame(rows, columns=["path", "file_name", "sheet", "row_idx", "col_idx", "value", "error"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
+                    rows = [(name, None, None, None, None, f"{type(problem).__name__}: {problem}", path)]
+                yield pd.DataFrame(rows, columns=["file_name", "sheet", "row_idx", "col_idx", "value", "error", "path"]).astype({"row_idx": "Int64", "col_idx": "Int32"})
 
     held = scan(spark, folder).where("file_type = 'xlsx'").select("path", "file_name", "content")
-    return held.mapInPandas(run, "path string, file_name string, sheet string, row_idx long, col_idx int, value string, error string")
+    return held.mapInPandas(run, "file_name string, sheet string, row_idx long, col_idx int, value string, error string, path string")
 
 
 def sheet_info(cells: DataFrame) -> DataFrame:
