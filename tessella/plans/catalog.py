@@ -320,6 +320,15 @@ def setext_lead(t):
     return held.select("doc_id", "h.block_index", "h.level", F.md5(F.col("h.text").cast("binary")).alias("digest"))
 
 
+#: The documents as fenced code: none of its lines is cut, so chunks hold as many lines as the code.
+@query(r"SELECT doc_id, 2 + len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))) AS lines, md5('```' || chr(10) || array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S')), chr(10)) || chr(10) || '```') AS digest FROM documents")
+def fenced_code(t):
+    code = F.array_join(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S")), "\n")
+    chunks = C.chunk_documents(_documents(t).select("doc_id", F.concat(F.lit("```\n"), code, F.lit("\n```")).alias("text")), "md")
+    held = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "content"))).alias("c")).select("doc_id", F.array_join(F.transform("c", lambda c: c["content"]), "\n").alias("text"))
+    return held.select("doc_id", F.size(F.split("text", "\n")).cast("bigint").alias("lines"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(r"""WITH RECURSIVE units AS (SELECT doc_id, i, greatest(1, len(list_filter(string_split_regex(s, '\s+'), lambda x: x <> ''))) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
 fold AS (SELECT doc_id, i, n AS total, n > 120 AS shut, 0 AS grp FROM units WHERE i = 1
 UNION ALL SELECT u.doc_id, u.i, CASE WHEN f.shut OR f.total + u.n > 120 THEN u.n ELSE f.total + u.n END, CASE WHEN f.shut THEN u.n > 120 ELSE f.total + u.n > 120 AND u.n >= 60 END, f.grp + CASE WHEN f.shut OR f.total + u.n > 120 THEN 1 ELSE 0 END FROM fold f JOIN units u ON u.doc_id = f.doc_id AND u.i = f.i + 1)
@@ -459,9 +468,11 @@ def page_main_text(t):
     return H.main_texts(dealt(t("pages")).withColumn("html", html)).select("page_id", F.md5(F.col("main_text").cast("binary")).alias("digest"), "is_article", F.array_join("image_urls", " ").alias("images"))
 
 
-@query(r"WITH d AS (SELECT doc_id, replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10)) AS text FROM documents) SELECT doc_id, md5(trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10)))) AS digest FROM d")
+#: Lines that name archives and retrievals stand before, within and after the texts.
+@query(r"WITH d AS (SELECT doc_id, 'Archived from the original' || chr(10) || replace(text, '. ', '.   ' || chr(10) || chr(10) || chr(10) || '  Retrieved in May' || chr(13) || chr(10) || 'Not Retrieved ') || chr(13) || 'Retrieved' AS text FROM (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM documents)), u AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS text FROM d) SELECT doc_id, md5(trim(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '\n{3,}', chr(10) || chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), lambda x: NOT regexp_matches(x, '^(Archived from the original|Retrieved)')), chr(10)))) AS digest FROM u")
 def whitespace_clean(t):
-    text = F.replace("text", F.lit(". "), F.lit(".   \n\n\n"))
+    told = F.replace("text", F.lit(". "), F.lit(".   \n\n\n  Retrieved in May\r\nNot Retrieved "))
+    text = F.concat(F.lit("Archived from the original\n"), told, F.lit("\rRetrieved"))
     return _documents(t).select("doc_id", F.md5(T.clean_whitespace(text).cast("binary")).alias("digest"))
 
 
