@@ -13,27 +13,33 @@ from tessella.llm.shared import scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go."""
+    """Documents whose language is rejected go: null texts, texts without a letter, and those far from every language learned. Each row is
+    judged by its own text, whatever its doc_id; repeated rows alike. Where no row has a lang, nothing is known and all stay. An empty
+    table stays empty; all columns pass through."""
     return keep_languages(docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays, that of the smallest doc_id; repeated rows are near each other. Texts without words
+    are near nothing: of each doc_id one stays, of null ones all. An empty table stays empty; all columns pass through."""
     return near_dedup(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts is replaced by its kind."""
+    """Personal data in the texts is replaced by its kind, and n_chars is the new length. No row goes; null texts stay null. An empty table
+    stays empty; other columns pass through."""
     return redact(docs)
 
 
 def pareto_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it, whole copies side by side; documents without words are not taken, a null source is
+    a source. Repeated rows are drawn each for itself. An empty table stays empty; all columns pass through."""
     return mix(docs)
 
 
 def vector_best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixture and their places in the training sequences."""
+    """The pieces of the mixture and their places in the training sequences: every copy is packed, null and empty texts as their end mark,
+    long ones in several pieces. An empty table gives no pieces."""
     return pack(docs)
 
 
