@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 _tokenizers: dict = {}
 
-#: Marks that end a sentence, patterns of bullets and headings.
+#: Marks that end a sentence, patterns of bullets and headings. Java, Python and RE2 read them alike: a hyphen comes first in
+#: its class, where none takes it for a range, and case is ignored by a flag, as the patterns are also used within SQL.
 SENTENCE_END = r"(?<=[.?!…])\s+"
 BULLET = r"^\s*(?:[-*•]|[0-9]+[.)])\s+"
 NUMBERED = r"^\s*(?:[0-9]+\.)+\s+\S"
