@@ -116,7 +116,8 @@ class VectorIndex:
     def lists(self, vector: list[float], visits: int | None = None) -> list[int]:
         """The lists that a search of this vector visits, nearest first."""
         state = self.table.state()
-        order = np.argsort(_distances(np.array([vector], float), self._centres(state))[0], kind="stable")
+        centres = self._centres(state)
+        order = np.argsort(_distances(np.array([vector], float), centres)[0], kind="stable") if len(centres) > 1 else [0]  # one list needs no centre
         return [int(i) for i in order[: visits or state["notes"]["visits"]]]
 
     def nearest(self, vector: list[float], k: int = TOP_K, where: dict | None = None, exact: bool = False) -> DataFrame | None:

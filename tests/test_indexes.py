@@ -129,3 +129,14 @@ def test_a_search_opens_its_terms_files_and_skips_blocks(parted, tmp_path, monke
     monkeypatch.setattr(postings.Postings, "_promising", watched)
     index.search("rare", 3).collect()
     assert math.isfinite(kept[0][0]) and kept[0][0] <= kept[0][1]
+
+
+def test_rows_without_vectors(spark, tmp_path):
+    index = ann.VectorIndex(spark, f"file://{tmp_path}/v")
+    schema = "id string, file_name string, embedding array<double>"
+    index.add(spark.createDataFrame([("a", "f", None), ("b", "f", None)], schema))
+    assert index.nearest([1.0, 2.0]).count() == 0
+    index.add(spark.createDataFrame([("c", "f", [1.0, 2.0]), ("d", None, [1.0, 3.0])], schema))
+    assert [r["id"] for r in index.nearest([1.0, 2.0]).collect()] == ["c", "d"] and index.nearest([1.0, 2.0], 1, {"id": "d"}).first()["distance"] == 1.0
+    index.forget(None)
+    assert index.nearest([1.0, 2.0]).count() == 1
