@@ -14,6 +14,9 @@ A logistic curve turns that chance and the text's length, both in logarithms, in
 independent, so long texts have more such passages than the formula allows for. It is fitted on at most SAMPLE rows of a quarter of the
 learning texts, as they score by the counts of the other three, and drawn to the weights USUAL; all other scores use all counts.
 
+Up to MOST_FEATURES significant features go to every executor. More stay a table: texts are put together in pieces of about PIECE
+characters, and each piece meets those of its own features alone, by a join, with the same scores.
+
 Null and empty texts get the score of no evidence. Without learning rows of both labels every score is 0. Labels of a doc_id that
 disagree each count; ties need no order. Rows that repeat are scored as often. Other columns are ignored.
 """
@@ -22,10 +25,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +43,17 @@ SIGNIFICANT, STRONG, MOST = 3.5, 1.5, 8.0
 SAMPLE = 20_000
 #: Words that a worker remembers, and features that it counts before it passes its counts on.
 REMEMBERED, COUNTED = 400_000, 2**19
+#: Significant features that are broadcast, some tens of megabytes a worker; characters of the texts that meet their own beyond it.
+MOST_FEATURES, PIECE = 200_000, 4_000_000
 #: Chance that a clean text has a significant passage.
 ALPHA = 0.01
 #: The logistic curve's weights where the learning rows say nothing else.
 USUAL = (-2.0, 2.4, -0.6)
 _KINDS = ("clean", "toxic", "curve_clean", "curve_toxic")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”„¿¡…-*_#"
+#: feature -> (score, score over deviation), or a table (feature, score, sure) of more than MOST_FEATURES.
+Known = dict[int, tuple[float, float]] | DataFrame
+Scored = Callable[[Iterator[pd.DataFrame], "_Remembered"], Iterator[pd.DataFrame]]
 
 
 def features(word: str) -> tuple[int, ...]:
@@ -110,13 +119,13 @@ def _odds(clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> tuple[Col
     return F.greatest(F.lit(-MOST), F.least(F.lit(MOST), score)), score / F.sqrt(1 / (clean + alpha) + 1 / (toxic + alpha))
 
 
-def speaking(counts: DataFrame, clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> dict[int, tuple[float, float]]:
-    """feature -> (score, score over deviation) of the features whose score is significant, for or against. Features of every document say
-    nothing and are left out; of a vocabulary, few are significant."""
+def speaking(counts: DataFrame, clean: Column, toxic: Column, n_clean: int, n_toxic: int) -> Known:
+    """The features whose score is significant, for or against. Features of every document say nothing and are left out."""
     held = counts.where((clean + toxic > 0) & (clean + toxic < n_clean + n_toxic))
     score, sure = _odds(clean, toxic, n_clean, n_toxic)
-    found = held.select("feature", score.alias("score"), sure.alias("sure")).where(F.abs("sure") >= SIGNIFICANT).collect()
-    return {r["feature"]: (r["score"], r["sure"]) for r in found}
+    found = held.select("feature", score.alias("score"), sure.alias("sure")).where(F.abs("sure") >= SIGNIFICANT)
+    rows = found.limit(MOST_FEATURES + 1).collect()
+    return {r["feature"]: (r["score"], r["sure"]) for r in rows} if len(rows) <= MOST_FEATURES else found
 
 
 def _scorer(known: dict[int, tuple[float, float]]) -> _Remembered:
@@ -127,6 +136,45 @@ def _scorer(known: dict[int, tuple[float, float]]) -> _Remembered:
     return _Remembered(make)
 
 
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows with the number of their piece: rows in a row, up to PIECE characters and one text."""
+    piece, size = TaskContext.get().partitionId() << 33, 0
+    for pdf in batches:
+        of = []
+        for text in pdf["text"]:
+            if size >= PIECE:
+                piece, size = piece + 1, 0
+            size += 1 + len(text or "")
+            of.append(piece)
+        yield pdf.assign(piece=np.array(of, np.int64))
+
+
+def _asked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The features of each piece, once a batch."""
+    for pdf in batches:
+        for piece, texts in pdf.groupby("piece")["text"]:
+            words = set().union(*((t or "").lower().split() for t in texts))
+            held = set().union(*map(features, words))
+            yield pd.DataFrame({"piece": np.full(len(held), piece, np.int64), "feature": np.fromiter(held, np.int64, len(held))})
+
+
+def scored(rows: DataFrame, known: Known, run: Scored, schema: str) -> DataFrame:
+    """What run makes of rows (text, others), by a scorer that knows the features of the texts it gets."""
+    if isinstance(known, dict):
+        shared = rows.sparkSession.sparkContext.broadcast(known)  # at most MOST_FEATURES
+        return rows.mapInPandas(lambda batches: run(batches, _scorer(shared.value)), schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    held = cut(rows.mapInPandas(_pieces, f"{fields}, piece long"))
+    asked = held.select("piece", "text").mapInPandas(_asked, "piece long, feature long").distinct()
+    told = asked.join(known, "feature")
+
+    def each(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        own = dict(zip(told["feature"].tolist(), zip(told["score"].tolist(), told["sure"].tolist(), strict=True), strict=True))
+        return pd.concat(run(iter([texts.drop(columns="piece")]), _scorer(own)))
+
+    return held.groupBy("piece").cogroup(told.groupBy("piece")).applyInPandas(each, schema)
+
+
 def segments(scores: np.ndarray) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, start, end) of a sequence, in linear time: each candidate runs from a positive score on and
     joins the nearest candidate to its left with a lower start, if its right end is not below the joined one's."""
@@ -218,31 +266,25 @@ def _curved() -> Column:
     return F.pmod(F.xxhash64("text"), F.lit(4)) == 0
 
 
-def _clean_scores(shared):
+def _clean_scores(batches: Iterator[pd.DataFrame], scorer: _Remembered) -> Iterator[pd.DataFrame]:
     """Of clean texts: kind 0, a word's score and how many words have it; kind 1, a best segment's score, how many texts, their words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = _scorer(shared.value[0])
-        words: dict[float, int] = {}
-        best: dict[float, list[int]] = {}
-        for pdf in batches:
-            for text in pdf["text"]:
-                scores = word_scores(text, scorer)
-                for value, n in zip(*np.unique(np.round(scores, 1), return_counts=True), strict=True):
-                    words[round(float(value), 1)] = words.get(round(float(value), 1), 0) + int(n)
-                if len(scores):
-                    top = best.setdefault(round(max((s for s, _, _ in segments(scores)), default=0.0), 1), [0, 0])
-                    top[0] += 1
-                    top[1] += len(scores)
-        rows = [(0, s, n, 0) for s, n in words.items()] + [(1, s, *n) for s, n in best.items()]
-        yield pd.DataFrame(rows, columns=["kind", "s", "n", "size"]).astype({"kind": int, "s": float, "n": "int64", "size": "int64"})
-
-    return run
+    words: dict[float, int] = {}
+    best: dict[float, list[int]] = {}
+    for pdf in batches:
+        for text in pdf["text"]:
+            scores = word_scores(text, scorer)
+            for value, n in zip(*np.unique(np.round(scores, 1), return_counts=True), strict=True):
+                words[round(float(value), 1)] = words.get(round(float(value), 1), 0) + int(n)
+            if len(scores):
+                top = best.setdefault(round(max((s for s, _, _ in segments(scores)), default=0.0), 1), [0, 0])
+                top[0] += 1
+                top[1] += len(scores)
+    rows = [(0, s, n, 0) for s, n in words.items()] + [(1, s, *n) for s, n in best.items()]
+    yield pd.DataFrame(rows, columns=["kind", "s", "n", "size"]).astype({"kind": int, "s": float, "n": "int64", "size": "int64"})
 
 
 def fit(labelled: DataFrame) -> dict | None:
     """The model from rows (doc_id, text, toxic)."""
-    spark = labelled.sparkSession
     each = labelled.select("text", "toxic").distinct().withColumn("curve", _curved())
     counts = cut(each.mapInPandas(_counted, "feature long, " + ", ".join(f"{c} long" for c in _KINDS)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in _KINDS]))
     whole = counts.where("feature is null").first()
@@ -253,15 +295,13 @@ def fit(labelled: DataFrame) -> dict | None:
     counts = counts.where("feature is not null")
     known = speaking(counts, F.col("clean") + F.col("curve_clean"), F.col("toxic") + F.col("curve_toxic"), n_clean, n_toxic)
     apart = speaking(counts, F.col("clean"), F.col("toxic"), rest["clean"], rest["toxic"]) if rest["clean"] and rest["toxic"] else None
-    shared = spark.sparkContext.broadcast([known, apart])  # the significant features
-    clean = labelled.where("toxic = 0").select("text").mapInPandas(_clean_scores(shared), "kind int, s double, n long, size long")
+    clean = scored(labelled.where("toxic = 0").select("text"), known, _clean_scores, "kind int, s double, n long, size long")
     clean = clean.groupBy("kind", "s").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).collect()  # scores have one decimal
     rate, k = extreme_values({r["s"]: r["n"] for r in clean if r["kind"] == 0} or {DRIFT: 1}, {r["s"]: (r["n"], r["size"]) for r in clean if r["kind"] == 1})
     weights = np.array(USUAL)
     if apart is not None:
 
-        def evident(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            scorer = _scorer(shared.value[1])
+        def evident(batches: Iterator[pd.DataFrame], scorer: _Remembered) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 rows = [evidence(t, scorer, rate, k)[:2] for t in pdf["text"]]
                 yield pd.DataFrame(rows, columns=["a", "n"]).assign(toxic=pdf["toxic"].to_numpy()).astype({"a": float, "n": "int64"})
@@ -269,7 +309,7 @@ def fit(labelled: DataFrame) -> dict | None:
         rows = labelled.where(_curved()).select("doc_id", "text", "toxic")
         n = rows.count()
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, SAMPLE / max(1, n)))).select("text", "toxic")
-        seen = rows.mapInPandas(evident, "a double, n long, toxic int").toPandas()
+        seen = scored(rows, apart, evident, "a double, n long, toxic int").toPandas()
         if seen["toxic"].nunique() == 2:
             weights = _curve(_inputs(seen["a"].to_numpy(), seen["n"].to_numpy()), seen["toxic"].to_numpy().astype(float))
     return {"known": known, "rate": rate, "k": k, "weights": weights}
@@ -277,22 +317,21 @@ def fit(labelled: DataFrame) -> dict | None:
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, score, passages (start and end word of each significant passage)."""
-    held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    held = only(docs, "doc_id", "text").select(F.col("doc_id").cast("string").alias("doc_id"), "text")  # pandas rounds wide ids beside nulls
     kind = "array<struct<start:int,end:int,score:double>>"
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
     if model is None:
-        return held.select("doc_id", F.lit(0.0).alias("score"), F.array().cast(kind).alias("passages"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the significant features and five numbers
+        return held.select(doc_id, F.lit(0.0).alias("score"), F.array().cast(kind).alias("passages"))
+    rate, k, weights = model["rate"], model["k"], model["weights"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        scorer = _scorer(m["known"])
+    def run(batches: Iterator[pd.DataFrame], scorer: _Remembered) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            seen = [evidence(t, scorer, m["rate"], m["k"]) for t in pdf["text"]]
+            seen = [evidence(t, scorer, rate, k) for t in pdf["text"]]
             x = _inputs(*(np.array([s[i] for s in seen], float) for i in range(2)))
-            p = 1 / (1 + np.exp(-np.clip(m["weights"][0] + x @ m["weights"][1:], -30, 30)))
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "score": p, "passages": [[{"start": a, "end": b, "score": s} for s, a, b in found] for *_, found in seen]})
+            p = 1 / (1 + np.exp(-np.clip(weights[0] + x @ weights[1:], -30, 30)))
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": p, "passages": [[{"start": a, "end": b, "score": s} for s, a, b in found] for *_, found in seen]})
 
-    return held.mapInPandas(run, f"doc_id long, score double, passages {kind}")
+    return scored(held, model["known"], run, f"doc_id string, score double, passages {kind}").select(doc_id, "score", "passages")
 
 
 def op3_max_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

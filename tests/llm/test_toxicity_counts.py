@@ -46,6 +46,28 @@ def test_counts_and_rate_cover_every_learning_row(spark, monkeypatch):
     assert (model["rate"], model["k"]) == pytest.approx(toxicity.extreme_values(words, best))
 
 
+def test_features_beyond_the_broadcast_give_the_same_scores(spark, monkeypatch):
+    """Where the significant features stay a table, the model and all scores are those of the broadcast; wide ids stay exact beside nulls."""
+    rng = np.random.default_rng(5)
+    plain, bad = [f"plain{a}{b}" for a in "abcdefgh" for b in "klmnopqrst"], [f"{a}vile" for a in "uvwxyz"]
+    rows = [(2**62 + i, " ".join([*rng.choice(plain, 9), *(rng.choice(bad, 3) if i % 4 == 0 else [])]), int(i % 4 == 0)) for i in range(240)]
+    rows += [(None, "uvile vvile wvile", 1), (2**62 + 900, None, 0), (2**62 + 901, "", 0), (2**62 + 1, rows[1][1], 0)]
+    learn = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+
+    def told(model):
+        return sorted((str(r["doc_id"]), round(r["score"], 9), str(r["passages"])) for r in toxicity.score(learn, model).collect())
+
+    small = toxicity.fit(learn)
+    want = told(small)
+    assert len(want) == len(rows) and {r[0] for r in want} == {str(r[0]) for r in rows} and len({r[1] for r in want}) > 5
+    monkeypatch.setattr(toxicity, "MOST_FEATURES", 3)
+    monkeypatch.setattr(toxicity, "PIECE", 500)
+    large = toxicity.fit(learn)
+    assert not isinstance(large["known"], dict) and large["known"].count() == len(small["known"])
+    assert (large["rate"], large["k"]) == pytest.approx((small["rate"], small["k"])) and large["weights"] == pytest.approx(small["weights"])
+    assert told(large) == want
+
+
 def test_extreme_values_of_known_scores():
     """lambda solves mean(exp(lambda score)) = 1, and K makes the expected number of texts with their best scores right."""
     words, best = {-0.1: 9990, 2.0: 9}, {0.0: (95, 9500), 2.0: (5, 499)}
