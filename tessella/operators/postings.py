@@ -11,11 +11,14 @@ over all terms, which stands in for the negative ones of very common terms, is k
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import uuid
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,40 +26,71 @@ from tessella.functions.text import bm25_tokens
 from tessella.operators.parts import PartedTable
 from tessella.operators.retrieval import TOP_K
 
-BLOCK, SEGMENT = 128, 200_000
+#: Postings of a block, tokens that are inverted at a time, blocks that go back to Spark at a time.
+BLOCK, SEGMENT, SENT = 128, 2_000_000, 20_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: The term of every row that has tokens.
 ALL = ""
 SCHEMA = "term string, n int, most int, least int, ids array<string>, file_names array<string>, counts array<int>, lengths array<int>, file_name string"
 
 
-def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of rows (id, file_name, tokens), inverted SEGMENT postings at a time. A block's file_name is its one file's, or null."""
-    held: dict[str, list] = defaultdict(list)
+def _inverted(ids: pa.Array, names: pa.Array, tokens: pa.Array) -> pa.RecordBatch:
+    """The blocks of some rows, by term; of a term the postings with most weight first."""
+    lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False).astype("int64")
+    words = pc.dictionary_encode(pc.list_flatten(tokens))
+    terms, rows = len(words.dictionary), len(lengths)
+    pairs, counts = np.unique(words.indices.to_numpy(zero_copy_only=False).astype("int64") * rows + np.repeat(np.arange(rows), lengths), return_counts=True)
+    some = np.flatnonzero(lengths)  # rows with tokens have the term ALL too, whose number follows the others
+    term, row = np.concatenate([pairs // rows, np.full(len(some), terms)]), np.concatenate([pairs % rows, some])
+    counts = np.concatenate([counts, np.ones(len(some), "int64")])
+    order = np.lexsort((lengths[row], -counts, term))
+    term, row, counts = term[order], row[order], counts[order]
+    size = lengths[row]
+    first = np.flatnonzero(np.diff(term, prepend=-1))
+    place = np.arange(len(term)) - np.repeat(first, np.diff(first, append=len(term)))
+    start = np.flatnonzero(place % BLOCK == 0)
+    reach = pa.array(np.append(start, len(term)).astype("int32"))
+    held = names.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)[row]
+    one = np.minimum.reduceat(held, start) == np.maximum.reduceat(held, start)
+
+    def ints(values: np.ndarray) -> pa.Array:
+        return pa.array(values.astype("int32"))
+
+    def lists(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(reach, values)
+
+    own, at = names.take(pa.array(row)), pa.array(term[start])
+    return pa.RecordBatch.from_arrays([
+        pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)]).take(at), ints(np.diff(start, append=len(term))), ints(np.maximum.reduceat(counts, start)), ints(np.minimum.reduceat(size, start)),
+        lists(ids.take(pa.array(row))), lists(own), lists(ints(counts)), lists(ints(size)), pc.if_else(pa.array(one), own.take(pa.array(start)), None),
+    ], names=[c.split()[0] for c in SCHEMA.split(", ")])
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (id, file_name, tokens), inverted SEGMENT tokens at a time (or one row that has more). A block's file_name is its one
+    file's, or null."""
+    held: list[pa.RecordBatch] = []
     n = 0
 
-    def cut() -> pd.DataFrame:
-        out = []
-        for term, rows in held.items():
-            rows.sort(key=lambda r: (-r[2], r[3]))
-            for lo in range(0, len(rows), BLOCK):
-                ids, names, counts, lengths = zip(*rows[lo : lo + BLOCK], strict=True)
-                out.append((term, len(ids), max(counts), min(lengths), ids, names, counts, lengths, names[0] if len(set(names)) == 1 else None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    for pdf in batches:
-        for key, name, tokens in zip(pdf["id"], pdf["file_name"], pdf["tokens"], strict=True):
-            size = len(tokens)
-            for term, times in Counter(tokens).items():
-                held[term].append((key, name, times, size))
-                n += 1
-            held[ALL].append((key, name, 1, size))
-            if n >= SEGMENT:
-                yield cut()
-                held.clear()
-                n = 0
+    def cut() -> Iterator[pa.RecordBatch]:
+        columns = [pa.concat_arrays([b.column(c) for b in held]) for c in ("id", "file_name", "tokens")]
+        made = _inverted(*columns)
+        for lo in range(0, made.num_rows, SENT):
+            yield made.slice(lo, SENT)
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy(zero_copy_only=False).astype("int64"))
+        lo = before = 0
+        while lo < batch.num_rows:
+            hi = max(int(np.searchsorted(ends, before + SEGMENT - n, "right")), lo + (n == 0))
+            if hi > lo:
+                held.append(batch.slice(lo, hi - lo))
+                n, before, lo = n + int(ends[hi - 1]) - before, int(ends[hi - 1]), hi
+            if lo < batch.num_rows:  # the next row does not fit
+                yield from cut()
+                held, n = [], 0
     if held:
-        yield cut()
+        yield from cut()
 
 
 def _inverse(n: Column, df: Column) -> Column:
@@ -97,9 +131,15 @@ class Postings:
         return found.where(F.col("term") != ALL).join(F.broadcast(n)).agg(F.avg(_inverse(F.col("n"), F.col("df"))).alias("m")).first()["m"]  # n is one row
 
     def add(self, rows: DataFrame, notes: dict | None = None) -> None:
-        tokens = rows.select(F.col("id").cast("string").alias("id"), "file_name", bm25_tokens(F.coalesce("content", F.lit(""))).alias("tokens")).where(F.size("tokens") > 0)
-        made = tokens.mapInPandas(blocks_of, SCHEMA).withColumn("_place", F.xxhash64("term"))
-        self._counted(self.table.add(self.table.state(), made, notes=notes))
+        """The blocks are written once as they are made: sorting them into ranges goes over its input twice, and over texts that takes long."""
+        tokens = rows.select(F.col("id").cast("string").alias("id"), "file_name", bm25_tokens(F.coalesce("content", F.lit(""))).alias("tokens"))
+        draft = PartedTable(self.spark, f"{self.table.path}/drafts/{uuid.uuid4().hex}")
+        try:
+            tokens.mapInArrow(blocks_of, SCHEMA).write.parquet(draft.path)
+            made = self.spark.read.schema(SCHEMA).parquet(draft.path).withColumn("_place", F.xxhash64("term"))
+            self._counted(self.table.add(self.table.state(), made, notes=notes))
+        finally:
+            draft.drop()
 
     def rebuild(self, rows: DataFrame, notes: dict | None = None) -> None:
         self.table.clear()
