@@ -27,7 +27,7 @@ from tessella.operators.parts import PartedTable
 from tessella.operators.retrieval import TOP_K
 
 #: Postings of a block, tokens that are inverted at a time, blocks that go back to Spark at a time.
-BLOCK, SEGMENT, SENT = 128, 2_000_000, 20_000
+BLOCK, SEGMENT, SENT = 128, 4_000_000, 20_000
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: The term of every row that has tokens.
 ALL = ""
@@ -60,15 +60,17 @@ def _inverted(ids: pa.Array, names: pa.Array, tokens: pa.Array) -> pa.RecordBatc
         return pa.ListArray.from_arrays(reach, values)
 
     own, at = names.take(pa.array(row)), pa.array(term[start])
+    many = np.repeat(~one, np.diff(start, append=len(term)))  # postings of blocks with more files than one
+    named = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.where(one, 0, np.diff(start, append=len(term))))).astype("int32")), own.filter(pa.array(many)))
     return pa.RecordBatch.from_arrays([
         pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)]).take(at), ints(np.diff(start, append=len(term))), ints(np.maximum.reduceat(counts, start)), ints(np.minimum.reduceat(size, start)),
-        lists(ids.take(pa.array(row))), lists(own), lists(ints(counts)), lists(ints(size)), pc.if_else(pa.array(one), own.take(pa.array(start)), None),
+        lists(ids.take(pa.array(row))), pc.if_else(pa.array(one), None, named), lists(ints(counts)), lists(ints(size)), pc.if_else(pa.array(one), own.take(pa.array(start)), None),
     ], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (id, file_name, tokens), inverted SEGMENT tokens at a time (or one row that has more). A block's file_name is its one
-    file's, or null."""
+    """Blocks of rows (id, file_name, tokens), inverted SEGMENT tokens at a time (or one row that has more). A block of one
+    file has its file_name and no file_names, others the reverse."""
     held: list[pa.RecordBatch] = []
     n = 0
 
@@ -106,7 +108,8 @@ class Postings:
     def _each(self, state: dict, blocks: DataFrame) -> DataFrame:
         """The postings (term, id, file_name, count, length) of blocks, without those of deleted files."""
         one = F.explode(F.arrays_zip("ids", "file_names", "counts", "lengths"))
-        flat = blocks.select("term", "_part", one.alias("p")).select("term", "_part", F.col("p.ids").alias("id"), F.col("p.file_names").alias("file_name"), F.col("p.counts").alias("count"), F.col("p.lengths").alias("length"))
+        named = blocks.withColumn("file_names", F.coalesce("file_names", F.array_repeat("file_name", F.col("n"))))
+        flat = named.select("term", "_part", one.alias("p")).select("term", "_part", F.col("p.ids").alias("id"), F.col("p.file_names").alias("file_name"), F.col("p.counts").alias("count"), F.col("p.lengths").alias("length"))
         return self.table.present(state, flat)
 
     def _blocks(self, state: dict, terms: list[str] | None = None) -> DataFrame:

@@ -20,11 +20,11 @@ def test_blocks_hold_every_posting_once(monkeypatch, segment):
     ids, names, tokens = zip(*rows, strict=True)
     table = pa.table({"id": pa.array(ids), "file_name": pa.array(names), "tokens": pa.array(tokens, pa.list_(pa.string()))})
     made = [b for batch in postings.blocks_of(iter(table.to_batches(max_chunksize=7))) for b in batch.to_pylist()]
-    got = Counter((b["term"], *p) for b in made for p in zip(b["ids"], b["file_names"], b["counts"], b["lengths"], strict=True))
+    got = Counter((b["term"], *p) for b in made for p in zip(b["ids"], b["file_names"] or [b["file_name"]] * b["n"], b["counts"], b["lengths"], strict=True))
     assert got == Counter((t, i, f, n, len(words)) for i, f, words in rows if words for t, n in [*Counter(words).items(), (postings.ALL, 1)])
     for b in made:
         assert b["n"] == len(b["ids"]) <= 3 and b["most"] == b["counts"][0] == max(b["counts"]) and b["least"] == min(b["lengths"])
-        assert b["file_name"] == (b["file_names"][0] if len(set(b["file_names"])) == 1 else None)
+        assert b["file_names"] is None or b["file_name"] is None and len(set(b["file_names"])) > 1  # one file's name is not repeated
 
 
 def test_rows_without_words_make_no_blocks():
@@ -45,3 +45,12 @@ def test_texts_are_gone_over_once(spark, tmp_path):
     index.add(rows)
     assert seen.value == 200 and index.search("the", None).count() == 180
     assert not list((tmp_path / "w" / "drafts").glob("*"))
+
+
+def test_rows_of_one_file_and_of_none_keep_their_names(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "f", "x y"), ("b", None, "x x"), ("c", None, "z"), ("d", "g", "y")], "id string, file_name string, content string").coalesce(1)
+    index = postings.Postings(spark, f"file://{tmp_path}/w")
+    index.add(rows)
+    assert sorted((r["id"], r["file_name"]) for r in index.search("x y z", None).collect()) == [("a", "f"), ("b", None), ("c", None), ("d", "g")]
+    index.forget(None)
+    assert sorted((r["id"], r["file_name"]) for r in index.search("x y z", None).collect()) == [("a", "f"), ("d", "g")]
