@@ -53,12 +53,13 @@ def drop(df: DataFrame) -> None:
 
 def beside(rows: DataFrame, keyed: DataFrame, on: str, how: str = "left", salts: int = SALTS) -> DataFrame:
     """rows joined with a cut that has few bytes a key: by broadcast where it has at most BROADCAST_ROWS rows, else with so many salted
-    copies of it, so that the rows of a frequent key meet it in as many tasks (salts = 1: none, for keys that are rarely repeated). The
-    hint keeps Spark from broadcasting the cut after all: it goes by the size of compressed files, to which salted copies add nothing."""
-    if keyed.count() <= BROADCAST_ROWS:
+    copies of it, so that the rows of a frequent key meet it in as many tasks (salts = 1: none, for whole texts with keys that are rarely
+    repeated; as these are what is shuffled then, the bound is twice as high). The hints keep Spark from broadcasting the cut after all:
+    it goes by the size of compressed files, to which salted copies add nothing."""
+    if keyed.count() <= BROADCAST_ROWS * (1 if salts > 1 else 2):
         return rows.join(F.broadcast(keyed), on, how)
     if salts == 1:
-        return rows.join(keyed.hint("merge"), on, how)
+        return rows.join(keyed.hint("shuffle_hash"), on, how)
     salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
     return dealt.join(salted.hint("merge"), [on, "salt"], how).drop("salt")

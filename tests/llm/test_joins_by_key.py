@@ -16,7 +16,7 @@ def test_keys_beyond_the_bound_are_not_broadcast(spark, monkeypatch, salts, how)
     keyed = shared.cut(spark.range(5, 15).selectExpr("id AS key", "id % 2 = 0 AS even"))
     want = sorted(map(str, rows.join(keyed, "key", how).collect()))
     assert "BroadcastHashJoin" in plan(shared.beside(rows, keyed, "key", how, salts))
-    monkeypatch.setattr("tessella.llm.shared.BROADCAST_ROWS", 9)
+    monkeypatch.setattr("tessella.llm.shared.BROADCAST_ROWS", 4)
     made = shared.beside(rows, keyed, "key", how, salts)
     assert sorted(map(str, made.collect())) == want and "BroadcastExchange" not in plan(made)
 
